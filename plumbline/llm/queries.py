@@ -7,21 +7,80 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import substring
+from plumbline.llm import chat, partenum, sentencepiece_model, substring, tokenfiles
+from plumbline.llm.workspace import Workspace
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = sentencepiece_model.encode(docs, vocabulary("piece_bpe_32k.model"))
+    return out.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_xxhash64"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+        "round_trip",
+        "parity",
+    )
+
+
+#: A conversation whose texts are made of control strings.
+HOSTILE = "SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)"
+
+
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(HOSTILE))
+    work = Workspace(spark, "chat")
+    messages = work.save(chat.turns_to_messages(turns), "messages")
+    out = work.save(chat.format_paths(messages, chat.best_paths(messages, work)), "formatted")
+    read_back = out.select("conv_id", "formatted", chat.parse_turns(F.col("formatted")).alias("turns"), chat.masked_text(F.col("formatted"), F.col("mask")).alias("loss"))
+    line = lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    return read_back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", line), ""), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Workspace(spark, "tokens").path("files")
+    tokenfiles.write(read(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0)
+    placed = tokenfiles.starts(spark, path)
+    return placed.join(tokenfiles.digests(spark, path), ["part", "row"]).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = substring.remove_repeats(docs, window=20)
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return partenum.jaccard_components(docs, width=3, percent=90)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_substring_dedup": op6_substring_dedup}
+    return {
+        "op2_sentencepiece": op2_sentencepiece,
+        "op3_chat_formatting": op3_chat_formatting,
+        "op5_token_files": op5_token_files,
+        "op6_substring_dedup": op6_substring_dedup,
+        "op10_jaccard_join": op10_jaccard_join,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
