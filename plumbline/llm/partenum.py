@@ -34,7 +34,7 @@ from plumbline.llm.substring import NO_ID, _batch, id_of, text_size
 from plumbline.llm.workspace import Workspace
 
 U = np.uint64
-BLOCK_SIGNATURES = 2_000_000
+BLOCK_SIGNATURES = 400_000
 CELLS = 64
 PACKED = "slot int, n long, h binary, d binary, w binary, k long, ka binary, kb binary"
 _PACKED = (["slot", "n", "h", "d", "w", "k", "ka", "kb"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
@@ -155,8 +155,10 @@ def _emit(width: int, percent: int, slots: np.ndarray):
                 if held >= BLOCK_SIGNATURES or len(known) >= BLOCK_SIGNATURES:
                     yield flush()
                     parts, known, seen, held, turn = [], [], {}, 0, turn + 1
+                    T.tidy()
         if parts:
             yield flush()
+        T.tidy()
 
     return run
 
@@ -187,6 +189,7 @@ def _group(table: pa.Table) -> pa.Table:
         kind.append(np.zeros(int(equal.sum()), np.int32)), a.append(d[equal]), b.append(least[equal])
         near = many & (w == 0)
         kind.append(np.ones(int(near.sum()), np.int32)), a.append(h[near].view(np.int64)), b.append(d[near])
+    T.tidy()
     kind, a, b = np.concatenate(kind), np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
     return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 

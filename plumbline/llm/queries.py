@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, partenum, sentencepiece_model, substring, tokenfiles
-from plumbline.llm.workspace import Workspace
+from plumbline.llm import chat, decontaminate, language, partenum, quality, sentencepiece_model, substring, tokenfiles
+from plumbline.llm.workspace import Workspace, text_batches
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -21,6 +22,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    work = Workspace(spark, "decontaminate")
+    found = decontaminate.verdicts(decontaminate.candidates(docs, read(spark, sf_dir, "benchmark"), work))
+    named = docs.select("doc_id").join(found, F.col("doc_id") == F.col("id"), "left")
+    return named.select(
+        "doc_id",
+        F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
+        F.when(F.col("contaminated"), F.col("item_id")).alias("item_id"),
+        F.round("lcs_ratio", 6).alias("lcs_ratio"),
+        F.round("answer_share", 6).alias("answer_share"),
+        F.round("cosine", 3).alias("cosine"),
+    )
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = sentencepiece_model.encode(docs, vocabulary("piece_bpe_32k.model"))
@@ -55,6 +71,18 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def fold(n: int):
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % n, F.lit(-1))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = fold(5) == 0
+    model = quality.fit(docs, read(spark, sf_dir, "labels").where(~held_out))
+    out = quality.score(docs, model, keep=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "score")
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "tokens").path("files")
     tokenfiles.write(read(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), end_id=0)
@@ -68,6 +96,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = fold(3) == 1
+    train = docs.where(~held_out)
+    model = language.fit(train)
+    if model is not None:
+        model = language.calibrate(model, train)
+    out = language.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", "cross_entropy", "rejected").withColumn("held_out", held_out)
+
+
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return partenum.jaccard_components(docs, width=3, percent=90)
@@ -75,6 +114,9 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
+        "op4_quality_classifier": op4_quality_classifier,
+        "op9_language_id": op9_language_id,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_chat_formatting": op3_chat_formatting,
         "op5_token_files": op5_token_files,

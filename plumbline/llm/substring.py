@@ -135,8 +135,11 @@ def _emit(length: int, bits: int, slots: np.ndarray, survivors: bool):
                 if held >= BLOCK_WINDOWS:
                     yield flush(parts, turn)
                     parts, held, turn = [], 0, turn + 1
+                    T.tidy()
         if held:
             yield flush(parts, turn)
+        parts = []
+        T.tidy()
 
     return run
 
@@ -175,6 +178,8 @@ def _decide(later_only: bool, slots: np.ndarray):
             d, p, place = d[order], p[order], place[order]
             cut = np.searchsorted(place, np.arange(len(slots) + 1))
             rows = [(int(slots[b]), int(cut[b + 1] - cut[b]), X.planes(d[cut[b] : cut[b + 1]]), X.planes(p[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut))]
+        del h, d, p, m, out_d, out_p
+        T.tidy()
         return pa.Table.from_batches([_batch(rows, *_BY_DOC)])
 
     return run

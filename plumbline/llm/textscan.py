@@ -6,13 +6,14 @@ memory does not follow the partition. A single document above the bound is a sli
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -44,6 +45,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system: workers live on after a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and len+1 offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -67,13 +77,14 @@ def slices(column, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndar
         i = j
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each word [^\\x20\\x09-\\x0D]+; no word crosses documents."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each run of bytes that aren't in space, by default the words
+    [^\\x20\\x09-\\x0D]+; no run crosses documents."""
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SPACE[data]
+    inside = ~space[data]
     heads = offsets[:-1]
     heads = heads[heads < n]
     before = np.empty(n, dtype=bool)

@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Rows of whole texts in one batch to Python, where the session has Spark's default of 10,000.
+BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -20,11 +22,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def text_batches(spark: SparkSession) -> None:
+    """Batches of whole texts are kept small, unless the session says otherwise."""
+    if spark.conf.get(BATCH_KEY) == "10000":
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+
+
 class Workspace:
     """Named parquet tables below the shared folder, for one run of an operator."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        text_batches(spark)
         self.root = f"{shared_root(spark)}/plumbline-{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, table: str) -> str:
