@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat, decontaminate, language, partenum, quality, sentencepiece_model, substring, tokenfiles
+from plumbline.llm import chat, decontaminate, language, partenum, quality, sentencepiece_model, sharding, substring, syncmers, tokenfiles
 from plumbline.llm.workspace import Workspace, text_batches
 
 
@@ -96,6 +96,15 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(read(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(3) == 1
@@ -116,6 +125,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op4_quality_classifier": op4_quality_classifier,
+        "op7_sharding": op7_sharding,
+        "op8_fingerprints": op8_fingerprints,
         "op9_language_id": op9_language_id,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_chat_formatting": op3_chat_formatting,
