@@ -8,9 +8,9 @@ a signature. Linked sets therefore share a signature, whatever they contain; equ
 signature of the whole set. Candidates are checked against the exact sets.
 
 Sets that share a signature aren't paired with each other: each is checked against the smallest id
-of the group. What the components from those links leave apart, pairs of one group in different
-components, is then checked too, unless sizes or counts of the shingles in 64 cells prove that they
-can't link. So components are exact, and a large group of near copies costs a few checks a member.
+of the group. What the components from those links leave apart is then compared in blocks, unless sizes
+or counts of the shingles in 64 cells prove that two sets can't link; no pairs are written, only links that
+join components. So components are exact, and a large group of near copies costs a few checks a member.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are a component of
 their own. With fewer words than a shingle the whole sequence is the one shingle. A null id counts as
@@ -35,7 +35,7 @@ from plumbline.llm.workspace import Workspace
 
 U = np.uint64
 BLOCK_SIGNATURES = 400_000
-CELLS = 64
+CELLS, BLOCK_MEMBERS = 64, 500
 PACKED = "slot int, n long, h binary, d binary, w binary, k long, ka binary, kb binary"
 _PACKED = (["slot", "n", "h", "d", "w", "k", "ka", "kb"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
 GROUPS = "kind int, a long, b long"
@@ -206,55 +206,48 @@ def _sets(width: int):
     return run
 
 
+def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(s) + len(t) - len(np.union1d(s, t))
+    return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
+
+
 def _check(percent: int):
     """(a, b, sa, sb) to the pairs whose sets are alike enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                s, t = np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U)
-                both = len(s) + len(t) - len(np.union1d(s, t))
-                good.append(both > 0 and 100 * both >= percent * (len(s) + len(t) - both))
+            good = [alike(np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U), percent) for x, y in zip(batch.column("sa"), batch.column("sb"))]
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
 
 
-def _packed_members(slots: np.ndarray):
-    """(sig, id, label, n, cells): adds the bucket of the signature."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = X.bucket_of(T.mix(batch.column("sig").to_numpy(zero_copy_only=False).view(U)), len(slots))
-            yield pa.RecordBatch.from_arrays([pa.array(slots[place], pa.int32()), *batch.columns], ["slot", *batch.schema.names])
-
-    return run
-
+def _merge(percent: int):
+    """One block of candidates: (id, label, n, cells, members, visiting) to links that join labels.
 
-def _apart(percent: int):
-    """Pairs of one signature that stand in different components, aren't pairs with the least id
-    (those are checked already), and may link by size and by the counts in cells."""
+    Each member is held against those whose label is another, unless sizes or cells rule a link out; a
+    link joins the two labels, so the rest of both isn't compared any more and rows out are fewer than
+    labels in."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("sig", "ascending"), ("id", "ascending")])
-        sig, ids, label, n = (table.column(c).to_numpy() for c in ("sig", "id", "label", "n"))
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype="<u2").reshape(-1, CELLS)
-        cut = np.append(np.flatnonzero(np.diff(sig, prepend=sig[0] - 1 if sig[0] > -(1 << 63) else 1)), len(sig))
-        found: set[tuple[int, int]] = set()
-        for i, j in zip(cut[:-1], cut[1:]):
-            if j - i < 3 or (label[i + 1 : j] == label[i + 1]).all():
-                continue
-            for x in range(i + 1, j - 1):  # each against those after it, so memory follows the group
-                y = np.arange(x + 1, j)
-                y = y[label[y] != label[x]]
-                y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
-                if len(y):
-                    apart = np.abs(cells[y].astype(np.int32) - cells[x].astype(np.int32)).sum(axis=1)
-                    y = y[(100 + percent) * apart <= (100 - percent) * (n[x] + n[y])]
-                    found.update((int(ids[x]), int(ids[k])) for k in y)
-        a, b = zip(*sorted(found)) if found else ((), ())
+        table = table.sort_by([("id", "ascending")])
+        ids, label, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
+        visiting = np.array(table.column("visiting").to_pylist(), dtype=bool)
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype="<u2").reshape(-1, CELLS).astype(np.int32)
+        sets = [np.frombuffer(x, dtype=U) for x in table.column("members").to_pylist()]
+        root = np.unique(label, return_inverse=True)[1]
+        found = []
+        for x in np.flatnonzero(np.array(table.column("straggler").to_pylist(), dtype=bool)):
+            y = np.flatnonzero((root != root[x]) & ~(visiting & visiting[x]))
+            y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+            apart = np.abs(cells[y] - cells[x]).sum(axis=1)
+            y = y[(100 + percent) * apart <= (100 - percent) * (n[x] + n[y])]
+            for k in y[np.argsort(np.abs(cells[y] - cells[x]).sum(axis=1), kind="stable")]:
+                if root[k] != root[x] and alike(sets[x], sets[k], percent):
+                    found.append((int(ids[x]), int(ids[k])))
+                    root[root == root[k]] = root[x]
+        a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
@@ -283,17 +276,30 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     tried = work.save(members.join(least, "sig").where("id != b").select(F.col("id").alias("a"), "b").distinct(), "tried")
     links = work.save(_checked(tried, sets, percent).unionByName(equal).distinct(), "links")
     comps = connected_components(links, work, "first")
-    # What is still apart within a signature group.
-    label = F.coalesce(F.col("component"), F.col("id")).alias("label")
-    mixed = members.join(comps, "id", "left").select("sig", "id", label)
-    open_groups = mixed.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2").select("sig")
-    rest = mixed.join(open_groups, "sig", "left_semi").join(sets.select("id", "n", "cells"), "id").select("sig", "id", "label", "n", "cells")
-    slots = X.even_slots(spark, 1)
-    pairs = rest.mapInArrow(_packed_members(slots), "slot int, sig long, id long, label long, n long, cells binary").groupBy("slot").applyInArrow(_apart(percent), "a long, b long").distinct()
-    pairs = work.save(pairs.join(tried, ["a", "b"], "left_anti"), "apart")
-    if pairs.isEmpty():
+    return remaining(needed, sets, tried, links, comps, work, percent)
+
+
+def remaining(needed: DataFrame, sets: DataFrame, tried: DataFrame, links: DataFrame, comps: DataFrame, work: Workspace, percent: int) -> DataFrame:
+    """The components after the links between candidates that the first links leave apart.
+
+    Candidates are joined through any shared signature. Where such a union has several components, the
+    members outside its largest one, the stragglers, are held against all of it: the union is dealt into
+    blocks of about BLOCK_MEMBERS, and stragglers visit the blocks that aren't their own."""
+    unions = connected_components(tried, work, "unions").withColumnRenamed("component", "whole")
+    named = needed.join(unions, "id").join(comps, "id", "left").select("id", "whole", F.coalesce("component", "id").alias("label"))
+    named = work.save(named, "named")
+    tally = named.groupBy("whole", "label").agg(F.count("*").alias("n"))
+    tally = tally.groupBy("whole").agg(F.sum("n").alias("m"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
+    tally = tally.select("whole", F.col("top.label").alias("most"), F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    rows = named.join(tally, "whole").select("id", "whole", "label", "blocks", (F.col("label") != F.col("most")).alias("straggler"), F.pmod(F.hash("id"), F.col("blocks")).alias("own"))
+    rows = work.save(rows, "rows")
+    if rows.isEmpty():
         return comps
-    more = work.save(_checked(pairs, sets, percent), "more")
+    stay = rows.select("id", "whole", "label", "straggler", F.col("own").alias("block"), F.lit(False).alias("visiting"))
+    trip = rows.where("straggler and blocks > 1").select("id", "whole", "label", "straggler", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block != own")
+    placed = stay.unionByName(trip.select("id", "whole", "label", "straggler", "block", F.lit(True).alias("visiting"))).join(sets, "id")
+    placed = placed.select("id", "whole", "block", "label", "straggler", "visiting", "n", "cells", "members")
+    more = work.save(placed.groupBy("whole", "block").applyInArrow(_merge(percent), "a long, b long"), "more")
     if more.isEmpty():
         return comps
     return connected_components(links.unionByName(more), work, "second")
