@@ -1 +1,31 @@
+"""Every registered query: SQL operators with their check, and operators in Python."""
 
+from __future__ import annotations
+
+import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from plumbline.plans.catalog import OPERATORS
+
+MODULES = ["structure"]
+
+
+def load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"plumbline.operators.{name}")
+
+
+def python_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {}
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    load()
+    return {name: op.run for name, op in OPERATORS.items()} | python_queries()
+
+
+def oracles() -> dict[str, str]:
+    load()
+    return {name: op.oracle() for name, op in OPERATORS.items()}
