@@ -62,13 +62,15 @@ def unplanes(raw: bytes, n: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def zigzag(ids: np.ndarray) -> np.ndarray:
-    ids = ids.astype(np.int64)
-    return ((ids << 1) ^ (ids >> 63)).view(np.uint64)
+def framed(ids: np.ndarray) -> bytes:
+    """Signed integers as their least one and byte planes of what the others are above it."""
+    least = int(ids.min()) if len(ids) else 0
+    return least.to_bytes(8, "little", signed=True) + planes(ids.view(U) - np.array([least], dtype=np.int64).view(U))
 
 
-def unzigzag(values: np.ndarray) -> np.ndarray:
-    return (values >> U(1)).view(np.int64) ^ -(values & U(1)).view(np.int64)
+def unframed(raw: bytes, n: int) -> np.ndarray:
+    least = np.array([int.from_bytes(raw[:8], "little", signed=True)], dtype=np.int64)
+    return (unplanes(raw[8:], n) + least.view(U)).view(np.int64)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
@@ -77,8 +79,8 @@ def bucket_of(hashes: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
     return ((top * U(buckets)) >> U(32)).astype(np.int64)
 
 
-def pack_sorted(hashes: np.ndarray, others: list[np.ndarray], slots: np.ndarray, bits: int = 64):
-    """Rows (slot, n, h, c0, c1, ...) for hashes in ascending order with their companions."""
+def pack_sorted(hashes: np.ndarray, ids: np.ndarray, others: list[np.ndarray], slots: np.ndarray, bits: int = 64):
+    """Rows (slot, n, h, ids, c0, c1, ...) for hashes in ascending order with their companions."""
     cut = np.searchsorted(bucket_of(hashes, len(slots), bits), np.arange(len(slots) + 1))
     for b in np.flatnonzero(np.diff(cut)):
         i, j = cut[b], cut[b + 1]
@@ -88,10 +90,10 @@ def pack_sorted(hashes: np.ndarray, others: list[np.ndarray], slots: np.ndarray,
         np.subtract(part[1:], part[:-1], out=step[1:])
         head = step[0]
         step[0] = 0
-        yield (int(slots[b]), int(j - i), int(head).to_bytes(8, "little") + planes(step), *(planes(o[i:j]) for o in others))
+        yield (int(slots[b]), int(j - i), int(head).to_bytes(8, "little") + planes(step), framed(ids[i:j]), *(planes(o[i:j]) for o in others))
 
 
-def unpack(n: int, h: bytes, others: list[bytes]) -> tuple[np.ndarray, ...]:
+def unpack(n: int, h: bytes, ids: bytes, others: list[bytes]) -> tuple[np.ndarray, ...]:
     step = unplanes(h[8:], n).copy()
     step[0] = U(int.from_bytes(h[:8], "little"))
-    return (np.cumsum(step, dtype=U), *(unplanes(o, n) for o in others))
+    return (np.cumsum(step, dtype=U), unframed(ids, n), *(unplanes(o, n) for o in others))

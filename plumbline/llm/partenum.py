@@ -130,10 +130,10 @@ def _emit(width: int, percent: int, slots: np.ndarray):
             fresh = np.ones(len(h), dtype=bool)
             fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
             h, d, w = h[fresh], d[fresh], w[fresh]
-            rows = [(*x, 0, b"", b"") for x in X.pack_sorted(h, [X.zigzag(d), w], slots)]
+            rows = [(*x, 0, b"", b"") for x in X.pack_sorted(h, d, [w], slots)]
             if known:
                 a, b = (np.array(x, dtype=np.int64) for x in zip(*known))
-                rows.append((int(slots[turn % len(slots)]), 0, b"", b"", b"", len(a), X.planes(X.zigzag(a)), X.planes(X.zigzag(b))))
+                rows.append((int(slots[turn % len(slots)]), 0, b"", b"", b"", len(a), X.framed(a), X.framed(b)))
             return _batch(rows, *_PACKED)
 
         for batch in batches:
@@ -169,13 +169,13 @@ def _group(table: pa.Table) -> pa.Table:
     h, d, w, ka, kb = [], [], [], [], []
     for r in table.to_pylist():
         if r["n"]:
-            x, y, z = X.unpack(r["n"], r["h"], [r["d"], r["w"]])
+            x, y, z = X.unpack(r["n"], r["h"], r["d"], [r["w"]])
             h.append(x), d.append(y), w.append(z)
         if r["k"]:
-            ka.append(X.unzigzag(X.unplanes(r["ka"], r["k"]))), kb.append(X.unzigzag(X.unplanes(r["kb"], r["k"])))
+            ka.append(X.unframed(r["ka"], r["k"])), kb.append(X.unframed(r["kb"], r["k"]))
     kind, a, b = [np.zeros(sum(map(len, ka)), np.int32)], list(ka), list(kb)
     if h:
-        h, d, w = np.concatenate(h), X.unzigzag(np.concatenate(d)), np.concatenate(w)
+        h, d, w = np.concatenate(h), np.concatenate(d), np.concatenate(w)
         order = np.lexsort((d, h))
         h, d, w = h[order], d[order], w[order]
         new = np.ones(len(h), dtype=bool)
@@ -267,14 +267,14 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     docs = docs.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = text_size(docs) // 6 * 3 * (100 - percent) // (100 + percent) * 2 + 1
     slots = X.even_slots(spark, items)
-    groups = work.save(docs.mapInArrow(_emit(width, percent, slots), PACKED).groupBy("slot").applyInArrow(_group, GROUPS), "groups")
+    groups = work.save(lambda: docs.mapInArrow(_emit(width, percent, slots), PACKED).groupBy("slot").applyInArrow(_group, GROUPS), "groups")
     equal = groups.where("kind = 0").select("a", "b")
     members = groups.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("id"))
     needed = members.select("id").distinct()
-    sets = work.save(docs.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, n long, cells binary, members binary"), "sets")
+    sets = work.save(lambda: docs.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, n long, cells binary, members binary"), "sets")
     least = members.groupBy("sig").agg(F.min("id").alias("b"))
-    tried = work.save(members.join(least, "sig").where("id != b").select(F.col("id").alias("a"), "b").distinct(), "tried")
-    links = work.save(_checked(tried, sets, percent).unionByName(equal).distinct(), "links")
+    tried = work.save(lambda: members.join(least, "sig").where("id != b").select(F.col("id").alias("a"), "b").distinct(), "tried")
+    links = work.save(lambda: _checked(tried, sets, percent).unionByName(equal).distinct(), "links")
     comps = connected_components(links, work, "first")
     return remaining(needed, sets, tried, links, comps, work, percent)
 
@@ -299,7 +299,7 @@ def remaining(needed: DataFrame, sets: DataFrame, tried: DataFrame, links: DataF
     trip = rows.where("straggler and blocks > 1").select("id", "whole", "label", "straggler", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block != own")
     placed = stay.unionByName(trip.select("id", "whole", "label", "straggler", "block", F.lit(True).alias("visiting"))).join(sets, "id")
     placed = placed.select("id", "whole", "block", "label", "straggler", "visiting", "n", "cells", "members")
-    more = work.save(placed.groupBy("whole", "block").applyInArrow(_merge(percent), "a long, b long"), "more")
+    more = work.save(lambda: placed.groupBy("whole", "block").applyInArrow(_merge(percent), "a long, b long"), "more")
     if more.isEmpty():
         return comps
     return connected_components(links.unionByName(more), work, "second")

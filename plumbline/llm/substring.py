@@ -26,9 +26,10 @@ from plumbline.llm.workspace import Workspace
 
 BLOCK_WINDOWS = 1_000_000
 NO_ID = -(1 << 63)
-#: Hashes of the levels before the last only filter, so they may be shorter: a chance hit is found
-#: out at the next level, which uses hashes of its own and all 64 bits at the end.
-FILTER_BITS = 48
+#: Hashes of the levels before the last only filter, so they may be shorter: so many bits more than the
+#: number of windows has, which lets one in 1024 pass by chance. That one is found out at the next level,
+#: which uses hashes of its own and all 64 bits at the end.
+SPARE_BITS = 10
 PACKED = "slot int, n long, h binary, d binary, p binary, m binary, k long, kd binary, kp binary"
 BY_DOC = "slot int, n long, d binary, p binary"
 STARTS = "id long, starts binary"
@@ -100,10 +101,10 @@ def _emit(length: int, bits: int, slots: np.ndarray, survivors: bool):
             rows = np.flatnonzero(first & many)
             one[rows[1:][h[rows[1:]] == h[rows[:-1]]]] = False
         known = ~first
-        rows = [(*x, 0, b"", b"") for x in X.pack_sorted(h[one], [X.zigzag(d[one]), p[one].astype(np.uint64), many[one].astype(np.uint64)], slots, bits)]
+        rows = [(*x, 0, b"", b"") for x in X.pack_sorted(h[one], d[one], [p[one].astype(np.uint64), many[one].astype(np.uint64)], slots, bits)]
         if known.any():
             order = np.lexsort((p[known], d[known]))
-            rows.append((int(slots[turn % len(slots)]), 0, b"", b"", b"", b"", int(known.sum()), X.planes(X.zigzag(d[known][order])), X.planes(p[known][order].astype(np.uint64))))
+            rows.append((int(slots[turn % len(slots)]), 0, b"", b"", b"", b"", int(known.sum()), X.framed(d[known][order]), X.planes(p[known][order].astype(np.uint64))))
         return _batch(rows, *_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,15 +152,15 @@ def _decide(later_only: bool, slots: np.ndarray):
         h, d, p, m, out_d, out_p = [], [], [], [], [], []
         for row in table.to_pylist():
             if row["n"]:
-                a, b, c, e = X.unpack(row["n"], row["h"], [row["d"], row["p"], row["m"]])
+                a, b, c, e = X.unpack(row["n"], row["h"], row["d"], [row["p"], row["m"]])
                 h.append(a), d.append(b), p.append(c), m.append(e)
             if row["k"]:
-                out_d.append(X.unplanes(row["kd"], row["k"])), out_p.append(X.unplanes(row["kp"], row["k"]))
+                out_d.append(X.unframed(row["kd"], row["k"])), out_p.append(X.unplanes(row["kp"], row["k"]))
         if h:
             h, d, p, m = (np.concatenate(x) for x in (h, d, p, m))
             order = np.argsort(h, kind="stable")
             h, d, p, m = h[order], d[order], p[order], m[order]
-            many, first = _groups(h, X.unzigzag(d), p)
+            many, first = _groups(h, d, p)
             if later_only:
                 hit = ~first
             else:  # a row that several rows of one document share isn't a repeat
@@ -173,11 +174,11 @@ def _decide(later_only: bool, slots: np.ndarray):
         rows = []
         if out_d:
             d, p = np.concatenate(out_d), np.concatenate(out_p)
-            place = X.bucket_of(T.mix(d), len(slots))
+            place = X.bucket_of(T.mix(d.view(np.uint64)), len(slots))
             order = np.lexsort((p, d, place))
             d, p, place = d[order], p[order], place[order]
             cut = np.searchsorted(place, np.arange(len(slots) + 1))
-            rows = [(int(slots[b]), int(cut[b + 1] - cut[b]), X.planes(d[cut[b] : cut[b + 1]]), X.planes(p[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut))]
+            rows = [(int(slots[b]), int(cut[b + 1] - cut[b]), X.framed(d[cut[b] : cut[b + 1]]), X.planes(p[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut))]
         del h, d, p, m, out_d, out_p
         T.tidy()
         return pa.Table.from_batches([_batch(rows, *_BY_DOC)])
@@ -186,12 +187,12 @@ def _decide(later_only: bool, slots: np.ndarray):
 
 
 def _by_document(table: pa.Table) -> pa.Table:
-    got = [(X.unplanes(r["d"], r["n"]), X.unplanes(r["p"], r["n"])) for r in table.to_pylist()]
+    got = [(X.unframed(r["d"], r["n"]), X.unplanes(r["p"], r["n"])) for r in table.to_pylist()]
     d, p = (np.concatenate(x) for x in zip(*got))
     order = np.lexsort((p, d))
     d, p = d[order], p[order]
-    cut = np.append(np.flatnonzero(np.diff(d, prepend=d[0] ^ np.uint64(1))), len(d))
-    ids = X.unzigzag(d[cut[:-1]])
+    cut = np.append(np.flatnonzero(np.append(True, d[1:] != d[:-1])), len(d))
+    ids = d[cut[:-1]]
     return pa.table({"id": pa.array(ids, pa.int64()), "starts": pa.array([encode_starts(np.unique(p[i:j]).astype(np.int64)) for i, j in zip(cut[:-1], cut[1:])], pa.binary())})
 
 
@@ -205,7 +206,7 @@ def repeated_starts(docs: DataFrame, length: int, alive: DataFrame | None, items
     those that also start earlier. alive: the starts that survived at half the length."""
     slots = X.even_slots(docs.sparkSession, items)
     source = docs if alive is None else docs.join(alive, "id")
-    bits = 64 if last else FILTER_BITS
+    bits = 64 if last else min(64, items.bit_length() + SPARE_BITS)
     packed = source.mapInArrow(_emit(length, bits, slots, alive is not None), PACKED)
     found = packed.groupBy("slot").applyInArrow(_decide(later_only, slots), BY_DOC)
     return found.groupBy("slot").applyInArrow(_by_document, STARTS)
@@ -216,10 +217,10 @@ def removal_starts(docs: DataFrame, work: Workspace, window: int = 20) -> DataFr
     items = text_size(docs) // 6 + 1
     lengths, alive = level_lengths(window), None
     for length in lengths[:-1]:
-        alive = work.save(repeated_starts(docs, length, alive, items, False, False), f"level{length}")
+        alive = work.save(lambda length=length, alive=alive: repeated_starts(docs, length, alive, items, False, False), f"level{length}")
         if alive.isEmpty():
             return alive
-    return work.save(repeated_starts(docs, window, alive, items, True, True), "later")
+    return work.save(lambda: repeated_starts(docs, window, alive, items, True, True), "later")
 
 
 def longest_repeats(docs: DataFrame, start: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,7 +230,7 @@ def longest_repeats(docs: DataFrame, start: int = 8, id_col: str = "doc_id", tex
     docs = docs.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items, alive, length, found = text_size(docs) // 6 + 1, None, start, None
     while True:
-        alive = work.save(repeated_starts(docs, length, alive, items, False, True), f"level{length}")
+        alive = work.save(lambda length=length, alive=alive: repeated_starts(docs, length, alive, items, False, True), f"level{length}")
         if alive.isEmpty():
             break
         level = alive.select("id", F.lit(length).cast("long").alias("length"))

@@ -111,8 +111,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = heads.groupBy("id", "th").agg(F.first("third").alias("third"), F.first("head").alias("head"))
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("third")), F.col("head"))
     both = rows.join(heads, ["id", "th"]).select("id", "th", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-    done = both.select("id", "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
-    done = work.save(done, "done")
+
+    def printed() -> DataFrame:
+        return both.select("id", "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
+
+    done = work.save(printed, "done")
     prints = done.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("fingerprint").alias("next_print")).dropDuplicates(["next_id", "next_th"])
     out = done.join(after.select("id", "th", "next_id", "next_th"), ["id", "th"]).join(prints, ["next_id", "next_th"])
     return out.select(F.when(F.col("id") != -(1 << 63), F.col("id")).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,17 +41,21 @@ class Workspace:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def save(self, df: DataFrame, table: str) -> DataFrame:
-        """Writes df and reads it back: lost executors repeat tasks, never the lineage before."""
-        df.write.mode("overwrite").parquet(self.path(table))
-        del df
+    def save(self, df: DataFrame | Callable[[], DataFrame], table: str) -> DataFrame:
+        """Writes df and reads it back: lost executors repeat tasks, never the lineage before. Given a
+        function that makes df, nothing holds on to the plan afterwards and its shuffle files can go."""
+        made = df() if callable(df) else df
+        made.write.mode("overwrite").parquet(self.path(table))
+        del made, df
         self.release()
         return self.spark.read.parquet(self.path(table))
 
     def release(self) -> None:
-        """Lets Spark's cleaner drop shuffle files whose plans are done."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        """Lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more."""
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.15)
 
     def drop(self, table: str) -> None:
         target = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(table))
