@@ -36,7 +36,7 @@ from plumbline.llm.workspace import Workspace
 
 CELL, BLOCK_ITEMS, OVERSAMPLE, MIN_WORDS = 24, 256, 16, 8
 COSINE, LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.35, 0.7, 0.55, 0.8
-STOP_SHARE = 0.05
+STOP_SHARE = 0.005
 SUM_RANGES = 48
 SLICE = 1 << 20
 U = np.uint64
@@ -93,31 +93,63 @@ def cells_of(doc: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     return first[doc] + (np.arange(len(doc)) - head[doc]) // CELL, first
 
 
-def passages(cell: np.ndarray, feature: np.ndarray, first: np.ndarray, weight: np.ndarray, other: float):
-    """TF-IDF rows of the slice: (passage, feature, value) sorted by passage. Passage p is cell p and,
-    in the same document, the cell after it; values are divided by the norm of all words."""
-    n = int(first[-1])
-    last = np.zeros(n + 1, dtype=bool)
-    last[first[1:][np.diff(first) > 0] - 1] = True
-    alone = np.zeros(n, dtype=bool)
-    alone[first[:-1][np.diff(first) == 1]] = True
-    size = np.bincount(cell, minlength=n)
-    known = feature >= 0
-    c, f = cell[known], feature[known]
-    outside = size - np.bincount(c, minlength=n)
-    heads = np.zeros(n, dtype=bool)
-    heads[first[:-1][np.diff(first) > 0]] = True
-    own = ~last[c] | alone[c]  # a last cell has a passage of its own only if it is the only one
-    back = ~heads[c]
-    p, f = np.concatenate((c[own], c[back] - 1)), np.concatenate((f[own], f[back]))
-    key, tf = np.unique(p * len(weight) + f, return_counts=True)
-    p, f = key // len(weight), key % len(weight)
-    value = (1 + np.log(tf)) * weight[f]
-    free = outside.astype(np.float64)
-    free[:-1] += np.where(last[: n - 1], 0, outside[1:]) if n > 1 else 0
-    norm = np.sqrt(np.bincount(p, weights=value**2, minlength=n) + free * other**2)
-    keep = value > 0
-    return p[keep], f[keep], (value[keep] / np.maximum(norm[p[keep]], 1e-9)).astype(np.float32)
+class Rows:
+    """The TF-IDF rows of a slice, kept as cells: (cell, feature, value) by cell, where passage p is the
+    sum of cell p and the cell after it, divided by the norm of all its words. A last cell has a passage of
+    its own only if it is its document's only one."""
+
+    def __init__(self, cell: np.ndarray, feature: np.ndarray, first: np.ndarray, weight: np.ndarray, other: float):
+        n = self.n = int(first[-1])
+        known = feature >= 0
+        outside = np.bincount(cell, minlength=n) - np.bincount(cell[known], minlength=n)
+        useful = np.flatnonzero(known)
+        useful = useful[weight[feature[useful]] > 0]
+        key, tf = np.unique(cell[useful] * len(weight) + feature[useful], return_counts=True)
+        self.c, self.f = key // len(weight), key % len(weight)
+        self.v = tf * weight[self.f]
+        own = np.bincount(self.c, weights=self.v**2, minlength=n)
+        at = np.minimum(np.searchsorted(key, key + len(weight)), max(len(key) - 1, 0))
+        both = np.flatnonzero(key[at] == key + len(weight)) if len(key) else np.zeros(0, np.int64)
+        shared = np.bincount(self.c[both], weights=self.v[both] * self.v[at[both]], minlength=n)
+        last = np.zeros(n, dtype=bool)
+        last[first[1:][np.diff(first) > 0] - 1] = True
+        alone = np.zeros(n, dtype=bool)
+        alone[first[:-1][np.diff(first) == 1]] = True
+        self.pair, self.there = ~last, ~last | alone
+        after = lambda x: np.append(x[1:], 0.0)
+        inside = own + np.where(self.pair, after(own) + 2 * shared, 0)
+        free = outside * other**2
+        whole = inside + free + np.where(self.pair, after(free), 0)
+        self.norm = np.sqrt(np.maximum(whole, 1e-12))
+        self.share = np.where(self.there, inside / np.maximum(whole, 1e-12), 0)
+        self.v = self.v.astype(np.float32)
+
+    def times(self, matrix: np.ndarray, some: np.ndarray | None = None) -> np.ndarray:
+        """Passages (those marked in some, or all) by columns of the matrix."""
+        c, f, v = self.c, self.f, self.v
+        if some is not None:
+            need = some.copy()
+            need[1:] |= some[:-1] & self.pair[:-1]
+            keep = need[c]
+            c, f, v = c[keep], f[keep], v[keep]
+        cells = np.zeros((self.n + 1, matrix.shape[1]), np.float32)
+        if len(c):
+            cut = np.flatnonzero(np.diff(c, prepend=-1))
+            cells[c[cut]] = np.add.reduceat(v[:, None] * matrix[f], cut, axis=0)
+        out = cells[:-1] + np.where(self.pair[:, None], cells[1:], 0)
+        return out * np.where(self.there, 1 / self.norm, 0).astype(np.float32)[:, None]
+
+    def add_transposed(self, total: np.ndarray, y: np.ndarray) -> None:
+        """Adds the passages' transpose times y to total."""
+        if not len(self.c):
+            return
+        y = y * np.where(self.there, 1 / self.norm, 0).astype(np.float32)[:, None]
+        back = y.copy()
+        back[1:] += np.where(self.pair[:-1, None], y[:-1], 0)
+        by = np.argsort(self.f, kind="stable")
+        f = self.f[by]
+        cut = np.flatnonzero(np.diff(f, prepend=-1))
+        total[f[cut]] += np.add.reduceat(self.v[by][:, None] * back[self.c[by]], cut, axis=0)
 
 
 def _frequencies(vocabulary: np.ndarray):
@@ -157,7 +189,8 @@ def _project(vocabulary: np.ndarray, weight: np.ndarray, other: float, rank: int
             for i, j, data, offs in T.slices(batch.column("text"), SLICE):
                 words, doc = words_of(data, offs)
                 cell, first = cells_of(doc, j - i)
-                add_rows(total, omega, *passages(cell, known(words), first, weight, other))
+                rows = Rows(cell, known(words), first, weight, other)
+                rows.add_transposed(total, rows.times(omega))
         cut = len(weight) * np.arange(SUM_RANGES + 1) // SUM_RANGES
         some = [r for r in range(SUM_RANGES) if total[cut[r] : cut[r + 1]].any()]
         yield pa.RecordBatch.from_arrays([pa.array([int(slots[r % len(slots)]) for r in some], pa.int32()), pa.array(some, pa.int32()), pa.array([total[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], ["slot", "r", "z"])
@@ -165,25 +198,6 @@ def _project(vocabulary: np.ndarray, weight: np.ndarray, other: float, rank: int
     return run
 
 
-def add_rows(total: np.ndarray, omega: np.ndarray, p: np.ndarray, f: np.ndarray, v: np.ndarray, weight: float = 1.0) -> None:
-    """Adds A' (A omega) of sparse rows to total, some rows of A at a time."""
-    if not len(p):
-        return
-    cut = np.append(np.flatnonzero(np.diff(p, prepend=p[0] - 1)), len(p))
-    step = 20_000
-    at = 0
-    while at < len(cut) - 1:
-        end = min(len(cut) - 1, max(at + 1, int(np.searchsorted(cut, cut[at] + step)) - 1))
-        i, j = cut[at], cut[end]
-        y = np.add.reduceat(v[i:j, None] * omega[f[i:j]], cut[at:end] - i, axis=0)
-        row = np.repeat(np.arange(end - at), np.diff(cut[at : end + 1]))
-        by = np.argsort(f[i:j], kind="stable")
-        g = f[i:j][by]
-        heads = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
-        total[g[heads]] += weight * np.add.reduceat(v[i:j][by][:, None] * y[row[by]], heads, axis=0)
-        at = end
-
-
 def random_matrix(rows: int, rank: int) -> np.ndarray:
     return np.random.default_rng(20_11).standard_normal((rows, rank)).astype(np.float32)
 
@@ -209,7 +223,7 @@ class Block:
         owner = np.repeat(np.arange(len(self.items)), [len(w) for _, w, _ in self.items])
         key, tf = np.unique(owner * len(self.weight) + self.vocabulary(words), return_counts=True)
         p, f = key // len(self.weight), key % len(self.weight)
-        v = (1 + np.log(tf)) * self.weight[f]
+        v = tf * self.weight[f]
         norm = np.sqrt(np.bincount(p, weights=v**2, minlength=len(self.items)))
         return p, f, (v / np.maximum(norm[p], 1e-9)).astype(np.float32)
 
@@ -229,16 +243,17 @@ class Block:
         rank = gathered.shape[1]
         omega = random_matrix(len(self.weight), rank)
         total = gathered.astype(np.float64)
+        p, f, v = self.rows()
+        y = np.zeros((len(self.items), rank), np.float32)
+        np.add.at(y, p, v[:, None] * omega[f])
         own = np.zeros_like(gathered)
-        rows = self.rows()
-        add_rows(own, omega, *rows)
+        np.add.at(own, f, v[:, None] * y[p])
         total += own * max(1.0, n / len(self.items))
         q, r = np.linalg.qr(total)
         core = omega.T.astype(np.float64) @ total
         values, u = np.linalg.eigh(r @ np.linalg.pinv((core + core.T) / 2, rcond=1e-9, hermitian=True) @ r.T)
         good = values > max(values.max(), 0) * 1e-10
         self.space = (q @ u[:, good]).astype(np.float32)
-        p, f, v = rows
         placed = np.zeros((len(self.items), self.space.shape[1]), np.float32)
         np.add.at(placed, p, v[:, None] * self.space[f])
         self.placed = placed / np.maximum(np.linalg.norm(placed, axis=1, keepdims=True), 1e-9)
@@ -274,25 +289,20 @@ def _search(block: Block):
                 if not len(words):
                     continue
                 cell, first = cells_of(doc, j - i)
-                p, f, v = passages(cell, known(words), first, block.weight, block.other)
-                if not len(p):
-                    continue
+                rows = Rows(cell, known(words), first, block.weight, block.other)
                 # A passage's cosine is at most the share of its norm that the features have.
-                share = np.bincount(p, weights=v.astype(np.float64) ** 2)
-                near = share[p] >= COSINE**2
-                p, f, v = p[near], f[near], v[near]
-                if not len(p):
+                near = np.flatnonzero(rows.share >= COSINE**2)
+                if not len(near):
                     continue
-                cut = np.append(np.flatnonzero(np.diff(p, prepend=p[0] - 1)), len(p))
                 head = T.doc_starts(doc, j - i)
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                for at in range(0, len(cut) - 1, 2000):
-                    end = min(at + 2000, len(cut) - 1)
-                    a, b = cut[at], cut[end]
-                    y = np.add.reduceat(v[a:b, None] * block.space[f[a:b]], cut[at:end] - a, axis=0)
-                    cosine = y @ block.placed.T
+                marked = np.zeros(rows.n, dtype=bool)
+                marked[near] = True
+                placed = rows.times(block.space, marked)[near]
+                for at in range(0, len(near), 2000):
+                    cosine = placed[at : at + 2000] @ block.placed.T
                     for row, k in zip(*np.nonzero(cosine >= COSINE)):
-                        c = int(p[cut[at + row]])
+                        c = int(near[at + row])
                         d = int(np.searchsorted(first, c, side="right")) - 1
                         item, w, answer = block.items[k]
                         if best.get((d, item), (0,))[0] >= 1:
