@@ -156,7 +156,7 @@ class Codec:
 
             # A later normaliser message is merged into the model's: no dummy prefix, no squeezing.
             self.judge = sentencepiece.SentencePieceProcessor(model_proto=data + b"\x1a\x04\x18\x00\x20\x00")
-        self.coder = tokens.ChunkCoder(self._encode, tokens.BLANK, tokens.after_no_marker)
+        self.coder = tokens.ChunkCoder(tokens.one_by_one(self._encode), tokens.BLANK, tokens.after_no_marker)
         table = []
         for piece, _, kind in self.model.pieces:
             if kind == BYTE:

@@ -43,10 +43,15 @@ def byte_bpe(model: bytes, workers: int) -> tokens.ChunkCoder:
 
     tokenizer = Tokenizer.from_str(model.decode())
 
+    # A byte-level token has a character for each byte.
+    vocabulary = tokenizer.get_vocab()
+    width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+    width[list(vocabulary.values())] = [len(t) for t in vocabulary]
+
     def encode(strings: list[str]) -> list[list[int]]:
-        return [x.ids for x in tokenizer.encode_batch(strings, add_special_tokens=False)]
+        return [x.ids for x in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    return tokens.ChunkCoder(encode, T.SPACE, tokens.after_ascii_or_letter)
+    return tokens.ChunkCoder(tokens.together(encode, width, T.SPACE, tokens.after_ascii_or_letter), T.SPACE, tokens.after_ascii_or_letter)
 
 
 def _encode(model: bytes, end_id: int, workers: int):
@@ -71,7 +76,7 @@ def _encode(model: bytes, end_id: int, workers: int):
     return run
 
 
-def write(docs: DataFrame, path: str, model_file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", workers: int = 2) -> None:
+def write(docs: DataFrame, path: str, model_file: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", workers: int = 1) -> None:
     """Encodes every text, appends end_id and writes the files in ascending id order."""
     with open(model_file, "rb") as f:  # the driver's file goes with the tasks
         model = f.read()

@@ -15,7 +15,7 @@ import numpy as np
 
 from plumbline.llm import textscan as T
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 1_000_000
 BLANK = np.zeros(256, dtype=bool)
 BLANK[0x20] = True
 
@@ -47,54 +47,110 @@ def after_no_marker(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ~((data[at - 1] == 0x81) & (data[np.maximum(at - 2, 0)] == 0x96) & (data[np.maximum(at - 3, 0)] == 0xE2))
 
 
+Spans = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+
+
+def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the spans one after the other, and where each ends in them."""
+    counts = end - start
+    ends = np.cumsum(counts)
+    return data[np.repeat(start - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
+def one_by_one(encode: Callable[[list[str]], list[list[int]]]) -> Spans:
+    """Encodes each span as a string of its own."""
+
+    def run(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        joined, ends = gather(data, start, end)
+        raw = joined.tobytes()
+        ids = encode([raw[i:j].decode() for i, j in zip((ends - (end - start)).tolist(), ends.tolist())])
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for y in ids for x in y), np.int32, int(counts.sum())), counts
+
+    return run
+
+
+def together(encode: Callable[[list[str]], list[list[int]]], width: np.ndarray, space: np.ndarray, guard, piece: int = 1 << 15) -> Spans:
+    """Encodes runs of spans as one string, where the tokenizer splits between them anyway: each starts
+    with white space and follows a span that doesn't end with it. width: bytes of each id's token, by
+    which the ids of a run are told apart. Other spans are encoded one by one."""
+    alone = one_by_one(encode)
+
+    def run(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        free = space[data[start]] & ~space[data[end - 1]] & guard(data, end)
+        if not free.any():
+            return alone(data, start, end)
+        joined, ends = gather(data, start[free], end[free])
+        marks = np.unique(np.append(np.searchsorted(ends, np.arange(piece, ends[-1] + 1, piece)), len(ends) - 1))
+        cuts = ends[marks].tolist()
+        raw = joined.tobytes()
+        flat = np.concatenate([np.array(x, dtype=np.int32) for x in encode([raw[i:j].decode() for i, j in zip([0, *cuts[:-1]], cuts)])])
+        reach = np.cumsum(width[flat])
+        last = np.searchsorted(reach, ends)
+        if last[-1] >= len(reach) or not np.array_equal(reach[last], ends):
+            return alone(data, start, end)  # a token that isn't as wide as its text
+        counts = np.zeros(len(start), np.int64)
+        counts[free] = np.diff(last, prepend=-1)
+        if free.all():
+            return flat, counts
+        rest, some = alone(data, start[~free], end[~free])
+        counts[~free] = some
+        out = np.empty(int(counts.sum()), np.int32)
+        mine = np.repeat(free, counts)
+        out[mine], out[~mine] = flat, rest
+        return out, counts
+
+    return run
+
+
 class ChunkCoder:
-    """encode(strings) gives a list of id lists, one for each string."""
+    """Ids of texts from the ids of their chunks. A direct-mapped table keeps chunks that were seen; one
+    that another has pushed out is encoded again."""
+
+    TABLE_BITS = 20
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], space: np.ndarray, guard):
+    def __init__(self, encode: Spans, space: np.ndarray, guard):
         self.encode, self.space, self.guard = encode, space, guard
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.start = np.zeros(1024, np.int64)
-        self.count = np.zeros(1024, np.int64)
-        self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
-
-    def _add(self, hashes: list[int], strings: list[str]) -> None:
-        ids = self.encode(strings)
-        n, m = len(self.known), len(strings)
+        self.key = np.zeros(1 << self.TABLE_BITS, np.uint64)
+        self.value = np.zeros(1 << self.TABLE_BITS, np.int32)
+        self.start, self.count, self.pool = (np.zeros(1 << 16, t) for t in (np.int64, np.int32, np.int32))
+        self.chunks = self.used = 0
+
+    def _add(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        n, m, total = self.chunks, len(counts), len(ids)
         if n + m > len(self.start):
             size = max(2 * len(self.start), n + m)
             self.start, self.count = np.resize(self.start, size), np.resize(self.count, size)
-        counts = np.fromiter(map(len, ids), np.int64, m)
-        total = int(counts.sum())
         if self.used + total > len(self.pool):
             self.pool = np.resize(self.pool, max(2 * len(self.pool), self.used + total))
-        self.pool[self.used : self.used + total] = np.fromiter((x for y in ids for x in y), np.int32, total)
+        self.pool[self.used : self.used + total] = ids
         self.count[n : n + m] = counts
         self.start[n : n + m] = self.used + np.cumsum(counts) - counts
-        self.used += total
-        self.known.update(zip(hashes, range(n, n + m)))
+        self.chunks, self.used = n + m, self.used + total
+        return np.arange(n, n + m, dtype=np.int32)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after the other, and the len+1 offsets of the texts in them."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        if len(self.known) > CACHE_CHUNKS:
+        if self.chunks > CACHE_CHUNKS:
             self.reset()
         start = chunk_cuts(data, offsets, self.space, self.guard)
         end = np.append(start[1:], len(data))
         hashes = T.span_hashes(data, start, end)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        listed = unique.tolist()
-        new = [k for k, h in enumerate(listed) if h not in self.known]
-        if new:
-            raw = data.tobytes()
-            at = first[new]
-            self._add([listed[k] for k in new], [raw[i:j].decode() for i, j in zip(start[at].tolist(), end[at].tolist())])
-        slot = np.fromiter((self.known[h] for h in listed), np.int64, len(listed))[inverse]
-        counts = self.count[slot]
+        place = (hashes & np.uint64((1 << self.TABLE_BITS) - 1)).astype(np.int64)
+        slot = self.value[place]
+        missing = np.flatnonzero(self.key[place] != hashes)
+        if len(missing):
+            new, first, inverse = np.unique(hashes[missing], return_index=True, return_inverse=True)
+            at = missing[first]
+            index = self._add(*self.encode(data, start[at], end[at]))
+            slot[missing] = index[inverse]
+            self.key[place[at]], self.value[place[at]] = new, index
+        counts = self.count[slot].astype(np.int64)
         ends = np.cumsum(counts)
         flat = self.pool[np.repeat(self.start[slot] - (ends - counts), counts) + np.arange(ends[-1])]
         before = np.append(0, ends)
