@@ -78,8 +78,9 @@ class Spark:
         return f"array_contains({a}, {x})"
 
     def explode(self, keep: str, table: str, a: str, pos: str = "pos", v: str = "v") -> str:
-        """Rows of each element with its place, counted from 0."""
-        return f"SELECT {keep}, {pos}, {v} FROM {table} LATERAL VIEW posexplode({a}) e AS {pos}, {v}"
+        """Rows of each element with its place, counted from 0. OUTER keeps the optimizer from adding a
+        filter on the array's size, which it would push down as a second evaluation of the array."""
+        return f"SELECT {keep}, {pos}, {v} FROM {table} LATERAL VIEW OUTER posexplode({a}) e AS {pos}, {v} WHERE {pos} IS NOT NULL"
 
     def run(self, a: str, v: str, body: str) -> str:
         """Longest run of elements that satisfy body."""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.plans.catalog import OPERATORS
 
-MODULES = ["structure"]
+MODULES = ["structure", "matching", "scoring"]
 
 
 def load() -> None:
