@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from plumbline.functions import expressions as E
 from plumbline.functions.dialect import Spark
 from plumbline.operators.structure import base, seven
 from plumbline.plans.catalog import operator
@@ -22,10 +21,18 @@ def confusion_grouping_sets(q):
     return f"{labelled(q)}, h AS (SELECT *, score >= 0.2 AS hit FROM lab), c AS (SELECT lang, source, {COUNTS} FROM h GROUP BY GROUPING SETS ((), (lang), (source))) SELECT lang, source, n, tp, fp, tn, fn, {METRICS} FROM c"
 
 
+GRID = [round(0.05 * k, 2) for k in range(1, 13)]
+
+
+def swept(q: Spark, source: str, keep: str) -> str:
+    """Rows of source at each threshold of the grid."""
+    grid = q.array(*(f"cast({x} AS DOUBLE)" for x in GRID))
+    return q.explode(keep, source, grid, "step", "threshold")
+
+
 @operator("documents", "labels")
 def threshold_sweep(q):
-    grid = q.values([(round(0.05 * k, 2),) for k in range(1, 13)], ["threshold"])
-    return f"{labelled(q)}, grid AS {grid}, h AS (SELECT threshold, bad, score >= threshold AS hit FROM lab CROSS JOIN grid), c AS (SELECT threshold, {COUNTS} FROM h GROUP BY threshold) SELECT round(threshold, 2) AS threshold, n, tp, fp, tn, fn, {METRICS} FROM c"
+    return f"{labelled(q)}, sw AS ({swept(q, 'lab', 'score, bad')}), h AS (SELECT threshold, bad, score >= threshold AS hit FROM sw), c AS (SELECT threshold, {COUNTS} FROM h GROUP BY threshold) SELECT round(threshold, 2) AS threshold, n, tp, fp, tn, fn, {METRICS} FROM c"
 
 
 @operator("documents", "labels")
@@ -42,14 +49,15 @@ def stratified_folds(q):
 
 @operator("documents", "labels")
 def cross_validated_threshold(q):
-    """For each fold the threshold that is best on the others, and the fold's counts at it."""
+    """For each fold the threshold that is best on the others, and the fold's counts at it. Counts are made
+    once for each fold and threshold; those of the other folds are the totals less the fold's."""
     h = q.sha256("concat('17:', cast(doc_id AS {}))".format("string" if q.name == "spark" else "VARCHAR"))
-    grid = q.values([(round(0.05 * k, 2),) for k in range(1, 13)], ["threshold"])
-    return f"""{labelled(q)}, f AS (SELECT *, (row_number() OVER (PARTITION BY bad ORDER BY {h}, doc_id) - 1) % 5 AS fold FROM lab), grid AS {grid}, folds AS (SELECT DISTINCT fold FROM f),
-t AS (SELECT o.fold, g.threshold, sum(CASE WHEN score >= threshold AND bad THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score >= threshold AND NOT bad THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN score < threshold AND bad THEN 1 ELSE 0 END) AS fn FROM f JOIN folds o ON f.fold <> o.fold CROSS JOIN grid g GROUP BY o.fold, g.threshold),
-b AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0) DESC, threshold) AS place FROM t)
-SELECT f.fold, round(b.threshold, 2) AS threshold, sum(CASE WHEN score >= b.threshold AND bad THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score >= b.threshold AND NOT bad THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN score < b.threshold AND bad THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN score < b.threshold AND NOT bad THEN 1 ELSE 0 END) AS tn
-FROM f JOIN b ON f.fold = b.fold AND b.place = 1 GROUP BY f.fold, b.threshold"""
+    counts = "sum(CASE WHEN score >= threshold AND bad THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN score >= threshold AND NOT bad THEN 1 ELSE 0 END) AS fp, sum(CASE WHEN score < threshold AND bad THEN 1 ELSE 0 END) AS fn, sum(CASE WHEN score < threshold AND NOT bad THEN 1 ELSE 0 END) AS tn"
+    return f"""{labelled(q)}, f AS (SELECT score, bad, (row_number() OVER (PARTITION BY bad ORDER BY {h}, doc_id) - 1) % 5 AS fold FROM lab), sw AS ({swept(q, 'f', 'score, bad, fold')}),
+t AS (SELECT fold, threshold, {counts} FROM sw GROUP BY fold, threshold),
+o AS (SELECT *, sum(tp) OVER (PARTITION BY threshold) - tp AS otp, sum(fp) OVER (PARTITION BY threshold) - fp AS ofp, sum(fn) OVER (PARTITION BY threshold) - fn AS ofn FROM t),
+b AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY coalesce(2.0 * otp / nullif(2 * otp + ofp + ofn, 0), 0) DESC, threshold) AS place FROM o)
+SELECT fold, round(threshold, 2) AS threshold, tp, fp, fn, tn FROM b WHERE place = 1"""
 
 
 @operator("documents", "labels")
@@ -116,12 +124,13 @@ def ngram_document_frequency(q):
 
 @operator()
 def mine_candidates_topk(q):
-    """Frequent n-grams that no longer, as frequent one covers, without known vocabulary: the first 40."""
+    """Frequent n-grams that no longer, as frequent one covers, without known vocabulary: the first 40. One that
+    covers is as frequent one word further too, so a look at the next length is enough."""
     known = q.values([("of the",), ("in the",), ("de la",)], ["phrase"])
     return f"""{grams(q, 60)}, known AS {known}, open AS (SELECT d.* FROM df d LEFT JOIN known k ON d.g = k.phrase WHERE k.phrase IS NULL),
-covered AS (SELECT DISTINCT a.g FROM open a JOIN open b ON a.df = b.df AND a.n < b.n AND contains(concat(' ', b.g, ' '), concat(' ', a.g, ' '))),
-r AS (SELECT o.*, row_number() OVER (ORDER BY df DESC, n DESC, o.g) AS place FROM open o LEFT JOIN covered c ON o.g = c.g WHERE c.g IS NULL)
-SELECT place, g AS phrase, n, df FROM r WHERE place <= 40"""
+wider AS (SELECT df, {q.sub('g', ' [^ ]+$', '')} AS g FROM open WHERE n > 2 UNION SELECT df, {q.sub('g', '^[^ ]+ ', '')} FROM open WHERE n > 2),
+top AS (SELECT o.* FROM open o LEFT JOIN wider w ON o.g = w.g AND o.df = w.df WHERE w.g IS NULL ORDER BY o.df DESC, o.n DESC, o.g LIMIT 40)
+SELECT row_number() OVER (ORDER BY df DESC, n DESC, g) AS place, g AS phrase, n, df FROM top"""
 
 
 # --- anchors --------------------------------------------------------------------------------------------
@@ -159,5 +168,3 @@ def source_claims_seeded(q):
     seed = "concat(coalesce(text, ''), CASE doc_id % 4 WHEN 0 THEN ' see arXiv:2301.12345v2 and doi 10.1000/xyz123' WHEN 1 THEN ' see https://example.org/a' WHEN 2 THEN ' see arXiv:99.1' ELSE '' END)"
     return f"WITH s AS (SELECT doc_id, {seed} AS t FROM documents) SELECT doc_id, {q.count('t', 'arXiv:[0-9]{4}[.][0-9]{4,5}')} AS arxiv, {q.count('t', 'arXiv:')} AS arxiv_claims, {q.count('t', '10[.][0-9]{4,9}/[A-Za-z0-9._;()/:-]+')} AS doi, {q.count('t', 'https?://[^ ]+')} AS urls FROM s"
 
-
-assert E

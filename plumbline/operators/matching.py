@@ -11,7 +11,6 @@ import re
 
 from plumbline.functions import lexicon as L
 from plumbline.functions.dialect import Spark
-from plumbline.operators.structure import base
 from plumbline.plans.catalog import operator
 
 SPAN = 9
@@ -147,5 +146,3 @@ def exempt_terms_stripped_seeded(q):
     x = q.sub("lower(t)", f"({E.EDGE})(?:{'|'.join(allowed)})({E.EDGE})", "$1$2")
     return f"{lean(q, seeded(q))} SELECT doc_id, length(t) - length({x}) AS removed, {q.sha256(x)} AS signal_sha256 FROM prep"
 
-
-assert base  # the structural module registers first

@@ -17,15 +17,15 @@ def load() -> None:
         importlib.import_module(f"plumbline.operators.{name}")
 
 
-def python_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from plumbline.plans import python_queries
+
     load()
-    return {name: op.run for name, op in OPERATORS.items()} | python_queries()
+    return {name: op.run for name, op in OPERATORS.items()} | python_queries.queries()
 
 
 def oracles() -> dict[str, str]:
+    from plumbline.plans import python_queries
+
     load()
-    return {name: op.oracle() for name, op in OPERATORS.items()}
+    return {name: op.oracle() for name, op in OPERATORS.items()} | python_queries.oracles()
