@@ -36,7 +36,7 @@ from plumbline.llm.workspace import Workspace
 
 CELL, BLOCK_ITEMS, OVERSAMPLE, MIN_WORDS = 24, 256, 16, 8
 COSINE, LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.35, 0.7, 0.55, 0.8
-STOP_SHARE = 0.005
+STOP_SHARE, STOP_LEAST = 0.005, 50
 SUM_RANGES = 48
 SLICE = 1 << 20
 U = np.uint64
@@ -51,8 +51,9 @@ def lowered(data: np.ndarray) -> np.ndarray:
     """Letters A to Z and the Latin-1 capitals in lower case, in place of one another's bytes."""
     out = T.LOWER[data]
     if len(out) > 1:
-        capital = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        out[1:][capital] += 32
+        at = np.flatnonzero(data[:-1] == 0xC3) + 1
+        second = data[at]
+        out[at[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]] += 32
     return out
 
 
@@ -230,7 +231,7 @@ class Block:
     def weigh(self, df: np.ndarray, n: int) -> None:
         """Inverse cell frequencies; frequent words get none, unless an item has nothing else."""
         idf = np.log((n + 1) / (df + 1)) + 1e-3
-        weight = np.where(df > STOP_SHARE * n, 0.0, idf) if n else idf
+        weight = np.where(df > max(STOP_LEAST, STOP_SHARE * n), 0.0, idf)
         for _, w, _ in self.items:
             f = self.vocabulary(w)
             if not weight[f].any():
@@ -383,6 +384,6 @@ def candidates(docs: DataFrame, benchmark: DataFrame, work: Workspace, id_col: s
 def verdicts(hits: DataFrame) -> DataFrame:
     """One row for each document that has candidates: contaminated, and its best item."""
     bad = (F.col("lcs_ratio") >= LCS_ALONE) | ((F.col("lcs_ratio") >= LCS_WITH_ANSWER) & (F.col("answer_share") >= ANSWER))
-    rank = F.struct(bad.alias("contaminated"), "lcs_ratio", "answer_share", (-F.col("item_id")).alias("minus_id"), "cosine")
+    rank = F.struct(bad.alias("contaminated"), "lcs_ratio", "answer_share", F.bitwise_not("item_id").alias("minus_id"), "cosine")
     best = hits.groupBy("id").agg(F.max(rank).alias("b"))
-    return best.select("id", "b.contaminated", (-F.col("b.minus_id")).alias("item_id"), "b.lcs_ratio", "b.answer_share", "b.cosine")
+    return best.select("id", "b.contaminated", F.bitwise_not("b.minus_id").alias("item_id"), "b.lcs_ratio", "b.answer_share", "b.cosine")

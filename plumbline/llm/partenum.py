@@ -7,10 +7,11 @@ linked pair has a part with at most one difference, and each choice of two sub-p
 a signature. Linked sets therefore share a signature, whatever they contain; equal sets share a
 signature of the whole set. Candidates are checked against the exact sets.
 
-Sets that share a signature aren't paired with each other: each is checked against the smallest id
-of the group. What the components from those links leave apart is then compared in blocks, unless sizes
-or counts of the shingles in 64 cells prove that two sets can't link; no pairs are written, only links that
-join components. So components are exact, and a large group of near copies costs a few checks a member.
+Sets that share a signature aren't paired with each other. Sizes and counts of the shingles in 256 cells
+prove of most that they can't link; what may link is joined into families, by pairs with the least id of a
+group and by pairs that join what these leave apart. Families are then compared by their exact sets in
+blocks; no pairs are written, only links that join components. So components are exact, and a large group of
+near copies costs a few checks a member.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are a component of
 their own. With fewer words than a shingle the whole sequence is the one shingle. A null id counts as
@@ -35,7 +36,7 @@ from plumbline.llm.workspace import Workspace
 
 U = np.uint64
 BLOCK_SIGNATURES = 400_000
-CELLS, BLOCK_MEMBERS = 64, 500
+CELLS, BLOCK_MEMBERS = 256, 500
 PACKED = "slot int, n long, h binary, d binary, w binary, k long, ka binary, kb binary"
 _PACKED = (["slot", "n", "h", "d", "w", "k", "ka", "kb"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
 GROUPS = "kind int, a long, b long"
@@ -164,8 +165,8 @@ def _emit(width: int, percent: int, slots: np.ndarray):
 
 
 def _group(table: pa.Table) -> pa.Table:
-    """Links of equal sets (kind 0), and members (kind 1: signature as a, id as b) of signatures
-    that several sets share."""
+    """Links of equal sets (kind 0), and members (kind 1: group as a, id as b) of the groups of sets that
+    share a signature."""
     h, d, w, ka, kb = [], [], [], [], []
     for r in table.to_pylist():
         if r["n"]:
@@ -187,21 +188,29 @@ def _group(table: pa.Table) -> pa.Table:
         many = np.bincount(group)[group] > 1
         equal = many & (w > 0) & (d != least)
         kind.append(np.zeros(int(equal.sum()), np.int32)), a.append(d[equal]), b.append(least[equal])
+        # A group is named by its members, so that signatures with the same members are one group.
         near = many & (w == 0)
-        kind.append(np.ones(int(near.sum()), np.int32)), a.append(h[near].view(np.int64)), b.append(d[near])
+        name = np.zeros(len(np.flatnonzero(new)), dtype=U)
+        np.add.at(name, group[near], T.mix(d[near].view(U) + U(0x632BE59BD9B4E019)))
+        pairs = np.unique(np.stack((T.mix(name)[group[near]].view(np.int64), d[near])), axis=1) if near.any() else np.zeros((2, 0), np.int64)
+        kind.append(np.ones(pairs.shape[1], np.int32)), a.append(pairs[0]), b.append(pairs[1])
     T.tidy()
     kind, a, b = np.concatenate(kind), np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *b])
     return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _sets(width: int):
+def _cells(width: int):
+    """(id, text) to (id, n, cells): size and counts of the shingles in CELLS ranges of their hash, up to
+    255. The difference of two sets' counts is at most the difference of the sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for i, j, data, offs in T.slices(batch.column("text")):
                 sets = shingle_sets(data, offs, j - i, width)
-                cells = [np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=CELLS), 65535).astype("<u2").tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cells, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "cells", "members"])
+                cells = [np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cells, pa.binary())], ["id", "n", "cells"])
+        T.tidy()
 
     return run
 
@@ -211,52 +220,96 @@ def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
 
 
-def _check(percent: int):
-    """(a, b, sa, sb) to the pairs whose sets are alike enough."""
+def may_link(n: np.ndarray, cells: np.ndarray, x: int, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of y that sizes and cells don't keep from a link with x, and how far apart their cells are."""
+    y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
+    apart = np.abs(cells[y].astype(np.int16) - cells[x].astype(np.int16)).sum(axis=1, dtype=np.int64)
+    good = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
+    return y[good], apart[good]
+
+
+def _near(percent: int):
+    """(a, b, na, nb, ca, cb) to the pairs that may link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [alike(np.frombuffer(x.as_buffer(), dtype=U), np.frombuffer(y.as_buffer(), dtype=U), percent) for x, y in zip(batch.column("sa"), batch.column("sb"))]
+            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("ca", "cb"))
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
+            apart = np.abs(ca - cb).sum(axis=1, dtype=np.int64)
+            good = ((100 + percent) * apart <= (100 - percent) * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
             keep = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
     return run
 
 
-def _merge(percent: int):
-    """One block of candidates: (id, label, n, cells, members, visiting) to links that join labels.
+def _place(slots: np.ndarray):
+    """(group, id, label, n, cells): adds the bucket of the group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = X.bucket_of(T.mix(batch.column("group").to_numpy(zero_copy_only=False).view(U)), len(slots))
+            yield pa.RecordBatch.from_arrays([pa.array(slots[place], pa.int32()), *batch.columns], ["slot", *batch.schema.names])
+
+    return run
+
+
+def _spanning(percent: int):
+    """For each group of several labels, pairs that may link and join labels: fewer than members."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("group", "ascending"), ("id", "ascending")])
+        group, ids, label, n = (table.column(c).to_numpy() for c in ("group", "id", "label", "n"))
+        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
+        cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+        found: set[tuple[int, int]] = set()
+        for i, j in zip(cut[:-1], cut[1:]):
+            root = np.unique(label[i:j], return_inverse=True)[1]
+            for x in range(i, j - 1):
+                y = x + 1 + np.flatnonzero(root[x + 1 - i :] != root[x - i])
+                y, _ = may_link(n, cells, x, y, percent)
+                for k in y:
+                    if root[k - i] != root[x - i]:
+                        found.add((int(ids[x]), int(ids[k])))
+                        root[root == root[k - i]] = root[x - i]
+        a, b = zip(*sorted(found)) if found else ((), ())
+        T.tidy()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _merge(width: int, percent: int):
+    """One block of a family: (id, label, text, straggler, visiting) to links that join labels.
 
-    Each member is held against those whose label is another, unless sizes or cells rule a link out; a
-    link joins the two labels, so the rest of both isn't compared any more and rows out are fewer than
-    labels in."""
+    Each straggler is held against those whose label is another, unless sizes or cells rule a link out; a
+    link joins the two labels, so the rest of both isn't compared any more and rows out are fewer than labels
+    in."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending")])
-        ids, label, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
-        visiting = np.array(table.column("visiting").to_pylist(), dtype=bool)
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype="<u2").reshape(-1, CELLS).astype(np.int32)
-        sets = [np.frombuffer(x, dtype=U) for x in table.column("members").to_pylist()]
+        ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
+        straggler, visiting = (np.array(table.column(c).to_pylist(), dtype=bool) for c in ("straggler", "visiting"))
+        sets = [s for i, j, data, offs in T.slices(table.column("text")) for s in shingle_sets(data, offs, j - i, width)]
+        n = np.array([len(s) for s in sets], dtype=np.int64)
+        cells = np.array([np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=CELLS), 255) for s in sets], dtype=np.uint8)
         root = np.unique(label, return_inverse=True)[1]
         found = []
-        for x in np.flatnonzero(np.array(table.column("straggler").to_pylist(), dtype=bool)):
+        for x in np.flatnonzero(straggler):
             y = np.flatnonzero((root != root[x]) & ~(visiting & visiting[x]))
-            y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
-            apart = np.abs(cells[y] - cells[x]).sum(axis=1)
-            y = y[(100 + percent) * apart <= (100 - percent) * (n[x] + n[y])]
-            for k in y[np.argsort(np.abs(cells[y] - cells[x]).sum(axis=1), kind="stable")]:
+            y, apart = may_link(n, cells, x, y, percent)
+            for k in y[np.argsort(apart, kind="stable")]:
                 if root[k] != root[x] and alike(sets[x], sets[k], percent):
                     found.append((int(ids[x]), int(ids[k])))
                     root[root == root[k]] = root[x]
         a, b = zip(*found) if found else ((), ())
+        T.tidy()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    left = sets.select(F.col("id").alias("b"), F.col("members").alias("sb"))
-    right = sets.select(F.col("id").alias("a"), F.col("members").alias("sa"))
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "sa", "sb").mapInArrow(_check(percent), "a long, b long")
+LINKS = "a long, b long"
 
 
 def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -269,40 +322,69 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     slots = X.even_slots(spark, items)
     groups = work.save(lambda: docs.mapInArrow(_emit(width, percent, slots), PACKED).groupBy("slot").applyInArrow(_group, GROUPS), "groups")
     equal = groups.where("kind = 0").select("a", "b")
-    members = groups.where("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("id"))
-    needed = members.select("id").distinct()
-    sets = work.save(lambda: docs.join(needed, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(_sets(width), "id long, n long, cells binary, members binary"), "sets")
-    least = members.groupBy("sig").agg(F.min("id").alias("b"))
-    tried = work.save(lambda: members.join(least, "sig").where("id != b").select(F.col("id").alias("a"), "b").distinct(), "tried")
-    links = work.save(lambda: _checked(tried, sets, percent).unionByName(equal).distinct(), "links")
-    comps = connected_components(links, work, "first")
-    return remaining(needed, sets, tried, links, comps, work, percent)
-
-
-def remaining(needed: DataFrame, sets: DataFrame, tried: DataFrame, links: DataFrame, comps: DataFrame, work: Workspace, percent: int) -> DataFrame:
-    """The components after the links between candidates that the first links leave apart.
-
-    Candidates are joined through any shared signature. Where such a union has several components, the
-    members outside its largest one, the stragglers, are held against all of it: the union is dealt into
-    blocks of about BLOCK_MEMBERS, and stragglers visit the blocks that aren't their own."""
-    unions = connected_components(tried, work, "unions").withColumnRenamed("component", "whole")
-    named = needed.join(unions, "id").join(comps, "id", "left").select("id", "whole", F.coalesce("component", "id").alias("label"))
-    named = work.save(named, "named")
-    tally = named.groupBy("whole", "label").agg(F.count("*").alias("n"))
-    tally = tally.groupBy("whole").agg(F.sum("n").alias("m"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
-    tally = tally.select("whole", F.col("top.label").alias("most"), F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    rows = named.join(tally, "whole").select("id", "whole", "label", "blocks", (F.col("label") != F.col("most")).alias("straggler"), F.pmod(F.hash("id"), F.col("blocks")).alias("own"))
-    rows = work.save(rows, "rows")
-    if rows.isEmpty():
+    members = work.save(lambda: groups.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("id")).distinct(), "members")
+    # Candidates: pairs with the least id of a group, and what such pairs leave apart in it.
+    cells = work.save(lambda: docs.mapInArrow(_cells(width), "id long, n long, cells binary").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "cells")
+
+    def near() -> DataFrame:
+        least = members.groupBy("group").agg(F.min("id").alias("b"))
+        tried = members.join(least, "group").where("id != b").select(F.col("id").alias("a"), "b").distinct()
+        one = cells.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
+        two = cells.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
+        return tried.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_near(percent), LINKS)
+
+    first = work.save(near, "near").unionByName(equal)
+    label = connected_components(first, work, "first")
+
+    def spanning() -> DataFrame:
+        named = members.join(label, "id", "left").select("group", "id", F.coalesce("component", "id").alias("label"))
+        open_ = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2").select("group")
+        rest = named.join(open_, "group", "left_semi").join(cells, "id").select("group", "id", "label", "n", "cells")
+        even = X.even_slots(spark, 1)
+        return rest.mapInArrow(_place(even), "slot int, group long, id long, label long, n long, cells binary").groupBy("slot").applyInArrow(_spanning(percent), LINKS)
+
+    more = work.save(spanning, "spanning")
+    unions = label if more.isEmpty() else connected_components(first.unionByName(more), work, "unions")
+    return verified(docs, unions, equal, work, width, percent)
+
+
+def verified(docs: DataFrame, unions: DataFrame, equal: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
+    """Components of true links. Families of candidates are dealt into blocks of about BLOCK_MEMBERS texts, and
+    every two members of a block are compared as far as needed. Of a family of several blocks, one member
+    of each label of a block is then compared in the same way, and at last the stragglers, all outside the
+    family's largest label, visit the blocks that aren't their own."""
+    same = connected_components(equal, work, "equal").withColumnRenamed("component", "label")
+    family = unions.withColumnRenamed("component", "whole").join(same, "id", "left").select("id", "whole", F.coalesce("label", "id").alias("label"))
+    family = family.where("id = label")  # equal sets are there once
+    sizes = family.groupBy("whole").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
+    family = work.save(lambda: family.join(sizes, "whole").select("id", "whole", "label", "blocks", F.pmod(F.hash("id"), F.col("blocks")).alias("block")), "family")
+    texts = work.save(lambda: docs.join(family.select("id"), "id").dropDuplicates(["id"]), "texts")
+
+    def compared(rows: DataFrame, name: str) -> DataFrame:
+        return work.save(lambda: rows.join(texts, "id").select("whole", "block", "id", "label", "straggler", "visiting", "text").groupBy("whole", "block").applyInArrow(_merge(width, percent), LINKS), name)
+
+    links = equal.unionByName(compared(family.select("id", "whole", "label", "block", F.lit(True).alias("straggler"), F.lit(False).alias("visiting")), "inside"))
+    comps = connected_components(links, work, "inner")
+    wide = family.where("blocks > 1").select("id", "whole", "blocks", "block")
+    if wide.isEmpty():
         return comps
-    stay = rows.select("id", "whole", "label", "straggler", F.col("own").alias("block"), F.lit(False).alias("visiting"))
-    trip = rows.where("straggler and blocks > 1").select("id", "whole", "label", "straggler", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block != own")
-    placed = stay.unionByName(trip.select("id", "whole", "label", "straggler", "block", F.lit(True).alias("visiting"))).join(sets, "id")
-    placed = placed.select("id", "whole", "block", "label", "straggler", "visiting", "n", "cells", "members")
-    more = work.save(lambda: placed.groupBy("whole", "block").applyInArrow(_merge(percent), "a long, b long"), "more")
-    if more.isEmpty():
+
+    def relabelled() -> DataFrame:
+        return wide.join(comps, "id", "left").select("id", "whole", "blocks", "block", F.coalesce("component", "id").alias("label"))
+
+    heads = work.save(lambda: relabelled().groupBy("whole", "block", "label").agg(F.min("id").alias("id")), "heads")
+    room = heads.groupBy("whole").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("rooms"))
+    heads = heads.join(room, "whole").select("id", "whole", "label", F.pmod(F.hash("id"), F.col("rooms")).alias("block"), F.lit(True).alias("straggler"), F.lit(False).alias("visiting"))
+    links = links.unionByName(compared(heads, "between"))
+    comps = connected_components(links, work, "outer")
+    tally = relabelled().groupBy("whole", "label").agg(F.count("*").alias("n")).groupBy("whole").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
+    rows = work.save(lambda: relabelled().join(tally, "whole").select("id", "whole", "label", "blocks", "block", (F.col("label") != F.col("top.label")).alias("straggler")), "open")
+    if rows.isEmpty():
         return comps
-    return connected_components(links.unionByName(more), work, "second")
+    stay = rows.select("id", "whole", "label", "block", "straggler", F.lit(False).alias("visiting"))
+    trip = rows.where("straggler").select("id", "whole", "label", "straggler", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block != own")
+    last = compared(stay.unionByName(trip.select("id", "whole", "label", "block", "straggler", F.lit(True).alias("visiting"))), "last")
+    return comps if last.isEmpty() else connected_components(links.unionByName(last), work, "final")
 
 
 def _sizes(width: int):

@@ -106,7 +106,8 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return np.zeros(0, U)
     up, down = powers(BASE_BYTE, len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum((data.astype(U) + U(1)) * up[: len(data)], out=total[1:])
+    np.multiply(data, up[: len(data)], out=total[1:])
+    np.cumsum(total[1:], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
