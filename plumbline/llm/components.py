@@ -17,7 +17,7 @@ def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFr
     than links, and both aggregates combine before their exchange.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b")
-    labels = work.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), f"{name}0")
+    labels = work.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), f"{name}0", small=True)
     n = 0
     while True:
         here = labels.select(F.col("id").alias("a"), F.col("component").alias("la"))
@@ -28,9 +28,9 @@ def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFr
         moved = labels.join(hooks, F.col("component") == F.col("root"), "left").join(own, "id", "left")
         moved = moved.select("id", F.least("component", F.coalesce("to", "component"), F.coalesce("near", "component")).alias("component"))
         n += 1
-        moved = work.save(moved, f"{name}{n}a")
+        moved = work.save(moved, f"{name}{n}a", small=True)
         up = moved.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = work.save(moved.join(up, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component")), f"{name}{n}")
+        new = work.save(moved.join(up, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component")), f"{name}{n}", small=True)
         same = new.join(labels.withColumnRenamed("component", "old"), "id").where("component != old").isEmpty()
         work.drop(f"{name}{n}a")
         labels = new

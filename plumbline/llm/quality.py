@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from plumbline.llm import textscan as T
 
 MAX_LABELLED = 4000
+#: Bytes of text at a time: features take about 70 bytes for each.
+SLICE = 256 << 10
 BITS, DIM, GRAMS = 17, 16, (2, 3, 4)
 U = np.uint64
 
@@ -112,7 +114,7 @@ def _score(weights: np.ndarray, bias: float, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for i, j, data, offs in T.slices(batch.column("text"), 2 << 20):
+            for i, j, data, offs in T.slices(batch.column("text"), SLICE):
                 d, f = features(data, offs, bits)
                 total = np.bincount(d, weights=weights[f], minlength=j - i)
                 count = np.bincount(d, minlength=j - i)
@@ -120,6 +122,7 @@ def _score(weights: np.ndarray, bias: float, bits: int):
                 out.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
             score = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(score, pa.float64())], ["row", "score"])
+        T.tidy()
 
     return run
 

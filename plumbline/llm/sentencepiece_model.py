@@ -234,6 +234,8 @@ def _run(data: bytes, workers: int, verify: bool, want_text: bool):
                     parity = np.array([not any(c in " " + whole[a:b].decode() for c in codec.differ) for a, b in zip(offs[:-1].tolist(), offs[1:].tolist())], dtype=bool)
                 decoded = pa.array([t.decode(errors="replace") for t in texts] if want_text else [None] * (j - i), pa.string())
                 yield pa.RecordBatch.from_arrays([row.slice(i, j - i), ids, decoded, pa.array(equal), pa.array(parity)], ["row", "ids", "decoded", "round_trip", "parity"])
+        del codec
+        T.tidy()
 
     return run
 

@@ -72,6 +72,8 @@ def _encode(model: bytes, end_id: int, workers: int):
                 n = j - i
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(row, row + n), pa.int64()), batch.column("doc_id").slice(i, n), pa.array(counts, pa.int64()), ids], ["part", "row", "doc_id", "n_tokens", "ids"])
                 row += n
+        del coder
+        T.tidy()
 
     return run
 

@@ -41,13 +41,15 @@ class Workspace:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def save(self, df: DataFrame | Callable[[], DataFrame], table: str) -> DataFrame:
+    def save(self, df: DataFrame | Callable[[], DataFrame], table: str, small: bool = False) -> DataFrame:
         """Writes df and reads it back: lost executors repeat tasks, never the lineage before. Given a
-        function that makes df, nothing holds on to the plan afterwards and its shuffle files can go."""
+        function that makes df, nothing holds on to the plan afterwards and its shuffle files can go; for small
+        tables that isn't worth a collection."""
         made = df() if callable(df) else df
         made.write.mode("overwrite").parquet(self.path(table))
         del made, df
-        self.release()
+        if not small:
+            self.release()
         return self.spark.read.parquet(self.path(table))
 
     def release(self) -> None:
