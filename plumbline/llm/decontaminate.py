@@ -38,7 +38,7 @@ CELL, BLOCK_ITEMS, OVERSAMPLE, MIN_WORDS = 24, 256, 16, 8
 COSINE, LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.35, 0.7, 0.55, 0.8
 STOP_SHARE, STOP_LEAST = 0.005, 50
 SUM_RANGES = 48
-SLICE = 1 << 20
+SLICE = 256 << 10
 U = np.uint64
 
 #: What isn't part of a word: all ASCII but letters and digits.
