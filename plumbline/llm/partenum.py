@@ -36,7 +36,7 @@ from plumbline.llm.workspace import Workspace
 
 U = np.uint64
 BLOCK_SIGNATURES = 400_000
-CELLS, BLOCK_MEMBERS = 256, 500
+CELLS, BLOCK_MEMBERS, OVERLAP_COLUMNS = 256, 500, 1024
 PACKED = "slot int, n long, h binary, d binary, w binary, k long, ka binary, kb binary"
 _PACKED = (["slot", "n", "h", "d", "w", "k", "ka", "kb"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
 GROUPS = "kind int, a long, b long"
@@ -279,29 +279,47 @@ def _spanning(percent: int):
     return run
 
 
-def _merge(width: int, percent: int):
-    """One block of a family: (id, label, text, straggler, visiting) to links that join labels.
+def overlaps(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of the sets marked in own with all sets: products of 0-1 matrices over
+    the values that several sets have, OVERLAP_COLUMNS values at a time."""
+    n = len(sets)
+    out = np.zeros((int(own.sum()), n), np.float32)
+    value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), [len(s) for s in sets])
+    shared = count > 1
+    kept = shared[column]
+    row, column = row[kept], (np.cumsum(shared) - 1)[column[kept]]
+    by = np.argsort(column, kind="stable")
+    row, column = row[by], column[by]
+    for c in range(0, int(shared.sum()), OVERLAP_COLUMNS):
+        i, j = np.searchsorted(column, [c, c + OVERLAP_COLUMNS])
+        part = np.zeros((n, OVERLAP_COLUMNS), np.float32)
+        part[row[i:j], column[i:j] - c] = 1
+        out += part[own] @ part.T
+    return out
 
-    Each straggler is held against those whose label is another, unless sizes or cells rule a link out; a
-    link joins the two labels, so the rest of both isn't compared any more and rows out are fewer than labels
-    in."""
+
+def _merge(width: int, percent: int):
+    """One block of a family: (id, label, text, straggler, visiting) to links that join labels: the sets of
+    the block are intersected with each other and with visiting ones. A link joins two labels, so rows out
+    are fewer than labels in."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending")])
         ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
-        straggler, visiting = (np.array(table.column(c).to_pylist(), dtype=bool) for c in ("straggler", "visiting"))
+        own = ~np.array(table.column("visiting").to_pylist(), dtype=bool)
         sets = [s for i, j, data, offs in T.slices(table.column("text")) for s in shingle_sets(data, offs, j - i, width)]
-        n = np.array([len(s) for s in sets], dtype=np.int64)
-        cells = np.array([np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=CELLS), 255) for s in sets], dtype=np.uint8)
-        root = np.unique(label, return_inverse=True)[1]
+        n = np.array([len(s) for s in sets], dtype=np.float32)
         found = []
-        for x in np.flatnonzero(straggler):
-            y = np.flatnonzero((root != root[x]) & ~(visiting & visiting[x]))
-            y, apart = may_link(n, cells, x, y, percent)
-            for k in y[np.argsort(apart, kind="stable")]:
-                if root[k] != root[x] and alike(sets[x], sets[k], percent):
-                    found.append((int(ids[x]), int(ids[k])))
-                    root[root == root[k]] = root[x]
+        if own.any() and n.any():
+            both = overlaps(sets, own)
+            root = np.unique(label, return_inverse=True)[1]
+            for x, shared in zip(np.flatnonzero(own), both):
+                alike_ = (shared > 0) & (100 * shared >= percent * (n[x] + n - shared))
+                for k in np.flatnonzero(alike_ & (root != root[x])):
+                    if root[k] != root[x]:
+                        found.append((int(ids[x]), int(ids[k])))
+                        root[root == root[k]] = root[x]
         a, b = zip(*found) if found else ((), ())
         T.tidy()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
