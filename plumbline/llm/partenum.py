@@ -16,7 +16,7 @@ near copies costs a few checks a member.
 Defined cases: null or blank texts have an empty set, link with nothing and are a component of
 their own. With fewer words than a shingle the whole sequence is the one shingle. A null id counts as
 the smallest id. Rows that share an id are one node; its set is the one of any of them that is
-checked. Texts of any length are read whole; other columns play no part.
+checked. keep_one takes rows of one id with different texts for different nodes. Texts of any length are read whole; other columns play no part.
 """
 
 from __future__ import annotations
@@ -424,13 +424,18 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80, id_co
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay when of each component the document with the smallest id does;
-    of rows that share an id, one stays."""
-    comps = components(docs, width, percent, id_col, text_col)
-    gone = comps.where("id != component").select(F.col("id").alias("__gone"))
-    kept = docs.join(gone, id_of(id_col) == F.col("__gone"), "left_anti")
-    twice = docs.groupBy(id_of(id_col).alias("__twice")).count().where("count > 1").select("__twice")
-    if twice.isEmpty():
-        return kept
-    several = kept.join(twice, id_of(id_col) == F.col("__twice"), "left_semi").dropDuplicates([id_col])
-    return kept.join(twice, id_of(id_col) == F.col("__twice"), "left_anti").unionByName(several)
+    """The rows of docs that stay when of each component the document with the smallest id does. Rows that
+    share an id, null ids too, are documents of their own unless their texts are equal: then one stays. Blank
+    texts resemble nothing, so all their rows stay."""
+    shared = docs.groupBy(id_of(id_col)).count().where("count > 1")
+    if shared.isEmpty():
+        gone = components(docs, width, percent, id_col, text_col).where("id != component").select(F.col("id").alias("__gone"))
+        return docs.join(gone, id_of(id_col) == F.col("__gone"), "left_anti")
+    text = F.col(text_col).cast("string")
+    nodes = docs.withColumn("__node", F.xxhash64(id_of(id_col), text))
+    named = nodes.select("__node", id_of(id_col).alias("__id")).join(components(nodes, width, percent, "__node", text_col), F.col("__node") == F.col("id"))
+    least = named.groupBy("component").agg(F.min(F.struct("__id", "__node"))["__node"].alias("__stays"))
+    gone = named.join(least, "component").where("__node != __stays").select(F.col("__node").alias("__gone")).distinct()
+    kept = nodes.join(gone, F.col("__node") == F.col("__gone"), "left_anti")
+    blank = ~F.coalesce(text, F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return kept.where(~blank).dropDuplicates(["__node"]).unionByName(kept.where(blank)).drop("__node")

@@ -83,3 +83,10 @@ def test_no_cross_join(spark):
     texts = {k: " ".join(words(0, 50) + [str(k)]) for k in range(30)}
     rows = partenum.jaccard_components(docs(spark, texts)).collect()
     assert {r.component_id for r in rows} == {0}
+
+
+def test_rows_that_share_an_id_go_by_their_texts(spark):
+    one, two, three, four = (" ".join(words(("shared", k), 40)) for k in range(4))
+    rows = [(None, one), (None, two), (None, two), (None, None), (None, ""), (5, two + " more"), (6, three), (7, three), (7, four), (8, four)]
+    kept = partenum.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(None, one), (None, two), (None, None), (None, ""), (6, three), (7, four)]))
