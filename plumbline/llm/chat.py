@@ -9,7 +9,8 @@ Template, for each turn: `<s>` role `\\n` text `</s>`. A control string in a tex
 `[/INST]`, `<<SYS>>`, `<</SYS>>`) gets a backslash after its first character, one more than it had, which
 unescaping takes off again. In a role, backslash and newline are written `\\\\` and `\\n`, and `<` as `\\l`.
 
-Defined cases: null text or role is empty. A message whose parent doesn't exist is a root, and so is
+Defined cases: null text or role is empty. A null conversation is one of its own, and a null message id is an
+id like others, but nothing can reply to it, as a null parent is none. A message whose parent doesn't exist is a root, and so is
 each message on a loop of replies. Messages that share (conversation, id) are told apart by nothing and count once, as do
 rows that are equal in all columns read; rows of a turn table that share a turn follow each other by role
 and text. A null score counts as 0. Ties of score go to the smaller leaf id. Other columns play no part.
@@ -44,6 +45,13 @@ def unescape_role(role: Column) -> Column:
     return F.replace(F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\\l"), F.lit("<")), F.lit("\x00"), F.lit("\\"))
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, keys, how) where null equals null."""
+    named = right.select(*[F.col(c).alias(f"__{c}" if c in keys else c) for c in right.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in keys]
+    return left.join(named, same, how).drop(*[f"__{c}" for c in keys])
+
+
 def turns_to_messages(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as chains: each row replies to the row before it."""
     rank = F.row_number().over(W.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
@@ -57,42 +65,42 @@ def paths(messages: DataFrame, work: Workspace) -> DataFrame:
     the leaf. Each round joins the paths with the pointers of the round, which reach twice as far."""
     keys = messages.groupBy("conv_id", "msg").agg(F.first("parent").alias("parent"))
     there = keys.select("conv_id", F.col("msg").alias("parent"), F.lit(True).alias("known"))
-    tree = keys.join(there, ["conv_id", "parent"], "left").select("conv_id", "msg", F.when(F.col("known") & (F.col("parent") != F.col("msg")), F.col("parent")).alias("parent"))
+    tree = joined(keys, there, ["conv_id", "parent"], "left").select("conv_id", "msg", F.when(F.col("known") & ~F.col("parent").eqNullSafe(F.col("msg")), F.col("parent")).alias("parent"))
     tree = work.save(tree, "tree")
     used = tree.where("parent is not null").select("conv_id", F.col("parent").alias("msg")).distinct()
     reach = tree.where("parent is not null").select("conv_id", "msg", F.col("parent").alias("to"))
-    found = tree.join(used, ["conv_id", "msg"], "left_anti").select("conv_id", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("up"))
+    found = joined(tree, used, ["conv_id", "msg"], "left_anti").select("conv_id", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("up"))
     longest = tree.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     step, n = 1, 0
     while True:
-        further = found.join(reach, ["conv_id", "msg"]).select("conv_id", "leaf", F.col("to").alias("msg"), (F.col("up") + step).alias("up"))
+        further = joined(found, reach, ["conv_id", "msg"]).select("conv_id", "leaf", F.col("to").alias("msg"), (F.col("up") + step).alias("up"))
         found = work.save(found.unionByName(further), f"paths{n}")
         second = reach.select("conv_id", F.col("msg").alias("to"), F.col("to").alias("over"))
-        reach = work.save(reach.join(second, ["conv_id", "to"]).select("conv_id", "msg", F.col("over").alias("to")), f"reach{n}")
+        reach = work.save(joined(reach, second, ["conv_id", "to"]).select("conv_id", "msg", F.col("over").alias("to")), f"reach{n}")
         step, n = step * 2, n + 1
         if reach.isEmpty():
             return found
         if step > longest:  # no path is so long: what still points somewhere points into a loop
             loop = reach.select("conv_id", F.col("to").alias("msg")).distinct().withColumn("loop", F.lit(True))
-            cut = messages.join(loop, ["conv_id", "msg"], "left")
+            cut = joined(messages, loop, ["conv_id", "msg"], "left")
             return paths(cut.withColumn("parent", F.when(F.col("loop").isNull(), F.col("parent"))).drop("loop"), Workspace(messages.sparkSession, "loops"))
 
 
 def best_paths(messages: DataFrame, work: Workspace, keep: int | None = 1) -> DataFrame:
     """(conv_id, leaf, rank, msg, turn) of the `keep` best branches by mean score (None: all)."""
     found = paths(messages, work)
-    scored = found.join(messages.select("conv_id", "msg", F.coalesce("score", F.lit(0.0)).alias("score")), ["conv_id", "msg"])
+    scored = joined(found, messages.select("conv_id", "msg", F.coalesce("score", F.lit(0.0)).alias("score")), ["conv_id", "msg"])
     branch = scored.groupBy("conv_id", "leaf").agg(F.avg("score").alias("mean"), F.max("up").alias("depth"))
     branch = branch.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("mean"), "leaf")))
     if keep is not None:
         branch = branch.where(F.col("rank") <= keep)
-    return found.join(branch, ["conv_id", "leaf"]).select("conv_id", "leaf", "rank", "msg", (F.col("depth") - F.col("up")).alias("turn"))
+    return joined(found, branch, ["conv_id", "leaf"]).select("conv_id", "leaf", "rank", "msg", (F.col("depth") - F.col("up")).alias("turn"))
 
 
 def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
     """(conv_id, leaf, rank, formatted, mask): mask lists (start, length) in code points, from 0, of
     the assistant texts as they stand in formatted."""
-    rows = chosen.join(messages.select("conv_id", "msg", "role", "text"), ["conv_id", "msg"])
+    rows = joined(chosen, messages.select("conv_id", "msg", "role", "text"), ["conv_id", "msg"])
     rows = rows.select("conv_id", "leaf", "rank", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), escape_role(F.coalesce("role", F.lit(""))).alias("r"), escape(F.coalesce("text", F.lit(""))).alias("t")).alias("x"))
     rows = rows.groupBy("conv_id", "leaf", "rank").agg(F.sort_array(F.collect_list("x")).alias("x"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("mask"))

@@ -58,3 +58,14 @@ def test_turn_tables(spark):
     none = chat.turns_to_messages(turns.limit(0))
     assert chat.format_paths(none, chat.best_paths(none, Workspace(spark, "t"))).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_null_conversations_and_messages(spark):
+    rows = [(None, 1, None, "user", "q", 0.0), (None, None, 1, "assistant", "a", 0.5), (None, 2, 1, "assistant", "b", 0.1), (4, None, None, "user", "alone", 0.0)]
+    got = formatted(spark, rows, None)
+    assert [t.text for t in got[None, 1].turns] == ["q", "a"] and [t.text for t in got[None, 2].turns] == ["q", "b"]
+    assert [t.text for t in got[4, 1].turns] == ["alone"]
+    turns = spark.createDataFrame([(None, 0, "user", "a"), (None, 1, "assistant", "b"), (1, 0, "user", "c")], "conv_id long, turn long, role string, text string")
+    messages = chat.turns_to_messages(turns)
+    out = chat.format_paths(messages, chat.best_paths(messages, Workspace(spark, "t"))).collect()
+    assert {r.conv_id: r.formatted for r in out} == {None: "<s>user\na</s><s>assistant\nb</s>", 1: "<s>user\nc</s>"}
