@@ -7,6 +7,9 @@ and the Nystroem step on the driver turns the sum (features by rank) into singul
 passages are rows of the same matrix, weighted so that the space holds them next to the corpus.
 
 Every passage of every document is then compared with every benchmark passage by cosine in that space.
+A cosine misses short items among other words, and items of frequent words. So a passage is a candidate, too,
+when the words around it could hold an item's common subsequence: of the item's words, rarest first, all but
+those that may be missing are looked up, and SURE of them must be there. This bound loses nothing.
 Candidates are checked on whole word sequences: the longest common subsequence of the item and the
 words around the passage, and whether the item's answer (its last sentence) stands there too.
 
@@ -21,6 +24,7 @@ no finding. Texts are read whole; other columns play no part.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -37,6 +41,7 @@ from plumbline.llm.workspace import Workspace
 CELL, BLOCK_ITEMS, OVERSAMPLE, MIN_WORDS = 24, 256, 16, 8
 COSINE, LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.35, 0.7, 0.55, 0.8
 STOP_SHARE, STOP_LEAST = 0.005, 50
+SURE = 6
 SUM_RANGES = 48
 SLICE = 256 << 10
 U = np.uint64
@@ -237,8 +242,63 @@ class Block:
             if not weight[f].any():
                 weight[f] = idf[f]
         self.weight = weight
+        self.post(df)
         self.other = float(np.median(weight[weight > 0]))
 
+    def post(self, df: np.ndarray) -> None:
+        """Postings of each item's rarest words: a passage with `least` words of the item in order has `sure` of
+        the len(w) - least + sure rarest around it, wherever the others are."""
+        feature, item, self.sure = [], [], np.zeros(len(self.items), dtype=np.int64)
+        for k, (_, w, _) in enumerate(self.items):
+            least = math.ceil(LCS_WITH_ANSWER * len(w) - 1e-9) if len(w) >= MIN_WORDS else len(w)
+            self.sure[k] = min(SURE, least)
+            f = self.vocabulary(w)
+            rare = f[np.argsort(df[f], kind="stable")][: len(w) - least + self.sure[k]]
+            some, n = np.unique(rare, return_counts=True)
+            feature.append(np.repeat(some, n))
+            item.append(np.full(len(rare), k))
+        feature, item = np.concatenate(feature), np.concatenate(item)
+        self.time_of, self.times = np.unique(item * len(self.vocabulary.hashes) + feature, return_counts=True)
+        by = np.argsort(feature, kind="stable")
+        self.posted = item[by]
+        self.post_at = np.append(0, np.cumsum(np.bincount(feature, minlength=len(self.vocabulary.hashes))))
+        self.length = np.array([len(w) for _, w, _ in self.items])
+
+    def possible(self, feature: np.ndarray, cell: np.ndarray, first: np.ndarray, there: np.ndarray, head: np.ndarray) -> np.ndarray:
+        """Keys passage * items + item of all passages of a slice that could hold an item."""
+        many = np.where(feature >= 0, np.diff(self.post_at)[feature], 0)
+        at = np.flatnonzero(many)
+        n = many[at]
+        item = self.posted[np.repeat(self.post_at[feature[at]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
+        at = np.repeat(at, n)
+        # Only words that have enough others of the item within reach of one passage.
+        order = np.argsort(item * len(feature) + at, kind="stable")
+        item, at = item[order], at[order]
+        keep = np.zeros(len(at) + 1, dtype=np.int64)
+        for sure in range(1, SURE + 1):
+            i = np.flatnonzero(self.sure[item[: len(item) - sure + 1]] == sure)
+            i = i[(item[i + sure - 1] == item[i]) & (at[i + sure - 1] - at[i] < 2 * CELL + 2 * self.length[item[i]])]
+            np.add.at(keep, i, 1)
+            np.add.at(keep, i + sure, -1)
+        kept = np.cumsum(keep[:-1]) > 0
+        item, at = item[kept], at[kept]
+        d = np.searchsorted(first, cell[at], side="right") - 1
+        place = at - head[d]
+        # Passages that have the word in reach: from CELL * p - length to CELL * (p + 2) + length.
+        low = np.maximum(0, (place - self.length[item]) // CELL - 1)
+        high = np.minimum(first[d + 1] - first[d] - 1, (place + self.length[item]) // CELL)
+        keys, size = [np.zeros(0, np.int64)], len(self.vocabulary.hashes)
+        for step in range(int((high - low).max(initial=-1)) + 1):
+            on = low + step <= high
+            passage = first[d[on]] + low[on] + step
+            keys.append((passage * len(self.items) + item[on]) * size + feature[at[on]])
+        # A word counts once for each time that the item's rarest words have it.
+        each = np.unique(np.concatenate(keys))
+        key, inverse = np.unique(each // size, return_inverse=True)
+        times = self.times[np.searchsorted(self.time_of, key[inverse] % len(self.items) * size + each % size)]
+        key = key[np.bincount(inverse, weights=times, minlength=len(key)) >= self.sure[key % len(self.items)]]
+        return key[there[key // len(self.items)]]
+
     def embed(self, gathered: np.ndarray, n: int) -> None:
         """Nystroem: directions of A'A from A'A omega."""
         rank = gathered.shape[1]
@@ -290,19 +350,25 @@ def _search(block: Block):
                 if not len(words):
                     continue
                 cell, first = cells_of(doc, j - i)
-                rows = Rows(cell, known(words), first, block.weight, block.other)
+                feature = known(words)
+                rows = Rows(cell, feature, first, block.weight, block.other)
+                head = T.doc_starts(doc, j - i)
+                possible = block.possible(feature, cell, first, rows.there, head)
                 # A passage's cosine is at most the share of its norm that the features have.
-                near = np.flatnonzero(rows.share >= COSINE**2)
+                marked = rows.share >= COSINE**2
+                marked[possible // len(block.items)] = True
+                near = np.flatnonzero(marked)
                 if not len(near):
                     continue
-                head = T.doc_starts(doc, j - i)
                 best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                marked = np.zeros(rows.n, dtype=bool)
-                marked[near] = True
                 placed = rows.times(block.space, marked)[near]
                 for at in range(0, len(near), 2000):
                     cosine = placed[at : at + 2000] @ block.placed.T
-                    for row, k in zip(*np.nonzero(cosine >= COSINE)):
+                    close = cosine >= COSINE
+                    some = possible[slice(*np.searchsorted(possible, np.array([near[at], near[min(at + 2000, len(near)) - 1] + 1]) * len(block.items)))]
+                    maybe = np.zeros_like(close)
+                    maybe[np.searchsorted(near, some // len(block.items)) - at, some % len(block.items)] = True
+                    for row, k in zip(*np.nonzero(close | maybe)):
                         c = int(near[at + row])
                         d = int(np.searchsorted(first, c, side="right")) - 1
                         item, w, answer = block.items[k]
@@ -311,10 +377,14 @@ def _search(block: Block):
                         start = head[d] + (c - first[d]) * CELL
                         low, high = max(head[d], start - len(w)), min(head[d + 1], start + 2 * CELL + len(w))
                         region = words[low:high].tolist()
+                        here = set(region)
+                        if not close[row, k] and sum(x in here for x in w.tolist()) < LCS_WITH_ANSWER * len(w) - 1e-9:
+                            continue
                         ratio = lcs(masks[k], len(w), region) / len(w)
                         if len(w) < MIN_WORDS:
                             ratio = float(any(region[x : x + len(w)] == w.tolist() for x in range(len(region))))
-                        here = set(region)
+                        if not close[row, k] and ratio < LCS_WITH_ANSWER:
+                            continue
                         share_answer = sum(x in here for x in answer.tolist()) / len(answer) if len(answer) else 0.0
                         found = (ratio, share_answer, float(cosine[row, k]))
                         best[d, item] = max(best.get((d, item), found), found)

@@ -76,3 +76,37 @@ def test_retrieval_recall_against_full_cosine(spark):
     texts = {k: " ".join(words(("d", k), 60, 5000) + [x for x in items[k % 30].split() if rng.random() < 0.8]) for k in range(90)}
     got = found(spark, texts, items)
     assert sum(k in got and got[k].item_id == k % 30 for k in texts) >= 0.9 * len(texts)
+
+
+def by_brute_force(texts, items):
+    """Documents and items whose LCS around any passage is that of a contaminated one, without a search before."""
+    out = set()
+    for k, item in items.items():
+        w = D.text_words(item).tolist()
+        masks = {}
+        for i, x in enumerate(w):
+            masks[x] = masks.get(x, 0) | 1 << i
+        for d, text in texts.items():
+            t = D.text_words(text).tolist()
+            starts = range(0, max(1, len(t) - D.CELL), D.CELL)
+            if any(D.lcs(masks, len(w), t[max(0, s - len(w)) : s + 2 * D.CELL + len(w)]) >= D.LCS_ALONE * len(w) for s in starts):
+                out.add(d)
+    return out
+
+
+def test_recall_of_short_and_frequent_items_against_brute_force(spark):
+    rng = random.Random(8)
+    usual = [f"usual{k}" for k in range(40)]  # in most passages: no weight
+    mixed = lambda seed, n: [x if rng.random() < 0.6 else rng.choice(usual) for x in words(seed, n, 3000)]
+    items = {k: " ".join(mixed(("short", k), 10 + k % 10)) for k in range(30)}
+    texts = {1000 + k: " ".join(mixed(("plain", k), 240)) for k in range(60)}
+    for k, item in items.items():
+        for n in range(3):
+            w = item.split()
+            for i in rng.sample(range(len(w)), len(w) * 3 // 10):
+                w[i] = f"other{rng.random()}"
+            around = mixed((k, n), 200)
+            texts[10 * k + n] = " ".join(around[:90] + w + around[90:])
+    want = by_brute_force(texts, items)
+    bad = {k for k, r in found(spark, texts, items).items() if r.contaminated}
+    assert len(want) >= 90 and want <= bad
