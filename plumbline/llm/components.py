@@ -7,6 +7,19 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.workspace import Workspace
 
+#: Labels that move in a round are broadcast up to this number of rows (16 bytes each), and joined beyond it over
+#: SALTS copies, so that no label's members lie in one task.
+BROADCAST_ROWS, SALTS = 100_000, 16
+
+
+def spread(table: DataFrame, key: str, moves: DataFrame, to: str) -> DataFrame:
+    """table with the column `to` of moves (root, to) where key is root; key may be one value in most rows."""
+    if moves.count() <= BROADCAST_ROWS:
+        return table.join(F.broadcast(moves), F.col(key) == F.col("root"), "left").drop("root")
+    salted = table.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    copies = moves.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+    return salted.join(copies, (F.col(key) == F.col("root")) & (F.col("salt") == F.col("copy")), "left").drop("root", "salt", "copy")
+
 
 def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(id, component) for every id in links (a, b): the smallest id of its component.
@@ -14,25 +27,24 @@ def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFr
     Each round takes the least label among the neighbours of the ids that carry a label, gives it
     to that label, and lets every id jump to the label of its label; rounds are few, as distances
     to the root shrink by half. The links themselves are never rewritten, so a node has no more rows
-    than links, and both aggregates combine before their exchange.
+    than links, and all aggregates combine before their exchange. Only labels that moved are joined by
+    component; links to one id of very many are split by adaptive execution's skew join.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b")
-    labels = work.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), f"{name}0", small=True)
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
+    both = work.save(both, f"{name}-links", small=True)
+    labels = work.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), f"{name}-0", small=True)
     n = 0
     while True:
-        here = labels.select(F.col("id").alias("a"), F.col("component").alias("la"))
-        there = labels.select(F.col("id").alias("b"), F.col("component").alias("lb"))
-        across = both.join(there, "b").join(here, "a").where("lb < la")
-        hooks = across.groupBy(F.col("la").alias("root")).agg(F.min("lb").alias("to"))
-        own = across.groupBy(F.col("a").alias("id")).agg(F.min("lb").alias("near"))
-        moved = labels.join(hooks, F.col("component") == F.col("root"), "left").join(own, "id", "left")
-        moved = moved.select("id", F.least("component", F.coalesce("to", "component"), F.coalesce("near", "component")).alias("component"))
         n += 1
-        moved = work.save(moved, f"{name}{n}a", small=True)
-        up = moved.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = work.save(moved.join(up, "component", "left").select("id", F.least("component", F.coalesce("up", "component")).alias("component")), f"{name}{n}", small=True)
-        same = new.join(labels.withColumnRenamed("component", "old"), "id").where("component != old").isEmpty()
-        work.drop(f"{name}{n}a")
-        labels = new
-        if same:
+        there = labels.select(F.col("id").alias("b"), F.col("component").alias("lb"))
+        least = both.join(there, "b").groupBy(F.col("a").alias("id")).agg(F.min("lb").alias("near"))
+        seen = work.save(labels.join(least, "id").select("id", "component", "near"), f"{name}-{n}-near", small=True)
+        hooks = work.save(seen.where("near < component").groupBy(F.col("component").alias("root")).agg(F.min("near").alias("to")), f"{name}-{n}-hooks", small=True)
+        if hooks.isEmpty():
             return labels
+        moved = spread(seen, "component", hooks, "to").select("id", F.least("component", F.coalesce("to", "component"), "near").alias("component"))
+        moved = work.save(moved, f"{name}-{n}-moved", small=True)
+        roots = moved.where("id != component").select(F.col("id").alias("root"), F.col("component").alias("to"))
+        used = moved.where("id != component").select(F.col("component").alias("root")).distinct()
+        roots = work.save(roots.join(used, "root", "left_semi"), f"{name}-{n}-roots", small=True)
+        labels = work.save(spread(moved, "component", roots, "to").select("id", F.coalesce("to", "component").alias("component")), f"{name}-{n}", small=True)

@@ -5,23 +5,26 @@ each other. For the sets of a band instance a link means a Hamming distance of a
 domain of shingle hashes is cut into n1 parts of three sub-parts each, with n1 chosen so that a
 linked pair has a part with at most one difference, and each choice of two sub-parts out of three is
 a signature. Linked sets therefore share a signature, whatever they contain; equal sets share a
-signature of the whole set. Candidates are checked against the exact sets.
+signature of the whole set, of 128 bits. Candidates are checked against the exact sets.
 
-Sets that share a signature aren't paired with each other. Sizes and counts of the shingles in 256 cells
-prove of most that they can't link; what may link is joined into families, by pairs with the least id of a
-group and by pairs that join what these leave apart. Families are then compared by their exact sets in
-blocks; no pairs are written, only links that join components. So components are exact, and a large group of
-near copies costs a few checks a member.
+Sets that share a signature aren't paired with each other. Each has a sketch, the parities of its shingles in
+cells of their hash; the cells in which two sketches differ are at most the sets' distance, so sizes and
+sketches prove of nearly all members of a group that they can't link. What may link in a group is written as
+a forest, fewer pairs than members, and the pairs of the forests are checked by the exact sets. Where all of
+them link, the components are complete. Families in which some pair doesn't link (sets just below the
+threshold) are compared by their exact sets as far as labels differ. Groups and families are worked on in
+blocks of bounded size; only what stays outside the largest label of a group visits its other blocks.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are a component of
 their own. With fewer words than a shingle the whole sequence is the one shingle. A null id counts as
-the smallest id. Rows that share an id are one node; its set is the one of any of them that is
-checked. keep_one takes rows of one id with different texts for different nodes. Texts of any length are read whole; other columns play no part.
+the smallest id. Rows that share an id are one node: the row whose set comes first (by its 128-bit hash)
+stands for it. keep_one takes rows of one id with different texts for different nodes. Texts of any length are
+read whole; other columns play no part; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,14 @@ from plumbline.llm.workspace import Workspace
 
 U = np.uint64
 BLOCK_SIGNATURES = 400_000
-CELLS, BLOCK_MEMBERS, OVERLAP_COLUMNS = 256, 500, 1024
+#: Members of a block of a group, and shingles of a block of a family.
+BLOCK_MEMBERS, BLOCK_SHINGLES, OVERLAP_COLUMNS = 512, 1 << 18, 1024
+#: Cells of a sketch: about two for each shingle, between these powers of two.
+LEAST_BITS, MOST_BITS = 8, 13
+#: Pairs of sketches compared at a time, and the size from which a group is compared row by row.
+PAIRS, SMALL_GROUP = 50_000, 16
+#: Ids that may be broadcast, 8 bytes each, and 8-byte words of sketches or sets that a task takes at a time.
+BROADCAST_IDS, BUCKET_WORDS = 500_000, 250_000
 PACKED = "slot int, n long, h binary, d binary, w binary, k long, ka binary, kb binary"
 _PACKED = (["slot", "n", "h", "d", "w", "k", "ka", "kb"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
 GROUPS = "kind int, a long, b long"
@@ -93,12 +103,12 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, rows: int, width: int) -> l
     return sets
 
 
-def signatures(s: np.ndarray, plan: Plan) -> tuple[int, np.ndarray]:
-    """The whole-set signature and the PartEnum signatures of a non-empty set."""
+def signatures(s: np.ndarray, plan: Plan) -> tuple[tuple[int, int], np.ndarray]:
+    """The two whole-set signatures and the PartEnum signatures of a non-empty set."""
     value = T.mix(s ^ U(0x5851F42D4C957F2D))
     total = np.zeros(len(s) + 1, dtype=U)
     np.cumsum(value, out=total[1:])
-    whole = T.mix(np.array([total[-1] + U(len(s))], dtype=U))[0]
+    whole = T.mix(np.array([total[-1] + U(len(s)), T.mix(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U)], dtype=U))
     out = []
     for instance, n1 in plan.instances(len(s)):
         parts = 3 * n1
@@ -109,29 +119,33 @@ def signatures(s: np.ndarray, plan: Plan) -> tuple[int, np.ndarray]:
         for skip in range(3):
             a, b = (x for x in range(3) if x != skip)
             out.append(T.mix(sums[:, a] * U(3) + sums[:, b] * U(5) + tag + U(skip)))
-    return int(whole), np.concatenate(out) if out else np.zeros(0, U)
+    return (int(whole[0]), int(whole[1])), np.concatenate(out) if out else np.zeros(0, U)
 
 
 def _emit(width: int, percent: int, slots: np.ndarray):
-    """(id, text) to packed (signature, id, is whole-set); equal sets of a block send one id."""
+    """(id, text) to packed (signature, id), and for whole sets their second hash; equal sets of a block send
+    one id, and the links of the others to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         plan, turn = Plan(percent), TaskContext.get().partitionId() * 7919
-        seen: dict[int, int] = {}
-        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        seen: dict[tuple[int, int], int] = {}
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
         known: list[tuple[int, int]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
-            h, d, w = (np.concatenate(x) for x in zip(*parts))
-            order = np.argsort(h, kind="stable")
-            h, d, w = h[order], d[order], w[order]
+            h, d = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((d, h))
+            h, d = h[order], d[order]
             fresh = np.ones(len(h), dtype=bool)
             fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-            h, d, w = h[fresh], d[fresh], w[fresh]
-            rows = [(*x, 0, b"", b"") for x in X.pack_sorted(h, d, [w], slots)]
+            rows = [(*x, b"", 0, b"", b"") for x in X.pack_sorted(h[fresh], d[fresh], [], slots)]
+            one, two = (np.array(x, dtype=U) for x in zip(*seen))
+            ids = np.array(list(seen.values()), dtype=np.int64)
+            order = np.argsort(one, kind="stable")
+            rows += [(*x, 0, b"", b"") for x in X.pack_sorted(one[order], ids[order], [two[order]], slots)]
             if known:
                 a, b = (np.array(x, dtype=np.int64) for x in zip(*known))
                 rows.append((int(slots[turn % len(slots)]), 0, b"", b"", b"", len(a), X.framed(a), X.framed(b)))
@@ -148,16 +162,13 @@ def _emit(width: int, percent: int, slots: np.ndarray):
                     if rep != doc:
                         known.append((int(doc), rep))
                         continue
-                    h = np.append(more, U(whole))
-                    w = np.zeros(len(h), dtype=U)
-                    w[-1] = 1
-                    parts.append((h, np.full(len(h), doc, dtype=np.int64), w))
-                    held += len(h)
+                    parts.append((more, np.full(len(more), doc, dtype=np.int64)))
+                    held += len(more) + 1
                 if held >= BLOCK_SIGNATURES or len(known) >= BLOCK_SIGNATURES:
                     yield flush()
                     parts, known, seen, held, turn = [], [], {}, 0, turn + 1
                     T.tidy()
-        if parts:
+        if seen:
             yield flush()
         T.tidy()
 
@@ -167,30 +178,36 @@ def _emit(width: int, percent: int, slots: np.ndarray):
 def _group(table: pa.Table) -> pa.Table:
     """Links of equal sets (kind 0), and members (kind 1: group as a, id as b) of the groups of sets that
     share a signature."""
-    h, d, w, ka, kb = [], [], [], [], []
+    h, d, eh, ed, ew, ka, kb = [], [], [], [], [], [], []
     for r in table.to_pylist():
-        if r["n"]:
-            x, y, z = X.unpack(r["n"], r["h"], r["d"], [r["w"]])
-            h.append(x), d.append(y), w.append(z)
         if r["k"]:
             ka.append(X.unframed(r["ka"], r["k"])), kb.append(X.unframed(r["kb"], r["k"]))
+        elif r["w"]:
+            x, y, z = X.unpack(r["n"], r["h"], r["d"], [r["w"]])
+            eh.append(x), ed.append(y), ew.append(z)
+        else:
+            x, y = X.unpack(r["n"], r["h"], r["d"], [])
+            h.append(x), d.append(y)
     kind, a, b = [np.zeros(sum(map(len, ka)), np.int32)], list(ka), list(kb)
+    if eh:
+        x, y, z = np.concatenate(eh), np.concatenate(ed), np.concatenate(ew)
+        order = np.lexsort((y, z, x))
+        x, y, z = x[order], y[order], z[order]
+        new = np.append(True, (x[1:] != x[:-1]) | (z[1:] != z[:-1]))
+        least = y[new][np.cumsum(new) - 1]
+        other = y != least
+        kind.append(np.zeros(int(other.sum()), np.int32)), a.append(y[other]), b.append(least[other])
     if h:
-        h, d, w = np.concatenate(h), np.concatenate(d), np.concatenate(w)
+        h, d = np.concatenate(h), np.concatenate(d)
         order = np.lexsort((d, h))
-        h, d, w = h[order], d[order], w[order]
-        new = np.ones(len(h), dtype=bool)
-        new[1:] = h[1:] != h[:-1]
+        h, d = h[order], d[order]
+        new = np.append(True, h[1:] != h[:-1])
         keep = new | np.append(True, d[1:] != d[:-1])
-        h, d, w, new = h[keep], d[keep], w[keep], new[keep]
+        h, d, new = h[keep], d[keep], new[keep]
         group = np.cumsum(new) - 1
-        least = d[new][group]
-        many = np.bincount(group)[group] > 1
-        equal = many & (w > 0) & (d != least)
-        kind.append(np.zeros(int(equal.sum()), np.int32)), a.append(d[equal]), b.append(least[equal])
+        near = np.bincount(group)[group] > 1
         # A group is named by its members, so that signatures with the same members are one group.
-        near = many & (w == 0)
-        name = np.zeros(len(np.flatnonzero(new)), dtype=U)
+        name = np.zeros(int(new.sum()), dtype=U)
         np.add.at(name, group[near], T.mix(d[near].view(U) + U(0x632BE59BD9B4E019)))
         pairs = np.unique(np.stack((T.mix(name)[group[near]].view(np.int64), d[near])), axis=1) if near.any() else np.zeros((2, 0), np.int64)
         kind.append(np.ones(pairs.shape[1], np.int32)), a.append(pairs[0]), b.append(pairs[1])
@@ -199,82 +216,155 @@ def _group(table: pa.Table) -> pa.Table:
     return pa.table({"kind": pa.array(kind, pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
-def _cells(width: int):
-    """(id, text) to (id, n, cells): size and counts of the shingles in CELLS ranges of their hash, up to
-    255. The difference of two sets' counts is at most the difference of the sets."""
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in cells; twice as many cells fold to these by exclusive or."""
+    bits = 1 << min(max((2 * len(s)).bit_length(), LEAST_BITS), MOST_BITS)
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(raw: list[bytes], size: int) -> np.ndarray:
+    """Sketches at a common size in bytes, one a row, as 64-bit words."""
+    out = np.zeros((len(raw), size), np.uint8)
+    for k, r in enumerate(raw):
+        x = np.frombuffer(r, np.uint8)
+        out[k] = x if len(x) == size else np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+    return out.view(U)
+
+
+def _sketches(width: int):
+    """(id, text) to (id, n, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             for i, j, data, offs in T.slices(batch.column("text")):
                 sets = shingle_sets(data, offs, j - i, width)
-                cells = [np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(cells, pa.binary())], ["id", "n", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([sketch(s) for s in sets], pa.binary())], ["id", "n", "sketch"])
         T.tidy()
 
     return run
 
 
-def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
-    both = len(s) + len(t) - len(np.union1d(s, t))
-    return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
-
-
-def may_link(n: np.ndarray, cells: np.ndarray, x: int, y: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Those of y that sizes and cells don't keep from a link with x, and how far apart their cells are."""
-    y = y[100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])]
-    apart = np.abs(cells[y].astype(np.int16) - cells[x].astype(np.int16)).sum(axis=1, dtype=np.int64)
-    good = (100 + percent) * apart <= (100 - percent) * (n[x] + n[y])
-    return y[good], apart[good]
-
-
-def _near(percent: int):
-    """(a, b, na, nb, ca, cb) to the pairs that may link."""
+def _sets(width: int):
+    """(id, text) to (id, n, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ca, cb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("ca", "cb"))
-            na, nb = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
-            apart = np.abs(ca - cb).sum(axis=1, dtype=np.int64)
-            good = ((100 + percent) * apart <= (100 - percent) * (na + nb)) & (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for i, j, data, offs in T.slices(batch.column("text")):
+                sets = shingle_sets(data, offs, j - i, width)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "n", "shingles"])
+        T.tidy()
 
     return run
 
 
-def _place(slots: np.ndarray):
-    """(group, id, label, n, cells): adds the bucket of the group."""
+def alike(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    both = len(s) + len(t) - len(np.union1d(s, t))
+    return both > 0 and 100 * both >= percent * (len(s) + len(t) - both)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = X.bucket_of(T.mix(batch.column("group").to_numpy(zero_copy_only=False).view(U)), len(slots))
-            yield pa.RecordBatch.from_arrays([pa.array(slots[place], pa.int32()), *batch.columns], ["slot", *batch.schema.names])
+
+def may_link(apart: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes and the distance of sketches leave a link possible."""
+    return ((100 + percent) * apart <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+
+
+def forest(near: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (member, nearer to the hub) of a spanning forest of a graph, given as a symmetric matrix. Members of
+    one label are joined from the start. Each tree starts at the member with most neighbours."""
+    degree, found = near.sum(axis=1), []
+    free = degree > 0
+    where: dict[int, list[int]] = {}
+    for k in np.flatnonzero(free):
+        where.setdefault(int(label[k]), []).append(int(k))
+    for hub in np.argsort(-degree, kind="stable"):
+        if not free[hub]:
+            continue
+        queue = where.pop(int(label[hub]))
+        free[queue] = False
+        queue = [int(hub), *(k for k in queue if k != hub)]
+        for x in queue:
+            if not free.any():
+                break
+            for y in np.flatnonzero(near[x] & free):
+                if free[y]:
+                    found.append((int(y), x))
+                    same = where.pop(int(label[y]))
+                    free[same] = False
+                    queue += same
+    return found
+
+
+def _forests(percent: int):
+    """Rows (unit, block, id, label, visiting, n, sketch) of several blocks to the pairs (a, b) of forests of
+    what may link: fewer than rows. Visiting rows aren't compared with each other."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("unit", "ascending"), ("block", "ascending"), ("id", "ascending")])
+        unit, block, ids, label, n = (table.column(c).to_numpy() for c in ("unit", "block", "id", "label", "n"))
+        visiting = np.array(table.column("visiting").to_pylist(), dtype=bool)
+        raw = table.column("sketch").to_pylist()
+        cut = np.append(np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (block[1:] != block[:-1]))), len(ids))
+        out: set[tuple[int, int]] = set()
+        least = np.minimum.reduceat(np.array([len(r) for r in raw]), cut[:-1])
+        members = np.diff(cut)
+        small: dict[int, list[int]] = {}
+        for g in np.flatnonzero((members > 1) & (members <= SMALL_GROUP)):
+            small.setdefault(int(least[g]), []).append(int(g))
+        for size, groups in small.items():  # all pairs of many small groups at a time
+            at = 0
+            while at < len(groups):
+                x, y, some = [], [], 0
+                while at < len(groups) and some < PAIRS:
+                    i, m = cut[groups[at]], members[groups[at]]
+                    p, q = np.triu_indices(m, 1)
+                    x.append(i + p), y.append(i + q)
+                    some, at = some + len(p), at + 1
+                x, y = np.concatenate(x), np.concatenate(y)
+                rows, where = np.unique(np.concatenate((x, y)), return_inverse=True)
+                bits = folded([raw[k] for k in rows], size)
+                apart = np.bitwise_count(bits[where[: len(x)]] ^ bits[where[len(x) :]]).sum(axis=1, dtype=np.int64)
+                good = may_link(apart, n[x], n[y], percent) & (label[x] != label[y]) & ~(visiting[x] & visiting[y])
+                root: dict[tuple[int, int], tuple[int, int]] = {}
+
+                def find(k):
+                    while root.get(k, k) != k:
+                        k = root[k]
+                    return k
+
+                group = np.searchsorted(cut, x[good], side="right")
+                for g, p, q in zip(group.tolist(), x[good].tolist(), y[good].tolist()):
+                    a, b = find((g, int(label[p]))), find((g, int(label[q])))
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.add((int(ids[q]), int(ids[p])))
+        for g in np.flatnonzero(members > SMALL_GROUP):
+            i, j = int(cut[g]), int(cut[g + 1])
+            bits, m = folded(raw[i:j], int(least[g])), j - i
+            near = np.zeros((m, m), dtype=bool)
+            step = max(1, PAIRS // m)
+            for x in range(0, m, step):
+                rows = slice(x, min(m, x + step))
+                apart = np.bitwise_count(bits[rows, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
+                near[rows] = may_link(apart, n[i:j][rows, None], n[None, i:j], percent)
+            near &= (label[i:j, None] != label[None, i:j]) & ~(visiting[i:j, None] & visiting[None, i:j])
+            out.update((int(ids[i + p]), int(ids[i + q])) for p, q in forest(near, label[i:j]))
+        a, b = zip(*sorted(out)) if out else ((), ())
+        T.tidy()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _spanning(percent: int):
-    """For each group of several labels, pairs that may link and join labels: fewer than members."""
+def _linked(percent: int):
+    """(a, b, sa, sb) to (a, b, link): the exact check of a pair."""
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("group", "ascending"), ("id", "ascending")])
-        group, ids, label, n = (table.column(c).to_numpy() for c in ("group", "id", "label", "n"))
-        cells = np.frombuffer(b"".join(table.column("cells").to_pylist()), dtype=np.uint8).reshape(-1, CELLS)
-        cut = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
-        found: set[tuple[int, int]] = set()
-        for i, j in zip(cut[:-1], cut[1:]):
-            root = np.unique(label[i:j], return_inverse=True)[1]
-            for x in range(i, j - 1):
-                y = x + 1 + np.flatnonzero(root[x + 1 - i :] != root[x - i])
-                y, _ = may_link(n, cells, x, y, percent)
-                for k in y:
-                    if root[k - i] != root[x - i]:
-                        found.add((int(ids[x]), int(ids[k])))
-                        root[root == root[k - i]] = root[x - i]
-        a, b = zip(*sorted(found)) if found else ((), ())
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            links = [alike(np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U), percent) for x, y in zip(batch.column("sa"), batch.column("sb"))]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(links, pa.bool_())], ["a", "b", "link"])
         T.tidy()
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -299,28 +389,30 @@ def overlaps(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
     return out
 
 
-def _merge(width: int, percent: int):
-    """One block of a family: (id, label, text, straggler, visiting) to links that join labels: the sets of
-    the block are intersected with each other and with visiting ones. A link joins two labels, so rows out
-    are fewer than labels in."""
+def _exact(percent: int):
+    """Rows (unit, block, id, label, visiting, n, shingles) of several blocks to links that join labels: fewer
+    than labels. Sets of a block are intersected with each other and with visiting ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("id", "ascending")])
-        ids, label = table.column("id").to_numpy(), table.column("label").to_numpy()
-        own = ~np.array(table.column("visiting").to_pylist(), dtype=bool)
-        sets = [s for i, j, data, offs in T.slices(table.column("text")) for s in shingle_sets(data, offs, j - i, width)]
-        n = np.array([len(s) for s in sets], dtype=np.float32)
-        found = []
-        if own.any() and n.any():
+        table = table.sort_by([("unit", "ascending"), ("block", "ascending"), ("id", "ascending")])
+        unit, block, ids, label = (table.column(c).to_numpy() for c in ("unit", "block", "id", "label"))
+        visiting = np.array(table.column("visiting").to_pylist(), dtype=bool)
+        raw = table.column("shingles")
+        cut = np.append(np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (block[1:] != block[:-1]))), len(ids))
+        out: set[tuple[int, int]] = set()
+        for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            own = ~visiting[i:j]
+            if j - i < 2 or not own.any():
+                continue
+            sets = [np.frombuffer(x.as_py(), U) for x in raw.slice(i, j - i)]
+            n = np.array([len(s) for s in sets], dtype=np.float32)
             both = overlaps(sets, own)
-            root = np.unique(label, return_inverse=True)[1]
-            for x, shared in zip(np.flatnonzero(own), both):
-                alike_ = (shared > 0) & (100 * shared >= percent * (n[x] + n - shared))
-                for k in np.flatnonzero(alike_ & (root != root[x])):
-                    if root[k] != root[x]:
-                        found.append((int(ids[x]), int(ids[k])))
-                        root[root == root[k]] = root[x]
-        a, b = zip(*found) if found else ((), ())
+            near = np.zeros((j - i, j - i), dtype=bool)
+            near[own] = (both > 0) & (100 * both >= percent * (n[own, None] + n[None, :] - both))
+            near |= near.T
+            near &= label[i:j, None] != label[None, i:j]
+            out.update((int(ids[i + p]), int(ids[i + q])) for p, q in forest(near, label[i:j]))
+        a, b = zip(*sorted(out)) if out else ((), ())
         T.tidy()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -330,79 +422,103 @@ def _merge(width: int, percent: int):
 LINKS = "a long, b long"
 
 
+def chosen(table: DataFrame, ids: DataFrame, work: Workspace, name: str) -> DataFrame:
+    """The rows of table whose id is in ids; these are broadcast if they are few enough."""
+    ids = work.save(ids.select("id").distinct(), f"{name}ids", small=True)
+    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+
+
+class Sweep:
+    """Compares the members of units in blocks until every two of them that don't have one label have met."""
+
+    def __init__(self, work: Workspace, name: str, payload: DataFrame, compare, per_row: int, settle: Callable[[DataFrame, str], DataFrame]):
+        self.work, self.name, self.payload, self.compare, self.settle, self.per_row = work, name, payload, compare, settle, per_row
+
+    def meet(self, rows: DataFrame, step: str) -> DataFrame:
+        """rows (unit, block, id, label, visiting) to links, by compare and settle."""
+        name = f"{self.name}-{step}"
+        rows = self.work.save(rows, f"{name}-rows", small=True)
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(4 * parts, rows.count() * self.per_row // BUCKET_WORDS)
+        slot = F.pmod(F.xxhash64("unit", "block"), F.lit(buckets)).cast("int").alias("slot")
+        whole = rows.join(self.payload, "id").select(slot, "unit", "block", "id", "label", "visiting", *[c for c in self.payload.columns if c != "id"])
+        return self.settle(self.work.save(lambda: whole.groupBy("slot").applyInArrow(self.compare, LINKS).distinct(), name), name)
+
+    def run(self, rows: DataFrame, links: DataFrame) -> DataFrame:
+        """rows (unit, id, blocks); links (a, b) that hold already. All links found: with those given they join all
+        that links join in any unit."""
+        work, name = self.work, self.name
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+        found = self.meet(rows.select("unit", "block", "id", F.col("id").alias("label"), F.lit(False).alias("visiting")), "inside")
+        wide = rows.where("blocks > 1")
+        if wide.isEmpty():
+            return found
+        for step in ("heads", "last"):
+            label = connected_components(links.unionByName(found), work, f"{name}-{step}")
+            named = wide.join(label, "id", "left").select("unit", "id", "blocks", "block", F.coalesce("component", "id").alias("label"))
+            tally = named.groupBy("unit", "label").agg(F.count("*").alias("n")).groupBy("unit").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
+            named = work.save(named.join(tally.select("unit", F.col("top.label").alias("top")), "unit"), f"{name}-{step}-named")
+            if named.isEmpty():
+                return found
+            if step == "heads":  # one member of each label of a block
+                heads = named.groupBy("unit", "block", "label").agg(F.min("id").alias("id"))
+                room = heads.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("rooms"))
+                rows = heads.join(room, "unit").select("unit", F.pmod(F.xxhash64("id"), F.col("rooms")).cast("int").alias("block"), "id", "label", F.lit(False).alias("visiting"))
+            else:  # stragglers visit all blocks
+                stay = named.select("unit", "block", "id", "label", F.lit(False).alias("visiting"))
+                trip = named.where("label != top").select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "label", F.lit(True).alias("visiting"), F.col("block").alias("own"))
+                rows = stay.unionByName(trip.where("block != own").drop("own"))
+            found = found.unionByName(self.meet(rows, step))
+        return found
+
+
 def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) of every document that links with another: the smallest id that it reaches
     by links of at least `percent` Jaccard similarity of `width`-word shingles."""
     spark = docs.sparkSession
     work = Workspace(spark, "partenum")
     docs = docs.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    if not docs.groupBy("id").count().where("count > 1").isEmpty():
+        docs = docs.groupBy("id").agg(F.min("text").alias("text"))
     items = text_size(docs) // 6 * 3 * (100 - percent) // (100 + percent) * 2 + 1
     slots = X.even_slots(spark, items)
     groups = work.save(lambda: docs.mapInArrow(_emit(width, percent, slots), PACKED).groupBy("slot").applyInArrow(_group, GROUPS), "groups")
     equal = groups.where("kind = 0").select("a", "b")
-    members = work.save(lambda: groups.where("kind = 1").select(F.col("a").alias("group"), F.col("b").alias("id")).distinct(), "members")
-    # Candidates: pairs with the least id of a group, and what such pairs leave apart in it.
-    cells = work.save(lambda: docs.mapInArrow(_cells(width), "id long, n long, cells binary").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]), "cells")
-
-    def near() -> DataFrame:
-        least = members.groupBy("group").agg(F.min("id").alias("b"))
-        tried = members.join(least, "group").where("id != b").select(F.col("id").alias("a"), "b").distinct()
-        one = cells.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("cells").alias("cb"))
-        two = cells.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("cells").alias("ca"))
-        return tried.join(one, "b").join(two, "a").select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_near(percent), LINKS)
-
-    first = work.save(near, "near").unionByName(equal)
-    label = connected_components(first, work, "first")
-
-    def spanning() -> DataFrame:
-        named = members.join(label, "id", "left").select("group", "id", F.coalesce("component", "id").alias("label"))
-        open_ = named.groupBy("group").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo != hi and m > 2").select("group")
-        rest = named.join(open_, "group", "left_semi").join(cells, "id").select("group", "id", "label", "n", "cells")
-        even = X.even_slots(spark, 1)
-        return rest.mapInArrow(_place(even), "slot int, group long, id long, label long, n long, cells binary").groupBy("slot").applyInArrow(_spanning(percent), LINKS)
-
-    more = work.save(spanning, "spanning")
-    unions = label if more.isEmpty() else connected_components(first.unionByName(more), work, "unions")
-    return verified(docs, unions, equal, work, width, percent)
-
-
-def verified(docs: DataFrame, unions: DataFrame, equal: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
-    """Components of true links. Families of candidates are dealt into blocks of about BLOCK_MEMBERS texts, and
-    every two members of a block are compared as far as needed. Of a family of several blocks, one member
-    of each label of a block is then compared in the same way, and at last the stragglers, all outside the
-    family's largest label, visit the blocks that aren't their own."""
-    same = connected_components(equal, work, "equal").withColumnRenamed("component", "label")
-    family = unions.withColumnRenamed("component", "whole").join(same, "id", "left").select("id", "whole", F.coalesce("label", "id").alias("label"))
-    family = family.where("id = label")  # equal sets are there once
-    sizes = family.groupBy("whole").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"), F.count("*").alias("m")).where("m > 1").drop("m")
-    family = work.save(lambda: family.join(sizes, "whole").select("id", "whole", "label", "blocks", F.pmod(F.hash("id"), F.col("blocks")).alias("block")), "family")
-    texts = work.save(lambda: docs.join(family.select("id"), "id").dropDuplicates(["id"]), "texts")
-
-    def compared(rows: DataFrame, name: str) -> DataFrame:
-        return work.save(lambda: rows.join(texts, "id").select("whole", "block", "id", "label", "straggler", "visiting", "text").groupBy("whole", "block").applyInArrow(_merge(width, percent), LINKS), name)
-
-    links = equal.unionByName(compared(family.select("id", "whole", "label", "block", F.lit(True).alias("straggler"), F.lit(False).alias("visiting")), "inside"))
-    comps = connected_components(links, work, "inner")
-    wide = family.where("blocks > 1").select("id", "whole", "blocks", "block")
-    if wide.isEmpty():
-        return comps
-
-    def relabelled() -> DataFrame:
-        return wide.join(comps, "id", "left").select("id", "whole", "blocks", "block", F.coalesce("component", "id").alias("label"))
-
-    heads = work.save(lambda: relabelled().groupBy("whole", "block", "label").agg(F.min("id").alias("id")), "heads")
-    room = heads.groupBy("whole").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("rooms"))
-    heads = heads.join(room, "whole").select("id", "whole", "label", F.pmod(F.hash("id"), F.col("rooms")).alias("block"), F.lit(True).alias("straggler"), F.lit(False).alias("visiting"))
-    links = links.unionByName(compared(heads, "between"))
-    comps = connected_components(links, work, "outer")
-    tally = relabelled().groupBy("whole", "label").agg(F.count("*").alias("n")).groupBy("whole").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
-    rows = work.save(lambda: relabelled().join(tally, "whole").select("id", "whole", "label", "blocks", "block", (F.col("label") != F.col("top.label")).alias("straggler")), "open")
-    if rows.isEmpty():
-        return comps
-    stay = rows.select("id", "whole", "label", "block", "straggler", F.lit(False).alias("visiting"))
-    trip = rows.where("straggler").select("id", "whole", "label", "straggler", F.col("block").alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).where("block != own")
-    last = compared(stay.unionByName(trip.select("id", "whole", "label", "block", "straggler", F.lit(True).alias("visiting"))), "last")
-    return comps if last.isEmpty() else connected_components(links.unionByName(last), work, "final")
+    members = work.save(lambda: groups.where("kind = 1").select(F.col("a").alias("unit"), F.col("b").alias("id")).distinct(), "members")
+    sketches = work.save(lambda: docs.mapInArrow(_sketches(width), "id long, n long, sketch binary").join(members.select("id").distinct(), "id", "left_semi"), "sketches")
+    tried: list[DataFrame] = []
+
+    def checked(pairs: DataFrame, name: str) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+        sets = work.save(lambda: chosen(docs, ids, work, name).mapInArrow(_sets(width), "id long, n long, shingles binary"), f"{name}-sets")
+        one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        tried.append(work.save(lambda: pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), f"{LINKS}, link boolean"), f"{name}-checked"))
+        return tried[-1].where("link").select("a", "b")
+
+    blocks = members.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
+    links = Sweep(work, "near", sketches, _forests(percent), 16, checked).run(members.join(blocks, "unit"), spark.createDataFrame([], LINKS)).unionByName(equal)
+    label = connected_components(links, work, "labels")
+    apart = [t.where("not link") for t in tried]
+    if all(t.isEmpty() for t in apart):
+        return label
+    return exact(docs, tried, links, label, work, width, percent)
+
+
+def exact(docs: DataFrame, tried: list[DataFrame], links: DataFrame, label: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
+    """Components of true links, where some pairs that sketches couldn't tell apart are no links: the members
+    of their families are compared by their sets as far as they have several labels."""
+    pairs = tried[0].select("a", "b")
+    for t in tried[1:]:
+        pairs = pairs.unionByName(t.select("a", "b"))
+    family = connected_components(pairs, work, "families").withColumnRenamed("component", "unit")
+    family = family.join(label.withColumnRenamed("component", "label"), "id", "left").select("id", "unit", F.coalesce("label", "id").alias("label"))
+    mixed = family.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("unit")
+    family = work.save(family.join(mixed, "unit", "left_semi").select("id", "unit"), "mixed")
+    sets = work.save(lambda: chosen(docs, family, work, "mixed").mapInArrow(_sets(width), "id long, n long, shingles binary"), "mixedsets")
+    blocks = family.join(sets.select("id", "n"), "id").groupBy("unit").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    mean = int(sets.agg(F.avg("n")).first()[0] or 1)
+    more = Sweep(work, "exact", sets, _exact(percent), mean, lambda pairs, name: pairs).run(family.join(blocks, "unit"), links)
+    return label if more.isEmpty() else connected_components(links.unionByName(more), work, "final")
 
 
 def _sizes(width: int):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import time
@@ -13,12 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Rows of whole texts in one batch to Python, where the session has Spark's default of 10,000.
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Bytes of one batch, where the session sets none, so that very long texts come a few at a time.
+BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+_batch_bytes: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own only where none is set (local tests)."""
+    """The cluster's shared folder; one of our own only in local mode, where none is set."""
     root = spark.conf.get(CHECKPOINT_KEY, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.conf.set(CHECKPOINT_KEY, root)
     return root.rstrip("/")
@@ -28,15 +34,28 @@ def text_batches(spark: SparkSession) -> None:
     """Batches of whole texts are kept small, unless the session says otherwise."""
     if spark.conf.get(BATCH_KEY) == "10000":
         spark.conf.set(BATCH_KEY, BATCH_ROWS)
+    if spark.sparkContext.applicationId not in _batch_bytes:
+        _batch_bytes.add(spark.sparkContext.applicationId)
+        if not spark.sparkContext.getConf().contains(BYTES_KEY):
+            spark.conf.set(BYTES_KEY, BATCH_BYTES)
+
+
+def _forget(work: Workspace) -> None:
+    try:
+        work.drop("")
+    except Exception:  # noqa: BLE001 - the JVM may be gone by now
+        pass
 
 
 class Workspace:
-    """Named parquet tables below the shared folder, for one run of an operator."""
+    """Named parquet tables below the shared folder, for one run of an operator. Results are read from them, so
+    they are removed when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         text_batches(spark)
         self.root = f"{shared_root(spark)}/plumbline-{name}-{uuid.uuid4().hex[:12]}"
+        atexit.register(_forget, self)
 
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"

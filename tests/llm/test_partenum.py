@@ -90,3 +90,29 @@ def test_rows_that_share_an_id_go_by_their_texts(spark):
     rows = [(None, one), (None, two), (None, two), (None, None), (None, ""), (5, two + " more"), (6, three), (7, three), (7, four), (8, four)]
     kept = partenum.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(map(repr, map(tuple, kept.collect()))) == sorted(map(repr, [(None, one), (None, two), (None, None), (None, ""), (6, three), (7, four)]))
+
+
+@pytest.mark.parametrize("members", [4, 512])
+def test_families_about_the_threshold(spark, monkeypatch, members):
+    """Copies whose likeness lies on both sides of the threshold, in one block and in many."""
+    monkeypatch.setattr(partenum, "BLOCK_MEMBERS", members)
+    rng, texts, base = random.Random(17), {}, words("threshold", 300)
+    for k in range(60):
+        copy = list(base)
+        for place in rng.sample(range(300), rng.choice([4, 5, 6, 7])):
+            copy[place] = f"other{k}x{place}"
+        texts[k] = " ".join(copy)
+    rows = partenum.jaccard_components(docs(spark, texts).repartition(4), 5, 80).collect()
+    want = brute(texts, 5, 80)
+    assert len({c for _, c in want.values()}) > 3
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+
+
+def test_sketches_never_exceed_the_distance():
+    rng = np.random.default_rng(5)
+    for n in (3, 100, 129, 5000, 20_000):
+        s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        t = np.unique(np.concatenate((s[n // 5 :], rng.integers(0, 2**63, n // 7).astype(np.uint64))))
+        x, y = partenum.sketch(s), partenum.sketch(t)
+        bits = partenum.folded([x, y], min(len(x), len(y)))
+        assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(s, t))
