@@ -5,7 +5,9 @@ each other. For the sets of a band instance a link means a Hamming distance of a
 domain of shingle hashes is cut into n1 parts of three sub-parts each, with n1 chosen so that a
 linked pair has a part with at most one difference, and each choice of two sub-parts out of three is
 a signature. Linked sets therefore share a signature, whatever they contain; equal sets share a
-signature of the whole set, of 128 bits. Candidates are checked against the exact sets.
+signature of the whole set, of 128 bits. Candidates are checked against the exact sets. A signature
+without a shingle would bring together sets that have nothing in common; so there are some parts more than
+needed, and a set with no more parts of that kind leaves such signatures out without losing a link.
 
 Sets that share a signature aren't paired with each other. Each has a sketch, the parities of its shingles in
 cells of their hash; the cells in which two sketches differ are at most the sets' distance, so sizes and
@@ -43,8 +45,10 @@ BLOCK_SIGNATURES = 400_000
 BLOCK_MEMBERS, BLOCK_SHINGLES, OVERLAP_COLUMNS = 512, 1 << 18, 1024
 #: Cells of a sketch: about two for each shingle, between these powers of two.
 LEAST_BITS, MOST_BITS = 8, 13
-#: Pairs of sketches compared at a time, and the size from which a group is compared row by row.
-PAIRS, SMALL_GROUP = 50_000, 16
+#: Bytes of sketches compared at a time, and the size from which a group is compared row by row.
+CHUNK_BYTES, SMALL_GROUP = 4 << 20, 16
+#: Size of sets from which signatures without a shingle can be left out.
+POOR_FROM = 40
 #: Ids that may be broadcast, 8 bytes each, and 8-byte words of sketches or sets that a task takes at a time.
 BROADCAST_IDS, BUCKET_WORDS = 500_000, 250_000
 PACKED = "slot int, n long, h binary, d binary, w binary, k long, ka binary, kb binary"
@@ -67,19 +71,26 @@ class Plan:
 
     def __init__(self, percent: int):
         self.percent, self.edges = percent, bands(1, percent)
+        self.made: dict[int, tuple[int, int, int]] = {}
 
-    def instances(self, size: int) -> list[tuple[int, int]]:
-        """(instance, n1) that a set of this size takes part in."""
+    def instances(self, size: int) -> list[tuple[int, int, int]]:
+        """(instance, n1, slack) that a set of this size takes part in: a linked pair of the instance has more
+        than slack parts with at most one difference."""
         if self.edges[-1][1] < size * 2 + 2:
             self.edges = bands(size * 4 + 4, self.percent)
         band = int(np.searchsorted([h for _, h in self.edges], size))
-        out = []
-        for i in (band, band + 1):
-            high = self.edges[i][1]
+        return [x for i in (band, band + 1) if (x := self.instance(i))[1]]
+
+    def instance(self, i: int) -> tuple[int, int, int]:
+        if i not in self.made:
+            low, high = self.edges[max(0, i - 1)][0], self.edges[i][1]
             k = (100 - self.percent) * 2 * high // (100 + self.percent)
-            if k:
-                out.append((i, k // 2 + 1))
-        return out
+            n1, slack = (k // 2 + 1 if k else 0), 0
+            for _ in range(4 if n1 and low >= POOR_FROM else 0):  # parts that are expected to have a poor signature
+                poor = 3 * np.exp(-(low * high) ** 0.5 * 2 / 3 / (n1 + slack)) * (n1 + slack)
+                slack = int(poor + 2 * poor**0.5)
+            self.made[i] = (i, n1 + slack, slack)
+        return self.made[i]
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, rows: int, width: int) -> list[np.ndarray]:
@@ -110,15 +121,19 @@ def signatures(s: np.ndarray, plan: Plan) -> tuple[tuple[int, int], np.ndarray]:
     np.cumsum(value, out=total[1:])
     whole = T.mix(np.array([total[-1] + U(len(s)), T.mix(s ^ U(0x2545F4914F6CDD1D)).sum(dtype=U)], dtype=U))
     out = []
-    for instance, n1 in plan.instances(len(s)):
+    for instance, n1, slack in plan.instances(len(s)):
         parts = 3 * n1
         bounds = np.arange(1, parts, dtype=U) * U((1 << 64) // parts)
         cut = np.concatenate(([0], np.searchsorted(s, bounds), [len(s)]))
         sums = T.mix((total[cut[1:]] - total[cut[:-1]]) + np.arange(parts, dtype=U)).reshape(n1, 3)
         tag = U((instance * 0x9E3779B97F4A7C15 + 0x1234567) % (1 << 64))
+        count = np.diff(cut).reshape(n1, 3)
+        poor = count.sum(axis=1)[:, None] == count
+        drop = poor.any(axis=1).sum() <= slack
         for skip in range(3):
             a, b = (x for x in range(3) if x != skip)
-            out.append(T.mix(sums[:, a] * U(3) + sums[:, b] * U(5) + tag + U(skip)))
+            found = T.mix(sums[:, a] * U(3) + sums[:, b] * U(5) + tag + U(skip))
+            out.append(found[~poor[:, skip]] if drop else found)
     return (int(whole[0]), int(whole[1])), np.concatenate(out) if out else np.zeros(0, U)
 
 
@@ -316,7 +331,7 @@ def _forests(percent: int):
             at = 0
             while at < len(groups):
                 x, y, some = [], [], 0
-                while at < len(groups) and some < PAIRS:
+                while at < len(groups) and some * size < CHUNK_BYTES:
                     i, m = cut[groups[at]], members[groups[at]]
                     p, q = np.triu_indices(m, 1)
                     x.append(i + p), y.append(i + q)
@@ -343,7 +358,7 @@ def _forests(percent: int):
             i, j = int(cut[g]), int(cut[g + 1])
             bits, m = folded(raw[i:j], int(least[g])), j - i
             near = np.zeros((m, m), dtype=bool)
-            step = max(1, PAIRS // m)
+            step = max(1, CHUNK_BYTES // (m * int(least[g])))
             for x in range(0, m, step):
                 rows = slice(x, min(m, x + step))
                 apart = np.bitwise_count(bits[rows, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
