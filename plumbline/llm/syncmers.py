@@ -1,14 +1,19 @@
 """Document fingerprints from closed syncmers, in column expressions alone.
 
-A text is a sequence of tokens: its words, or its characters when it has fewer than SHORT characters or
-more than LONG_WORD for each word. Of the
-k-mers of tokens those stay whose smallest inner s-mer, by hash, lies at their first or last place. Whether
-one stays depends on the k-mer alone and not on what surrounds it, so equal passages keep equal anchors
-wherever they stand. The fingerprint is the SKETCH smallest anchor hashes; the likeness of two is the
-share of common ones among the smallest of both, an estimate of the Jaccard similarity of all anchors.
-
-Defined cases: null is empty; an empty text has the empty fingerprint. A text of fewer tokens than a k-mer
-has one anchor, the whole sequence. Two equal fingerprints have likeness 1, an empty one and another 0.
+A text is a sequence of tokens: its words, cut after LONGEST characters, and single characters of scripts that
+are written without blanks. Of the k-mers of tokens those stay whose smallest inner s-mer, by hash, lies at
+their first or last place. Whether one stays depends on the k-mer alone and not on what surrounds it, so equal
+passages keep equal anchors wherever they stand. The sequence is closed by K - 1 edge marks on both sides, so
+texts of any length, shorter than a k-mer too, are treated alike.
+
+The fingerprint lists all anchors with their places. Two texts are matched by position: an anchor counts
+together with the anchor before it and the distance of both, so what matches are runs of anchors that stand
+alike, wherever the run stands in its text. The likeness is the Jaccard similarity of these links.
+
+Defined cases: null is empty; an empty text, or one of blanks, has the empty fingerprint. Two equal
+fingerprints have likeness 1, an empty one and another 0. A null id is the smallest id. Rows that share an id
+are ordered by the hash of their texts; rows equal in both are one place in the order, and each gets its own
+result. Of a single text the next one is itself. An empty table gives no rows. Other columns play no part.
 Texts are read whole; an array of hashes of one text's tokens is what is held at a time.
 """
 
@@ -20,9 +25,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.workspace import Workspace
 
-K, S, SHORT, LONG_WORD, SKETCH = 5, 2, 200, 40, 64
-BLANKS = r"[\x20\x09-\x0D]+"
-IDS_PER_BUCKET = 20_000
+#: Tokens of a k-mer (its s-mers are single tokens), characters of the longest token, rows of a range of ids.
+K, LONGEST, RANGE_ROWS = 4, 64, 200_000
+SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+TOKEN = rf"[{SINGLE}]|[^{SINGLE}\x20\x09-\x0D]{{1,{LONGEST}}}"
+#: Hash of the marks around a text: never smaller than a token's.
+EDGE = (1 << 63) - 1
 
 
 def let(value: Column, body) -> Column:
@@ -31,91 +39,83 @@ def let(value: Column, body) -> Column:
 
 
 def token_hashes(text: Column) -> Column:
-    words = F.filter(F.split(text, BLANKS), lambda w: w != "")
-    tokens = lambda w: F.when((F.length(text) >= SHORT) & (F.length(text) <= LONG_WORD * F.size(w)), w).otherwise(F.filter(F.split(text, ""), lambda c: c != ""))
-    return F.transform(let(words, tokens), lambda t: F.xxhash64(t))
+    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
 
 
 def anchors(text: Column) -> Column:
-    """Array of (place, hash) of the closed syncmers of a text, in order."""
-    inner = K - S + 1
+    """Array of (place, hash) of the closed syncmers of a text, in order; places count tokens, and the first
+    k-mer, of edge marks and the first token, has place 0."""
+    edge = F.array(*[F.lit(EDGE)] * (K - 1))
 
     def of_tokens(t: Column) -> Column:
-        smers = F.transform(F.sequence(F.lit(0), F.size(t) - S), lambda i: F.xxhash64(*[t[i + k] for k in range(S)]))
+        starts = F.sequence(F.lit(0), F.size(t) - K)
+        kept = F.filter(starts, lambda i: F.least(t[i], t[i + K - 1]) <= F.least(*[t[i + j] for j in range(1, K - 1)]))
+        return F.transform(kept, lambda i: F.struct(i.alias("place"), F.xxhash64(*[t[i + j] for j in range(K)]).alias("hash")))
 
-        def of_smers(m: Column) -> Column:
-            starts = F.sequence(F.lit(0), F.size(m) - inner)
-            edge = F.filter(starts, lambda i: F.least(m[i], m[i + inner - 1]) <= F.least(*[m[i + k] for k in range(1, inner - 1)]))
-            return F.transform(edge, lambda i: F.struct(i.alias("place"), F.xxhash64(*[m[i + k] for k in range(inner)]).alias("hash")))
+    none = F.expr("cast(array() as array<struct<place:int,hash:bigint>>)")
+    return let(token_hashes(F.coalesce(text, F.lit(""))), lambda t: F.when(F.size(t) > 0, let(F.concat(edge, t, edge), of_tokens)).otherwise(none))
 
-        whole = F.array(F.struct(F.lit(0).alias("place"), F.xxhash64(F.array_join(F.transform(t, lambda x: x.cast("string")), " ")).alias("hash")))
-        none = F.slice(whole, 1, 0)
-        return F.when(F.size(t) >= K, let(smers, of_smers)).when(F.size(t) > 0, whole).otherwise(none)
 
-    return let(token_hashes(F.coalesce(text, F.lit(""))), of_tokens)
+def printed(found: Column) -> Column:
+    """Anchors as text: for each one, the distance to the anchor before as a letter (closed syncmers follow each other within
+    K places, 'a' at the first) and the upper 36 bits of its hash in base 64, with blanks between."""
+    gap = lambda x, i: F.char(F.lit(97) + F.when(i == 0, 0).otherwise(x[i]["place"] - x[i - 1]["place"]))
+    return let(found, lambda x: F.array_join(F.transform(x, lambda a, i: F.concat(gap(x, i), F.substr(F.base64(F.unhex(F.lpad(F.hex(a["hash"]), 16, "0"))), F.lit(1), F.lit(6)))), " "))
 
 
 def fingerprint(text: Column) -> Column:
-    """The SKETCH smallest anchors as 8 hexadecimal digits each, ascending, with blanks between."""
-    short = F.transform(anchors(text), lambda a: F.shiftrightunsigned(a["hash"], 32))
-    least = F.slice(F.sort_array(F.array_distinct(short)), 1, SKETCH)
-    return F.array_join(F.transform(least, lambda h: F.lower(F.lpad(F.hex(h), 8, "0"))), " ")
+    return printed(anchors(text))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Share of common anchors among the smallest SKETCH of two fingerprints together."""
+def links(print_: Column) -> Column:
+    """Each anchor of a fingerprint with its distance to the anchor before and that anchor."""
+    tokens = F.split(print_, " ")
+    return let(tokens, lambda t: F.transform(t, lambda a, i: F.when(i == 0, a).otherwise(F.concat(F.substr(t[i - 1], F.lit(2)), a))))
 
-    def shared(x: Column, y: Column) -> Column:
-        both = F.slice(F.sort_array(F.array_union(x, y)), 1, SKETCH)
-        return let(both, lambda u: F.size(F.array_intersect(u, F.array_intersect(x, y))) / F.size(u))
 
-    parts = shared(F.split(a, " "), F.split(b, " "))
+def likeness(a: Column, b: Column) -> Column:
+    """Share of the links of two fingerprints that they have in common."""
+    both = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
+    parts = let(F.struct(links(a).alias("x"), links(b).alias("y")), lambda s: both(s["x"], s["y"]))
     return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(parts)
 
 
-def next_ids(keys: DataFrame, work: Workspace) -> DataFrame:
-    """keys (id, th) with the row after each in descending order (next_id, next_th); after the last comes
-    the first. Buckets of ids are ranked on their own; their edges, one row a bucket, are joined."""
-    n = keys.count()
-    buckets = max(1, -(-n // IDS_PER_BUCKET))
-    cuts = keys.agg(F.percentile_approx("id", [i / buckets for i in range(1, buckets)], 100 * buckets)).first()[0] if buckets > 1 else []
-    cuts = sorted(set(cuts))
-    steps = [1 << k for k in reversed(range(max(1, len(cuts).bit_length())))]
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.expr("cast(array() as array<bigint>)")
-    find = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= len(cuts)) & (F.try_element_at(edges, at + s) <= F.col("id")), at + s).otherwise(at))
-    placed = work.save(keys.select("id", "th", find.alias("bucket")), "placed")
-    order = W.partitionBy("bucket").orderBy(F.desc("id"), F.desc("th"))
-    ahead = placed.select("id", "th", "bucket", F.lead("id").over(order).alias("next_id"), F.lead("th").over(order).alias("next_th"))
-    firsts = placed.groupBy("bucket").agg(F.max(F.struct("id", "th")).alias("first"))
-    line = sorted((r["bucket"], r["first"]["id"], r["first"]["th"]) for r in firsts.collect())  # a row a bucket
-    after = [(b, *(line[k - 1][1:])) for k, (b, _, _) in enumerate(line)]  # the bucket below, or around
-    wrap = keys.sparkSession.createDataFrame(after, "bucket int, wrap_id long, wrap_th long")
-    return ahead.join(F.broadcast(wrap), "bucket").select("id", "th", F.coalesce("next_id", "wrap_id").alias("next_id"), F.when(F.col("next_id").isNull(), F.col("wrap_th")).otherwise(F.col("next_th")).alias("next_th"))
+def next_keys(keys: DataFrame, work: Workspace) -> DataFrame:
+    """keys (id, th), distinct, with the key after each in descending order (next_id, next_th); after the last
+    comes the first. Ranges of keys are ordered on their own; their edges, one row a range, are joined."""
+    ranges = max(1, -(-keys.count() // RANGE_ROWS))
+    cut = keys.select("id", "th").repartitionByRange(ranges, F.desc("id"), F.desc("th"))
+    cut = work.save(cut.select("id", "th", F.spark_partition_id().alias("range")), "ranges")
+    order = W.partitionBy("range").orderBy(F.desc("id"), F.desc("th"))
+    ahead = cut.select("id", "th", "range", F.lead(F.struct("id", "th")).over(order).alias("next"))
+    firsts = cut.groupBy("range").agg(F.max(F.struct("id", "th")).alias("first"))
+    along = W.orderBy("range")
+    wrap = firsts.select("range", F.coalesce(F.lead("first").over(along), F.first("first").over(along)).alias("wrap"))  # a row a range
+    near = F.coalesce("next", "wrap")
+    return ahead.join(wrap, "range").select("id", "th", near["id"].alias("next_id"), near["th"].alias("next_th"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint) of each row."""
-    return docs.select(F.col(id_col), fingerprint(F.col(text_col).cast("string")).alias("fingerprint"))
+    """(id, anchors, fingerprint) of each row: all anchors with their places and 64-bit hashes."""
+    found = docs.select(F.col(id_col), anchors(F.col(text_col).cast("string")).alias("anchors"))
+    return found.select(id_col, "anchors", printed(F.col("anchors")).alias("fingerprint"))
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row with its own fingerprint, that of its text with the last third exchanged for the start
     of the next row's (descending id), and the likeness to that and to the next row's."""
+    least = -(1 << 63)
     work = Workspace(docs.sparkSession, "syncmers")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(least)).alias("id"), F.xxhash64(text).alias("th"), text.alias("text"))
     keys = work.save(rows.groupBy("id", "th").agg(F.max(F.length("text")).alias("n")), "keys")
-    after = work.save(next_ids(keys.select("id", "th"), work).join(keys, ["id", "th"]), "after")
-    wanted = after.select(F.col("id").alias("for_id"), F.col("th").alias("for_th"), F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.floor(F.col("n") / 3).cast("int").alias("third"))
-    heads = rows.join(wanted, ["id", "th"]).select(F.col("for_id").alias("id"), F.col("for_th").alias("th"), "third", F.substr("text", F.lit(1), F.col("third")).alias("head"))
-    heads = heads.groupBy("id", "th").agg(F.first("third").alias("third"), F.first("head").alias("head"))
+    wanted = next_keys(keys, work).join(keys, ["id", "th"])
+    wanted = work.save(wanted.select(F.col("id").alias("for_id"), F.col("th").alias("for_th"), F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.floor(F.col("n") / 3).cast("int").alias("third")), "wanted")
+    one = rows.join(wanted, ["id", "th"]).select(F.col("for_id").alias("id"), F.col("for_th").alias("th"), "third", "text")
+    heads = one.select("id", "th", "third", F.substr("text", F.lit(1), F.col("third")).alias("head"), fingerprint(F.col("text")).alias("next_print"))
+    heads = heads.dropDuplicates(["id", "th"])
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("third")), F.col("head"))
-    both = rows.join(heads, ["id", "th"]).select("id", "th", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"))
-
-    def printed() -> DataFrame:
-        return both.select("id", "th", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
-
-    done = work.save(printed, "done")
-    prints = done.select(F.col("id").alias("next_id"), F.col("th").alias("next_th"), F.col("fingerprint").alias("next_print")).dropDuplicates(["next_id", "next_th"])
-    out = done.join(after.select("id", "th", "next_id", "next_th"), ["id", "th"]).join(prints, ["next_id", "next_th"])
-    return out.select(F.when(F.col("id") != -(1 << 63), F.col("id")).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next_print")).alias("near_next"))
+    both = rows.join(heads, ["id", "th"]).select("id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_print")
+    prints = both.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print")
+    shared = [likeness(F.col("fingerprint"), F.col(c)).alias(n) for c, n in (("edited_fingerprint", "near_edited"), ("next_print", "near_next"))]
+    return prints.select(F.when(F.col("id") != least, F.col("id")).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *shared)
