@@ -109,9 +109,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = fold(3) == 1
     train = docs.where(~held_out)
-    model = language.fit(train)
+    apart = F.pmod(F.xxhash64("text"), F.lit(10)) == 0  # a tenth of the texts isn't counted, but calibrates
+    model = language.fit(train.where(~apart))
     if model is not None:
-        model = language.calibrate(model, train)
+        model = language.calibrate(model, train.where(apart))
     out = language.identify(docs.select("doc_id", "text"), model, keep=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), "lang_pred", "score", "cross_entropy", "rejected").withColumn("held_out", held_out)
 
