@@ -12,11 +12,12 @@ from plumbline.llm.workspace import Workspace
 BROADCAST_ROWS, SALTS = 100_000, 16
 
 
-def spread(table: DataFrame, key: str, moves: DataFrame, to: str) -> DataFrame:
-    """table with the column `to` of moves (root, to) where key is root; key may be one value in most rows."""
+def spread(table: DataFrame, key: str, moves: DataFrame, to: str, by: str = "id") -> DataFrame:
+    """table with the column `to` of moves (root, to) where key is root; key may be one value in most rows,
+    which `by` tells apart."""
     if moves.count() <= BROADCAST_ROWS:
         return table.join(F.broadcast(moves), F.col(key) == F.col("root"), "left").drop("root")
-    salted = table.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    salted = table.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
     copies = moves.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
     return salted.join(copies, (F.col(key) == F.col("root")) & (F.col("salt") == F.col("copy")), "left").drop("root", "salt", "copy")
 

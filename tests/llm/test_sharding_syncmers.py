@@ -33,17 +33,37 @@ def test_tree_packs_like_a_search():
     rng = random.Random(6)
     for _ in range(60):
         sizes = sorted((rng.randrange(1, 60) for _ in range(rng.randrange(1, 80))), reverse=True)
-        assert sharding.best_fit_decreasing(sizes, 64) == plain_best_fit(sizes, 64)
+        classes = sorted(collections.Counter(sizes).items(), reverse=True)
+        runs = sharding.best_fit_decreasing(classes, 64)
+        assert [b for r in runs for b, n in r for _ in range(n)] == plain_best_fit(sizes, 64)
 
 
 def test_few_bins_at_the_least_capacity():
-    sizes = sorted((random.Random(1).randrange(1, 1000) for _ in range(500)), reverse=True)
-    placed = sharding.pack_into(sizes, 8)
+    classes = sorted(collections.Counter(random.Random(1).randrange(1, 1000) for _ in range(500)).items(), reverse=True)
     load = collections.Counter()
-    for s, b in zip(sizes, placed):
-        load[b] += s
-    assert len(load) == 8 and max(load.values()) <= 1.01 * sum(sizes) / 8  # the largest bin is what is minimised
-    assert sharding.pack_into([], 8) == [] and sharding.pack_into([5], 8) == [0]
+    for (size, _), runs in zip(classes, sharding.pack_into(classes, 8)):
+        for b, n in runs:
+            load[b] += size * n
+    assert len(load) == 8 and max(load.values()) <= 1.01 * sum(load.values()) / 8  # the largest bin is what is minimised
+    assert sharding.pack_into([], 8) == [] and sharding.pack_into([(5, 1)], 8) == [[(0, 1)]]
+
+
+def test_groups_lie_where_the_packer_puts_them(spark, monkeypatch):
+    """Loads of the shards against the plain packer at its least capacity, with many groups of one size."""
+    monkeypatch.setattr(sharding, "HOT", 20)
+    texts = [f"{k:03d}" + "x" * (k % 5 * 20) for k in range(300)] + ["same text"] * 90 + [None] * 5
+    rows = sharding.assign(docs(spark, texts), 4).collect()
+    sizes = sorted((sum(len((x or "").encode()) + 1 for x in texts if x == t) for t in set(texts)), reverse=True)
+    capacity = -(-sum(sizes) // 4)
+    while len(set(plain_best_fit(sizes, capacity))) > 4:
+        capacity += 1
+    want = collections.Counter()
+    for size, b in zip(sizes, plain_best_fit(sizes, capacity)):
+        want[b] += size
+    got = collections.Counter()
+    for r in rows:
+        got[r.shard] += r.size
+    assert got == want
 
 
 def test_groups_stay_whole_and_slots_have_no_gaps(spark):
