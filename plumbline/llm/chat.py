@@ -1,19 +1,21 @@
 """Chat formatting from reply trees.
 
 Messages with a parent form trees. Iterative self-joins that double the reach of each ancestor
-pointer give every message its depth and the sum of scores up to its root in log2(depth) rounds, and
-the same rounds list the messages on the path to each leaf. Branches are ranked by their mean score,
-and each chosen path is formatted as one conversation.
+pointer give every message its depth and the sum of scores up to its root in log2(depth) rounds. Leaves are
+ranked by the mean score of their branch from these two numbers alone; only the branches that stay
+are then listed message by message, by the kept pointers of the rounds, and each is formatted as one
+conversation. So a tree of n messages takes rows in the order of n log n and of what is formatted.
 
 Template, for each turn: `<s>` role `\\n` text `</s>`. A control string in a text (`<s>`, `</s>`, `[INST]`,
 `[/INST]`, `<<SYS>>`, `<</SYS>>`) gets a backslash after its first character, one more than it had, which
-unescaping takes off again. In a role, backslash and newline are written `\\\\` and `\\n`, and `<` as `\\l`.
+unescaping takes off again. In a role, backslash, newline and `<` are written `\\b`, `\\n` and `\\l`.
 
 Defined cases: null text or role is empty. A null conversation is one of its own, and a null message id is an
 id like others, but nothing can reply to it, as a null parent is none. A message whose parent doesn't exist is a root, and so is
-each message on a loop of replies. Messages that share (conversation, id) are told apart by nothing and count once, as do
-rows that are equal in all columns read; rows of a turn table that share a turn follow each other by role
-and text. A null score counts as 0. Ties of score go to the smaller leaf id. Other columns play no part.
+each message on a loop of replies. Messages that share (conversation, id) count once: the one that comes first by
+parent, role, text and score. Rows of a turn table that share a turn, repeated ones too, are turns of their own and
+follow each other by role and text. A null score counts as 0. Ties of score go to the smaller leaf id. An empty
+table gives no rows. Texts of any length are read whole; other columns play no part.
 """
 
 from __future__ import annotations
@@ -37,12 +39,11 @@ def unescape(text: Column) -> Column:
 
 
 def escape_role(role: Column) -> Column:
-    return F.replace(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("<"), F.lit("\\l"))
+    return F.replace(F.replace(F.replace(role, F.lit("\\"), F.lit("\\b")), F.lit("\n"), F.lit("\\n")), F.lit("<"), F.lit("\\l"))
 
 
 def unescape_role(role: Column) -> Column:
-    held = F.replace(role, F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(F.replace(held, F.lit("\\n"), F.lit("\n")), F.lit("\\l"), F.lit("<")), F.lit("\x00"), F.lit("\\"))
+    return F.replace(F.replace(F.replace(role, F.lit("\\n"), F.lit("\n")), F.lit("\\l"), F.lit("<")), F.lit("\\b"), F.lit("\\"))
 
 
 def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -60,58 +61,78 @@ def turns_to_messages(turns: DataFrame) -> DataFrame:
     return rows.select("conv_id", "msg", F.when(F.col("msg") > 1, F.col("msg") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def paths(messages: DataFrame, work: Workspace) -> DataFrame:
-    """(conv_id, leaf, msg, up): every message on the path from each leaf to its root; up counts from
-    the leaf. Each round joins the paths with the pointers of the round, which reach twice as far."""
-    keys = messages.groupBy("conv_id", "msg").agg(F.first("parent").alias("parent"))
-    there = keys.select("conv_id", F.col("msg").alias("parent"), F.lit(True).alias("known"))
-    tree = joined(keys, there, ["conv_id", "parent"], "left").select("conv_id", "msg", F.when(F.col("known") & ~F.col("parent").eqNullSafe(F.col("msg")), F.col("parent")).alias("parent"))
-    tree = work.save(tree, "tree")
-    used = tree.where("parent is not null").select("conv_id", F.col("parent").alias("msg")).distinct()
-    reach = tree.where("parent is not null").select("conv_id", "msg", F.col("parent").alias("to"))
-    found = joined(tree, used, ["conv_id", "msg"], "left_anti").select("conv_id", F.col("msg").alias("leaf"), "msg", F.lit(0).cast("long").alias("up"))
-    longest = tree.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
-    step, n = 1, 0
-    while True:
-        further = joined(found, reach, ["conv_id", "msg"]).select("conv_id", "leaf", F.col("to").alias("msg"), (F.col("up") + step).alias("up"))
-        found = work.save(found.unionByName(further), f"paths{n}")
-        second = reach.select("conv_id", F.col("msg").alias("to"), F.col("to").alias("over"))
-        reach = work.save(joined(reach, second, ["conv_id", "to"]).select("conv_id", "msg", F.col("over").alias("to")), f"reach{n}")
-        step, n = step * 2, n + 1
-        if reach.isEmpty():
-            return found
-        if step > longest:  # no path is so long: what still points somewhere points into a loop
-            loop = reach.select("conv_id", F.col("to").alias("msg")).distinct().withColumn("loop", F.lit(True))
-            cut = joined(messages, loop, ["conv_id", "msg"], "left")
-            return paths(cut.withColumn("parent", F.when(F.col("loop").isNull(), F.col("parent"))).drop("loop"), Workspace(messages.sparkSession, "loops"))
+def once(messages: DataFrame) -> DataFrame:
+    """One row (conv_id, msg, parent, role, text, score) for each message."""
+    row = F.struct("parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    return messages.groupBy("conv_id", "msg").agg(F.min(row).alias("m")).select("conv_id", "msg", "m.*")
+
+
+class Tree:
+    """Depth and sum of scores of each message (`ends`), and pointers that reach 1, 2, 4, ... messages up
+    (`reach`, a table a round)."""
+
+    def __init__(self, messages: DataFrame):
+        self.work = Workspace(messages.sparkSession, "tree")
+        there = messages.select("conv_id", F.col("msg").alias("parent"), F.lit(True).alias("known"))
+        keys = messages.select("conv_id", "msg", "parent", "score")
+        known = joined(keys, there, ["conv_id", "parent"], "left")
+        tree = known.select("conv_id", "msg", F.when(F.col("known") & ~F.col("parent").eqNullSafe(F.col("msg")), F.col("parent")).alias("parent"), "score")
+        self.tree = self.work.save(tree, "tree")
+        while not self._double():
+            pass
+
+    def _double(self) -> bool:
+        """False where a loop was cut, and all has to be done again."""
+        self.reach: list[DataFrame] = []
+        state = self.tree.select("conv_id", "msg", F.col("parent").alias("to"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+        longest = self.tree.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+        done = state.where("to is null")
+        state = state.where("to is not null")
+        for n in range(longest.bit_length() + 2):
+            if state.isEmpty():
+                self.ends = done.select("conv_id", "msg", "depth", "total")
+                return True
+            self.reach.append(state.select("conv_id", "msg", "to"))
+            over = state.unionByName(done).select("conv_id", F.col("msg").alias("to"), F.col("to").alias("over"), F.col("depth").alias("more"), F.col("total").alias("above"))
+            further = self.work.save(joined(state, over, ["conv_id", "to"]).select("conv_id", "msg", F.col("over").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("above")).alias("total")), f"state{n}")
+            done, state = done.unionByName(further.where("to is null")), further.where("to is not null")
+        # No path is so long: what still points somewhere points into a loop.
+        loop = state.select("conv_id", F.col("to").alias("msg")).distinct().withColumn("loop", F.lit(True))
+        cut = joined(self.tree, loop, ["conv_id", "msg"], "left")
+        self.work = Workspace(self.work.spark, "loops")
+        self.tree = self.work.save(cut.withColumn("parent", F.when(F.col("loop").isNull(), F.col("parent"))).drop("loop"), "tree")
+        return False
 
 
 def best_paths(messages: DataFrame, work: Workspace, keep: int | None = 1) -> DataFrame:
-    """(conv_id, leaf, rank, msg, turn) of the `keep` best branches by mean score (None: all)."""
-    found = paths(messages, work)
-    scored = joined(found, messages.select("conv_id", "msg", F.coalesce("score", F.lit(0.0)).alias("score")), ["conv_id", "msg"])
-    branch = scored.groupBy("conv_id", "leaf").agg(F.avg("score").alias("mean"), F.max("up").alias("depth"))
-    branch = branch.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("mean"), "leaf")))
+    """(conv_id, leaf, rank, msg, turn) of the `keep` best branches by mean score (None: all). messages: as from once."""
+    tree = Tree(messages)
+    used = tree.tree.where("parent is not null").select("conv_id", F.col("parent").alias("msg")).distinct()
+    leaves = joined(tree.ends, used, ["conv_id", "msg"], "left_anti")
+    # Scores are added up in another order for each depth: sums are told apart to nine digits.
+    mean = F.round(F.col("total") / F.col("depth"), 9)
+    branch = leaves.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(mean.desc(), F.col("msg").asc_nulls_first())))
     if keep is not None:
         branch = branch.where(F.col("rank") <= keep)
-    return joined(found, branch, ["conv_id", "leaf"]).select("conv_id", "leaf", "rank", "msg", (F.col("depth") - F.col("up")).alias("turn"))
+    found = work.save(branch.select("conv_id", F.col("msg").alias("leaf"), "rank", "msg", (F.col("depth") - 1).alias("turn")), "leaves")
+    for n, reach in enumerate(tree.reach):
+        further = joined(found, reach, ["conv_id", "msg"]).select("conv_id", "leaf", "rank", F.col("to").alias("msg"), (F.col("turn") - (1 << n)).alias("turn"))
+        found = work.save(found.unionByName(further), f"paths{n}")
+    return found
 
 
 def format_paths(messages: DataFrame, chosen: DataFrame) -> DataFrame:
     """(conv_id, leaf, rank, formatted, mask): mask lists (start, length) in code points, from 0, of
     the assistant texts as they stand in formatted."""
     rows = joined(chosen, messages.select("conv_id", "msg", "role", "text"), ["conv_id", "msg"])
-    rows = rows.select("conv_id", "leaf", "rank", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), escape_role(F.coalesce("role", F.lit(""))).alias("r"), escape(F.coalesce("text", F.lit(""))).alias("t")).alias("x"))
-    rows = rows.groupBy("conv_id", "leaf", "rank").agg(F.sort_array(F.collect_list("x")).alias("x"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,length:bigint>>)").alias("mask"))
-
-    def add(acc: Column, x: Column) -> Column:
-        head = acc["at"] + len(OPEN) + F.length(x["r"]) + 1
-        span = F.struct(head.cast("long").alias("start"), F.length(x["t"]).cast("long").alias("length"))
-        return F.struct((head + F.length(x["t"]) + len(CLOSE)).cast("long").alias("at"), F.when(x["role"] == "assistant", F.array_append(acc["mask"], span)).otherwise(acc["mask"]).alias("mask"))
-
-    turn = lambda x: F.concat(F.lit(OPEN), x["r"], F.lit("\n"), x["t"], F.lit(CLOSE))
-    return rows.select("conv_id", "leaf", "rank", F.array_join(F.transform("x", turn), "").alias("formatted"), F.aggregate("x", start, add)["mask"].alias("mask"))
+    rows = rows.select("conv_id", "leaf", "rank", "turn", "role", escape_role(F.col("role")).alias("r"), escape(F.col("text")).alias("t"))
+    whole = len(OPEN) + F.length("r") + 1 + F.length("t") + len(CLOSE)
+    end = F.sum(whole).over(W.partitionBy("conv_id", "leaf", "rank").orderBy("turn"))
+    rows = rows.withColumn("start", end - len(CLOSE) - F.length("t"))
+    x = F.struct("turn", F.concat(F.lit(OPEN), "r", F.lit("\n"), "t", F.lit(CLOSE)).alias("line"), (F.col("role") == "assistant").alias("masked"), F.col("start").cast("long").alias("start"), F.length("t").cast("long").alias("length"))
+    rows = rows.groupBy("conv_id", "leaf", "rank").agg(F.sort_array(F.collect_list(x)).alias("x"))
+    spans = F.transform(F.filter("x", lambda x: x["masked"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return rows.select("conv_id", "leaf", "rank", F.array_join(F.transform("x", lambda x: x["line"]), "").alias("formatted"), spans.alias("mask"))
 
 
 def parse_turns(formatted: Column) -> Column:
