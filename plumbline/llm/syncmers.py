@@ -8,7 +8,8 @@ texts of any length, shorter than a k-mer too, are treated alike.
 
 The fingerprint lists all anchors with their places. Two texts are matched by position: an anchor counts
 together with the anchor before it and the distance of both, so what matches are runs of anchors that stand
-alike, wherever the run stands in its text. The likeness is the Jaccard similarity of these links.
+alike, wherever the run stands in its text. The likeness is the Jaccard similarity of these links, by hashes of 32
+bits, which are compared within two texts only.
 
 Defined cases: null is empty; an empty text, or one of blanks, has the empty fingerprint. Two equal
 fingerprints have likeness 1, an empty one and another 0. A null id is the smallest id. Rows that share an id
@@ -28,7 +29,8 @@ from plumbline.llm.workspace import Workspace
 #: Tokens of a k-mer (its s-mers are single tokens), characters of the longest token, rows of a range of ids.
 K, LONGEST, RANGE_ROWS = 4, 64, 200_000
 SINGLE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-TOKEN = rf"[{SINGLE}]|[^{SINGLE}\x20\x09-\x0D]{{1,{LONGEST}}}"
+BLANK = r"\x20\x09-\x0D"
+TOKEN = rf"[{SINGLE}]|[^{SINGLE}{BLANK}]{{1,{LONGEST}}}"
 #: Hash of the marks around a text: never smaller than a token's.
 EDGE = (1 << 63) - 1
 
@@ -39,7 +41,13 @@ def let(value: Column, body) -> Column:
 
 
 def token_hashes(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.xxhash64(t))
+    """Hashes of the tokens. Where all tokens are words, these are split, which gives the same as TOKEN."""
+    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(f"[{SINGLE}]")
+
+    def tokens(words: Column) -> Column:
+        return F.when(plain & ~F.exists(words, lambda w: F.octet_length(w) > LONGEST), words).otherwise(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)))
+
+    return F.transform(let(F.array_remove(F.split(text, f"[{BLANK}]+"), ""), tokens), lambda t: F.xxhash64(t))
 
 
 def anchors(text: Column) -> Column:
@@ -56,28 +64,30 @@ def anchors(text: Column) -> Column:
     return let(token_hashes(F.coalesce(text, F.lit(""))), lambda t: F.when(F.size(t) > 0, let(F.concat(edge, t, edge), of_tokens)).otherwise(none))
 
 
+def gap(found: Column, i: Column) -> Column:
+    """Distance of an anchor to the one before, 0 at the first: closed syncmers follow each other within K places."""
+    return F.when(i == 0, 0).otherwise(found[i]["place"] - found[i - 1]["place"])
+
+
 def printed(found: Column) -> Column:
-    """Anchors as text: for each one, the distance to the anchor before as a letter (closed syncmers follow each other within
-    K places, 'a' at the first) and the upper 36 bits of its hash in base 64, with blanks between."""
-    gap = lambda x, i: F.char(F.lit(97) + F.when(i == 0, 0).otherwise(x[i]["place"] - x[i - 1]["place"]))
-    return let(found, lambda x: F.array_join(F.transform(x, lambda a, i: F.concat(gap(x, i), F.substr(F.base64(F.unhex(F.lpad(F.hex(a["hash"]), 16, "0"))), F.lit(1), F.lit(6)))), " "))
+    """Anchors as text: ten hexadecimal digits for each, one of its distance to the anchor before and the upper nine of
+    its hash."""
+    digits = lambda x: F.transform(x, lambda a, i: F.concat(F.hex(gap(x, i)), F.substr(F.lpad(F.hex(a["hash"]), 16, "0"), F.lit(1), F.lit(9))))
+    return F.array_join(let(found, digits), "")
 
 
 def fingerprint(text: Column) -> Column:
     return printed(anchors(text))
 
 
-def links(print_: Column) -> Column:
-    """Each anchor of a fingerprint with its distance to the anchor before and that anchor."""
-    tokens = F.split(print_, " ")
-    return let(tokens, lambda t: F.transform(t, lambda a, i: F.when(i == 0, a).otherwise(F.concat(F.substr(t[i - 1], F.lit(2)), a))))
+def links(found: Column) -> Column:
+    """The distinct hashes of each anchor with its distance to the anchor before and that anchor."""
+    return F.array_distinct(let(found, lambda x: F.transform(x, lambda a, i: F.hash(F.when(i == 0, F.lit(0).cast("long")).otherwise(x[i - 1]["hash"]), gap(x, i), a["hash"]))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of the links of two fingerprints that they have in common."""
-    both = lambda x, y: F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-    parts = let(F.struct(links(a).alias("x"), links(b).alias("y")), lambda s: both(s["x"], s["y"]))
-    return F.when(a == b, F.lit(1.0)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(parts)
+    """Jaccard similarity of the links of two texts; 1 where neither has any."""
+    return let(F.size(F.array_intersect(a, b)), lambda n: F.when(F.size(a) + F.size(b) == 0, F.lit(1.0)).otherwise(n / (F.size(a) + F.size(b) - n)))
 
 
 def next_keys(keys: DataFrame, work: Workspace) -> DataFrame:
@@ -112,10 +122,11 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     wanted = next_keys(keys, work).join(keys, ["id", "th"])
     wanted = work.save(wanted.select(F.col("id").alias("for_id"), F.col("th").alias("for_th"), F.col("next_id").alias("id"), F.col("next_th").alias("th"), F.floor(F.col("n") / 3).cast("int").alias("third")), "wanted")
     one = rows.join(wanted, ["id", "th"]).select(F.col("for_id").alias("id"), F.col("for_th").alias("th"), "third", "text")
-    heads = one.select("id", "th", "third", F.substr("text", F.lit(1), F.col("third")).alias("head"), fingerprint(F.col("text")).alias("next_print"))
+    heads = one.select("id", "th", "third", F.substr("text", F.lit(1), F.col("third")).alias("head"), links(anchors(F.col("text"))).alias("next_links"))
     heads = heads.dropDuplicates(["id", "th"])
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - F.col("third")), F.col("head"))
-    both = rows.join(heads, ["id", "th"]).select("id", F.length("text").cast("long").alias("n_chars"), "text", edited.alias("edited"), "next_print")
-    prints = both.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("text")).alias("fingerprint"), fingerprint(F.col("edited")).alias("edited_fingerprint"), "next_print")
-    shared = [likeness(F.col("fingerprint"), F.col(c)).alias(n) for c, n in (("edited_fingerprint", "near_edited"), ("next_print", "near_next"))]
-    return prints.select(F.when(F.col("id") != least, F.col("id")).alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", *shared)
+    both = rows.join(heads, ["id", "th"]).select("id", "text", edited.alias("edited"), "next_links")
+    both = both.select("id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("other"), "next_links")
+    both = both.select("id", "n_chars", "edited_sha256", "own", "other", links(F.col("own")).alias("own_links"), links(F.col("other")).alias("other_links"), "next_links")
+    shared = [likeness(F.col("own_links"), F.col(c)).alias(n) for c, n in (("other_links", "near_edited"), ("next_links", "near_next"))]
+    return both.select(F.when(F.col("id") != least, F.col("id")).alias(id_col), "n_chars", "edited_sha256", printed(F.col("own")).alias("fingerprint"), printed(F.col("other")).alias("edited_fingerprint"), *shared)
