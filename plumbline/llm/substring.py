@@ -1,8 +1,8 @@
 """Substring dedup by level-wise doubling.
 
 Windows of a short length are compared first; only windows that repeat, and whose second half
-repeats too, are extended to twice the length, until the asked length is reached or no candidates
-survive. Each level is one packed exchange of (hash, document, start): a bucket sees every
+repeats too, are extended to twice the length (for an odd length the halves share a word), until the asked
+length is reached or no candidates survive. The last level compares hashes of 128 bits. Each level is one packed exchange of (hash, document, start): a bucket sees every
 occurrence of its hashes, but a block of input sends one occurrence of a hash only, so a passage
 that stands in a third of all documents adds one entry for each block.
 
@@ -28,9 +28,9 @@ BLOCK_WINDOWS = 1_000_000
 NO_ID = -(1 << 63)
 #: Hashes of the levels before the last only filter, so they may be shorter: so many bits more than the
 #: number of windows has, which lets one in 1024 pass by chance. That one is found out at the next level,
-#: which uses hashes of its own and all 64 bits at the end.
+#: which uses hashes of its own, of two times 64 bits at the end.
 SPARE_BITS = 10
-PACKED = "slot int, n long, h binary, d binary, p binary, m binary, k long, kd binary, kp binary"
+PACKED = "slot int, n long, h binary, d binary, p binary, m binary, g binary, k long, kd binary, kp binary"
 BY_DOC = "slot int, n long, d binary, p binary"
 STARTS = "id long, starts binary"
 
@@ -40,10 +40,11 @@ def id_of(column: str) -> Column:
 
 
 def level_lengths(window: int, least: int = 8) -> list[int]:
-    """Lengths that double up to window, from the shortest that is at least `least`."""
+    """Lengths up to window, each at most twice the one before it, from the shortest that is at least `least`; two
+    at least, if window has two words."""
     lengths = [window]
-    while lengths[0] % 2 == 0 and lengths[0] // 2 >= least:
-        lengths.insert(0, lengths[0] // 2)
+    while lengths[0] > 1 and (len(lengths) == 1 or -(-lengths[0] // 2) >= least):
+        lengths.insert(0, -(-lengths[0] // 2))
     return lengths
 
 
@@ -62,16 +63,14 @@ def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
-_PACKED = (["slot", "n", "h", "d", "p", "m", "k", "kd", "kp"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
+_PACKED = (["slot", "n", "h", "d", "p", "m", "g", "k", "kd", "kp"], [pa.int32(), pa.int64(), *[pa.binary()] * 5, pa.int64(), pa.binary(), pa.binary()])
 _BY_DOC = (["slot", "n", "d", "p"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()])
 
 
-def _groups(h: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For h in ascending order: whether each row's hash stands more than once, and whether the
-    row is the first of its hash by (document, start)."""
-    n = len(h)
-    new = np.ones(n, dtype=bool)
-    new[1:] = h[1:] != h[:-1]
+def _groups(new: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows ordered by hash, where new marks the first of each hash: whether each row's hash stands more
+    than once, and whether the row is the first of its hash by (document, start)."""
+    n = len(new)
     group = np.cumsum(new) - 1
     many = np.bincount(group)[group] > 1 if n else np.zeros(0, bool)
     first = ~many
@@ -88,23 +87,36 @@ def _groups(h: np.ndarray, d: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np
     return many, first
 
 
-def _emit(length: int, bits: int, slots: np.ndarray, survivors: bool):
+def _ordered(h: np.ndarray, g: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Order of rows by hash (and second hash), and which rows then start a hash."""
+    if g is None:
+        order = np.argsort(h, kind="stable")
+        new = np.append(True, h[order][1:] != h[order][:-1]) if len(h) else np.zeros(0, bool)
+        return order, new
+    order = np.lexsort((g, h))
+    x, y = h[order], g[order]
+    return order, np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])) if len(h) else np.zeros(0, bool)
+
+
+def _emit(length: int, half: int, bits: int, slots: np.ndarray, survivors: bool, last: bool):
     """Map side of a level: (id, text[, starts]) to packed windows, a block at a time."""
 
-    def flush(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], turn: int) -> pa.RecordBatch:
-        h, d, p = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(h, kind="stable")
+    def flush(parts: list[tuple[np.ndarray, ...]], turn: int) -> pa.RecordBatch:
+        h, d, p = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        g = np.concatenate([x[3] for x in parts]) if last else None
+        order, new = _ordered(h, g)
         h, d, p = h[order], d[order], p[order]
-        many, first = _groups(h, d, p)
+        many, first = _groups(new, d, p)
         one = first.copy()
         if many.any():  # of rows that are one occurrence, one is sent
-            rows = np.flatnonzero(first & many)
-            one[rows[1:][h[rows[1:]] == h[rows[:-1]]]] = False
+            rows, group = np.flatnonzero(first & many), np.cumsum(new)
+            one[rows[1:][group[rows[1:]] == group[rows[:-1]]]] = False
         known = ~first
-        rows = [(*x, 0, b"", b"") for x in X.pack_sorted(h[one], d[one], [p[one].astype(np.uint64), many[one].astype(np.uint64)], slots, bits)]
+        others = [p[one].astype(np.uint64), many[one].astype(np.uint64), *([g[order][one]] if last else [])]
+        rows = [(*x, *(() if last else (b"",)), 0, b"", b"") for x in X.pack_sorted(h[one], d[one], others, slots, bits)]
         if known.any():
             order = np.lexsort((p[known], d[known]))
-            rows.append((int(slots[turn % len(slots)]), 0, b"", b"", b"", b"", int(known.sum()), X.framed(d[known][order]), X.planes(p[known][order].astype(np.uint64))))
+            rows.append((int(slots[turn % len(slots)]), 0, b"", b"", b"", b"", b"", int(known.sum()), X.framed(d[known][order]), X.planes(p[known][order].astype(np.uint64))))
         return _batch(rows, *_PACKED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +139,16 @@ def _emit(length: int, bits: int, slots: np.ndarray, survivors: bool):
                         if raw:
                             s = decode_starts(raw) + head[k]
                             alive[s[s < head[k + 1]]] = True
-                    half = length // 2
-                    good = alive[at] & alive[np.minimum(at + half, len(words))]
+                    good = alive[at] & alive[np.minimum(at + length - half, len(words))]
+                    if last and good.any():
+                        g = T.window_hashes(T.span_hashes(data, start, end, T.SECOND_BYTE), doc, length, base=T.SECOND_WORD)[1][good]
                     at, h = at[good], h[good]
+                elif last:
+                    g = T.window_hashes(T.span_hashes(data, start, end, T.SECOND_BYTE), doc, length, base=T.SECOND_WORD)[1]
+                if not len(at):
+                    continue
                 d = doc[at]
-                parts.append((h & mask, ids[i:j][d], at - head[d]))
+                parts.append((h & mask, ids[i:j][d], at - head[d], *([g] if last else [])))
                 held += len(at)
                 if held >= BLOCK_WINDOWS:
                     yield flush(parts, turn)
@@ -149,27 +166,23 @@ def _decide(later_only: bool, slots: np.ndarray):
     """Reduce side of a level: the occurrences of hashes that repeat (or all but the first)."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, d, p, m, out_d, out_p = [], [], [], [], [], []
+        h, d, p, m, g, out_d, out_p = [], [], [], [], [], [], []
         for row in table.to_pylist():
             if row["n"]:
-                a, b, c, e = X.unpack(row["n"], row["h"], row["d"], [row["p"], row["m"]])
-                h.append(a), d.append(b), p.append(c), m.append(e)
+                a, b, c, e, *f = X.unpack(row["n"], row["h"], row["d"], [row["p"], row["m"], *([row["g"]] if row["g"] else [])])
+                h.append(a), d.append(b), p.append(c), m.append(e), g.extend(f)
             if row["k"]:
                 out_d.append(X.unframed(row["kd"], row["k"])), out_p.append(X.unplanes(row["kp"], row["k"]))
         if h:
             h, d, p, m = (np.concatenate(x) for x in (h, d, p, m))
-            order = np.argsort(h, kind="stable")
-            h, d, p, m = h[order], d[order], p[order], m[order]
-            many, first = _groups(h, d, p)
+            order, new = _ordered(h, np.concatenate(g) if g else None)
+            d, p, m = d[order], p[order], m[order]
+            many, first = _groups(new, d, p)
             if later_only:
                 hit = ~first
             else:  # a row that several rows of one document share isn't a repeat
-                several = np.zeros(len(h), dtype=bool)
-                new = np.ones(len(h), dtype=bool)
-                new[1:] = h[1:] != h[:-1]
                 group = np.cumsum(new) - 1
-                several = np.bincount(group, weights=~first)[group] > 0
-                hit = several | (m > 0)
+                hit = (np.bincount(group, weights=~first)[group] > 0) | (m > 0)
             out_d.append(d[hit]), out_p.append(p[hit])
         rows = []
         if out_d:
@@ -179,7 +192,7 @@ def _decide(later_only: bool, slots: np.ndarray):
             d, p, place = d[order], p[order], place[order]
             cut = np.searchsorted(place, np.arange(len(slots) + 1))
             rows = [(int(slots[b]), int(cut[b + 1] - cut[b]), X.framed(d[cut[b] : cut[b + 1]]), X.planes(p[cut[b] : cut[b + 1]])) for b in np.flatnonzero(np.diff(cut))]
-        del h, d, p, m, out_d, out_p
+        del h, d, p, m, g, out_d, out_p
         T.tidy()
         return pa.Table.from_batches([_batch(rows, *_BY_DOC)])
 
@@ -201,13 +214,13 @@ def text_size(docs: DataFrame) -> int:
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
 
 
-def repeated_starts(docs: DataFrame, length: int, alive: DataFrame | None, items: int, later_only: bool, last: bool) -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int, half: int, alive: DataFrame | None, items: int, later_only: bool, last: bool) -> DataFrame:
     """(id, starts) of the windows of this length that stand more than once; with later_only, of
-    those that also start earlier. alive: the starts that survived at half the length."""
+    those that also start earlier. alive: the starts that survived at the length half, of which two cover the window."""
     slots = X.even_slots(docs.sparkSession, items)
     source = docs if alive is None else docs.join(alive, "id")
     bits = 64 if last else min(64, items.bit_length() + SPARE_BITS)
-    packed = source.mapInArrow(_emit(length, bits, slots, alive is not None), PACKED)
+    packed = source.mapInArrow(_emit(length, half, bits, slots, alive is not None, last), PACKED)
     found = packed.groupBy("slot").applyInArrow(_decide(later_only, slots), BY_DOC)
     return found.groupBy("slot").applyInArrow(_by_document, STARTS)
 
@@ -215,12 +228,13 @@ def repeated_starts(docs: DataFrame, length: int, alive: DataFrame | None, items
 def removal_starts(docs: DataFrame, work: Workspace, window: int = 20) -> DataFrame:
     """(id, starts): windows of `window` words whose words also start earlier. docs: id, text."""
     items = text_size(docs) // 6 + 1
-    lengths, alive = level_lengths(window), None
+    lengths, alive, half = level_lengths(window), None, 0
     for length in lengths[:-1]:
-        alive = work.save(lambda length=length, alive=alive: repeated_starts(docs, length, alive, items, False, False), f"level{length}")
+        alive = work.save(lambda length=length, half=half, alive=alive: repeated_starts(docs, length, half, alive, items, False, False), f"level{length}")
         if alive.isEmpty():
             return alive
-    return work.save(lambda: repeated_starts(docs, window, alive, items, True, True), "later")
+        half = length
+    return work.save(lambda: repeated_starts(docs, window, half, alive, items, True, True), "later")
 
 
 def longest_repeats(docs: DataFrame, start: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -230,7 +244,7 @@ def longest_repeats(docs: DataFrame, start: int = 8, id_col: str = "doc_id", tex
     docs = docs.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items, alive, length, found = text_size(docs) // 6 + 1, None, start, None
     while True:
-        alive = work.save(lambda length=length, alive=alive: repeated_starts(docs, length, alive, items, False, True), f"level{length}")
+        alive = work.save(lambda length=length, alive=alive: repeated_starts(docs, length, length // 2, alive, items, False, True), f"level{length}")
         if alive.isEmpty():
             break
         level = alive.select("id", F.lit(length).cast("long").alias("length"))

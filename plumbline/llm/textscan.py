@@ -20,6 +20,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BASE_BYTE = 0x9E3779B97F4A7C15 | 1
 BASE_WORD = 0xC2B2AE3D27D4EB4F | 1
+#: Bases of second hashes, which have nothing in common with the first.
+SECOND_BYTE = 0xD1B54A32D192ED03 | 1
+SECOND_WORD = 0xAEF17502108EF2D9 | 1
 U = np.uint64
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -100,23 +103,23 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = SPACE
     return start, end, np.searchsorted(offsets, start, side="right") - 1
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE_BYTE) -> np.ndarray:
     """64-bit hash of each byte span, the same wherever the span stands."""
     if not len(start):
         return np.zeros(0, U)
-    up, down = powers(BASE_BYTE, len(data) + 1)
+    up, down = powers(base, len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=U)
     np.multiply(data, up[: len(data)], out=total[1:])
     np.cumsum(total[1:], out=total[1:])
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
 
 
-def window_hashes(words: np.ndarray, doc: np.ndarray, length: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(words: np.ndarray, doc: np.ndarray, length: int, salt: int = 0, base: int = BASE_WORD) -> tuple[np.ndarray, np.ndarray]:
     """First word index and hash of each run of length words that lies in one document."""
     n = len(words) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, U)
-    up, down = powers(BASE_WORD, len(words) + 1)
+    up, down = powers(base, len(words) + 1)
     total = np.zeros(len(words) + 1, dtype=U)
     np.cumsum(words * up[: len(words)], out=total[1:])
     first = np.flatnonzero(doc[:n] == doc[length - 1 :])

@@ -1,6 +1,10 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from plumbline.llm import substring
+from plumbline.llm import textscan as T
 from tests.llm.cases import docs, edge, empty, words
 
 
@@ -55,7 +59,38 @@ def test_repeated_rows_are_one_document(spark):
 
 
 def test_levels_double_until_none_survive(spark):
-    assert substring.level_lengths(20) == [10, 20] and substring.level_lengths(64) == [8, 16, 32, 64] and substring.level_lengths(21) == [21]
+    assert substring.level_lengths(20) == [10, 20] and substring.level_lengths(64) == [8, 16, 32, 64] and substring.level_lengths(21) == [11, 21]
     shared = words(4, 70)
     texts = {1: " ".join(shared), 2: " ".join(words(9, 9) + shared), 3: " ".join(words(8, 50))}
     assert {r.id: r.length for r in substring.longest_repeats(docs(spark, texts)).collect()} == {1: 64, 2: 64}
+
+
+def test_every_window_is_doubled(spark):
+    assert substring.level_lengths(20) == [10, 20] and substring.level_lengths(25) == [13, 25] and substring.level_lengths(13) == [7, 13]
+    assert substring.level_lengths(64) == [8, 16, 32, 64] and substring.level_lengths(1) == [1] and substring.level_lengths(2) == [1, 2]
+    rng, passages = random.Random(8), [words(("odd", k), 40) for k in range(3)]
+    texts = {k: " ".join(words(rng.random(), rng.randrange(20)) + rng.choice(passages)[rng.randrange(20) :] + words(rng.random(), 5)) for k in range(25)}
+    for window in (3, 13, 25):
+        rows = substring.remove_repeats(docs(spark, texts), window).collect()
+        assert {r.row.doc_id: (r.n_words, r.n_removed, r.kept) for r in rows} == brute(texts, window)
+
+
+def test_words_of_equal_first_hash_are_told_apart(spark, monkeypatch):
+    """The first hash of all windows made equal: the second alone decides."""
+    plain = T.window_hashes
+
+    def weak(words_, doc, length, salt=0, base=T.BASE_WORD):
+        at, h = plain(words_, doc, length, salt, base)
+        return at, (np.full(len(h), 5, dtype=np.uint64) if base == T.BASE_WORD else h)
+
+    shared = words("w", 30)
+    texts = {k: words(k, 25) + shared for k in range(4)}
+    column = pa.array([" ".join(t) for t in texts.values()])
+    monkeypatch.setattr(T, "window_hashes", weak)
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: type("C", (), {"partitionId": lambda self: 0})())
+    slots = np.array([0], dtype=np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), column], ["id", "text"])
+    packed = pa.Table.from_batches(list(substring._emit(20, 0, 64, slots, False, True)(iter([batch]))))
+    found = substring._by_document(substring._decide(True, slots)(packed))
+    want = brute({k: " ".join(t) for k, t in texts.items()})
+    assert {i: len(substring.decode_starts(s)) for i, s in zip(found["id"].to_pylist(), found["starts"].to_pylist())} == {k: 11 for k in (1, 2, 3)} and all(want[k][1] == 30 for k in (1, 2, 3))
