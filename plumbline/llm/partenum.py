@@ -42,7 +42,7 @@ from plumbline.llm.workspace import Workspace
 U = np.uint64
 BLOCK_SIGNATURES = 400_000
 #: Members of a block of a group, and shingles of a block of a family.
-BLOCK_MEMBERS, BLOCK_SHINGLES, OVERLAP_COLUMNS = 512, 1 << 18, 1024
+BLOCK_MEMBERS, BLOCK_SHINGLES, OVERLAP_COLUMNS = 512, 1 << 18, 512
 #: Cells of a sketch: about two for each shingle, between these powers of two.
 LEAST_BITS, MOST_BITS = 8, 13
 #: Bytes of sketches compared at a time, and the size from which a group is compared row by row.
@@ -285,11 +285,15 @@ def may_link(apart: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> n
     return ((100 + percent) * apart <= (100 - percent) * (n + m)) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
 
 
-def forest(near: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
-    """Edges (member, nearer to the hub) of a spanning forest of a graph, given as a symmetric matrix. Members of
-    one label are joined from the start. Each tree starts at the member with most neighbours."""
-    degree, found = near.sum(axis=1), []
-    free = degree > 0
+def forest(near: np.ndarray, own: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Edges (member, nearer to the hub) of a spanning forest of a graph between the members `own` and all: near has
+    a row for each of own and a column for each member. Members of one label are joined from the start. Each tree
+    starts at the member with most neighbours."""
+    degree = near.sum(axis=0)
+    place = np.full(near.shape[1], -1)
+    place[own] = np.arange(len(own))
+    degree[own] = np.maximum(degree[own], near.sum(axis=1))
+    found, free = [], degree > 0
     where: dict[int, list[int]] = {}
     for k in np.flatnonzero(free):
         where.setdefault(int(label[k]), []).append(int(k))
@@ -302,7 +306,8 @@ def forest(near: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
         for x in queue:
             if not free.any():
                 break
-            for y in np.flatnonzero(near[x] & free):
+            around = np.flatnonzero(near[place[x]] & free) if place[x] >= 0 else own[near[:, x] & free[own]]
+            for y in around:
                 if free[y]:
                     found.append((int(y), x))
                     same = where.pop(int(label[y]))
@@ -357,14 +362,14 @@ def _forests(percent: int):
         for g in np.flatnonzero(members > SMALL_GROUP):
             i, j = int(cut[g]), int(cut[g + 1])
             bits, m = folded(raw[i:j], int(least[g])), j - i
-            near = np.zeros((m, m), dtype=bool)
+            own = np.flatnonzero(~visiting[i:j])
+            near = np.zeros((len(own), m), dtype=bool)
             step = max(1, CHUNK_BYTES // (m * int(least[g])))
-            for x in range(0, m, step):
-                rows = slice(x, min(m, x + step))
+            for x in range(0, len(own), step):
+                rows = own[x : x + step]
                 apart = np.bitwise_count(bits[rows, None, :] ^ bits[None, :, :]).sum(axis=2, dtype=np.int64)
-                near[rows] = may_link(apart, n[i:j][rows, None], n[None, i:j], percent)
-            near &= (label[i:j, None] != label[None, i:j]) & ~(visiting[i:j, None] & visiting[None, i:j])
-            out.update((int(ids[i + p]), int(ids[i + q])) for p, q in forest(near, label[i:j]))
+                near[x : x + step] = may_link(apart, n[i:j][rows, None], n[None, i:j], percent) & (label[i:j][rows, None] != label[None, i:j])
+            out.update((int(ids[i + p]), int(ids[i + q])) for p, q in forest(near, own, label[i:j]))
         a, b = zip(*sorted(out)) if out else ((), ())
         T.tidy()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -385,10 +390,10 @@ def _linked(percent: int):
 
 
 def overlaps(sets: list[np.ndarray], own: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of the sets marked in own with all sets: products of 0-1 matrices over
+    """Sizes of the intersections of the sets listed in own with all sets: products of 0-1 matrices over
     the values that several sets have, OVERLAP_COLUMNS values at a time."""
     n = len(sets)
-    out = np.zeros((int(own.sum()), n), np.float32)
+    out = np.zeros((len(own), n), np.float32)
     value, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(n), [len(s) for s in sets])
     shared = count > 1
@@ -416,17 +421,16 @@ def _exact(percent: int):
         cut = np.append(np.flatnonzero(np.append(True, (unit[1:] != unit[:-1]) | (block[1:] != block[:-1]))), len(ids))
         out: set[tuple[int, int]] = set()
         for i, j in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            own = ~visiting[i:j]
-            if j - i < 2 or not own.any():
+            own = np.flatnonzero(~visiting[i:j])
+            if j - i < 2 or not len(own):
                 continue
             sets = [np.frombuffer(x.as_py(), U) for x in raw.slice(i, j - i)]
             n = np.array([len(s) for s in sets], dtype=np.float32)
             both = overlaps(sets, own)
-            near = np.zeros((j - i, j - i), dtype=bool)
-            near[own] = (both > 0) & (100 * both >= percent * (n[own, None] + n[None, :] - both))
-            near |= near.T
-            near &= label[i:j, None] != label[None, i:j]
-            out.update((int(ids[i + p]), int(ids[i + q])) for p, q in forest(near, label[i:j]))
+            near = np.empty(both.shape, dtype=bool)
+            for x, k in enumerate(own):
+                near[x] = (both[x] > 0) & (100 * both[x] >= percent * (n[k] + n - both[x])) & (label[i:j] != label[i + k])
+            out.update((int(ids[i + p]), int(ids[i + q])) for p, q in forest(near, own, label[i:j]))
         a, b = zip(*sorted(out)) if out else ((), ())
         T.tidy()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
@@ -479,10 +483,13 @@ class Sweep:
                 heads = named.groupBy("unit", "block", "label").agg(F.min("id").alias("id"))
                 room = heads.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("rooms"))
                 rows = heads.join(room, "unit").select("unit", F.pmod(F.xxhash64("id"), F.col("rooms")).cast("int").alias("block"), "id", "label", F.lit(False).alias("visiting"))
-            else:  # stragglers visit all blocks
-                stay = named.select("unit", "block", "id", "label", F.lit(False).alias("visiting"))
-                trip = named.where("label != top").select("unit", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "id", "label", F.lit(True).alias("visiting"), F.col("block").alias("own"))
-                rows = stay.unionByName(trip.where("block != own").drop("own"))
+            else:  # stragglers visit all blocks, so many at a time: a block then stands once for each load of visitors
+                loads = named.groupBy("unit").agg(F.ceil(F.sum((F.col("label") != F.col("top")).cast("int")) / BLOCK_MEMBERS).cast("int").alias("loads"))
+                named = named.join(loads, "unit")
+                block = lambda load: (F.col("block") * F.col("loads") + load).alias("block")
+                stay = named.select("unit", "id", "label", F.lit(False).alias("visiting"), "block", "loads", F.explode(F.sequence(F.lit(0), F.col("loads") - 1)).alias("load"))
+                trip = named.where("label != top").select("unit", "id", "label", F.lit(True).alias("visiting"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "loads", F.pmod(F.xxhash64("id"), F.col("loads")).cast("int").alias("load"), F.col("block").alias("own"))
+                rows = stay.unionByName(trip.where("block != own").drop("own")).select("unit", block(F.col("load")), "id", "label", "visiting")
             found = found.unionByName(self.meet(rows, step))
         return found
 
