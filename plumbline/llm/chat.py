@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from plumbline.llm.workspace import Workspace
+from plumbline.llm.workspace import Workspace, files_of
 
 CONTROL = r"(/?s>|/?INST\]|<SYS>>|</SYS>>)"
 OPEN, CLOSE = "<s>", "</s>"
@@ -77,7 +77,8 @@ class Tree:
         keys = messages.select("conv_id", "msg", "parent", "score")
         known = joined(keys, there, ["conv_id", "parent"], "left")
         tree = known.select("conv_id", "msg", F.when(F.col("known") & ~F.col("parent").eqNullSafe(F.col("msg")), F.col("parent")).alias("parent"), "score")
-        self.tree = self.work.save(tree, "tree")
+        self.files = files_of(messages.count())
+        self.tree = self.work.save(tree, "tree", files=self.files)
         while not self._double():
             pass
 
@@ -94,13 +95,13 @@ class Tree:
                 return True
             self.reach.append(state.select("conv_id", "msg", "to"))
             over = state.unionByName(done).select("conv_id", F.col("msg").alias("to"), F.col("to").alias("over"), F.col("depth").alias("more"), F.col("total").alias("above"))
-            further = self.work.save(joined(state, over, ["conv_id", "to"]).select("conv_id", "msg", F.col("over").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("above")).alias("total")), f"state{n}")
+            further = self.work.save(joined(state, over, ["conv_id", "to"]).select("conv_id", "msg", F.col("over").alias("to"), (F.col("depth") + F.col("more")).alias("depth"), (F.col("total") + F.col("above")).alias("total")), f"state{n}", small=True, files=self.files)
             done, state = done.unionByName(further.where("to is null")), further.where("to is not null")
         # No path is so long: what still points somewhere points into a loop.
         loop = state.select("conv_id", F.col("to").alias("msg")).distinct().withColumn("loop", F.lit(True))
         cut = joined(self.tree, loop, ["conv_id", "msg"], "left")
         self.work = Workspace(self.work.spark, "loops")
-        self.tree = self.work.save(cut.withColumn("parent", F.when(F.col("loop").isNull(), F.col("parent"))).drop("loop"), "tree")
+        self.tree = self.work.save(cut.withColumn("parent", F.when(F.col("loop").isNull(), F.col("parent"))).drop("loop"), "tree", files=self.files)
         return False
 
 
@@ -114,10 +115,10 @@ def best_paths(messages: DataFrame, work: Workspace, keep: int | None = 1) -> Da
     branch = leaves.withColumn("rank", F.row_number().over(W.partitionBy("conv_id").orderBy(mean.desc(), F.col("msg").asc_nulls_first())))
     if keep is not None:
         branch = branch.where(F.col("rank") <= keep)
-    found = work.save(branch.select("conv_id", F.col("msg").alias("leaf"), "rank", "msg", (F.col("depth") - 1).alias("turn")), "leaves")
+    found = work.save(branch.select("conv_id", F.col("msg").alias("leaf"), "rank", "msg", (F.col("depth") - 1).alias("turn")), "leaves", small=True, files=tree.files)
     for n, reach in enumerate(tree.reach):
         further = joined(found, reach, ["conv_id", "msg"]).select("conv_id", "leaf", "rank", F.col("to").alias("msg"), (F.col("turn") - (1 << n)).alias("turn"))
-        found = work.save(found.unionByName(further), f"paths{n}")
+        found = work.save(found.unionByName(further), f"paths{n}", small=True, files=tree.files)
     return found
 
 

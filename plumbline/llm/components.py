@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.workspace import Workspace
+from plumbline.llm.workspace import Workspace, files_of
 
 #: Labels that move in a round are broadcast up to this number of rows (16 bytes each), and joined beyond it over
 #: SALTS copies, so that no label's members lie in one task.
@@ -31,21 +31,26 @@ def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFr
     than links, and all aggregates combine before their exchange. Only labels that moved are joined by
     component; links to one id of very many are split by adaptive execution's skew join.
     """
+    files = files_of(links.count())
+
+    def save(table: DataFrame, step: str) -> DataFrame:
+        return work.save(table, f"{name}-{step}", small=True, files=files)
+
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    both = work.save(both, f"{name}-links", small=True)
-    labels = work.save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), f"{name}-0", small=True)
+    both = save(both, "links")
+    labels = save(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")), "0")
     n = 0
     while True:
         n += 1
         there = labels.select(F.col("id").alias("b"), F.col("component").alias("lb"))
         least = both.join(there, "b").groupBy(F.col("a").alias("id")).agg(F.min("lb").alias("near"))
-        seen = work.save(labels.join(least, "id").select("id", "component", "near"), f"{name}-{n}-near", small=True)
-        hooks = work.save(seen.where("near < component").groupBy(F.col("component").alias("root")).agg(F.min("near").alias("to")), f"{name}-{n}-hooks", small=True)
+        seen = save(labels.join(least, "id").select("id", "component", "near"), f"{n}-near")
+        hooks = save(seen.where("near < component").groupBy(F.col("component").alias("root")).agg(F.min("near").alias("to")), f"{n}-hooks")
         if hooks.isEmpty():
             return labels
         moved = spread(seen, "component", hooks, "to").select("id", F.least("component", F.coalesce("to", "component"), "near").alias("component"))
-        moved = work.save(moved, f"{name}-{n}-moved", small=True)
+        moved = save(moved, f"{n}-moved")
         roots = moved.where("id != component").select(F.col("id").alias("root"), F.col("component").alias("to"))
         used = moved.where("id != component").select(F.col("component").alias("root")).distinct()
-        roots = work.save(roots.join(used, "root", "left_semi"), f"{name}-{n}-roots", small=True)
-        labels = work.save(spread(moved, "component", roots, "to").select("id", F.coalesce("to", "component").alias("component")), f"{name}-{n}", small=True)
+        roots = save(roots.join(used, "root", "left_semi"), f"{n}-roots")
+        labels = save(spread(moved, "component", roots, "to").select("id", F.coalesce("to", "component").alias("component")), f"{n}")

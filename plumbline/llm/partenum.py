@@ -37,7 +37,7 @@ from plumbline.llm import exchange as X
 from plumbline.llm import textscan as T
 from plumbline.llm.components import connected_components
 from plumbline.llm.substring import NO_ID, _batch, id_of, text_size
-from plumbline.llm.workspace import Workspace
+from plumbline.llm.workspace import Workspace, files_of
 
 U = np.uint64
 BLOCK_SIGNATURES = 400_000
@@ -441,27 +441,28 @@ def _exact(percent: int):
 LINKS = "a long, b long"
 
 
-def chosen(table: DataFrame, ids: DataFrame, work: Workspace, name: str) -> DataFrame:
-    """The rows of table whose id is in ids; these are broadcast if they are few enough."""
-    ids = work.save(ids.select("id").distinct(), f"{name}ids", small=True)
-    return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+def chosen(table: DataFrame, ids: DataFrame, at_most: int) -> DataFrame:
+    """The rows of table whose id is in ids, of which there are so many at most; few are broadcast."""
+    ids = ids.select("id").distinct()
+    return table.join(F.broadcast(ids) if at_most <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
 class Sweep:
     """Compares the members of units in blocks until every two of them that don't have one label have met."""
 
-    def __init__(self, work: Workspace, name: str, payload: DataFrame, compare, per_row: int, settle: Callable[[DataFrame, str], DataFrame]):
-        self.work, self.name, self.payload, self.compare, self.settle, self.per_row = work, name, payload, compare, settle, per_row
+    def __init__(self, work: Workspace, name: str, payload: DataFrame, compare, per_row: int, settle: Callable[[DataFrame, str], DataFrame], files: int):
+        self.work, self.name, self.payload, self.compare, self.settle = work, name, payload, compare, settle
+        self.per_row, self.files = per_row, files
 
     def meet(self, rows: DataFrame, step: str) -> DataFrame:
         """rows (unit, block, id, label, visiting) to links, by compare and settle."""
         name = f"{self.name}-{step}"
-        rows = self.work.save(rows, f"{name}-rows", small=True)
+        rows = self.work.save(rows, f"{name}-rows", small=True, files=self.files)
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(4 * parts, rows.count() * self.per_row // BUCKET_WORDS)
         slot = F.pmod(F.xxhash64("unit", "block"), F.lit(buckets)).cast("int").alias("slot")
         whole = rows.join(self.payload, "id").select(slot, "unit", "block", "id", "label", "visiting", *[c for c in self.payload.columns if c != "id"])
-        return self.settle(self.work.save(lambda: whole.groupBy("slot").applyInArrow(self.compare, LINKS).distinct(), name), name)
+        return self.settle(self.work.save(lambda: whole.groupBy("slot").applyInArrow(self.compare, LINKS).distinct(), name, files=self.files), name)
 
     def run(self, rows: DataFrame, links: DataFrame) -> DataFrame:
         """rows (unit, id, blocks); links (a, b) that hold already. All links found: with those given they join all
@@ -476,7 +477,7 @@ class Sweep:
             label = connected_components(links.unionByName(found), work, f"{name}-{step}")
             named = wide.join(label, "id", "left").select("unit", "id", "blocks", "block", F.coalesce("component", "id").alias("label"))
             tally = named.groupBy("unit", "label").agg(F.count("*").alias("n")).groupBy("unit").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
-            named = work.save(named.join(tally.select("unit", F.col("top.label").alias("top")), "unit"), f"{name}-{step}-named")
+            named = work.save(named.join(tally.select("unit", F.col("top.label").alias("top")), "unit"), f"{name}-{step}-named", files=self.files)
             if named.isEmpty():
                 return found
             if step == "heads":  # one member of each label of a block
@@ -502,31 +503,33 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     docs = docs.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     if not docs.groupBy("id").count().where("count > 1").isEmpty():
         docs = docs.groupBy("id").agg(F.min("text").alias("text"))
-    items = text_size(docs) // 6 * 3 * (100 - percent) // (100 + percent) * 2 + 1
+    size = text_size(docs)
+    items, files = size // 6 * 3 * (100 - percent) // (100 + percent) * 2 + 1, files_of(text=size)
     slots = X.even_slots(spark, items)
-    groups = work.save(lambda: docs.mapInArrow(_emit(width, percent, slots), PACKED).groupBy("slot").applyInArrow(_group, GROUPS), "groups")
+    groups = work.save(lambda: docs.mapInArrow(_emit(width, percent, slots), PACKED).groupBy("slot").applyInArrow(_group, GROUPS), "groups", files=files)
     equal = groups.where("kind = 0").select("a", "b")
-    members = work.save(lambda: groups.where("kind = 1").select(F.col("a").alias("unit"), F.col("b").alias("id")).distinct(), "members")
-    sketches = work.save(lambda: docs.mapInArrow(_sketches(width), "id long, n long, sketch binary").join(members.select("id").distinct(), "id", "left_semi"), "sketches")
+    members = work.save(lambda: groups.where("kind = 1").select(F.col("a").alias("unit"), F.col("b").alias("id")).distinct(), "members", files=files)
+    sketches = work.save(lambda: docs.mapInArrow(_sketches(width), "id long, n long, sketch binary").join(members.select("id").distinct(), "id", "left_semi"), "sketches", files=files)
     tried: list[DataFrame] = []
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-        sets = work.save(lambda: chosen(docs, ids, work, name).mapInArrow(_sets(width), "id long, n long, shingles binary"), f"{name}-sets")
+        count = pairs.count()
+        sets = work.save(lambda: chosen(docs, ids, 2 * count).mapInArrow(_sets(width), "id long, n long, shingles binary"), f"{name}-sets", files=files)
         one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        tried.append(work.save(lambda: pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), f"{LINKS}, link boolean"), f"{name}-checked"))
+        tried.append(work.save(lambda: pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), f"{LINKS}, link boolean"), f"{name}-checked", files=files))
         return tried[-1].where("link").select("a", "b")
 
     blocks = members.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    links = Sweep(work, "near", sketches, _forests(percent), 16, checked).run(members.join(blocks, "unit"), spark.createDataFrame([], LINKS)).unionByName(equal)
+    links = Sweep(work, "near", sketches, _forests(percent), 16, checked, files).run(members.join(blocks, "unit"), spark.createDataFrame([], LINKS)).unionByName(equal)
     label = connected_components(links, work, "labels")
     apart = [t.where("not link") for t in tried]
     if all(t.isEmpty() for t in apart):
         return label
-    return exact(docs, tried, links, label, work, width, percent)
+    return exact(docs, tried, links, label, work, width, percent, files)
 
 
-def exact(docs: DataFrame, tried: list[DataFrame], links: DataFrame, label: DataFrame, work: Workspace, width: int, percent: int) -> DataFrame:
+def exact(docs: DataFrame, tried: list[DataFrame], links: DataFrame, label: DataFrame, work: Workspace, width: int, percent: int, files: int) -> DataFrame:
     """Components of true links, where some pairs that sketches couldn't tell apart are no links: the members
     of their families are compared by their sets as far as they have several labels."""
     pairs = tried[0].select("a", "b")
@@ -535,11 +538,12 @@ def exact(docs: DataFrame, tried: list[DataFrame], links: DataFrame, label: Data
     family = connected_components(pairs, work, "families").withColumnRenamed("component", "unit")
     family = family.join(label.withColumnRenamed("component", "label"), "id", "left").select("id", "unit", F.coalesce("label", "id").alias("label"))
     mixed = family.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("unit")
-    family = work.save(family.join(mixed, "unit", "left_semi").select("id", "unit"), "mixed")
-    sets = work.save(lambda: chosen(docs, family, work, "mixed").mapInArrow(_sets(width), "id long, n long, shingles binary"), "mixedsets")
+    family = work.save(family.join(mixed, "unit", "left_semi").select("id", "unit"), "mixed", files=files)
+    count = family.count()
+    sets = work.save(lambda: chosen(docs, family, count).mapInArrow(_sets(width), "id long, n long, shingles binary"), "mixedsets", files=files)
     blocks = family.join(sets.select("id", "n"), "id").groupBy("unit").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     mean = int(sets.agg(F.avg("n")).first()[0] or 1)
-    more = Sweep(work, "exact", sets, _exact(percent), mean, lambda pairs, name: pairs).run(family.join(blocks, "unit"), links)
+    more = Sweep(work, "exact", sets, _exact(percent), mean, lambda pairs, name: pairs, files).run(family.join(blocks, "unit"), links)
     return label if more.isEmpty() else connected_components(links.unionByName(more), work, "final")
 
 

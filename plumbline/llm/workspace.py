@@ -47,6 +47,15 @@ def _forget(work: Workspace) -> None:
         pass
 
 
+#: Rows of ids and labels in a file, and bytes of texts whose results go to one file: a table is written in as many
+#: files as its size needs, not in one for each shuffle partition.
+FILE_ROWS, FILE_TEXT = 200_000, 8 << 20
+
+
+def files_of(rows: int = 0, text: int = 0) -> int:
+    return max(1, -(-rows // FILE_ROWS), -(-text // FILE_TEXT))
+
+
 class Workspace:
     """Named parquet tables below the shared folder, for one run of an operator. Results are read from them, so
     they are removed when the driver ends."""
@@ -60,11 +69,13 @@ class Workspace:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def save(self, df: DataFrame | Callable[[], DataFrame], table: str, small: bool = False) -> DataFrame:
+    def save(self, df: DataFrame | Callable[[], DataFrame], table: str, small: bool = False, files: int | None = None) -> DataFrame:
         """Writes df and reads it back: lost executors repeat tasks, never the lineage before. Given a
         function that makes df, nothing holds on to the plan afterwards and its shuffle files can go; for small
-        tables that isn't worth a collection."""
+        tables that isn't worth a collection. files: how many at most."""
         made = df() if callable(df) else df
+        if files is not None:
+            made = made.coalesce(files)
         made.write.mode("overwrite").parquet(self.path(table))
         del made, df
         if not small:
