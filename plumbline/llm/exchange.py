@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import SparkSession
 
 U = np.uint64
-BUCKET_ITEMS = 1_000_000
+BUCKET_ITEMS = 400_000
 
 
 def _murmur3_int(x: np.ndarray, seed: int = 42) -> np.ndarray:

@@ -24,7 +24,7 @@ from plumbline.llm import exchange as X
 from plumbline.llm import textscan as T
 from plumbline.llm.workspace import Workspace
 
-BLOCK_WINDOWS = 1_000_000
+BLOCK_WINDOWS = 500_000
 NO_ID = -(1 << 63)
 #: Hashes of the levels before the last only filter, so they may be shorter: so many bits more than the
 #: number of windows has, which lets one in 1024 pass by chance. That one is found out at the next level,

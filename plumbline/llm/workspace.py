@@ -15,7 +15,7 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 #: Rows of whole texts in one batch to Python, where the session has Spark's default of 10,000.
 BATCH_KEY, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Bytes of one batch, where the session sets none, so that very long texts come a few at a time.
-BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+BYTES_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 _batch_bytes: set[str] = set()
 
 
