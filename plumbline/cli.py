@@ -1,4 +1,4 @@
-"""Commands for spark-submit: score, classify, check and info over a corpus; exit code 1 on a failed gate.
+"""Commands for spark-submit over a corpus (see COMMANDS), and info; exit code 1 on a failed gate.
 
     spark-submit --py-files plumbline.zip plumbline/cli.py score corpus.parquet --fail-over 0.7
 """
@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from plumbline import plans
 from plumbline.plans.catalog import OPERATORS
 
-COMMANDS = {"score": "doc_structural_score", "classify": "signals_noisy_or", "check": "rhetorical_findings_seeded", "gates": "gate_results_seeded"}
+#: What each command runs over the texts as they are.
+COMMANDS = {"score": "doc_structural_score", "total": "score_with_floors", "classify": "signals_noisy_or", "signals": "classifier_signals", "check": "rhetorical_findings", "gates": "gate_results", "paste": "paste_artifacts"}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,10 @@ TRIM = r"^[\s]+|[\s]+$"
 class Spark:
     name = "spark"
 
+    def __init__(self, seeds: bool = True):
+        #: Whether operators whose name ends in _seeded append their example sentences to the texts.
+        self.seeds = seeds
+
     def lit(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
 
@@ -57,7 +61,7 @@ class Spark:
         """Occurrences of the most frequent element; 0 for none. One pass over the sorted array."""
         start = "named_struct('p', '', 'r', 0, 'm', 0)"
         step = "named_struct('p', x, 'r', if(x = s.p, s.r + 1, 1), 'm', greatest(s.m, if(x = s.p, s.r + 1, 1)))"
-        return f"aggregate(array_sort({a}), {start}, (s, x) -> {step}, s -> s.m)"
+        return f"aggregate(sort_array({a}), {start}, (s, x) -> {step}, s -> s.m)"
 
     def common(self, a: str, b: str) -> str:
         return f"array_intersect({a}, {b})"
@@ -114,6 +118,21 @@ class Spark:
         body = ", ".join("(" + ", ".join(self.lit(v) if isinstance(v, str) else f"{v}D" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
         return f"(SELECT * FROM VALUES {body} AS t({', '.join(names)}))"
 
+    def part(self, x: str, i: int) -> str:
+        """Part i, from 1, of a text cut at |."""
+        return f"split_part({x}, '|', {i})"
+
+    def fold(self, a: str, start: str, body: str) -> str:
+        """Text s, first start, taken through body for each text x of the array."""
+        return f"aggregate({a}, {start}, (s, x) -> {body})"
+
+    def let(self, x: str, v: str, body: str) -> str:
+        """body with v for x, which is evaluated once a row, even where body uses it in a lambda."""
+        return f"element_at({self.map(self.array(x), v, body)}, 1)"
+
+    def captured(self, x: str, pattern: str) -> str:
+        return f"regexp_extract_all({x}, {self.lit(pattern)}, 1)"
+
     def percentile(self, x: str, p: float) -> str:
         return f"percentile_disc({p}) WITHIN GROUP (ORDER BY {x})"
 
@@ -210,8 +229,15 @@ class Duck(Spark):
         body = ", ".join("(" + ", ".join(self.lit(v) if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
         return f"(SELECT * FROM (VALUES {body}) AS t({', '.join(names)}))"
 
+    def let(self, x: str, v: str, body: str) -> str:
+        return f"list_extract({self.map(self.array(x), v, body)}, 1)"
+
+    def fold(self, a: str, start: str, body: str) -> str:
+        return f"list_reduce(list_concat([{start}], {a}), lambda s, x: {body})"
+
     def percentile(self, x: str, p: float) -> str:
         return f"quantile_disc({x}, {p})"
 
 
 SPARK, DUCK = Spark(), Duck()
+PLAIN_SPARK, PLAIN_DUCK = Spark(seeds=False), Duck(seeds=False)

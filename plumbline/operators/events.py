@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.functions import expressions as E
+from plumbline.operators.matching import seeded
 from plumbline.plans.catalog import operator
 
 
@@ -78,17 +79,17 @@ DIFF = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n@@ -1,3 +1,4 @@\n a =
 
 
 def diff_lines(q) -> str:
-    """CTE n: the lines of a unified diff for each seeded document, with file, hunk start and new line number:
+    """CTE n: the lines of the unified diffs that a text holds, with file, hunk start and new line number:
     headers carried forward by windows."""
     x = q.explode("doc_id", "d", "ls", "pos", "line")
     last = "last_value({} IGNORE NULLS)" if q.name == "duckdb" else "last_value({}, true)"
     win = "OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)"
     file = q.sub("line", "^[+]{3} b/", "")
     start = q.sub("line", "^@@ -[0-9,]+ [+]([0-9]+).*$", "$1")
-    return f"""WITH d AS (SELECT doc_id, {E.lines(q, q.lit(DIFF))} AS ls FROM documents WHERE doc_id % 50 = 0), x AS ({x}),
+    return f"""WITH d AS (SELECT doc_id, {E.lines(q, seeded(q, ["", chr(10) + DIFF]))} AS ls FROM documents), x AS ({x}),
 h AS (SELECT doc_id, pos, line, CASE WHEN {q.starts('line', '+++ b/')} THEN {file} END AS f, CASE WHEN {q.starts('line', '@@ ')} THEN cast({start} AS INT) END AS st FROM x),
 c AS (SELECT doc_id, pos, line, {last.format('f')} {win} AS path, {last.format('st')} {win} AS start_, {last.format('CASE WHEN st IS NOT NULL THEN pos END')} {win} AS hunk FROM h),
-n AS (SELECT *, start_ - 1 + sum(CASE WHEN {q.starts('line', '-')} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, hunk ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS new_line FROM c WHERE path IS NOT NULL AND hunk IS NOT NULL AND NOT {q.starts('line', 'diff ')} AND NOT {q.starts('line', '--- ')} AND NOT {q.starts('line', '+++ ')})"""
+n AS (SELECT *, start_ - 1 + sum(CASE WHEN {q.starts('line', '-')} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, hunk ORDER BY pos ROWS UNBOUNDED PRECEDING) - 1 AS new_line FROM c WHERE path IS NOT NULL AND hunk IS NOT NULL AND line <> '' AND NOT {q.starts('line', 'diff ')} AND NOT {q.starts('line', '--- ')} AND NOT {q.starts('line', '+++ ')})"""
 
 
 @operator()

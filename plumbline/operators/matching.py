@@ -1,8 +1,10 @@
 """Lexicon matching as joins.
 
-Each token position starts a short run of words; a broadcast join on the first word finds the terms that may
-start there, and the run's words decide. Where matches overlap the longest stands (then the first), as an
-anti-join within the document. Terms are matched by words, so punctuation inside a term doesn't count.
+Two ways. `held` finds which terms of a lexicon a document has, inside the row: terms whose first word
+occurs are looked for longest first, and what one term takes no other takes. `matches` gives places: each
+position at which a term may start becomes a row with a short run of words, which is joined with the lexicon; where
+matches overlap the longest stands (then the first), as an anti-join within the document. Terms are matched by
+words, so punctuation inside a term doesn't count.
 """
 
 from __future__ import annotations
@@ -13,7 +15,8 @@ from plumbline.functions import lexicon as L
 from plumbline.functions.dialect import Spark
 from plumbline.plans.catalog import operator
 
-SPAN = 9
+#: Terms of a lexicon that may be broadcast.
+BROADCAST_TERMS = 20_000
 
 
 def rows_of(families: dict[str, dict[str, tuple[float, list[str]]]]) -> list[tuple]:
@@ -24,7 +27,7 @@ def rows_of(families: dict[str, dict[str, tuple[float, list[str]]]]) -> list[tup
         for category, (confidence, terms) in categories.items():
             for term in terms:
                 words = re.findall(r"\w+", term.lower())
-                if words and len(words) <= SPAN:
+                if words:
                     out.append((family, category, float(confidence), term.lower(), " ".join(words), words[0], len(words)))
     return sorted(set(out))
 
@@ -42,23 +45,49 @@ def full_lexicon() -> dict:
     }
 
 
+def held(q: Spark, categories: dict[str, tuple[float, list[str]]], w: str = "w") -> str:
+    """Array of the categories' names, one for each different word sequence of theirs that the words w hold; of terms
+    that overlap the longest (then the first in order) counts. A sequence of several categories counts for each."""
+    names: dict[str, set[str]] = {}
+    for _, category, _, _, words, *_ in rows_of({"f": categories}):
+        names.setdefault(words, set()).add(category)
+    terms = sorted(names, key=lambda t: (-len(t), t))
+    entries = [f"{t.split()[0]}| {t.replace(' ', '  ')} | {''.join(f'<{c}>' for c in sorted(names[t]))}#{i}# " for i, t in enumerate(terms)]
+    firsts = q.common(w, q.array_of(sorted({t.split()[0] for t in terms})))
+    able = q.let(firsts, "y", q.filter(q.array_of(entries), "x", q.contains("y", q.part("x", 1))))
+    line = f"concat(' ', {q.join(w, '  ')}, ' ')"
+    # Each term leaves its marks once or more: marks carry the term's number, so that they are told apart.
+    marked = q.fold(able, line, f"replace(s, {q.part('x', 2)}, {q.part('x', 3)})")
+    marks = q.distinct(q.all(marked, "(?:<[^<>]*>)+#[0-9]+#"))
+    return q.captured(q.join(marks, ""), "<([^<>]*)>")
+
+
+def of(q: Spark, names: str, *categories: str) -> str:
+    """How many of the names are one of the categories."""
+    return q.size(q.filter(names, "x", " OR ".join(f"x = {q.lit(c)}" for c in categories)))
+
+
 def matches(q: Spark, families: dict, source: str = "prep", suppress: bool = True) -> str:
     """CTEs lexicon, found and kept: (doc_id, family, category, confidence, term, pos, n). Overlaps are
     settled within a family, as each family is matched on its own."""
-    lex = q.values(rows_of(families), ["family", "category", "confidence", "term", "words", "first", "n"])
-    n = q.size("w")
-    run = f"slice(w, i, {SPAN})" if q.name == "spark" else f"list_slice(w, i, i + {SPAN - 1})"
+    rows = rows_of(families)
+    lex, span = q.values(rows, ["family", "category", "confidence", "term", "words", "first", "n"]), max(r[-1] for r in rows)
+    n, firsts = q.size("z.w"), q.array_of(sorted({r[-2] for r in rows}))
+    run = f"slice(z.w, i, {span})" if q.name == "spark" else f"list_slice(z.w, i, i + {span - 1})"
     steps = f"CASE WHEN {n} > 0 THEN sequence(1, {n}) ELSE cast(array() AS array<int>) END" if q.name == "spark" else f"range(1, {n} + 1)"
+    able = q.filter(steps, "i", q.contains("z.fw", "element_at(z.w, i)" if q.name == "spark" else "list_extract(z.w, i)"))
     part = "slice(g, 1, l.n)" if q.name == "spark" else "list_slice(g, 1, l.n)"
-    exploded = q.explode("doc_id", f"(SELECT doc_id, {q.map(steps, 'i', run)} AS gs FROM {source}) r", "gs", "pos", "g")
-    hint = "/*+ BROADCAST(l) */ " if q.name == "spark" else ""
+    packed = "named_struct('at', i - 1, 'run', {})" if q.name == "spark" else "{{'at': i - 1, 'run': {}}}"
+    both = f"named_struct('w', w, 'fw', {q.common('w', firsts)})" if q.name == "spark" else f"{{'w': w, 'fw': {q.common('w', firsts)}}}"
+    exploded = q.explode("doc_id", f"(SELECT doc_id, {q.let(both, 'z', q.map(able, 'i', packed.format(run)))} AS gs FROM {source}) r", "gs", "nth", "v")
+    hint = "/*+ BROADCAST(l) */ " if q.name == "spark" and len(rows) <= BROADCAST_TERMS else ""
     kept = "SELECT * FROM found"
     if suppress:
         kept = """SELECT a.* FROM found a LEFT JOIN (SELECT DISTINCT a.doc_id, a.family, a.term, a.pos FROM found a JOIN found b
 ON a.doc_id = b.doc_id AND a.family = b.family AND a.pos < b.pos + b.n AND b.pos < a.pos + a.n
 AND (length(b.words) > length(a.words) OR (length(b.words) = length(a.words) AND b.pos < a.pos))) x
 ON a.doc_id = x.doc_id AND a.family = x.family AND a.term = x.term AND a.pos = x.pos WHERE x.doc_id IS NULL"""
-    return f"""lexicon AS {lex}, runs AS ({exploded}),
+    return f"""lexicon AS {lex}, runs0 AS ({exploded}), runs AS (SELECT doc_id, v.at AS pos, v.run AS g FROM runs0),
 found AS (SELECT {hint}r.doc_id, l.family, l.category, l.confidence, l.term, l.words, r.pos, l.n FROM runs r JOIN lexicon l ON {q.at('g', 1)} = l.first AND {q.join(part, ' ')} = l.words),
 kept AS ({kept})"""
 
@@ -82,6 +111,9 @@ SEEDS = [
 
 
 def seeded(q: Spark, seeds: list[str] = SEEDS, text: str = "text") -> str:
+    """The text with the document's example sentence, if the dialect says so."""
+    if not q.seeds:
+        return f"coalesce({text}, '')"
     cases = " ".join(f"WHEN {i} THEN {q.lit(' ' + s)}" for i, s in enumerate(seeds) if s)
     return f"concat(coalesce({text}, ''), CASE doc_id % {len(seeds)} {cases} ELSE '' END)"
 

@@ -5,30 +5,35 @@ from __future__ import annotations
 from plumbline.functions import expressions as E
 from plumbline.functions import lexicon as L
 from plumbline.functions.dialect import Spark
-from plumbline.operators.matching import full_lexicon, matches, seeded
+from plumbline.operators.matching import full_lexicon, held, of, seeded
 from plumbline.operators.structure import LIST_LINE, base, content, portable, rates
 from plumbline.plans.catalog import operator
 
+# Fixed values.
 PROVENANCE = {"turn_search": E.word("turn[0-9]+search[0-9]+"), "citation_artifact": r":contentReference\[", "placeholder_date": E.word("(?:19|20)[0-9]{2}-XX-XX"), "pua_characters": r"[\x{e000}-\x{f8ff}]"}
 
 
+def terms(q: Spark) -> str:
+    """Columns of the lexicon terms that the words hold, and how many there are of each kind. Of phrases a
+    category counts from its minimum on."""
+    lex = full_lexicon()
+    counts = {c: of(q, "hp", c) for c in L.PHRASES}
+    least = {c: L.RAISED_MIN_HITS.get(c, L.PHRASE_MIN_HITS) for c in L.PHRASES}
+    phrases = " + ".join(f"CASE WHEN {n} >= {least[c]} THEN {n} ELSE 0 END" for c, n in counts.items())
+    strong = [c for c, (conf, _) in L.PHRASES.items() if conf >= 0.75]
+    return f"""h AS (SELECT *, {held(q, lex['buzzword'])} AS hb, {held(q, lex['phrase'])} AS hp, {held(q, lex['multilingual'])} AS hm, {held(q, lex['authority'])} AS ha FROM prep),
+counted AS (SELECT *, {q.size('hb')} AS buzz, {phrases} AS phr, {q.size('hm')} AS multi, {q.size('ha')} AS auth, CASE WHEN {of(q, 'hp', *strong)} > 0 THEN 1 ELSE 0 END AS high_conf FROM h)"""
+
+
 def dimensions(q: Spark) -> str:
-    """CTEs up to dims: the 14 normalised dimensions and the counts that floors need."""
-    lex = full_lexicon() | {"moral": {"moral": (0.6, L.MORALS)}}
+    """CTEs up to dims: the 14 normalised dimensions and the counts that floors need. One pass over each text."""
     em, ell, bang = rates(q)
     prov = " + ".join(q.count("t", p) for p in PROVENANCE.values())
-    least = "CASE " + " ".join(f"WHEN category = '{c}' THEN {n}" for c, n in L.RAISED_MIN_HITS.items()) + f" ELSE {L.PHRASE_MIN_HITS} END"
-    strong = ", ".join(f"'{c}'" for c, (conf, _) in L.PHRASES.items() if conf >= 0.75)
     p = q.size(q.filter("s", "y", portable(q, "y")))
     return f"""{base(q, text=seeded(q))},
-{matches(q, {k: v for k, v in lex.items() if k != 'moral'})},
-perc AS (SELECT doc_id, family, category, count(DISTINCT term) AS n FROM kept GROUP BY doc_id, family, category),
-perd AS (SELECT doc_id, sum(CASE WHEN family = 'buzzword' THEN n ELSE 0 END) AS buzz, sum(CASE WHEN family = 'phrase' AND n >= {least} THEN n ELSE 0 END) AS phr,
-sum(CASE WHEN family = 'multilingual' THEN n ELSE 0 END) AS multi, sum(CASE WHEN family = 'authority' THEN n ELSE 0 END) AS auth,
-max(CASE WHEN family = 'phrase' AND category IN ({strong}) THEN 1 ELSE 0 END) AS high_conf FROM perc GROUP BY doc_id),
-e AS (SELECT *, {q.size('w')} AS nw, {q.size('s')} AS ns, {E.lines(q, E.trim(q, 't'))} AS ls, {content(q, f"coalesce({q.at('s', 1)}, '')")} AS a, {content(q, f"coalesce({q.at('s', -1)}, '')")} AS z FROM prep),
-f AS (SELECT e.*, coalesce(perd.buzz, 0) AS buzz, coalesce(perd.phr, 0) AS phr, coalesce(perd.multi, 0) AS multi, coalesce(perd.auth, 0) AS auth, coalesce(perd.high_conf, 0) AS high_conf,
-{em} + {ell} + {bang} AS punct, {em} AS em, {E.spread(q, 'n')} AS burst, {prov} AS prov FROM e LEFT JOIN perd ON e.doc_id = perd.doc_id),
+{terms(q)},
+e AS (SELECT *, {q.size('w')} AS nw, {q.size('s')} AS ns, {E.lines(q, E.trim(q, 't'))} AS ls, {content(q, f"coalesce({q.at('s', 1)}, '')")} AS a, {content(q, f"coalesce({q.at('s', -1)}, '')")} AS z FROM counted),
+f AS (SELECT *, {em} + {ell} + {bang} AS punct, {em} AS em, {E.spread(q, 'n')} AS burst, {prov} AS prov FROM e),
 dims0 AS (SELECT doc_id, buzz, phr, multi, auth, high_conf, prov, em, burst, ns,
 CASE WHEN nw > 0 THEN greatest(0.0, (0.5 - cast({q.size(q.distinct('w'))} AS DOUBLE) / nw) / 0.5) ELSE 1.0 END AS density,
 CASE WHEN nw > 0 THEN least(1.0, cast({q.most('w')} AS DOUBLE) / nw / 0.3) ELSE 0.0 END AS repetition,
@@ -67,7 +72,7 @@ def scorer_weighted_seeded(q):
 
 @operator()
 def scorer_geomean_seeded(q):
-    return f"{dimensions(q)}, o AS (SELECT doc_id, round(least(1.0, {total(True)}), 3) AS score FROM dims) SELECT doc_id, score, {RISK} AS risk FROM o"
+    return f"{dimensions(q)}, o AS (SELECT doc_id, round(round(least(1.0, {total(True)}), 9), 3) AS score FROM dims) SELECT doc_id, score, {RISK} AS risk FROM o"
 
 
 @operator()
@@ -86,42 +91,45 @@ SELECT doc_id, {', '.join(f'{q.count("t", p)} AS {n}' for n, p in PROVENANCE.ite
 SEVERITY = {"CriticalBuzzword": "high", "BuzzwordOveruse_Severe": "high", "PhrasePatternSevere": "high"}
 
 
+# Categories that are signals of their own (signal, confidence, terms from which they fire).
+TELLS = {"hedging_qualifiers": ("ExcessiveHedging", 0.7, 3), "metaphor_abuse": ("MetaphorAbuse", 0.75, 2), "emphasis_crutches": ("EmphasisCrutch", 0.7, 2), "meta_commentary": ("MetaCommentary", 0.65, 2), "rhetorical_setups": ("RhetoricalSetup", 0.65, 2), "vague_declaratives": ("VagueDeclarative", 0.65, 2), "weasel_attribution": ("WeaselAttribution", 0.75, 2)}
+NO_SIGNAL = "none"
+
+
 def signals(q: Spark) -> str:
-    """CTE sig: (doc_id, signal_id, confidence, severity, family) of the signal classifier."""
+    """CTEs sig, (doc_id, signal_id, confidence, severity, family, sw, w) of the signal classifier, and every, which has a row
+    NO_SIGNAL of weight 0 for each document besides. One pass over each text; signals are the elements of an array."""
     em, ell, bang = (f"cast({q.count('t', p)} AS DOUBLE) / greatest(ns, 1)" for p in (r"[\x{2014}\x{2013}]", r"\.\.\.", "!"))
-    lex = {"buzzword": full_lexicon()["buzzword"], "phrase": L.PHRASES, "multilingual": full_lexicon()["multilingual"]}
-    tells = {"hedging_qualifiers": ("ExcessiveHedging", 0.7, 3), "metaphor_abuse": ("MetaphorAbuse", 0.75, 2), "emphasis_crutches": ("EmphasisCrutch", 0.7, 2), "meta_commentary": ("MetaCommentary", 0.65, 2), "rhetorical_setups": ("RhetoricalSetup", 0.65, 2), "vague_declaratives": ("VagueDeclarative", 0.65, 2), "weasel_attribution": ("WeaselAttribution", 0.75, 2)}
-    least = "CASE " + " ".join(f"WHEN category = '{c}' THEN {n}" for c, n in L.RAISED_MIN_HITS.items()) + f" ELSE {L.PHRASE_MIN_HITS} END"
     moral = "|".join(L.MORALS[:7])
-    cat = " UNION ALL ".join(f"SELECT doc_id, '{s}' AS signal_id, {c} AS confidence FROM perc WHERE category = '{k}' AND n >= {m}" for k, (s, c, m) in tells.items())
     listed = q.size(q.filter("ls", "x", q.has("x", LIST_LINE)))
-    doc = {
-        "EmDashExcess": (0.85, f"{em} > 0.5"),
-        "EllipsisExcess": (0.7, f"{ell} > 0.3"),
-        "ExclamationExcess": (0.65, f"{bang} > 0.2"),
-        "UniformSentenceLength": (0.7, f"ns >= 5 AND {E.spread(q, 'k')} < 3"),
-        "TrailingMoral": (0.7, q.has(q.tail(E.trim(q, "lower(t)"), 200), moral)),
-        "ListHeavy": (0.5, f"{q.size('ls')} > 3 AND {listed} > 0.4 * {q.size('ls')}"),
-    }
-    fired = q.filter(q.array(*(f"CASE WHEN {c} THEN '{s}' END" for s, (_, c) in doc.items())), "x", "x IS NOT NULL")
-    conf = "CASE signal_id " + " ".join(f"WHEN '{s}' THEN {c}" for s, (c, _) in doc.items()) + " END"
-    severity = "CASE WHEN signal_id LIKE 'Multilingual%' THEN 'high' " + " ".join(f"WHEN signal_id = '{s}' THEN '{v}'" for s, v in SEVERITY.items()) + " ELSE 'medium' END"
+    rules = [
+        ("CriticalBuzzword", "0.9", f"{of(q, 'hb', 'tier1_critical')} > 0"),
+        ("BuzzwordOveruse_Severe", "0.85 + least(buzz * 0.01, 0.10)", "buzz >= 5"),
+        ("BuzzwordOveruse", "0.75 + least(buzz * 0.02, 0.15)", "buzz BETWEEN 3 AND 4"),
+        ("PhrasePatternSevere", "0.85", "phr >= 4"),
+        ("PhrasePattern", "0.75", "phr BETWEEN 2 AND 3"),
+        *((name, str(conf), f"{of(q, 'hp', c)} >= {least}") for c, (name, conf, least) in TELLS.items()),
+        *((f"Multilingual_{lang}", "0.7", f"{of(q, 'hm', lang)} >= 2") for lang in L.MULTILINGUAL),
+        ("EmDashExcess", "0.85", f"{em} > 0.5"),
+        ("EllipsisExcess", "0.7", f"{ell} > 0.3"),
+        ("ExclamationExcess", "0.65", f"{bang} > 0.2"),
+        ("UniformSentenceLength", "0.7", f"ns >= 5 AND {E.spread(q, 'k')} < 3"),
+        ("TrailingMoral", "0.7", q.has(q.tail(E.trim(q, "lower(t)"), 200), moral)),
+        ("ListHeavy", "0.5", f"{q.size('ls')} > 3 AND {listed} > 0.4 * {q.size('ls')}"),
+        (NO_SIGNAL, "0.0", "true"),
+    ]
+    fired = q.filter(q.array(*(f"CASE WHEN {c} THEN '{s}' END" for s, _, c in rules)), "x", "x IS NOT NULL")
+    conf = "CASE signal_id " + " ".join(f"WHEN '{s}' THEN cast({c} AS DOUBLE)" for s, c, _ in rules) + " END"
+    severity = f"CASE WHEN signal_id LIKE 'Multilingual%' THEN 'high' WHEN signal_id = '{NO_SIGNAL}' THEN 'low' " + " ".join(f"WHEN signal_id = '{s}' THEN '{v}'" for s, v in SEVERITY.items()) + " ELSE 'medium' END"
     family = "CASE " + " ".join(f"WHEN signal_id = '{s}' THEN '{f}'" for s, f in L.FAMILY.items()) + " WHEN signal_id LIKE 'Multilingual%' THEN 'multilingual' ELSE 'other' END"
     weight = "CASE severity " + " ".join(f"WHEN '{s}' THEN cast({w} AS DOUBLE)" for s, w in L.SEVERITY_WEIGHT.items()) + " END"
-    return f"""{base(q, text=seeded(q))}, {matches(q, lex)},
-perc AS (SELECT doc_id, family, category, count(DISTINCT term) AS n FROM kept GROUP BY doc_id, family, category),
-bz AS (SELECT doc_id, sum(n) AS n, sum(CASE WHEN category = 'tier1_critical' THEN n ELSE 0 END) AS crit FROM perc WHERE family = 'buzzword' GROUP BY doc_id),
-ph AS (SELECT doc_id, sum(CASE WHEN n >= {least} THEN n ELSE 0 END) AS n FROM perc WHERE family = 'phrase' GROUP BY doc_id),
-d AS (SELECT doc_id, t, {q.size('s')} AS ns, {q.map('s', 'y', q.size(E.white_words(q, 'y')))} AS k, {E.lines(q, E.trim(q, 't'))} AS ls FROM prep),
-dx AS (SELECT doc_id, {fired} AS ids FROM d), dy AS ({q.explode('doc_id', 'dx', 'ids', 'pos', 'signal_id')}),
-raw AS (SELECT doc_id, 'CriticalBuzzword' AS signal_id, 0.9 AS confidence FROM bz WHERE crit > 0
-UNION ALL SELECT doc_id, CASE WHEN n >= 5 THEN 'BuzzwordOveruse_Severe' ELSE 'BuzzwordOveruse' END, CASE WHEN n >= 5 THEN 0.85 + least(n * 0.01, 0.10) ELSE 0.75 + least(n * 0.02, 0.15) END FROM bz WHERE n >= 3
-UNION ALL SELECT doc_id, CASE WHEN n >= 4 THEN 'PhrasePatternSevere' ELSE 'PhrasePattern' END, CASE WHEN n >= 4 THEN 0.85 ELSE 0.75 END FROM ph WHERE n >= 2
-UNION ALL {cat}
-UNION ALL SELECT doc_id, concat('Multilingual_', category), 0.7 FROM perc WHERE family = 'multilingual' AND n >= 2
-UNION ALL SELECT doc_id, signal_id, {conf} FROM dy),
-sig0 AS (SELECT doc_id, signal_id, cast(confidence AS DOUBLE) AS confidence, {severity} AS severity, {family} AS family FROM raw),
-sig AS (SELECT *, {weight} AS sw, {weight} * confidence AS w FROM sig0)"""
+    doc = f"doc_id, {q.sha256('t')} AS sha, buzz, ids"
+    return f"""{base(q, text=seeded(q))}, {terms(q)},
+d AS (SELECT *, {q.size('s')} AS ns, {q.map('s', 'y', q.size(E.white_words(q, 'y')))} AS k, {E.lines(q, E.trim(q, 't'))} AS ls FROM counted),
+dx AS (SELECT {doc.replace('ids', fired + ' AS ids')} FROM d), dy AS ({q.explode('doc_id, sha, buzz', 'dx', 'ids', 'pos', 'signal_id')}),
+sig0 AS (SELECT doc_id, sha, signal_id, {conf} AS confidence, {severity} AS severity, {family} AS family FROM dy),
+every AS (SELECT *, {weight} AS sw, {weight} * confidence AS w FROM sig0),
+sig AS (SELECT * FROM every WHERE signal_id <> '{NO_SIGNAL}')"""
 
 
 BAND = "CASE WHEN score >= 0.7 THEN 'slop_candidate' WHEN score >= 0.4 THEN 'suspicious' WHEN score >= 0.25 THEN 'ai_assisted' ELSE 'clean' END"
@@ -139,12 +147,12 @@ def classifier_signals_seeded(q):
 
 
 @operator()
-def signals_noisy_or(q):
-    return f"{signals(q)}, {noisy(q)} SELECT p.doc_id, coalesce(score, 0.0) AS score, CASE WHEN score IS NULL THEN 'clean' ELSE {BAND} END AS severity FROM prep p LEFT JOIN cls ON p.doc_id = cls.doc_id"
+def signals_noisy_or_seeded(q):
+    return f"{signals(q)}, {noisy(q, 'every')} SELECT doc_id, score, {BAND} AS severity FROM cls"
 
 
 @operator()
-def signals_geometric(q):
+def signals_geometric_seeded(q):
     """Noisy-OR within a family, weighted geometric mean over families."""
     return f"""{signals(q)}, fam AS (SELECT doc_id, family, {q.noisy_or('w')} AS d, max(sw) AS fw FROM sig GROUP BY doc_id, family),
 g AS (SELECT doc_id, exp(sum(fw * ln(d)) / sum(fw)) AS score FROM fam GROUP BY doc_id) SELECT doc_id, round(score, 4) AS score FROM g"""
@@ -157,7 +165,7 @@ def countermeasures_seeded(q):
 
 
 @operator()
-def domain_filtered_signals(q):
+def domain_filtered_signals_seeded(q):
     """Signals that a domain excludes go before the score is made; here legal and academic text may be
     uniform and hedge."""
     gates = q.values([("UniformSentenceLength", "legal"), ("ExcessiveHedging", "academic"), ("ListHeavy", "technical")], ["signal_id", "domain"])
@@ -168,7 +176,7 @@ open AS (SELECT d.* FROM dom d LEFT JOIN gate g ON d.signal_id = g.signal_id AND
 
 
 @operator()
-def disabled_signal_antijoin(q):
+def disabled_signal_antijoin_seeded(q):
     """Signals that a project disables go, and severities take the project's weights."""
     off = q.values([("ExclamationExcess",), ("TrailingMoral",)], ["signal_id"])
     return f"""{signals(q)}, off AS {off}, left_ AS (SELECT s.doc_id, s.severity, CASE s.severity WHEN 'high' THEN 0.5 WHEN 'medium' THEN 0.3 ELSE s.sw END * s.confidence AS w FROM sig s LEFT JOIN off o ON s.signal_id = o.signal_id WHERE o.signal_id IS NULL)
@@ -176,16 +184,15 @@ SELECT doc_id, round({q.noisy_or('w')}, 4) AS score, count(*) AS n_signals FROM
 
 
 @operator()
-def exempted_by_hash(q):
+def exempted_by_hash_seeded(q):
     """Reviewed false positives: a signal of exactly this text (by hash) is left out."""
-    h = f"substring({q.sha256('t')}, 1, 16)"
-    return f"""{signals(q)}, hashed AS (SELECT doc_id, {h} AS sample_hash FROM prep), store AS (SELECT sample_hash, 'UniformSentenceLength' AS signal_id FROM hashed WHERE doc_id % 3 = 0),
-open AS (SELECT s.* FROM sig s JOIN hashed h ON s.doc_id = h.doc_id LEFT JOIN store x ON x.sample_hash = h.sample_hash AND x.signal_id = s.signal_id WHERE x.signal_id IS NULL)
+    return f"""{signals(q)}, store AS (SELECT DISTINCT substring(sha, 1, 16) AS sample_hash, signal_id FROM sig WHERE signal_id = 'UniformSentenceLength' AND doc_id % 3 = 0),
+open AS (SELECT s.* FROM sig s LEFT JOIN store x ON x.sample_hash = substring(s.sha, 1, 16) AND x.signal_id = s.signal_id WHERE x.signal_id IS NULL)
 SELECT doc_id, signal_id, round(confidence, 4) AS confidence FROM open"""
 
 
 @operator()
-def signal_families(q):
+def signal_families_seeded(q):
     return f"{signals(q)} SELECT family, severity, count(*) AS n_signals, count(DISTINCT doc_id) AS n_docs, round(avg(confidence), 6) AS mean_confidence FROM sig GROUP BY family, severity"
 
 
@@ -208,10 +215,10 @@ SELECT doc_id, genre, score, score >= threshold AS flagged FROM o"""
 @operator()
 def pipeline_verdict_seeded(q):
     """The larger of the scorer and the classifier."""
-    return f"""{dimensions(q).replace('kept AS', 'kept AS').replace('WITH src', 'WITH src')},
-o AS (SELECT doc_id, round(least(1.0, greatest({total()}, {FLOOR})), 3) AS scorer FROM dims),
-c AS (SELECT doc_id, least(0.95, 0.3 + 0.15 * (buzz + phr)) AS types FROM dims)
-SELECT o.doc_id, round(greatest(scorer, CASE WHEN types >= 0.45 THEN types ELSE 0 END), 3) AS verdict FROM o JOIN c ON o.doc_id = c.doc_id"""
+    types = "least(0.95, 0.3 + 0.15 * (buzz + phr))"
+    return f"""{dimensions(q)},
+o AS (SELECT doc_id, round(least(1.0, greatest({total()}, {FLOOR})), 3) AS scorer, {types} AS types FROM dims)
+SELECT doc_id, round(greatest(scorer, CASE WHEN types >= 0.45 THEN types ELSE 0 END), 3) AS verdict FROM o"""
 
 
 @operator()

@@ -43,6 +43,11 @@ def has_any(q: Spark, x: str, patterns: list[str]) -> str:
     return "(" + " OR ".join(q.has(x, p) for p in patterns) + ")"
 
 
+def gated(q: Spark, patterns: list[str], words: list[list[str]]) -> str:
+    """Whether a pattern matches t, looked for where lo holds one of its words only."""
+    return "(" + " OR ".join(f"({any_of(q, 'lo', w)} AND {q.has('t', p)})" for p, w in zip(patterns, words, strict=True)) + ")"
+
+
 def findings(q: Spark, seeds: list[str], rules: list[Rule], more: str = "", **kw) -> str:
     key = kw.get("key", "doc_id")
     return f"{src(q, seeds, more, **kw)}, {fire(q, rules, key=key)} SELECT {key}, signal_id, confidence FROM fired"
@@ -63,6 +68,10 @@ THROAT_OPENERS = ["in today's world", "in today's day and age", "in this day and
 INSIGHT_SETUPS = ["here's the thing nobody tells you", "nobody tells you", "what most people get wrong", "most people think", "the secret to", "the truth about", "a little-known fact", "nobody talks about", "what they don't tell you"]
 PUFFERY = ["a testament to", "testament to", "pivotal moment", "watershed moment", "more important than ever", "more relevant than ever", "unprecedented", "ever-evolving landscape", "ever-changing landscape"]
 OPENER_FRAMES = ["spannender punkt", "spanender punkt", "interessanter gedanke", "wichtiger beitrag", "danke fuer diesen beitrag", "danke für diesen beitrag", "du sprichst einen wichtigen punkt an", "das ist ein wichtiger aspekt", "genau das ist entscheidend", "ein weiterer aspekt ist", "ein weiterer punkt waere", "ein weiterer punkt wäre", "ergaenzend dazu", "ergänzend dazu", "die eigentliche frage ist", "die spannende frage ist", "was bedeutet das nun", "doch was heisst konkret", "doch was heißt konkret", "interesting point", "another aspect is", "the exciting part is", "the interesting question is", "great question"]
+# Words of which a text must hold one of each list (in lower case) for a pattern to match: looked for first.
+BINARY_WORDS = [["not"], ["not"], ["question", "point", "problem", "issue", "goal"], ["longer"], ["replaced"]]
+LISTING_WORDS = [["not"], ["that's", "thats"], ["and"]]
+SUPERFICIAL_WORDS = ["highlighting", "underscoring", "reflecting", "showcasing", "emphasizing", "emphasising", "demonstrating", "illustrating", "signaling", "signalling", "marking", "cementing", "solidifying", "reinforcing", "underlining", "showing", "proving"]
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
 RHETORIC_SEEDS = ["", "It's not a tool. It's a mirror, highlighting the change.", "Not a feature. Not a tool. It serves as a centralized hub.", "The agent reads. The assistant writes. Here's the thing nobody tells you.", "A pivotal moment. Works fast. Ships now. Every time.", "Interesting point. Fast | Strong | Clear\nIn conclusion, it changed.", "The platform grew; the software shrank. No longer slow, now quick.\n\nAnd that's the point."]
 
@@ -74,7 +83,7 @@ def starts_any(q: Spark, x: str, heads: list[str]) -> str:
 @operator()
 def rhetorical_findings_seeded(q):
     more = f"{E.paragraphs(q, 't')} AS paras, {E.sentences_kept(q, 't')} AS sk"
-    cycling = " OR ".join("(" + " + ".join(f"CASE WHEN {q.has('lo', B + 'the ' + w + NB)} THEN 1 ELSE 0 END" for w in group) + ") >= 2" for group in SYNONYM_GROUPS)
+    cycling = " OR ".join("(" + " + ".join(f"CASE WHEN contains(lo, {q.lit('the ' + w)}) AND {q.has('lo', B + 'the ' + w + NB)} THEN 1 ELSE 0 END" for w in group) + ") >= 2" for group in SYNONYM_GROUPS)
     last_para = f"lower(coalesce({q.at('paras', -1)}, ''))"
     last = f"lower(coalesce({q.at('sk', -1)}, ''))"
     short = f"{q.size(E.white_words(q, 'y'))} <= 5"
@@ -83,10 +92,10 @@ def rhetorical_findings_seeded(q):
     frames = " OR ".join(f"{q.starts('lo', f)} OR contains(lo, {q.lit('. ' + f)})" for f in OPENER_FRAMES)
     first = q.map("sk", "y", f"lower(coalesce({q.at(E.white_words(q, 'y'), 1)}, ''))")
     rules = [
-        ("BinaryContrast", 0.7, has_any(q, "t", BINARY_CONTRAST)),
-        ("SuperficialAnalysis", 0.7, q.has("t", SUPERFICIAL)),
-        ("NegativeListingFragmentation", 0.65, has_any(q, "t", NEGATIVE_LISTING)),
-        ("FakeStrongVerb", 0.6, q.has("t", FAKE_STRONG_VERB)),
+        ("BinaryContrast", 0.7, gated(q, BINARY_CONTRAST, BINARY_WORDS)),
+        ("SuperficialAnalysis", 0.7, gated(q, [SUPERFICIAL], [SUPERFICIAL_WORDS])),
+        ("NegativeListingFragmentation", 0.65, gated(q, NEGATIVE_LISTING, LISTING_WORDS)),
+        ("FakeStrongVerb", 0.6, gated(q, [FAKE_STRONG_VERB], [["serve", "act", "function", "stand"]])),
         ("SynonymCycling", 0.6, f"({cycling})"),
         ("HollowKickerRecap", 0.6, f"({starts_any(q, last_para, RECAP_OPENERS)} OR ({starts_any(q, last, KICKER_OPENERS)} AND {q.size(E.white_words(q, last))} <= 14))"),
         ("FormattingSlop", 0.55, f"({q.has('t', r'(?m)^#{1,6}[ ].*' + EMOJI)} OR {q.has('t', r'[a-z0-9,;][\s]+[*][*][^*\n]{1,40}[*][*][\s]+[a-z]')} OR {q.has('t', '[“”]')} OR {pair} >= 2 OR ({em} >= 1 AND nw <= 120 AND {em} <= 0.5 * greatest({q.size('sk')}, 1)) OR ({em} > 2 AND nw > 120 AND {em} <= 0.5 * greatest({q.size('sk')}, 1)))"),
@@ -379,6 +388,7 @@ def hardcoded_secrets(q):
     return f"SELECT doc_id, {q.count(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')', secret)} AS n FROM documents WHERE {q.has('text', secret)}"
 
 
+# Fixed values, but for the seeds.
 COMMIT_SEEDS = ["", "This PR updates the loader to improve readability and maintainability.", "This commit implements paging as per the requirements. Improve code readability and maintainability.", "{\"description\": \"A comprehensive suite\", \"title\": \"todo later\", \"summary\": \"various things\"}", "\n# Configuration for nginx\n# This script contains helpers\n# Create a storage bucket", "LGTM, looks good to me, thanks", "Looks good, but parse_config() drops line 12"]
 COMMIT = [r"(?i)this\s+(?:pr|mr|commit|cl|change|patch)[^.\n]{0,80}?(?:to\s+)?improves?\s+(?:code\s+)?(?:readability|maintainability|clarity|robustness|performance|consistency)", r"(?i)improv[a-z]*\s+(?:the\s+)?(?:code\s+)?(?:readability|maintainability|clarity)(?:\s+(?:and|&)\s+(?:the\s+)?(?:readability|maintainability|clarity))+", r"(?i)this\s+(?:pr|mr|commit)\s+(?:implements|adds|introduces)[^.\n]{0,60}as\s+(?:per\s+)?(?:the\s+)?(?:requirements?|spec|request|discussion)", r"(?im)^[ \t]*(?:i[ ]+have[ ]+|i've[ ]+)?(?:implemented|updated|added|fixed)[^.\n]{0,60}(?:for[ ]+you|as[ ]+requested|as[ ]+asked)"]
 JSON_FIELDS = ["(?i)\"(?:description|summary|title|notes?|comment|details?)\"\\s*:\\s*\"[^\"]{0,120}?(?:a\\s+comprehensive|a\\s+powerful|a\\s+versatile|various|multiple|several|numerous)[^\"]{0,120}\"", "(?i)\"(?:description|summary|title|notes?|comment|details?)\"\\s*:\\s*\"[^\"]{0,60}todo[^\"]{0,60}\""]
@@ -395,16 +405,15 @@ def metadata(q: Spark, signal: str, patterns: list[str]) -> str:
 @operator()
 def metadata_findings_seeded(q):
     """Commit messages, JSON fields and configuration comments: two distinct patterns or more."""
-    text = "'' "
     parts = " UNION ALL ".join(metadata(q, s, p) for s, p in (("CommitMessageSlop", COMMIT), ("JsonFieldSlop", JSON_FIELDS), ("ConfigBoilerplateSlop", CONFIG)))
-    return f"{src(q, COMMIT_SEEDS, text=text)}, u AS ({parts}) SELECT doc_id, signal_id, hits, least(0.95, round(0.5 + 0.15 * hits, 2)) AS confidence FROM u WHERE hits >= 2"
+    return f"{src(q, COMMIT_SEEDS)}, u AS ({parts}) SELECT doc_id, signal_id, hits, least(0.95, round(0.5 + 0.15 * hits, 2)) AS confidence FROM u WHERE hits >= 2"
 
 
 @operator()
 def review_comments_seeded(q):
     """A comment with a generic marker and no anchor once the marker is gone fits any change."""
     rest = q.sub("t", REVIEW, " ")
-    return f"{src(q, COMMIT_SEEDS, text=chr(39) * 2)} SELECT doc_id, 'ReviewApprovalSlop' AS signal_id, cast(0.4 AS DOUBLE) AS confidence FROM p WHERE nw >= 2 AND {q.has('t', REVIEW)} AND NOT {q.has(rest, ANCHOR)}"
+    return f"{src(q, COMMIT_SEEDS)} SELECT doc_id, 'ReviewApprovalSlop' AS signal_id, cast(0.4 AS DOUBLE) AS confidence FROM p WHERE nw >= 2 AND {q.has('t', REVIEW)} AND NOT {q.has(rest, ANCHOR)}"
 
 
 @operator("conversations")

@@ -139,14 +139,14 @@ def seven(q: Spark, more: str = "") -> str:
     W = WEIGHTS_7
     buzz = [w for tier in SHORT_BUZZWORDS.values() for w in tier]
     # Words that a hyphen joins are one term; a term inside another counts once, so distinct terms are enough.
-    hits = " + ".join(f"CASE WHEN {q.has('lower(t)', E.word(w))} THEN 1 ELSE 0 END" for w in buzz)
+    hits = " + ".join(f"CASE WHEN contains(lo, {q.lit(w)}) AND {q.has('lo', E.word(w))} THEN 1 ELSE 0 END" for w in buzz)
     moral = "|".join(["remember that", "in the end", "ultimately", "the lesson is", "what matters most", "at the end of the day", "it's important to remember"])
     em, ell, bang = (f"cast({q.count('t', p)} AS DOUBLE) / greatest({q.size('s')}, 1)" for p in (r"[\x{2014}\x{2013}]", r"\.\.\.", "!"))
     lined = E.lines(q, E.trim(q, "t"))
     listed = q.size(q.filter("ls", "x", q.has("x", LIST_LINE)))
     words = "wd"
     return f"""{base(q, more=more)}, {guards(q)},
-m0 AS (SELECT *, {q.all('lower(t)', E.WORD)} AS wd, {lined} AS ls, {q.map('s', 'y', q.size(E.white_words(q, 'y')))} AS k FROM g),
+m0 AS (SELECT *, lower(t) AS lo, {q.all('lower(t)', E.WORD)} AS wd, {lined} AS ls, {q.map('s', 'y', q.size(E.white_words(q, 'y')))} AS k FROM g),
 m AS (SELECT *,
 CASE WHEN on_density THEN greatest(0.0, (0.5 - coalesce(cast({q.size(q.distinct(words))} AS DOUBLE) / nullif({q.size(words)}, 0), 0)) / 0.5) ELSE 0.0 END AS density_slop,
 CASE WHEN on_repetition THEN least(1.0, coalesce(cast({q.most(words)} AS DOUBLE) / nullif({q.size(words)}, 0), 0) / 0.3) ELSE 0.0 END AS repetition_slop,
@@ -193,20 +193,18 @@ def sample_hashes(q):
 
 @operator()
 def cjk_tokens_seeded(q):
-    text = "concat(coalesce(text, ''), CASE WHEN doc_id % 3 = 0 THEN ' 重要な役割' WHEN doc_id % 3 = 1 THEN ' 中文mixed字' ELSE '' END)"
+    text = "coalesce(text, '')" if not q.seeds else "concat(coalesce(text, ''), CASE WHEN doc_id % 3 = 0 THEN ' 重要な役割' WHEN doc_id % 3 = 1 THEN ' 中文mixed字' ELSE '' END)"
     return f"{base(q, text=text)} SELECT doc_id, {q.size('w')} AS n_tokens, {q.has('t', E.CJK)} AS has_cjk FROM prep"
 
 
 @operator()
 def quotes_stripped_seeded(q):
     """Quoted passages of 40 characters or more go; blanks close up."""
-    quote = "'She said \"this is a quoted passage that is surely longer than forty characters\" today \"short one\"'"
-    seeded = f"concat(coalesce(text, ''), CASE WHEN doc_id % 2 = 0 THEN {q.lit(' She said ' + chr(34) + 'this is a quoted passage that is surely longer than forty characters' + chr(34) + ' and ' + chr(0x201E) + 'dies ist ein sehr langes Zitat mit mehr als vierzig Zeichen' + chr(0x201C) + ' twice')} ELSE '' END)"
+    seeded = f"concat(coalesce(text, ''), CASE WHEN {str(q.seeds).lower()} AND doc_id % 2 = 0 THEN {q.lit(' She said ' + chr(34) + 'this is a quoted passage that is surely longer than forty characters' + chr(34) + ' and ' + chr(0x201E) + 'dies ist ein sehr langes Zitat mit mehr als vierzig Zeichen' + chr(0x201C) + ' twice')} ELSE '' END)"
     x = "t"
     for opening, closing in (('"', '"'), ("“", "”"), ("„", "“"), ("»", "«")):
         x = q.sub(x, f"{opening}[^{closing}]{{40,}}{closing}", " ")
     x = q.sub(x, r"[ \t]{2,}", " ")
-    del quote
     return f"WITH s AS (SELECT doc_id, {seeded} AS t FROM documents), c AS (SELECT doc_id, length(t) AS raw_chars, {x} AS kept FROM s) SELECT doc_id, raw_chars, length(kept) AS kept_chars, round(1.0 - cast(length(kept) AS DOUBLE) / nullif(raw_chars, 0), 4) AS removed_share FROM c"
 
 
@@ -215,5 +213,5 @@ def hidden_characters_seeded(q):
     """Zero-width characters go and look-alike Cyrillic letters become Latin ones."""
     seed = q.lit("pаy​pаl еxаmple﻿")
     clean = f"translate(t, {q.lit(chr(0x430) + chr(0x435) + chr(0x43E) + chr(0x440) + chr(0x441) + chr(0x445) + chr(0x200B) + chr(0x200C) + chr(0x200D) + chr(0xFEFF))}, 'aeopcx')"
-    return f"""WITH s AS (SELECT doc_id, concat(coalesce(text, ''), CASE WHEN doc_id % 4 = 0 THEN {seed} ELSE '' END) AS t FROM documents)
+    return f"""WITH s AS (SELECT doc_id, concat(coalesce(text, ''), CASE WHEN {str(q.seeds).lower()} AND doc_id % 4 = 0 THEN {seed} ELSE '' END) AS t FROM documents)
 SELECT doc_id, length(t) - length({clean}) AS hidden, {q.sha256(clean)} AS clean_sha256 FROM s"""

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.plans.catalog import OPERATORS
 
-MODULES = ["structure", "matching", "scoring", "signals", "evaluation", "events"]
+MODULES = ["structure", "matching", "scoring", "signals", "evaluation", "events", "detection"]
 
 
 def load() -> None:
