@@ -1,8 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into cells of CELL words; two neighbouring cells are a passage, one TF-IDF row. The features
-are the benchmark's words; other words count towards a passage's length only. A randomised SVD finds the
-latent space: every map task adds its part of A'A times a random matrix, parts are summed in the cluster,
+are the benchmark's words; other words count towards a passage's length only, as no cosine with a benchmark
+passage has a part in them. A randomised SVD finds the latent space of RANK dimensions, fewer than passages in a
+full block: every map task adds its part of A'A times a random matrix, parts are summed in the cluster,
 and the Nystroem step on the driver turns the sum (features by rank) into singular directions. Benchmark
 passages are rows of the same matrix, weighted so that the space holds them next to the corpus.
 
@@ -11,19 +12,21 @@ A cosine misses short items among other words, and items of frequent words. So a
 when the words around it could hold an item's common subsequence: of the item's words, rarest first, all but
 those that may be missing are looked up, and SURE of them must be there. This bound loses nothing.
 Candidates are checked on whole word sequences: the longest common subsequence of the item and the
-words around the passage, and whether the item's answer (its last sentence) stands there too.
+words around the passage, and whether the item's answer (its last sentence) stands there too. A long item is
+looked for in passages of its own; its answer may stand as far away as the item is long.
 
-A benchmark is taken in blocks of at most BLOCK_ITEMS passages, so what is broadcast is bounded; each
-block is a query set against all documents.
+A benchmark is taken in blocks of at most BLOCK_ITEMS passages, SCAN_BLOCKS of them in one scan, so what is
+broadcast is bounded; each block is a query set against all documents.
 
 Defined cases: null or empty texts are clean. Items without a word match nothing; those with fewer
-than MIN_WORDS words must be there word for word. Null ids count as the smallest id. Rows that share an
+than MIN_WORDS words must be there word for word. Null ids of documents and items are an id of their own. Rows that share an
 id share the finding. Ties of the best item go to the smaller item id. An empty benchmark or corpus gives
 no finding. Texts are read whole; other columns play no part.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -38,7 +41,7 @@ from plumbline.llm import textscan as T
 from plumbline.llm.substring import id_of
 from plumbline.llm.workspace import Workspace
 
-CELL, BLOCK_ITEMS, OVERSAMPLE, MIN_WORDS = 24, 256, 16, 8
+CELL, BLOCK_ITEMS, SCAN_BLOCKS, RANK, MIN_WORDS = 24, 256, 8, 128, 8
 COSINE, LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.35, 0.7, 0.55, 0.8
 STOP_SHARE, STOP_LEAST = 0.005, 50
 SURE = 6
@@ -187,19 +190,24 @@ def _sum_frequencies(size: int):
     return run
 
 
-def _project(vocabulary: np.ndarray, weight: np.ndarray, other: float, rank: int, slots: np.ndarray):
+def _project(blocks: list[Block], slots: np.ndarray):
+    """Texts to parts (b, r, z) of A'A times the random matrix: of block b the features of range r."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, omega = Vocabulary(vocabulary), random_matrix(len(weight), rank)
-        total = np.zeros((len(weight), rank), np.float32)
+        known = [Vocabulary(b.vocabulary.hashes) for b in blocks]
+        omega = [random_matrix(len(b.weight), b.rank) for b in blocks]
+        totals = [np.zeros_like(o) for o in omega]
         for batch in batches:
             for i, j, data, offs in T.slices(batch.column("text"), SLICE):
                 words, doc = words_of(data, offs)
                 cell, first = cells_of(doc, j - i)
-                rows = Rows(cell, known(words), first, weight, other)
-                rows.add_transposed(total, rows.times(omega))
-        cut = len(weight) * np.arange(SUM_RANGES + 1) // SUM_RANGES
-        some = [r for r in range(SUM_RANGES) if total[cut[r] : cut[r + 1]].any()]
-        yield pa.RecordBatch.from_arrays([pa.array([int(slots[r % len(slots)]) for r in some], pa.int32()), pa.array(some, pa.int32()), pa.array([total[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], ["slot", "r", "z"])
+                for b, block in enumerate(blocks):
+                    rows = Rows(cell, known[b](words), first, block.weight, block.other)
+                    rows.add_transposed(totals[b], rows.times(omega[b]))
+        for b, total in enumerate(totals):
+            cut = len(total) * np.arange(SUM_RANGES + 1) // SUM_RANGES
+            some = [r for r in range(SUM_RANGES) if total[cut[r] : cut[r + 1]].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(slots[(r + b) % len(slots)]) for r in some], pa.int32()), pa.array([b] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([total[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary())], ["slot", "b", "r", "z"])
 
     return run
 
@@ -213,20 +221,21 @@ def _sum_parts(table: pa.Table) -> pa.Table:
     for raw in table.column("z").to_pylist():
         part = np.frombuffer(raw, dtype=np.float32)
         total = part.astype(np.float64) if total is None else total + part
-    return pa.table({"r": table.column("r").slice(0, 1).cast(pa.int32()), "z": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"b": table.column("b").slice(0, 1).cast(pa.int32()), "r": table.column("r").slice(0, 1).cast(pa.int32()), "z": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
 
 class Block:
     """Some benchmark passages and their latent space."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray]]):
-        self.items = items  # (item id, word hashes, hashes of the answer's words)
-        self.vocabulary = Vocabulary(np.concatenate([w for _, w, _ in items]))
+    def __init__(self, items: list[tuple[int, np.ndarray, np.ndarray, int]]):
+        self.items = items  # (item id, word hashes, hashes of the answer's words, words of the whole item)
+        self.vocabulary = Vocabulary(np.concatenate([w for _, w, *_ in items]))
+        self.rank = min(len(self.vocabulary.hashes), RANK)
 
     def rows(self):
         """TF-IDF rows of the passages themselves."""
-        words = np.concatenate([w for _, w, _ in self.items])
-        owner = np.repeat(np.arange(len(self.items)), [len(w) for _, w, _ in self.items])
+        words = np.concatenate([w for _, w, *_ in self.items])
+        owner = np.repeat(np.arange(len(self.items)), [len(w) for _, w, *_ in self.items])
         key, tf = np.unique(owner * len(self.weight) + self.vocabulary(words), return_counts=True)
         p, f = key // len(self.weight), key % len(self.weight)
         v = tf * self.weight[f]
@@ -237,7 +246,7 @@ class Block:
         """Inverse cell frequencies; frequent words get none, unless an item has nothing else."""
         idf = np.log((n + 1) / (df + 1)) + 1e-3
         weight = np.where(df > max(STOP_LEAST, STOP_SHARE * n), 0.0, idf)
-        for _, w, _ in self.items:
+        for _, w, *_ in self.items:
             f = self.vocabulary(w)
             if not weight[f].any():
                 weight[f] = idf[f]
@@ -249,7 +258,7 @@ class Block:
         """Postings of each item's rarest words: a passage with `least` words of the item in order has `sure` of
         the len(w) - least + sure rarest around it, wherever the others are."""
         feature, item, self.sure = [], [], np.zeros(len(self.items), dtype=np.int64)
-        for k, (_, w, _) in enumerate(self.items):
+        for k, (_, w, *_) in enumerate(self.items):
             least = math.ceil(LCS_WITH_ANSWER * len(w) - 1e-9) if len(w) >= MIN_WORDS else len(w)
             self.sure[k] = min(SURE, least)
             f = self.vocabulary(w)
@@ -262,7 +271,7 @@ class Block:
         by = np.argsort(feature, kind="stable")
         self.posted = item[by]
         self.post_at = np.append(0, np.cumsum(np.bincount(feature, minlength=len(self.vocabulary.hashes))))
-        self.length = np.array([len(w) for _, w, _ in self.items])
+        self.length = np.array([len(w) for _, w, *_ in self.items])
 
     def possible(self, feature: np.ndarray, cell: np.ndarray, first: np.ndarray, there: np.ndarray, head: np.ndarray) -> np.ndarray:
         """Keys passage * items + item of all passages of a slice that could hold an item."""
@@ -276,7 +285,7 @@ class Block:
         item, at = item[order], at[order]
         keep = np.zeros(len(at) + 1, dtype=np.int64)
         for sure in range(1, SURE + 1):
-            i = np.flatnonzero(self.sure[item[: len(item) - sure + 1]] == sure)
+            i = np.flatnonzero(self.sure[item[: max(0, len(item) - sure + 1)]] == sure)
             i = i[(item[i + sure - 1] == item[i]) & (at[i + sure - 1] - at[i] < 2 * CELL + 2 * self.length[item[i]])]
             np.add.at(keep, i, 1)
             np.add.at(keep, i + sure, -1)
@@ -332,64 +341,76 @@ def lcs(masks: dict[int, int], length: int, words: list[int]) -> int:
     return length - s.bit_count()
 
 
-def _search(block: Block):
+def _masks(block: Block) -> list[dict[int, int]]:
+    """Of each item, the places of its words as bits."""
     masks = []
-    for _, w, _ in block.items:
+    for _, w, *_ in block.items:
         m: dict[int, int] = {}
         for k, x in enumerate(w.tolist()):
             m[x] = m.get(x, 0) | 1 << k
         masks.append(m)
+    return masks
+
+
+def search(block: Block, masks: list[dict[int, int]], known: Vocabulary, words: np.ndarray, doc: np.ndarray, n_docs: int) -> dict[tuple[int, int], tuple[float, float, float]]:
+    """(document, item) of a slice to the best (share of the common subsequence, of the answer, cosine)."""
+    best: dict[tuple[int, int], tuple[float, float, float]] = {}
+    cell, first = cells_of(doc, n_docs)
+    feature = known(words)
+    rows = Rows(cell, feature, first, block.weight, block.other)
+    head = T.doc_starts(doc, n_docs)
+    possible = block.possible(feature, cell, first, rows.there, head)
+    # A passage's cosine is at most the share of its norm that the features have.
+    marked = rows.share >= COSINE**2
+    marked[possible // len(block.items)] = True
+    near = np.flatnonzero(marked)
+    if not len(near):
+        return best
+    placed = rows.times(block.space, marked)[near]
+    for at in range(0, len(near), 2000):
+        cosine = placed[at : at + 2000] @ block.placed.T
+        close = cosine >= COSINE
+        some = possible[slice(*np.searchsorted(possible, np.array([near[at], near[min(at + 2000, len(near)) - 1] + 1]) * len(block.items)))]
+        maybe = np.zeros_like(close)
+        maybe[np.searchsorted(near, some // len(block.items)) - at, some % len(block.items)] = True
+        for row, k in zip(*np.nonzero(close | maybe)):
+            c = int(near[at + row])
+            d = int(np.searchsorted(first, c, side="right")) - 1
+            item, w, answer, reach = block.items[k]
+            if best.get((d, item), (0,))[0] >= 1:
+                continue
+            start = head[d] + (c - first[d]) * CELL
+            low, high = max(head[d], start - len(w)), min(head[d + 1], start + 2 * CELL + len(w))
+            region = words[low:high].tolist()
+            here = set(region)
+            if not close[row, k] and sum(x in here for x in w.tolist()) < LCS_WITH_ANSWER * len(w) - 1e-9:
+                continue
+            ratio = lcs(masks[k], len(w), region) / len(w)
+            if len(w) < MIN_WORDS:
+                ratio = float(any(region[x : x + len(w)] == w.tolist() for x in range(len(region))))
+            if not close[row, k] and ratio < LCS_WITH_ANSWER:
+                continue
+            if reach > len(w) and len(answer):
+                here = set(words[max(head[d], start - reach) : min(head[d + 1], start + 2 * CELL + reach)].tolist())
+            share_answer = sum(x in here for x in answer.tolist()) / len(answer) if len(answer) else 0.0
+            found = (ratio, share_answer, float(cosine[row, k]))
+            best[d, item] = max(best.get((d, item), found), found)
+    return best
+
+
+def _search(blocks: list[Block]):
+    masks = [_masks(b) for b in blocks]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(block.vocabulary.hashes)
+        known = [Vocabulary(b.vocabulary.hashes) for b in blocks]
         for batch in batches:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             out = []
             for i, j, data, offs in T.slices(batch.column("text"), SLICE):
                 words, doc = words_of(data, offs)
-                if not len(words):
-                    continue
-                cell, first = cells_of(doc, j - i)
-                feature = known(words)
-                rows = Rows(cell, feature, first, block.weight, block.other)
-                head = T.doc_starts(doc, j - i)
-                possible = block.possible(feature, cell, first, rows.there, head)
-                # A passage's cosine is at most the share of its norm that the features have.
-                marked = rows.share >= COSINE**2
-                marked[possible // len(block.items)] = True
-                near = np.flatnonzero(marked)
-                if not len(near):
-                    continue
-                best: dict[tuple[int, int], tuple[float, float, float]] = {}
-                placed = rows.times(block.space, marked)[near]
-                for at in range(0, len(near), 2000):
-                    cosine = placed[at : at + 2000] @ block.placed.T
-                    close = cosine >= COSINE
-                    some = possible[slice(*np.searchsorted(possible, np.array([near[at], near[min(at + 2000, len(near)) - 1] + 1]) * len(block.items)))]
-                    maybe = np.zeros_like(close)
-                    maybe[np.searchsorted(near, some // len(block.items)) - at, some % len(block.items)] = True
-                    for row, k in zip(*np.nonzero(close | maybe)):
-                        c = int(near[at + row])
-                        d = int(np.searchsorted(first, c, side="right")) - 1
-                        item, w, answer = block.items[k]
-                        if best.get((d, item), (0,))[0] >= 1:
-                            continue
-                        start = head[d] + (c - first[d]) * CELL
-                        low, high = max(head[d], start - len(w)), min(head[d + 1], start + 2 * CELL + len(w))
-                        region = words[low:high].tolist()
-                        here = set(region)
-                        if not close[row, k] and sum(x in here for x in w.tolist()) < LCS_WITH_ANSWER * len(w) - 1e-9:
-                            continue
-                        ratio = lcs(masks[k], len(w), region) / len(w)
-                        if len(w) < MIN_WORDS:
-                            ratio = float(any(region[x : x + len(w)] == w.tolist() for x in range(len(region))))
-                        if not close[row, k] and ratio < LCS_WITH_ANSWER:
-                            continue
-                        share_answer = sum(x in here for x in answer.tolist()) / len(answer) if len(answer) else 0.0
-                        found = (ratio, share_answer, float(cosine[row, k]))
-                        best[d, item] = max(best.get((d, item), found), found)
-                for (d, item), (ratio, share_answer, c) in best.items():
-                    out.append((int(ids[i + d]), item, ratio, share_answer, c))
+                for b, block in enumerate(blocks if len(words) else []):
+                    for (d, item), found in search(block, masks[b], known[b], words, doc, j - i).items():
+                        out.append((int(ids[i + d]), item, *found))
             columns = list(zip(*out)) if out else [[]] * 5
             types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["id", "item_id", "lcs_ratio", "answer_share", "cosine"])
@@ -397,15 +418,15 @@ def _search(block: Block):
     return run
 
 
-def item_passages(item: int, text: str) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """An item as passages of at most three cells of words, each with its last sentence as answer."""
+def item_passages(item: int, text: str) -> list[tuple[int, np.ndarray, np.ndarray, int]]:
+    """An item as passages of at most three cells of words, each with the item's last sentence as answer."""
     words = text_words(text)
     sentences = [text_words(s) for s in re.split(r"[.!?。！？]+", text)]
     sentences = [s for s in sentences if len(s)]
     answer = sentences[-1] if len(sentences) > 1 else words
     if len(words) <= 3 * CELL:
-        return [(item, words, answer)] if len(words) else []
-    return [(item, words[k : k + 2 * CELL], words[k + CELL : k + 2 * CELL]) for k in range(0, len(words) - CELL, CELL)]
+        return [(item, words, answer, len(words))] if len(words) else []
+    return [(item, words[k : k + 2 * CELL], answer, len(words)) for k in range(0, len(words) - CELL, CELL)]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Block]:
@@ -427,9 +448,9 @@ def candidates(docs: DataFrame, benchmark: DataFrame, work: Workspace, id_col: s
     """HITS: every document and item that the cosine search brought together, with the checks."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = spark.createDataFrame([], HITS)
-    for n, block in enumerate(blocks(benchmark, item_col, item_text)):
-        vocabulary = block.vocabulary.hashes
+    found, taken, n = spark.createDataFrame([], HITS), blocks(benchmark, item_col, item_text), 0
+    while some := list(itertools.islice(taken, SCAN_BLOCKS)):
+        vocabulary = np.unique(np.concatenate([b.vocabulary.hashes for b in some]))
         counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "slot int, n long, df binary")
         df, cells = np.zeros(len(vocabulary), dtype=np.int64), 0
         for row in counted.groupBy("slot").applyInArrow(_sum_frequencies(len(vocabulary)), "n long, df binary").collect():
@@ -437,17 +458,20 @@ def candidates(docs: DataFrame, benchmark: DataFrame, work: Workspace, id_col: s
             cells += row["n"]
         if not cells:
             return found
-        block.weigh(df, cells)
-        rank = min(len(vocabulary), len(block.items) + OVERSAMPLE)
+        for b in some:
+            b.weigh(df[np.searchsorted(vocabulary, b.vocabulary.hashes)], cells)
         slots = X.even_slots(spark, 1)
-        parts = docs.select("text").mapInArrow(_project(vocabulary, block.weight, block.other, rank, slots), "slot int, r int, z binary")
-        summed = parts.groupBy("slot", "r").applyInArrow(_sum_parts, "r int, z binary")
-        gathered = np.zeros((len(vocabulary), rank), np.float32)
-        cut = len(vocabulary) * np.arange(SUM_RANGES + 1) // SUM_RANGES
-        for row in summed.collect():  # features of one block by rank
-            gathered[cut[row["r"]] : cut[row["r"] + 1]] = np.frombuffer(bytes(row["z"]), np.float32).reshape(-1, rank)
-        block.embed(gathered, cells)
-        found = found.unionByName(work.save(docs.mapInArrow(_search(block), HITS), f"block{n}"))
+        parts = docs.select("text").mapInArrow(_project(some, slots), "slot int, b int, r int, z binary")
+        summed = parts.groupBy("slot", "b", "r").applyInArrow(_sum_parts, "b int, r int, z binary")
+        gathered = [np.zeros((len(b.weight), b.rank), np.float32) for b in some]
+        for row in summed.collect():  # features of some blocks by rank
+            block = gathered[row["b"]]
+            cut = len(block) * np.arange(SUM_RANGES + 1) // SUM_RANGES
+            block[cut[row["r"]] : cut[row["r"] + 1]] = np.frombuffer(bytes(row["z"]), np.float32).reshape(-1, block.shape[1])
+        for b, sums in zip(some, gathered):
+            b.embed(sums, cells)
+        found = found.unionByName(work.save(docs.mapInArrow(_search(some), HITS), f"scan{n}"))
+        n += 1
     return found
 
 

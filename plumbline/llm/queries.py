@@ -26,11 +26,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     work = Workspace(spark, "decontaminate")
     found = decontaminate.verdicts(decontaminate.candidates(docs, read(spark, sf_dir, "benchmark"), work))
-    named = docs.select("doc_id").join(found, F.col("doc_id") == F.col("id"), "left")
+    named = docs.select("doc_id").join(found, substring.id_of("doc_id") == F.col("id"), "left")
     return named.select(
         "doc_id",
         F.coalesce("contaminated", F.lit(False)).alias("contaminated"),
-        F.when(F.col("contaminated"), F.col("item_id")).alias("item_id"),
+        F.when(F.col("contaminated") & (F.col("item_id") != substring.NO_ID), F.col("item_id")).alias("item_id"),
         F.round("lcs_ratio", 6).alias("lcs_ratio"),
         F.round("answer_share", 6).alias("answer_share"),
         F.round("cosine", 3).alias("cosine"),

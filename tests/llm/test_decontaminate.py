@@ -1,6 +1,9 @@
 import random
 
+import numpy as np
+
 from plumbline.llm import decontaminate as D
+from plumbline.llm import queries
 from plumbline.llm.workspace import Workspace
 from tests.llm.cases import docs, edge, empty, words
 
@@ -110,3 +113,36 @@ def test_recall_of_short_and_frequent_items_against_brute_force(spark):
     want = by_brute_force(texts, items)
     bad = {k for k, r in found(spark, texts, items).items() if r.contaminated}
     assert len(want) >= 90 and want <= bad
+
+
+def test_null_ids_of_documents_and_items(spark, tmp_path):
+    item, other = " ".join(words("null item", 30)), " ".join(words("other item", 30))
+    rows = [(None, " ".join(words("around", 40)) + " " + item), (1, "clean words of nothing"), (2, other)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, item), (5, other), (6, None)], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    found = {r.doc_id: (r.contaminated, r.item_id) for r in queries.op1_decontamination(spark, f"file://{tmp_path}").collect()}
+    assert found == {None: (True, None), 1: (False, None), 2: (True, 5)}
+
+
+def test_blocks_in_several_scans_give_the_same(spark, monkeypatch):
+    items = {k: " ".join(words(("block", k), 14 + k)) for k in range(9)}
+    texts = {k: " ".join(words(("text", k), 60)) + " " + items[k % 9] + " " + " ".join(words(("after", k), 30)) for k in range(20)} | {50: "nothing of the kind"}
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    verdicts = lambda: {r.id: (r.contaminated, r.item_id, r.lcs_ratio) for r in D.verdicts(D.candidates(docs(spark, texts), bench, Workspace(spark, "t"))).collect() if r.contaminated}
+    whole = verdicts()
+    assert {k: v[1] for k, v in whole.items()} == {k: k % 9 for k in range(20)}
+    monkeypatch.setattr(D, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(D, "SCAN_BLOCKS", 2)
+    assert verdicts() == whole
+
+
+def test_a_long_item_keeps_its_answer(spark):
+    """The answer of an item of several passages is its last sentence, wherever it stands within the item's length."""
+    body, answer = words("long", 100), words("the answer", 6)
+    item = " ".join(body) + ". " + " ".join(answer) + "."
+    passages = D.item_passages(1, item)
+    assert len(passages) > 1 and all(np.array_equal(a, D.text_words(" ".join(answer))) and n == 106 for _, _, a, n in passages)
+    changed = [w if k % 5 < 3 else f"new{k}" for k, w in enumerate(body)]
+    texts = {1: " ".join(changed + answer), 2: " ".join(changed)}
+    found = {r.id: r.contaminated for r in D.verdicts(D.candidates(docs(spark, texts), spark.createDataFrame([(1, item)], "item_id long, text string"), Workspace(spark, "t"))).collect()}
+    assert found == {1: True, 2: False}
