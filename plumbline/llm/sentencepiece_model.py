@@ -110,7 +110,7 @@ def merges(model: Model) -> list[tuple[str, str]]:
 
 def build(model: Model):
     """The tokenizers pipeline; it expects texts with the dummy prefix in front."""
-    from tokenizers import AddedToken, Tokenizer, decoders, models, normalizers
+    from tokenizers import AddedToken, Tokenizer, models, normalizers
 
     vocab = {p: i for i, (p, _, _) in enumerate(model.pieces)}
     unknown = model.ids_of(UNKNOWN)
@@ -123,7 +123,6 @@ def build(model: Model):
     tokenizer = Tokenizer(core)
     if model.escape:
         tokenizer.normalizer = normalizers.Replace(" ", MARK)
-    tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
     own = [AddedToken(model.pieces[i][0], normalized=False) for i in model.ids_of(USER_DEFINED)]
     if own:
         tokenizer.add_tokens(own)
@@ -177,8 +176,7 @@ class Codec:
             right = self.judge.encode(strings, num_threads=1)
             for k, (a, b) in enumerate(zip(ids, right)):
                 if a != b:
-                    self.differ.add(strings[k])
-                    ids[k] = b
+                    self.differ.add(strings[k])  # the ids stay this backend's, and parity says so
         return ids
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
