@@ -5,12 +5,12 @@ vectors, a softmax layer gives the two classes, and both are trained by stochast
 numpy. As the softmax sees a mean, the trained model is one number for each hashed feature (the
 difference of its two logits) plus a bias, which is what scoring broadcasts: 4 bytes times the table size.
 
-Training reads at most MAX_LABELLED labelled documents, a bounded sample chosen by a hash of their ids,
-with their whole texts; scoring reads every whole text.
+Training reads at most MAX_LABELLED labelled texts, a bounded sample of labelled ids chosen by a hash and of their
+different texts in order of id, whole; scoring reads every whole text.
 
-Defined cases: null and empty texts have no features and get the score of the bias alone. Null labels
-don't train; with no label, or labels of one class, every score is that class's share (0.5 without
-labels). Repeated rows are scored alike. Other columns play no part.
+Defined cases: null and empty texts have no features and get the score of the bias alone. Null labels, null ids and
+ids with both labels don't train; with no label, or labels of one class, every score is that class's share (0.5 without
+labels). Repeated rows are scored alike and train once; an empty table gives no rows. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -100,13 +100,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Trains on at most `limit` documents that labels (id, label) mark; docs may be narrowed by the
     caller to those it may learn from."""
     marked = labels.select(F.col(id_col).alias("__id"), F.col(label_col).alias("__y")).where("__id is not null and __y in (0, 1)")
-    marked = marked.groupBy("__id").agg(F.max("__y").alias("__y"))
+    marked = marked.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__high")).where("__y = __high").drop("__high")
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(limit)
     spark = docs.sparkSession
     taken = spark.createDataFrame([(r["__id"], int(r["__y"])) for r in chosen.collect()], "__id long, __y int")
     joined = docs.join(F.broadcast(taken), F.col(id_col).cast("long") == F.col("__id")).select("__id", F.col(text_col).cast("string").alias("t"), "__y")
-    got = sorted((r["__id"], r["t"] or "", r["__y"]) for r in joined.collect())
-    got = got[:limit]
+    got = [(r["__id"], r["t"] or "", r["__y"]) for r in joined.distinct().orderBy("__id", "t").limit(limit).collect()]
     return train([t for _, t, _ in got], np.array([y for _, _, y in got], dtype=np.int64))
 
 
