@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from plumbline.functions.dialect import Spark
 from plumbline.operators.structure import base, seven
+from plumbline.operators.matching import full_lexicon, rows_of
 from plumbline.plans.catalog import operator
 
 
@@ -103,31 +104,38 @@ u AS (SELECT 'calibrated' AS weights, a >= 0.2 AS hit, bad FROM j UNION ALL SELE
 
 
 # --- mining ---------------------------------------------------------------------------------------------
+#: Lengths of mined n-grams, and documents that they must be in.
+SIZES, MIN_DOCS = (2, 3, 4, 5), 2
+
+
 def grams(q: Spark, least: int) -> str:
-    """CTE df: document frequency of 2- to 4-grams that at least so many documents have. The n-grams of a
+    """CTE df: document frequency of 2- to 5-grams that at least so many documents have. The n-grams of a
     document are made distinct before the exchange."""
     n = q.size("w")
     made = []
-    for k in (2, 3, 4):
+    for k in SIZES:
         if q.name == "spark":
             made.append(f"CASE WHEN {n} >= {k} THEN array_distinct(transform(sequence(1, {n} - {k - 1}), i -> array_join(slice(w, i, {k}), ' '))) ELSE cast(array() AS array<string>) END")
         else:
             made.append(f"CASE WHEN {n} >= {k} THEN list_distinct(list_transform(range(1, {n} - {k} + 2), lambda i: array_to_string(list_slice(w, i, i + {k - 1}), ' '))) ELSE [] END")
-    parts = " UNION ALL ".join(f"SELECT {k} AS n, g FROM ({q.explode('doc_id', 'm', f'g{k}', 'pos', 'g')}) e{k}" for k in (2, 3, 4))
-    return f"{base(q)}, m AS (SELECT doc_id, {', '.join(f'{x} AS g{k}' for k, x in zip((2, 3, 4), made))} FROM prep), x AS ({parts}), df AS (SELECT g, n, count(*) AS df FROM x GROUP BY g, n HAVING count(*) >= {least})"
+    parts = " UNION ALL ".join(f"SELECT {k} AS n, g FROM ({q.explode('doc_id', 'm', f'g{k}', 'pos', 'g')}) e{k}" for k in SIZES)
+    return f"{base(q)}, m AS (SELECT doc_id, {', '.join(f'{x} AS g{k}' for k, x in zip(SIZES, made))} FROM prep), x AS ({parts}), df AS (SELECT g, n, count(*) AS df FROM x GROUP BY g, n HAVING count(*) >= {least})"
 
 
 @operator()
 def ngram_document_frequency(q):
-    return f"{grams(q, 40)} SELECT g AS phrase, n, df FROM df"
+    return f"{grams(q, MIN_DOCS)} SELECT g AS phrase, n, df FROM df"
 
 
 @operator()
 def mine_candidates_topk(q):
-    """Frequent n-grams that no longer, as frequent one covers, without known vocabulary: the first 40. One that
-    covers is as frequent one word further too, so a look at the next length is enough."""
-    known = q.values([("of the",), ("in the",), ("de la",)], ["phrase"])
-    return f"""{grams(q, 60)}, known AS {known}, open AS (SELECT d.* FROM df d LEFT JOIN known k ON d.g = k.phrase WHERE k.phrase IS NULL),
+    """Frequent n-grams that no longer, as frequent one covers, and that hold no known term and are held by none: the first
+    40. One that covers is as frequent one word further too, so a look at the next length is enough."""
+    terms = sorted({r[4] for r in rows_of({k: v for k, v in full_lexicon().items() if k in ("buzzword", "phrase")})})
+    words = ", ".join(q.lit(w) for w in sorted({w for t in terms for w in t.split()}))
+    line, held_ = "concat(' ', g, ' ')", q.array_of([f" {t} " for t in terms])
+    known = f"(CASE WHEN df < {MIN_DOCS} OR {q.size(q.filter(q.split('g', ' '), 'x', f'x IN ({words})'))} = 0 THEN false ELSE {q.size(q.filter(held_, 'x', f'contains({line}, x) OR contains(x, {line})'))} > 0 END)"
+    return f"""{grams(q, MIN_DOCS)}, open AS (SELECT * FROM df WHERE NOT {known}),
 wider AS (SELECT df, {q.sub('g', ' [^ ]+$', '')} AS g FROM open WHERE n > 2 UNION SELECT df, {q.sub('g', '^[^ ]+ ', '')} FROM open WHERE n > 2),
 top AS (SELECT o.* FROM open o LEFT JOIN wider w ON o.g = w.g AND o.df = w.df WHERE w.g IS NULL ORDER BY o.df DESC, o.n DESC, o.g LIMIT 40)
 SELECT row_number() OVER (ORDER BY df DESC, n DESC, g) AS place, g AS phrase, n, df FROM top"""

@@ -7,6 +7,10 @@ from plumbline.operators.matching import seeded
 from plumbline.plans.catalog import operator
 
 
+#: Fixed value: seconds between commits of a burst.
+BURST_GAP = 60
+
+
 def commits(q) -> str:
     """CTE c: events as commits, additions and deletions from their value."""
     return "WITH c AS (SELECT user_id, event_id, ts, cast(floor(abs(value)) AS BIGINT) % 500 + 1 AS additions, cast(floor(abs(value) * 7) AS BIGINT) % 40 AS deletions FROM events WHERE ts IS NOT NULL)"
@@ -14,9 +18,9 @@ def commits(q) -> str:
 
 @operator("events")
 def burst_clusters(q):
-    """Longest run of gaps under an hour between the events of a user."""
+    """Longest run of gaps under BURST_GAP seconds between the events of a user."""
     return f"""{commits(q)}, g AS (SELECT user_id, event_id, ts, {q.seconds('ts', 'lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)')} AS gap FROM c),
-i AS (SELECT *, sum(CASE WHEN gap < 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT user_id, event_id, ts, coalesce(gap, 1e12) AS gap FROM g) z),
+i AS (SELECT *, sum(CASE WHEN gap < {BURST_GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT user_id, event_id, ts, coalesce(gap, 1e12) AS gap FROM g) z),
 r AS (SELECT user_id, island, count(*) - 1 AS run FROM i GROUP BY user_id, island) SELECT user_id, max(run) AS longest_run, max(run) >= 3 AS burst FROM r GROUP BY user_id"""
 
 
@@ -33,7 +37,7 @@ def velocity_rules(q):
     """Four rules over a user's commits; two of them make the finding."""
     gap = q.seconds("ts", "lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
     return f"""{commits(q)}, g AS (SELECT *, {gap} AS gap FROM c),
-i AS (SELECT *, sum(CASE WHEN gap < 3600 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT user_id, event_id, ts, additions, deletions, coalesce(gap, 1e12) AS gap FROM g) z),
+i AS (SELECT *, sum(CASE WHEN gap < {BURST_GAP} THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT user_id, event_id, ts, additions, deletions, coalesce(gap, 1e12) AS gap FROM g) z),
 r AS (SELECT user_id, max(run) AS run FROM (SELECT user_id, island, count(*) - 1 AS run FROM i GROUP BY user_id, island) y GROUP BY user_id),
 t AS (SELECT user_id, count(*) AS n, sum(additions) AS adds, sum(deletions) AS dels, greatest({q.seconds('max(ts)', 'min(ts)')}, 1.0) / 60 AS minutes,
 sum(CASE WHEN additions + deletions >= 10 THEN 1 ELSE 0 END) AS big, max(CASE WHEN additions + deletions >= 10 THEN cast(additions AS DOUBLE) / (additions + deletions) END) AS hi, min(CASE WHEN additions + deletions >= 10 THEN cast(additions AS DOUBLE) / (additions + deletions) END) AS lo FROM c GROUP BY user_id),

@@ -57,7 +57,7 @@ B, NB = r"(?:^|[^\p{L}\p{M}\p{N}_])", r"(?:$|[^\p{L}\p{M}\p{N}_])"
 
 # --- rhetorical -----------------------------------------------------------------------------------
 # Fixed values.
-BINARY_CONTRAST = [r"(?i)(?:it'?s|it is|this is|that'?s|they'?re)\s+not\s+[^.?!]{2,60}?[.,]\s+(?:it'?s|it is|they'?re)" + NB, r"(?i)" + B + r"not\s+just\s+[^.?!,]{2,50}?\s+but\s+", r"(?i)" + B + r"the\s+(?:question|point|problem|issue|goal)\s+(?:isn'?t|is not|wasn'?t)[^.?!]{2,60}?[.,]?\s+it'?s" + NB, r"(?i)" + B + r"no\s+longer\s+[^.?!]{2,60}?,\s+now" + NB, r"(?i)" + B + r"gone\s+are\s+the\s+days\s+(?:of\s+)?[^.?!]{2,60}?\s+replaced\s+by" + NB]
+BINARY_CONTRAST = [r"(?i)(?:it'?s|it is|this is|that'?s|they'?re)\s+not\s+[^.?!]{2,60}?[.,]\s+(?:it'?s|it is|they'?re)" + NB, r"(?i)" + B + r"not\s+just\s+[^.?!,]{2,50}?\s+but\s+", r"(?i)" + B + r"the\s+(?:question|point|problem|issue|goal)\s+(?:isn'?t|is not|wasn'?t)[^.?!]{2,60}?[.,]?\s+it'?s" + NB, r"(?i)[\p{L}\p{N}_]+\s+isn'?t\s+just\s+[^.?!]{2,60}?\s+[—–-]\s*it'?s" + NB, r"(?i)" + B + r"no\s+longer\s+[^.?!]{2,60}?,\s+now" + NB, r"(?i)" + B + r"gone\s+are\s+the\s+days\s+(?:of\s+)?[^.?!]{2,60}?\s+replaced\s+by" + NB]
 SUPERFICIAL = r"(?i),\s+(?:highlighting|underscoring|reflecting|showcasing|emphasizing|emphasising|demonstrating|illustrating|signaling|signalling|marking|cementing|solidifying|reinforcing|underlining|showing|proving)\s+[^.?!]{3,}"
 NEGATIVE_LISTING = [r"(?i)" + B + r"not\s+(?:a|an|the)?\s*[a-z]+[.,]\s+not\s+(?:a|an|the)?\s*[a-z]+", r"(?i)" + B + r"that'?s\s+it[.!]\s+that'?s\s+(?:the\s+)?[a-z]+", r"(?i)[.!?]\s+and\s+[a-z]+[^.?!]{0,30}?[.!]\s+and\s+[a-z]+"]
 FAKE_STRONG_VERB = r"(?i)" + B + r"(?:serves?|acts?|functions?|stands?)\s+as\s+(?:a|an|the)\s+(?:centralized\s+|centralised\s+|one-stop\s+|comprehensive\s+|powerful\s+|robust\s+|go-to\s+|single\s+|unified\s+)?(?:hub|platform|solution|resource|cornerstone|gateway|bridge|catalyst|backbone|foundation|framework|ecosystem|destination|powerhouse)" + NB
@@ -69,7 +69,7 @@ INSIGHT_SETUPS = ["here's the thing nobody tells you", "nobody tells you", "what
 PUFFERY = ["a testament to", "testament to", "pivotal moment", "watershed moment", "more important than ever", "more relevant than ever", "unprecedented", "ever-evolving landscape", "ever-changing landscape"]
 OPENER_FRAMES = ["spannender punkt", "spanender punkt", "interessanter gedanke", "wichtiger beitrag", "danke fuer diesen beitrag", "danke für diesen beitrag", "du sprichst einen wichtigen punkt an", "das ist ein wichtiger aspekt", "genau das ist entscheidend", "ein weiterer aspekt ist", "ein weiterer punkt waere", "ein weiterer punkt wäre", "ergaenzend dazu", "ergänzend dazu", "die eigentliche frage ist", "die spannende frage ist", "was bedeutet das nun", "doch was heisst konkret", "doch was heißt konkret", "interesting point", "another aspect is", "the exciting part is", "the interesting question is", "great question"]
 # Words of which a text must hold one of each list (in lower case) for a pattern to match: looked for first.
-BINARY_WORDS = [["not"], ["not"], ["question", "point", "problem", "issue", "goal"], ["longer"], ["replaced"]]
+BINARY_WORDS = [["not"], ["not"], ["question", "point", "problem", "issue", "goal"], ["just"], ["longer"], ["replaced"]]
 LISTING_WORDS = [["not"], ["that's", "thats"], ["and"]]
 SUPERFICIAL_WORDS = ["highlighting", "underscoring", "reflecting", "showcasing", "emphasizing", "emphasising", "demonstrating", "illustrating", "signaling", "signalling", "marking", "cementing", "solidifying", "reinforcing", "underlining", "showing", "proving"]
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
