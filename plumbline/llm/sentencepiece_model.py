@@ -233,7 +233,7 @@ def _run(data: bytes, workers: int, verify: bool, want_text: bool):
                 decoded = pa.array([t.decode(errors="replace") for t in texts] if want_text else [None] * (j - i), pa.string())
                 yield pa.RecordBatch.from_arrays([row.slice(i, j - i), ids, decoded, pa.array(equal), pa.array(parity)], ["row", "ids", "decoded", "round_trip", "parity"])
         del codec
-        T.tidy()
+        T.tidy(cycles=True)
 
     return run
 

@@ -7,6 +7,7 @@ memory does not follow the partition. A single document above the bound is a sli
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +50,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def tidy() -> None:
-    """Gives freed memory back to the system: workers live on after a task."""
+def tidy(cycles: bool = False) -> None:
+    """Gives freed memory back to the system: workers live on after a task. cycles: objects that refer to
+    one another are freed first."""
+    if cycles:
+        gc.collect()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)

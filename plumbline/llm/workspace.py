@@ -49,7 +49,7 @@ def _forget(work: Workspace) -> None:
 
 #: Rows of ids and labels in a file, and bytes of texts whose results go to one file: a table is written in as many
 #: files as its size needs, not in one for each shuffle partition.
-FILE_ROWS, FILE_TEXT = 200_000, 8 << 20
+FILE_ROWS, FILE_TEXT = 200_000, 16 << 20
 
 
 def files_of(rows: int = 0, text: int = 0) -> int:
