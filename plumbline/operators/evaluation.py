@@ -36,6 +36,25 @@ def threshold_sweep(q):
     return f"{labelled(q)}, sw AS ({swept(q, 'lab', 'score, bad')}), h AS (SELECT threshold, bad, score >= threshold AS hit FROM sw), c AS (SELECT threshold, {COUNTS} FROM h GROUP BY threshold) SELECT round(threshold, 2) AS threshold, n, tp, fp, tn, fn, {METRICS} FROM c"
 
 
+@operator("documents", "labels")
+def quality_gates(q):
+    """Gates on unrounded precision and recall at the decision threshold, for all and by language; undefined values don't pass."""
+    return f"""{labelled(q)}, h AS (SELECT *, score >= 0.2 AS hit FROM lab), c AS (SELECT lang, {COUNTS} FROM h GROUP BY GROUPING SETS ((), (lang))),
+r AS (SELECT lang, n, cast(tp AS DOUBLE) / nullif(tp + fp, 0) AS p, cast(tp AS DOUBLE) / nullif(tp + fn, 0) AS r FROM c)
+SELECT lang, n, coalesce(p >= 0.5, false) AS precision_ok, coalesce(r >= 0.5, false) AS recall_ok, coalesce(p >= 0.5 AND r >= 0.5, false) AS passed FROM r"""
+
+
+@operator("documents", "labels")
+def control_set_gate(q):
+    """Each labelled document against its threshold (by language, as genres are): bad ones must reach it, unless known to be
+    missed, good ones must stay below."""
+    bar = q.values([("en", 0.40), ("de", 0.45), ("fr", 0.50)], ["lang", "threshold"])
+    known = f"{q.mod('doc_id', 7)} = 0"
+    return f"""{labelled(q)}, bar AS {bar}, j AS (SELECT l.doc_id, l.score, l.bad, coalesce(b.threshold, 0.40) AS threshold, {known} AS known_fn FROM lab l LEFT JOIN bar b ON l.lang = b.lang),
+s AS (SELECT *, CASE WHEN bad AND score >= threshold THEN 'hit' WHEN bad AND known_fn THEN 'known_miss' WHEN bad THEN 'miss' WHEN score < threshold THEN 'clean' ELSE 'false_alarm' END AS status FROM j)
+SELECT status, count(*) AS n, round(avg(score), 6) AS mean_score FROM s GROUP BY status"""
+
+
 @operator("documents", "labels")
 def evaluation_errors(q):
     return f"{labelled(q)} SELECT doc_id, lang, score, bad, CASE WHEN bad THEN 'missed' ELSE 'false_alarm' END AS error FROM lab WHERE (score >= 0.2) <> bad"

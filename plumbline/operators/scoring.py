@@ -202,16 +202,61 @@ def findings_json_seeded(q):
     return f"{signals(q)} SELECT doc_id, {q.collect('signal_id', ';')} AS findings, count(*) AS n FROM sig GROUP BY doc_id"
 
 
+# Decision threshold and weights set to zero for each genre.
+GENRES = {"legal": (0.55, ["burstiness"]), "academic": (0.55, ["burstiness", "verbosity"]), "marketing": (0.50, []), "technical": (0.45, ["list_heavy"]), "comment": (0.50, ["verbosity", "list_heavy"]), "message": (0.50, ["verbosity", "list_heavy"]), "none": (0.40, [])}
+
+
 @operator()
 def genre_thresholds_seeded(q):
-    """Genres raise the threshold and silence some dimensions."""
-    genre = q.values([("academic", 0.5, 0.0), ("legal", 0.55, 0.0), ("marketing", 0.4, 1.0), ("none", 0.4, 1.0)], ["genre", "threshold", "burst_weight"])
-    pick = "CASE doc_id % 4 WHEN 0 THEN 'academic' WHEN 1 THEN 'legal' WHEN 2 THEN 'marketing' ELSE 'none' END"
+    """Genres raise the threshold and silence some dimensions; here the source stands for the genre."""
+    silent = sorted({d for _, ds in GENRES.values() for d in ds})
+    genre = q.values([(g, t, *(float(d not in ds) for d in silent)) for g, (t, ds) in GENRES.items()], ["genre", "threshold", *(f"w_{d}" for d in silent)])
+    pick = f"CASE doc_id % {len(GENRES)} " + " ".join(f"WHEN {i} THEN '{g}'" for i, g in enumerate(GENRES)) + " ELSE 'none' END"
+    less = "".join(f" - (1 - x.w_{d}) * {L.WEIGHTS_14[d]} * {d}" for d in silent)
     return f"""{dimensions(q)}, genre AS {genre}, g AS (SELECT d.*, {pick} AS genre FROM dims d),
-o AS (SELECT g.doc_id, g.genre, x.threshold, round(least(1.0, {total()} - (1 - x.burst_weight) * {L.WEIGHTS_14['burstiness']} * burstiness), 3) AS score FROM g JOIN genre x ON g.genre = x.genre)
+o AS (SELECT g.doc_id, g.genre, x.threshold, round(round(least(1.0, {total()}{less}), 9), 3) AS score FROM g JOIN genre x ON g.genre = x.genre)
 SELECT doc_id, genre, score, score >= threshold AS flagged FROM o"""
 
 
+@operator()
+def fix_strategies_seeded(q):
+    """The strategy for each signal that fires; a signal that the table doesn't have gets none."""
+    known = q.values([("CriticalBuzzword", "delete"), ("BuzzwordOveruse", "rewrite"), ("BuzzwordOveruse_Severe", "rewrite"), ("PhrasePattern", "delete"), ("PhrasePatternSevere", "delete"), ("UniformSentenceLength", "rewrite"), ("ListHeavy", "condense"), ("TrailingMoral", "delete")], ["signal_id", "strategy"])
+    return f"{signals(q)}, known AS {known} SELECT s.doc_id, s.signal_id, coalesce(k.strategy, '') AS strategy FROM sig s LEFT JOIN known k ON s.signal_id = k.signal_id"
+
+
+@operator()
+def dimension_flags(q):
+    """Density below 0.40 and repetition above 0.20, from unrounded values."""
+    d, r = f"cast({q.size(q.distinct('w'))} AS DOUBLE) / nw", f"cast({q.most('w')} AS DOUBLE) / nw"
+    return f"""{base(q)}, c AS (SELECT *, {q.size('w')} AS nw FROM prep), v AS (SELECT doc_id, {d} AS d, {r} AS r FROM c WHERE nw > 0)
+SELECT doc_id, round(round(d, 9), 2) AS density, d < 0.40 AS density_is_slop, round(round(r, 9), 2) AS repetition, r > 0.20 AS repetition_is_slop FROM v"""
+
+
+@operator()
+def evidence_receipts_seeded(q):
+    """A receipt for each document that names an authority without a source: an excerpt of at most 90 characters around the first
+    one, its place, and high, medium or low confidence by 0.7 and 0.5."""
+    found = q.all("lower(t)", "(?s:.{0,30})" + E.word("|".join(L.AUTHORITY)) + "(?s:.{0,60})")
+    excerpt = f"substring({E.trim(q, q.sub('x', r'[ \t\r\n]+', ' '))}, 1, 90)"
+    at = "instr(lower(t), x)" if q.name == "spark" else "strpos(lower(t), x)"
+    level = "CASE WHEN confidence >= 0.7 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END"
+    return f"""WITH s AS (SELECT doc_id, {seeded(q)} AS t FROM documents), h AS (SELECT doc_id, t, {found} AS hs FROM s), e AS (SELECT doc_id, t, {q.at('hs', 1)} AS x, least(0.9, 0.4 + 0.15 * {q.size('hs')}) AS confidence FROM h WHERE {q.size('hs')} > 0)
+SELECT doc_id, 'FakeAuthorityPattern' AS signal_id, {at} AS place, {excerpt} AS evidence, {level} AS reliability FROM e"""
+
+
+@operator()
+def text_halves(q):
+    """A text in two halves: by paragraphs where there are two, else by sentences, else by words; how long each is and how its
+    sentences differ in length."""
+    parts = f"CASE WHEN {q.size('paras')} >= 2 THEN paras WHEN {q.size('s')} >= 2 THEN s ELSE w END"
+    first = "slice(ps, 1, {})" if q.name == "spark" else "list_slice(ps, 1, {})"
+    half = f"cast(floor({q.size('ps')} / 2) AS INT)"
+    mean = lambda a: f"round(cast({q.sum(q.map(a, 'x', f'cast({q.size(E.white_words(q, chr(120)))} AS BIGINT)'))} AS DOUBLE) / nullif({q.size(a)}, 0), 4)"
+    return f"""{base(q)}, p AS (SELECT *, {E.paragraphs(q, 't')} AS paras FROM prep), k AS (SELECT doc_id, {parts} AS ps FROM p), c AS (SELECT doc_id, {first.format(half)} AS a, {q.cut('ps', half + ' + 1')} AS z FROM k)
+SELECT doc_id, {q.size('a')} AS first_parts, {q.size('z')} AS second_parts, {mean('a')} AS first_mean, {mean('z')} AS second_mean FROM c"""
+
+
 @operator()
 def pipeline_verdict_seeded(q):
     """The larger of the scorer and the classifier."""
