@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import exchange as X
 from plumbline.llm import textscan as T
 from plumbline.llm.substring import id_of
-from plumbline.llm.workspace import Workspace
+from plumbline.llm.workspace import Workspace, local_rows
 
 CELL, BLOCK_ITEMS, SCAN_BLOCKS, RANK, MIN_WORDS = 24, 256, 8, 128, 8
 COSINE, LCS_ALONE, LCS_WITH_ANSWER, ANSWER = 0.35, 0.7, 0.55, 0.8
@@ -448,7 +448,7 @@ def candidates(docs: DataFrame, benchmark: DataFrame, work: Workspace, id_col: s
     """HITS: every document and item that the cosine search brought together, with the checks."""
     spark: SparkSession = docs.sparkSession
     docs = docs.select(id_of(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found, taken, n = spark.createDataFrame([], HITS), blocks(benchmark, item_col, item_text), 0
+    found, taken, n = local_rows(spark, [], HITS), blocks(benchmark, item_col, item_text), 0
     while some := list(itertools.islice(taken, SCAN_BLOCKS)):
         vocabulary = np.unique(np.concatenate([b.vocabulary.hashes for b in some]))
         counted = docs.select("text").mapInArrow(_frequencies(vocabulary), "slot int, n long, df binary")

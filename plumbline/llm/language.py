@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as X
 from plumbline.llm import textscan as T
-from plumbline.llm.workspace import Workspace
+from plumbline.llm.workspace import Workspace, local_rows
 
 ORDER, BITS = 4, 16
 ALPHABET = 1 << BITS
@@ -271,7 +271,7 @@ class Model:
     def load(self, which: int) -> Load:
         """Some parts, brought together by language: at most MAX_MODEL_BYTES, or one part."""
         units = self.loads[which]
-        wanted = self.work.spark.createDataFrame(units, "lang string, shard int")
+        wanted = local_rows(self.work.spark, units, "lang string, shard int")
         rows = self.parts.join(F.broadcast(wanted), ["lang", "shard"]).collect()
         return Load(self.langs, self.bases, [r.asDict() for r in rows])
 

@@ -37,7 +37,7 @@ from plumbline.llm import exchange as X
 from plumbline.llm import textscan as T
 from plumbline.llm.components import connected_components
 from plumbline.llm.substring import NO_ID, _batch, id_of, text_size
-from plumbline.llm.workspace import Workspace, files_of
+from plumbline.llm.workspace import Workspace, files_of, local_rows
 
 U = np.uint64
 BLOCK_SIGNATURES = 400_000
@@ -521,7 +521,7 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
         return tried[-1].where("link").select("a", "b")
 
     blocks = members.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    links = Sweep(work, "near", sketches, _forests(percent), 16, checked, files).run(members.join(blocks, "unit"), spark.createDataFrame([], LINKS)).unionByName(equal)
+    links = Sweep(work, "near", sketches, _forests(percent), 16, checked, files).run(members.join(blocks, "unit"), local_rows(spark, [], LINKS)).unionByName(equal)
     label = connected_components(links, work, "labels")
     apart = [t.where("not link") for t in tried]
     if all(t.isEmpty() for t in apart):

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm import textscan as T
+from plumbline.llm.workspace import local_rows
 
 MAX_LABELLED = 4000
 #: Bytes of text at a time: features take about 70 bytes for each.
@@ -103,7 +104,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marked = marked.groupBy("__id").agg(F.min("__y").alias("__y"), F.max("__y").alias("__high")).where("__y = __high").drop("__high")
     chosen = marked.orderBy(F.xxhash64("__id"), "__id").limit(limit)
     spark = docs.sparkSession
-    taken = spark.createDataFrame([(r["__id"], int(r["__y"])) for r in chosen.collect()], "__id long, __y int")
+    taken = local_rows(spark, [(r["__id"], int(r["__y"])) for r in chosen.collect()], "__id long, __y int")
     joined = docs.join(F.broadcast(taken), F.col(id_col).cast("long") == F.col("__id")).select("__id", F.col(text_col).cast("string").alias("t"), "__y")
     got = [(r["__id"], r["t"] or "", r["__y"]) for r in joined.distinct().orderBy("__id", "t").limit(limit).collect()]
     return train([t for _, t, _ in got], np.array([y for _, _, y in got], dtype=np.int64))

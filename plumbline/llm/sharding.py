@@ -24,7 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm.components import spread
-from plumbline.llm.workspace import Workspace
+from plumbline.llm.workspace import Workspace, local_rows
 
 #: Groups with more than one in so many of all rows, which are broadcast apart; rows of a chunk, and the fewest chunks.
 HOT, CHUNK_ROWS, LEAST_CHUNKS = 2000, 50_000, 256
@@ -133,9 +133,9 @@ def assign(docs: DataFrame, shards: int, id_col: str = "doc_id", text_col: str =
     packed = pack_into(listed, shards)
     whole = [(size, runs[0][0]) for (size, _), runs in zip(listed, packed) if len(runs) == 1]
     parted = [(size, b, sum(n for _, n in runs[:k]), sum(n for _, n in runs[: k + 1])) for (size, _), runs in zip(listed, packed) if len(runs) > 1 for k, (b, _) in enumerate(runs)]
-    placed = spread(groups, "bytes", spark.createDataFrame(whole, "root long, shard int"), "shard", by="key")
+    placed = spread(groups, "bytes", local_rows(spark, whole, "root long, shard int"), "shard", by="key")
     ranked = ranks(placed.where("shard is null").select("key", "bytes", "n"), count)
-    runs = F.broadcast(spark.createDataFrame(parted, "size long, run int, low long, high long"))  # fewer rows than sizes and shards together
+    runs = F.broadcast(local_rows(spark, parted, "size long, run int, low long, high long"))  # fewer rows than sizes and shards together
     split = ranked.join(runs, (F.col("bytes") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("key", "bytes", "n", F.col("run").alias("shard"))
     placed = work.save(placed.where("shard is not null").select("key", "bytes", "n", "shard").unionByName(split), "placed")
     hot = F.broadcast(placed.where(F.col("n") > count // HOT).select("key", "shard"))  # fewer than HOT groups

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as X
 from plumbline.llm import textscan as T
-from plumbline.llm.workspace import Workspace
+from plumbline.llm.workspace import Workspace, local_rows
 
 BLOCK_WINDOWS = 500_000
 NO_ID = -(1 << 63)
@@ -251,7 +251,7 @@ def longest_repeats(docs: DataFrame, start: int = 8, id_col: str = "doc_id", tex
         found = level if found is None else found.unionByName(level)
         length *= 2
     if found is None:
-        return docs.sparkSession.createDataFrame([], "id long, length long")
+        return local_rows(docs.sparkSession, [], "id long, length long")
     return found.groupBy("id").agg(F.max("length").alias("length"))
 
 

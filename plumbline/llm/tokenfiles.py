@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import textscan as T
 from plumbline.llm import tokens
 from plumbline.llm.substring import text_size
+from plumbline.llm.workspace import local_rows
 
 PART_BYTES = 48 << 20
 OPTIONS = {
@@ -108,7 +109,7 @@ def starts(spark: SparkSession, path: str) -> DataFrame:
     for part, total in totals:
         base.append((part, before))
         before += total
-    bases = spark.createDataFrame(base, "part int, base long")
+    bases = local_rows(spark, base, "part int, base long")
     run = F.sum("n_tokens").over(W.partitionBy("part").orderBy("row")) - F.col("n_tokens")
     return meta.withColumn("run", run).join(F.broadcast(bases), "part").select("part", "row", "doc_id", "n_tokens", (F.col("base") + F.col("run")).alias("start"))
 

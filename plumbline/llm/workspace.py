@@ -9,6 +9,7 @@ import time
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -56,6 +57,17 @@ def files_of(rows: int = 0, text: int = 0) -> int:
     return max(1, -(-rows // FILE_ROWS), -(-text // FILE_TEXT))
 
 
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "double": pa.float64(), "string": pa.string()}
+
+
+def local_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows of the driver, "name type, ..."; by Arrow, as lists of rows pass through Python workers,
+    which then stay in the executors' memory."""
+    fields = [(f.split()[0], _ARROW[f.split()[1]]) for f in schema.split(",")]
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    return spark.createDataFrame(pa.table([pa.array(c, t) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields]))
+
+
 class Workspace:
     """Named parquet tables below the shared folder, for one run of an operator. Results are read from them, so
     they are removed when the driver ends."""
