@@ -274,7 +274,7 @@ def naturalness_findings_seeded(q):
 GERMAN_WORDS = ["der", "die", "das", "und", "ist", "nicht", "mit", "für", "auf", "eine", "ein", "von", "den", "dem", "sich", "auch", "als", "bei", "aus", "nach", "werden", "wird", "hat", "haben", "kann", "man"]
 IDEOLOGY = {
     "RitualFirewall": (0.6, r"die\s+brandmauer|die\s+feuermauer|hold\s+the\s+(?:firewall|cordon\s+santaire|sanitary\s+cordon)|brandmauer\s+(?:halten|wahren|verteidigen)", r"untersuchungsausschuss|minderheitsregierung|verbotsverfahren|ausschuss|satire|ironie|parodie|glosse|ironic|parody"),
-    "MartyrCartel": (0.6, r"systempresse|lügenpresse|systemmedien|die\s+altparteien|das\s+kartell\s+der\s+(?:alten\s+)?parteien|lying\s+press", r"aktenzeichen|protokoll|beschluss|urteil|docket"),
+    "MartyrCartel": (0.6, r"systempresse|lügenpresse|systemmedien|die\s+altparteien|das\s+kartell\s+der\s+(?:alten\s+)?parteien|lying\s+press", r"aktenzeichen|protokoll|beschluss|urteil|docket|" + B + r"az[^\p{L}\p{M}\p{N}_]"),
     "CollectiveOther": (0.7, r"die\s+(?:migranten|ausländer|muslime)\s+sind|those\s+(?:migrants|immigrants|refugees)\s+are|die\s+sind\s+nun\s+mal\s+so", r"[0-9]+\s*%|(?:19|20)[0-9]{2}|quelle|source|destatis|eurostat|bamf|lizenz"),
     "ReplacementKicker": (0.7, r"umvolkung|bevölkerungsaustausch|great\s+replacement|der\s+austausch\s+des\s+volkes|das\s+land,?\s+das\s+wir\s+kannten", r"(?:19|20)[0-9]{2}|geburtenrate|wanderungssaldo|demografi|destatis|eurostat|quelle|source"),
     "EthnopluralistRebrand": (0.6, r"recht\s+auf\s+differenz|ethnopluralis|ethno-differentialis|trennung\s+der\s+kulturen|getrennte\s+räume|echte\s+vielfalt\s+lebt\s+von\s+der\s+trennung|each\s+culture\s+its\s+own", r"ethnografi|völkerkund|ethnolog|studie|studium|forschung"),
@@ -330,10 +330,10 @@ def language_guess(q):
 # --- artefacts, gates, metadata -------------------------------------------------------------------------
 # Fixed values.
 PASTE = {
-    "elision-comment": (1, [r"(?im)^[ \t]*(?://|#|--|/[*]|<!--)?[ \t]*(?:[.]{3}|…)[ \t]*(?:the[ ]+)?(?:rest|remainder|remaining[ ]+part|other[ ]+parts?)[ ]+(?:of[ ]+)?(?:the[ ]+)?(?:code|file|content|implementation|logic|config(?:uration)?|function|class|test[a-z]*)", r"(?i)\[\s*[.]{2,3}\s*(?:existing|remaining|previous|other)\s+(?:code|content|lines?|implementation|logic)[^\]]{0,30}\]"]),
-    "chat-preamble": (1, [r"(?im)^[ \t]*(?:certainly|of[ ]+course|sure|great[ ]+question|absolutely|happy[ ]+to[ ]+help|i'?d[ ]+be[ ]+happy[ ]+to[ ]+help)[ \t]*[!,.]?[ \t]*$", r"(?im)^[ \t]*(?:certainly|of[ ]+course|sure|absolutely)[!,.]?[ \t]*here'?s[ ]+(?:the|your|an?|my)", r"(?im)^[ \t]*here'?s[ ]+the[ ]+(?:corrected|updated|revised|complete|full|final|entire|correct)[ ]+(?:code|version|file|script|function|implementation)", r"(?im)^[ \t]*as[ ]+(?:an?[ ]+)?(?:ai|assistant|language[ ]+model)[^\p{L}\p{N}_]"]),
-    "fence-in-code": (2, [r"(?im)^[ \t]*```[a-zA-Z0-9_+-]*[ \t]*$"]),
-    "meta-process-comment": (2, [r"(?im)^[ \t]*(?://|#|--)[ \t]*(?:phase|step|stage)[ ]+[0-9]+[ ]*(?:of|:)", r"(?i)(?:agent|assistant|model|llm|ai)\s+(?:behavior|will\s+(?:now|then)|output|response)", r"(?i)(?:regenerat[a-z]+|re-roll[a-z]*|re-?prompt[a-z]*)\s+(?:the\s+)?(?:output|response|answer|code)"]),
+    "elision-comment": (1, [r"(?im)^\s*(?://|#|--|/[*]|<!--)?\s*(?:[.]{3}|…|\[?dots?\]?)\s*(?:the\s+)?(?:rest|remainder|remaining\s+part|other\s+parts?)\s+(?:of\s+)?(?:the\s+)?(?:code|file|content|implementation|logic|config(?:uration)?|function|class|test[\p{L}\p{N}_]*)(?:[^\p{L}\p{M}\p{N}_.\n][^.\n]{0,39})?(?:is\s+)?(?:unchanged|stays?\s+the\s+same|remains?\s+the\s+same|as\s+before|not\s+shown|omitted|elided|the\s+same)?\s*(?:-->|[*]/)?[\s.]*$", r"(?i)\[\s*[.]{2,3}\s*(?:existing|remaining|previous|other)\s+(?:code|content|lines?|implementation|logic)(?:[^\p{L}\p{M}\p{N}_\]][^\]]{0,29})?\]"]),
+    "chat-preamble": (1, [r"(?im)^\s*(?:certainly|of\s+course|sure|great\s+question|absolutely|happy\s+to\s+help|i'?d\s+be\s+happy\s+to\s+help)\s*[!,.]?\s*$", r"(?im)^\s*(?:certainly|of\s+course|sure|absolutely)[!,.]?\s*here'?s\s+(?:the|your|an?|my)" + NB, r"(?im)^\s*here'?s\s+the\s+(?:corrected|updated|revised|complete|full|final|entire|correct)\s+(?:code|version|file|script|function|implementation)" + NB, r"(?im)^\s*as\s+(?:an?\s+)?(?:ai|assistant|language\s+model)" + NB]),
+    "fence-in-code": (2, [r"(?im)^\s*```[a-zA-Z0-9_+-]*\s*$"]),
+    "meta-process-comment": (2, [r"(?im)^\s*(?://|#|--)\s*(?:phase|step|stage)\s+[0-9]+\s*(?:of|:)\s*[^.\n]{0,60}$", r"(?i)" + B + r"(?:the\s+)?(?:agent|assistant|model|llm|ai)\s+(?:behavior|will\s+(?:now|then)|output|response)" + NB, r"(?i)" + B + r"(?:as\s+)?per\s+(?:my\s+|the\s+)?(?:previous|last)\s+(?:response|message|answer|turn|instruction[\p{L}\p{N}_]*)" + NB, r"(?i)" + B + r"(?:regenerat[\p{L}\p{N}_]+|re-roll[\p{L}\p{N}_]*|re-?prompt[\p{L}\p{N}_]*)\s+(?:the\s+)?(?:output|response|answer|code)" + NB]),
     "list-label-marker": (2, [r"(?im)^[ \t]*(?:[-*+]|[0-9]+[.)])[ \t]+(?:G[0-9]+|NG[0-9]+|FN[0-9]+|BS-I[0-9]+|T[0-9]+|M[0-9]+|S[0-9]+|A[0-9]+|P[0-9]+)[ \t]*[:.)][ \t]+"]),
     "placeholder-credential-shape": (1, [r"(?i)(?:your|my|the|insert|replace|enter|add)_?(?:api[_-]?key|token|secret|password|credential[_-]?s?|key)(?:[_-]?(?:here|now))?" + NB, r"(?i)(?:insert|replace|enter|paste|fill[_-]?in)\s+(?:your\s+|the\s+|the\s+actual\s+)?(?:api[_-]?key|token|secret|password|credential[_-]?s?)"]),
 }
@@ -390,9 +390,10 @@ def hardcoded_secrets(q):
 
 # Fixed values, but for the seeds.
 COMMIT_SEEDS = ["", "This PR updates the loader to improve readability and maintainability.", "This commit implements paging as per the requirements. Improve code readability and maintainability.", "{\"description\": \"A comprehensive suite\", \"title\": \"todo later\", \"summary\": \"various things\"}", "\n# Configuration for nginx\n# This script contains helpers\n# Create a storage bucket", "LGTM, looks good to me, thanks", "Looks good, but parse_config() drops line 12"]
-COMMIT = [r"(?i)this\s+(?:pr|mr|commit|cl|change|patch)[^.\n]{0,80}?(?:to\s+)?improves?\s+(?:code\s+)?(?:readability|maintainability|clarity|robustness|performance|consistency)", r"(?i)improv[a-z]*\s+(?:the\s+)?(?:code\s+)?(?:readability|maintainability|clarity)(?:\s+(?:and|&)\s+(?:the\s+)?(?:readability|maintainability|clarity))+", r"(?i)this\s+(?:pr|mr|commit)\s+(?:implements|adds|introduces)[^.\n]{0,60}as\s+(?:per\s+)?(?:the\s+)?(?:requirements?|spec|request|discussion)", r"(?im)^[ \t]*(?:i[ ]+have[ ]+|i've[ ]+)?(?:implemented|updated|added|fixed)[^.\n]{0,60}(?:for[ ]+you|as[ ]+requested|as[ ]+asked)"]
-JSON_FIELDS = ["(?i)\"(?:description|summary|title|notes?|comment|details?)\"\\s*:\\s*\"[^\"]{0,120}?(?:a\\s+comprehensive|a\\s+powerful|a\\s+versatile|various|multiple|several|numerous)[^\"]{0,120}\"", "(?i)\"(?:description|summary|title|notes?|comment|details?)\"\\s*:\\s*\"[^\"]{0,60}todo[^\"]{0,60}\""]
-CONFIG = [r"(?im)^[ \t]*#[ \t]*(?:configuration|settings?|config)[ ]+for[ ]+[a-z0-9_.-]+[ \t]*$", r"(?im)^[ \t]*#[ \t]*create[ ]+(?:a|an)[ ]+[a-z0-9_-]+[ ]+(?:resource|bucket|group|instance|role|policy)[ \t]*$", r"(?im)^[ \t]*#[ \t]*this[ ]+(?:script|file|config|section)[ ]+(?:does|contains|defines|sets up)"]
+COMMIT = [r"(?i)this\s+(?:pr|mr|commit|cl|change|patch)[^.\n]{0,80}?(?:to\s+)?improves?\s+(?:code\s+)?(?:readability|maintainability|clarity|robustness|performance|consistency)", r"(?i)improv[\p{L}\p{N}_]*\s+(?:the\s+)?(?:code\s+)?(?:readability|maintainability|clarity)(?:\s+(?:and|&)\s+(?:the\s+)?(?:readability|maintainability|clarity))+", r"(?i)this\s+(?:pr|mr|commit)\s+(?:implements|adds|introduces)[^\p{L}\p{N}_.\n](?:[^.\n]{0,59}[^\p{L}\p{N}_.\n])?as\s+(?:per\s+)?(?:the\s+)?(?:requirements?|spec|request|discussion)", r"(?im)^\s*(?:i\s+have\s+|i've\s+)?(?:implemented|updated|added|fixed)[^\p{L}\p{N}_.\n](?:[^.\n]{0,59}[^\p{L}\p{N}_.\n])?(?:for\s+you|as\s+requested|as\s+asked)" + NB]
+JSON_KEY = "\"(?:description|summary|title|notes?|comment|details?)\"\\s*:\\s*\""
+JSON_FIELDS = ["(?i)" + JSON_KEY + "[^\"]{0,120}?(?:a\\s+comprehensive|a\\s+powerful|a\\s+versatile|various|multiple|several|numerous)(?:[^\\p{L}\\p{M}\\p{N}_\"][^\"]{0,119})?\"", "(?i)" + JSON_KEY + "(?:[^\"]{0,59}[^\\p{L}\\p{M}\\p{N}_\"])?todo(?:[^\\p{L}\\p{M}\\p{N}_\"][^\"]{0,59})?\"", "(?i)(?:" + "|".join(f"\"{k}\"\\s*:\\s*\"the\\s+{k}\\s+(?:of|for)" for k in ("description", "summary", "title", "notes", "comment", "details")) + ")" + NB]
+CONFIG = [r"(?im)^\s*#\s*(?:install(?:ing)?|setup|configure|copy|update)\s+(?:the\s+)?(?:dependencies|requirements|files?|packages?)\s*\n\s*(?:RUN|COPY|ADD|apt-get|pip|npm)" + NB, r"(?im)^\s*#\s*(?:configuration|settings?|config)\s+for\s+[\p{L}\p{N}_.-]+\s*$", r"(?im)^\s*#\s*create\s+(?:a|an)\s+[\p{L}\p{N}_-]+\s+(?:resource|bucket|group|instance|role|policy)\s*$", r"(?im)^\s*#\s*this\s+(?:script|file|config|section)\s+(?:does|contains|defines|sets up)" + NB]
 REVIEW = r"(?i)" + B + r"(?:lgtm|looks?\s+good|good\s+catch|nice\s+(?:catch|work|job)|great\s+(?:work|catch|job)|well\s+done|approved?|ship\s+it|thanks(?:\s+for\s+this)?|consider\s+(?:adding|updating|checking)|sieht\s+gut\s+aus|einverstanden|danke|gut\s+gemacht|sehr\s+gut)" + NB
 ANCHOR = r"`|[a-z0-9]+_[a-z0-9]+|[a-z]+[A-Z][a-z]+|[A-Z]{3,}|[a-zA-Z0-9]+\(|#[0-9]+|[0-9]|[a-z0-9]+/[a-z0-9]+"
 
