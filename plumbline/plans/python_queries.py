@@ -32,12 +32,27 @@ def seeded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.expr(seeded(SPARK)).alias("text"))
 
 
-def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).select("doc_id", F.element_at(F.array(*[F.lit(m) for m in MODULES]), (F.col("doc_id") % len(MODULES) + 1).cast("int")).alias("source"))
+def with_modules(docs: DataFrame) -> DataFrame:
+    """Documents with an example module in a fenced block at their end."""
+    module = F.element_at(F.array(*[F.lit(f"\n```python\n{m}```\n") for m in MODULES]), (F.pmod("doc_id", F.lit(len(MODULES))) + 1).cast("int"))
+    return docs.select("doc_id", F.concat(F.coalesce("text", F.lit("")), module).alias("text"))
+
+
+def modules(docs: DataFrame) -> DataFrame:
+    """(doc_id, source) of the fenced Python blocks of the texts, joined; texts without one have no row."""
+    blocks = F.regexp_extract_all("text", F.lit(r"(?s)```python\n(.*?)```"), F.lit(1))
+    return docs.select("doc_id", F.array_join(blocks, "\n").alias("source")).where("source <> ''")
+
+
+TERMS = [w for tier in BUZZWORDS.values() for w in tier] + ["^in [X] we", "here are [N] ways"]
+
+
+def term_spans_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.match_terms(documents(spark, sf_dir).select("doc_id", "text"), TERMS)
 
 
 def term_spans_exact_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.match_terms(seeded_documents(spark, sf_dir), [w for tier in BUZZWORDS.values() for w in tier] + ["^in [X] we", "here are [N] ways"])
+    return P.match_terms(seeded_documents(spark, sf_dir), TERMS)
 
 
 def nfkc_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,17 +63,29 @@ def markdown_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.markup_stripped(documents(spark, sf_dir)).select("doc_id", F.length("text").cast("long").alias("kept_chars"))
 
 
+def forced_triads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.forced_triads(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def forced_triads_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" It is reliable, scalable, and fast. People. Process. Tools."))).otherwise(F.col("text")).alias("text"))
     return P.forced_triads(docs)
 
 
 def verification_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.verification_ladder(modules(spark, sf_dir))
+    return P.verification_ladder(modules(documents(spark, sf_dir)))
+
+
+def verification_ladder_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.verification_ladder(modules(with_modules(documents(spark, sf_dir))))
 
 
 def reinvented_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.reinvented_functions(modules(spark, sf_dir))
+    return P.reinvented_functions(modules(documents(spark, sf_dir)))
+
+
+def reinvented_functions_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.reinvented_functions(modules(with_modules(documents(spark, sf_dir))))
 
 
 def calibrated_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +100,7 @@ def calibrated_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [term_spans_exact_seeded, nfkc_normalised, markdown_stripped, forced_triads_seeded, verification_ladder, reinvented_functions, calibrated_weights, jobs.stream_scored_documents, jobs.stream_event_windows, jobs.stream_user_sessions]
+    found = [term_spans_exact, term_spans_exact_seeded, nfkc_normalised, markdown_stripped, forced_triads, forced_triads_seeded, verification_ladder, verification_ladder_seeded, reinvented_functions, reinvented_functions_seeded, calibrated_weights, jobs.stream_scored_documents, jobs.stream_event_windows, jobs.stream_user_sessions]
     return {f.__name__: f for f in found}
 
 
