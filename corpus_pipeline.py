@@ -18,13 +18,14 @@ SHINGLE_WORDS, SIMILAR_PERCENT, REPEAT_WORDS = 5, 80, 20
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go. It learns from labels outside the held-out fold."""
+    """Documents that the classifier rejects go. It learns from labels outside the held-out fold, of the input tables; without
+    labels every document stays."""
     model = quality.fit(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").where(fold(5) != 0))
     return quality.score(docs, model).where(F.col("score") >= KEEP_SCORE).select("row.*")
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of similar documents the one with the smallest id stays."""
+    """Of each component of similar documents the one with the smallest id stays; blank texts all stay."""
     return partenum.keep_one(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
@@ -39,7 +40,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; without items all stay."""
     hits = decontaminate.candidates(docs, read(spark, sf_dir, "benchmark"), Workspace(spark, "decontaminate"))
     bad = decontaminate.verdicts(hits).where("contaminated").select(F.col("id").alias("__bad"))
     return docs.join(bad, substring.id_of("doc_id") == F.col("__bad"), "left_anti")
