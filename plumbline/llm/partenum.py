@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as X
@@ -51,6 +52,8 @@ CHUNK_BYTES, SMALL_GROUP = 4 << 20, 16
 POOR_FROM = 40
 #: Ids that may be broadcast, 8 bytes each, and 8-byte words of sketches or sets that a task takes at a time.
 BROADCAST_IDS, BUCKET_WORDS = 500_000, 250_000
+#: Buckets over which groups with the same least member are spread at most.
+SPREAD = 4
 PACKED = "slot int, n long, h binary, d binary, w binary, k long, ka binary, kb binary"
 _PACKED = (["slot", "n", "h", "d", "w", "k", "ka", "kb"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
 GROUPS = "kind int, a long, b long"
@@ -460,8 +463,11 @@ class Sweep:
         rows = self.work.save(rows, f"{name}-rows", small=True, files=self.files)
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(4 * parts, rows.count() * self.per_row // BUCKET_WORDS)
-        slot = F.pmod(F.xxhash64("unit", "block"), F.lit(buckets)).cast("int").alias("slot")
-        whole = rows.join(self.payload, "id").select(slot, "unit", "block", "id", "label", "visiting", *[c for c in self.payload.columns if c != "id"])
+        # Groups of the same family mostly have the same least member: in one bucket, they give a pair once.
+        least = F.min("id").over(W.partitionBy("unit", "block"))
+        slot = F.pmod(F.xxhash64("least", F.pmod("unit", F.lit(SPREAD))), F.lit(buckets)).cast("int").alias("slot")
+        placed = rows.withColumn("least", least).select(slot, *rows.columns)
+        whole = placed.join(self.payload, "id").select("slot", "unit", "block", "id", "label", "visiting", *[c for c in self.payload.columns if c != "id"])
         return self.settle(self.work.save(lambda: whole.groupBy("slot").applyInArrow(self.compare, LINKS).distinct(), name, files=self.files), name)
 
     def run(self, rows: DataFrame, links: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 
 from plumbline.llm import textscan as T
 
-CACHE_CHUNKS = 1_000_000
+CACHE_CHUNKS = 400_000
 BLANK = np.zeros(256, dtype=bool)
 BLANK[0x20] = True
 

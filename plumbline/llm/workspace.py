@@ -84,11 +84,12 @@ class Workspace:
     def save(self, df: DataFrame | Callable[[], DataFrame], table: str, small: bool = False, files: int | None = None) -> DataFrame:
         """Writes df and reads it back: lost executors repeat tasks, never the lineage before. Given a
         function that makes df, nothing holds on to the plan afterwards and its shuffle files can go; for small
-        tables that isn't worth a collection. files: how many at most."""
+        tables that isn't worth a collection. files: how many at most. Working tables are ids, hashes and packed
+        bytes, which don't compress; the codec's buffers would stay in the executors' memory outside the heap."""
         made = df() if callable(df) else df
         if files is not None:
             made = made.coalesce(files)
-        made.write.mode("overwrite").parquet(self.path(table))
+        made.write.mode("overwrite").option("compression", "uncompressed").parquet(self.path(table))
         del made, df
         if not small:
             self.release()
