@@ -38,13 +38,13 @@ dims0 AS (SELECT doc_id, buzz, phr, multi, auth, high_conf, prov, em, burst, ns,
 CASE WHEN nw > 0 THEN greatest(0.0, (0.5 - cast({q.size(q.distinct('w'))} AS DOUBLE) / nw) / 0.5) ELSE 1.0 END AS density,
 CASE WHEN nw > 0 THEN least(1.0, cast({q.most('w')} AS DOUBLE) / nw / 0.3) ELSE 0.0 END AS repetition,
 CASE WHEN ns >= 3 THEN greatest(0.0, (5 - burst) / 5) ELSE 0.0 END AS burstiness,
-least(1.0, buzz / 6.0) AS buzzwords, least(1.0, phr / 4.0) AS phrases, least(1.0, punct / 2) AS punctuation,
+least(1.0, cast(buzz AS DOUBLE) / 6) AS buzzwords, least(1.0, cast(phr AS DOUBLE) / 4) AS phrases, least(1.0, punct / 2) AS punctuation,
 CASE WHEN {q.has(q.tail(E.trim(q, 'lower(t)'), 200), E.word('|'.join(L.MORALS)))} THEN 1.0 ELSE 0.0 END AS trailing_moral,
 CASE WHEN {q.size('ls')} > 3 AND {q.size(q.filter('ls', 'x', q.has('x', LIST_LINE)))} > 0.4 * {q.size('ls')} THEN 1.0 ELSE 0.0 END AS list_heavy,
-least(1.0, auth / 2.0) AS fake_authority, least(1.0, greatest(0.0, cast(nw AS DOUBLE) / greatest(ns, 1) - 20) / 15) AS verbosity, least(1.0, multi / 3.0) AS multilingual,
+least(1.0, cast(auth AS DOUBLE) / 2) AS fake_authority, least(1.0, greatest(0.0, cast(nw AS DOUBLE) / greatest(ns, 1) - 20) / 15) AS verbosity, least(1.0, cast(multi AS DOUBLE) / 3) AS multilingual,
 CASE WHEN ns >= 4 AND {q.size('a')} >= 3 AND {q.size('z')} >= 3 AND {q.size(q.common('a', 'z'))} > 0.6 * least({q.size('a')}, {q.size('z')}) THEN 1.0 ELSE 0.0 END AS mirrored,
 CASE WHEN ns > 0 AND {p} > 0.5 * ns THEN 1.0 ELSE 0.0 END AS portability FROM f),
-dims AS (SELECT *, least(1.0, ((CASE WHEN em > 0.5 THEN 1 ELSE 0 END) + (CASE WHEN ns >= 3 AND burst < 3 THEN 1 ELSE 0 END) + mirrored) / 3) AS structural FROM dims0)"""
+dims AS (SELECT *, least(1.0, cast((CASE WHEN em > 0.5 THEN 1 ELSE 0 END) + (CASE WHEN ns >= 3 AND burst < 3 THEN 1 ELSE 0 END) + mirrored AS DOUBLE) / 3) AS structural FROM dims0)"""
 
 
 def total(geometric: bool = False) -> str:
