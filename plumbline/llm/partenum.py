@@ -291,16 +291,15 @@ def may_link(apart: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> n
 def forest(near: np.ndarray, own: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
     """Edges (member, nearer to the hub) of a spanning forest of a graph between the members `own` and all: near has
     a row for each of own and a column for each member. Members of one label are joined from the start. Each tree
-    starts at the member with most neighbours."""
-    degree = near.sum(axis=0)
+    starts at its first member, so that the groups of a family give the same pairs."""
     place = np.full(near.shape[1], -1)
     place[own] = np.arange(len(own))
-    degree[own] = np.maximum(degree[own], near.sum(axis=1))
-    found, free = [], degree > 0
+    found, free = [], near.any(axis=0)
+    free[own] |= near.any(axis=1)
     where: dict[int, list[int]] = {}
     for k in np.flatnonzero(free):
         where.setdefault(int(label[k]), []).append(int(k))
-    for hub in np.argsort(-degree, kind="stable"):
+    for hub in np.flatnonzero(free):
         if not free[hub]:
             continue
         queue = where.pop(int(label[hub]))

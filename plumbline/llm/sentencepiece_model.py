@@ -144,12 +144,15 @@ def normaliser(model: Model):
 class Codec:
     """Encodes and decodes slices of texts."""
 
-    def __init__(self, data: bytes, workers: int = 2, verify: bool = True):
+    def __init__(self, data: bytes, workers: int = 2, verify: bool = True, made: str | None = None):
+        """made: the tokenizer as text, where another process has put it together already."""
         tokens.threads(workers)
         self.model, self.verify, self.differ = parse(data), verify, set()
         if any(MARK in p.lstrip(MARK) for p, _, kind in self.model.pieces if kind in (NORMAL, USER_DEFINED)):
             raise ValueError("a piece has the marker inside: texts can't be cut into chunks")
-        self.tokenizer, self.before = build(self.model), normaliser(self.model)
+        from tokenizers import Tokenizer
+
+        self.tokenizer, self.before = Tokenizer.from_str(made) if made else build(self.model), normaliser(self.model)
         if verify:
             import sentencepiece
 
@@ -209,9 +212,9 @@ class Codec:
         return data, offs
 
 
-def _run(data: bytes, workers: int, verify: bool, want_text: bool):
+def _run(data: bytes, made: str, workers: int, verify: bool, want_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(data, workers, verify)
+        codec = Codec(data, workers, verify, made)
         for batch in batches:
             row = batch.column("row")
             for i, j, raw, offs in T.slices(batch.column("text")):
@@ -245,4 +248,5 @@ def encode(docs: DataFrame, model_file: str, text_col: str = "text", workers: in
         data = f.read()
     source = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     kind = source.schema["row"].dataType.simpleString()
-    return source.mapInArrow(_run(data, workers, verify, decoded), f"row {kind}, ids array<int>, decoded string, round_trip boolean, parity boolean")
+    made = build(parse(data)).to_str()  # once, as the list of merges takes more memory than all else in a worker
+    return source.mapInArrow(_run(data, made, workers, verify, decoded), f"row {kind}, ids array<int>, decoded string, round_trip boolean, parity boolean")
