@@ -1,4 +1,5 @@
 import corpus_pipeline
+from plumbline.llm import workspace
 from tests.llm.cases import edge, empty, words
 from tests.llm.test_substring import brute as without_repeats
 
@@ -43,3 +44,19 @@ def test_each_stage_stands_edge_rows(spark, tmp_path):
             if k < 4:
                 assert out.columns == docs.columns
             assert out.count() == 0 if make is empty else out.count() > 0
+
+
+def test_executors_give_back_their_heaps(spark, monkeypatch):
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("heaps"))
+    spark.sparkContext.setJobGroup("heaps", "heaps")
+    try:
+        workspace.shrink_heaps(spark, now=True)
+        assert jobs() == 0  # local mode
+        monkeypatch.setattr(spark.sparkContext, "master", "local-cluster[1,1,1024]")
+        workspace.shrink_heaps(spark, now=True)
+        workspace.shrink_heaps(spark)  # too soon
+        assert jobs() == 1
+        workspace.shrink_heaps(spark, now=True)
+        assert jobs() == 2
+    finally:
+        spark.sparkContext.setJobGroup("", "")
