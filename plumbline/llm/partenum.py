@@ -9,12 +9,14 @@ signature of the whole set, of 128 bits. Candidates are checked against the exac
 without a shingle would bring together sets that have nothing in common; so there are some parts more than
 needed, and a set with no more parts of that kind leaves such signatures out without losing a link.
 
-Sets that share a signature aren't paired with each other. Each has a sketch, the parities of its shingles in
-cells of their hash; the cells in which two sketches differ are at most the sets' distance, so sizes and
-sketches prove of nearly all members of a group that they can't link. What may link in a group is written as
-a forest, fewer pairs than members, and the pairs of the forests are checked by the exact sets. Where all of
-them link, the components are complete. Families in which some pair doesn't link (sets just below the
-threshold) are compared by their exact sets as far as labels differ. Groups and families are worked on in
+Sets that share a signature aren't paired with each other. First each set is checked against one other, the least
+member that most of its groups name: that joins nearly all that links, with one pair for each set however large
+its family is. Only groups in which labels still differ go on. There each set has a sketch, the parities of its
+shingles in cells of their hash; the cells in which two sketches differ are at most the sets' distance, so sizes
+and sketches prove of nearly all members of a group that they can't link. What may link in a group is written as
+a forest between labels, fewer pairs than members, and the pairs of the forests are checked by the exact sets.
+Where all of them link, the components are complete. Families in which some pair doesn't link (sets just below
+the threshold) are compared by their exact sets as far as labels differ. Groups and families are worked on in
 blocks of bounded size; only what stays outside the largest label of a group visits its other blocks.
 
 Defined cases: null or blank texts have an empty set, link with nothing and are a component of
@@ -31,7 +33,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.llm import exchange as X
@@ -52,8 +53,6 @@ CHUNK_BYTES, SMALL_GROUP = 4 << 20, 16
 POOR_FROM = 40
 #: Ids that may be broadcast, 8 bytes each, and 8-byte words of sketches or sets that a task takes at a time.
 BROADCAST_IDS, BUCKET_WORDS = 500_000, 250_000
-#: Buckets over which groups with the same least member are spread at most.
-SPREAD = 4
 PACKED = "slot int, n long, h binary, d binary, w binary, k long, ka binary, kb binary"
 _PACKED = (["slot", "n", "h", "d", "w", "k", "ka", "kb"], [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()])
 GROUPS = "kind int, a long, b long"
@@ -449,6 +448,19 @@ def chosen(table: DataFrame, ids: DataFrame, at_most: int) -> DataFrame:
     return table.join(F.broadcast(ids) if at_most <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
+def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
+    """rows with their label: the component, or the id where nothing links."""
+    return rows.join(label, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("label"))
+
+
+def hubs(members: DataFrame) -> DataFrame:
+    """(a, b): for each member (unit, id) that isn't the least of all its groups, the one that is the least of most."""
+    least = members.groupBy("unit").agg(F.min("id").alias("least"))
+    shared = members.join(least, "unit").where("id != least").groupBy("id", "least").agg(F.count("*").alias("n"))
+    best = shared.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "least")).alias("best"))
+    return best.select(F.col("id").alias("a"), F.col("best.least").alias("b"))
+
+
 class Sweep:
     """Compares the members of units in blocks until every two of them that don't have one label have met."""
 
@@ -462,25 +474,24 @@ class Sweep:
         rows = self.work.save(rows, f"{name}-rows", small=True, files=self.files)
         parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         buckets = max(4 * parts, rows.count() * self.per_row // BUCKET_WORDS)
-        # Groups of the same family mostly have the same least member: in one bucket, they give a pair once.
-        least = F.min("id").over(W.partitionBy("unit", "block"))
-        slot = F.pmod(F.xxhash64("least", F.pmod("unit", F.lit(SPREAD))), F.lit(buckets)).cast("int").alias("slot")
-        placed = rows.withColumn("least", least).select(slot, *rows.columns)
+        # By blocks, not by families: a bucket's size doesn't follow that of a family.
+        slot = F.pmod(F.xxhash64("unit", "block"), F.lit(buckets)).cast("int").alias("slot")
+        placed = rows.select(slot, *rows.columns)
         whole = placed.join(self.payload, "id").select("slot", "unit", "block", "id", "label", "visiting", *[c for c in self.payload.columns if c != "id"])
         return self.settle(self.work.save(lambda: whole.groupBy("slot").applyInArrow(self.compare, LINKS).distinct(), name, files=self.files), name)
 
     def run(self, rows: DataFrame, links: DataFrame) -> DataFrame:
-        """rows (unit, id, blocks); links (a, b) that hold already. All links found: with those given they join all
-        that links join in any unit."""
+        """rows (unit, id, label, blocks); links (a, b) that hold already, by which sets have one label. All links
+        found: with those given they join all that links join in any unit."""
         work, name = self.work, self.name
         rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        found = self.meet(rows.select("unit", "block", "id", F.col("id").alias("label"), F.lit(False).alias("visiting")), "inside")
+        found = self.meet(rows.select("unit", "block", "id", "label", F.lit(False).alias("visiting")), "inside")
         wide = rows.where("blocks > 1")
         if wide.isEmpty():
             return found
         for step in ("heads", "last"):
             label = connected_components(links.unionByName(found), work, f"{name}-{step}")
-            named = wide.join(label, "id", "left").select("unit", "id", "blocks", "block", F.coalesce("component", "id").alias("label"))
+            named = labelled(wide.drop("label"), label)
             tally = named.groupBy("unit", "label").agg(F.count("*").alias("n")).groupBy("unit").agg(F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("top")).where("labels > 1")
             named = work.save(named.join(tally.select("unit", F.col("top.label").alias("top")), "unit"), f"{name}-{step}-named", files=self.files)
             if named.isEmpty():
@@ -513,37 +524,51 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     slots = X.even_slots(spark, items)
     groups = work.save(lambda: docs.mapInArrow(_emit(width, percent, slots), PACKED).groupBy("slot").applyInArrow(_group, GROUPS), "groups", files=files)
     equal = groups.where("kind = 0").select("a", "b")
-    members = work.save(lambda: groups.where("kind = 1").select(F.col("a").alias("unit"), F.col("b").alias("id")).distinct(), "members", files=files)
-    sketches = work.save(lambda: docs.mapInArrow(_sketches(width), "id long, n long, sketch binary").join(members.select("id").distinct(), "id", "left_semi"), "sketches", files=files)
-    tried: list[DataFrame] = []
+    # Of equal sets the least id stands in groups.
+    members = work.save(lambda: groups.where("kind = 1").select(F.col("a").alias("unit"), F.col("b").alias("id")).distinct().join(equal.select(F.col("a").alias("id")).distinct(), "id", "left_anti"), "members", files=files)
 
     def checked(pairs: DataFrame, name: str) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
         count = pairs.count()
         sets = work.save(lambda: chosen(docs, ids, 2 * count).mapInArrow(_sets(width), "id long, n long, shingles binary"), f"{name}-sets", files=files)
         one, two = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        tried.append(work.save(lambda: pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), f"{LINKS}, link boolean"), f"{name}-checked", files=files))
-        return tried[-1].where("link").select("a", "b")
+        out = work.save(lambda: pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(_linked(percent), f"{LINKS}, link boolean"), f"{name}-checked", files=files)
+        work.drop(f"{name}-sets")
+        return out
 
-    blocks = members.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks"))
-    links = Sweep(work, "near", sketches, _forests(percent), 16, checked, files).run(members.join(blocks, "unit"), local_rows(spark, [], LINKS)).unionByName(equal)
-    label = connected_components(links, work, "labels")
-    apart = [t.where("not link") for t in tried]
-    if all(t.isEmpty() for t in apart):
-        return label
-    return exact(docs, tried, links, label, work, width, percent, files)
+    tried: list[DataFrame] = []
 
+    def settle(pairs: DataFrame, name: str) -> DataFrame:
+        tried.append(checked(pairs, name))
+        return tried[-1].where("link").select("a", "b")
 
-def exact(docs: DataFrame, tried: list[DataFrame], links: DataFrame, label: DataFrame, work: Workspace, width: int, percent: int, files: int) -> DataFrame:
+    links = checked(work.save(lambda: hubs(members), "hubs", files=files), "hubs").where("link").select("a", "b").unionByName(equal)
+    label = connected_components(links, work, "hublabels")
+    named = labelled(members, label)
+    differ = named.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks")).where("lo != hi")
+    rows = work.save(lambda: named.join(differ.select("unit", "blocks"), "unit"), "open", files=files)
+    if not rows.isEmpty():
+        sketches = work.save(lambda: docs.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_sketches(width), "id long, n long, sketch binary"), "sketches", files=files)
+        found = Sweep(work, "near", sketches, _forests(percent), 16, settle, files).run(rows, links)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            label = connected_components(links, work, "labels")
+        if not all(t.where("not link").isEmpty() for t in tried):
+            label = exact(docs, tried, links, equal, label, work, width, percent, files)
+    return work.only(label, "components")
+
+
+def exact(docs: DataFrame, tried: list[DataFrame], links: DataFrame, equal: DataFrame, label: DataFrame, work: Workspace, width: int, percent: int, files: int) -> DataFrame:
     """Components of true links, where some pairs that sketches couldn't tell apart are no links: the members
-    of their families are compared by their sets as far as they have several labels."""
-    pairs = tried[0].select("a", "b")
-    for t in tried[1:]:
+    of their families are compared by their sets as far as they have several labels. A forest takes sets of one
+    label for joined, so links hold families together too."""
+    pairs = links
+    for t in tried:
         pairs = pairs.unionByName(t.select("a", "b"))
-    family = connected_components(pairs, work, "families").withColumnRenamed("component", "unit")
-    family = family.join(label.withColumnRenamed("component", "label"), "id", "left").select("id", "unit", F.coalesce("label", "id").alias("label"))
+    family = labelled(connected_components(pairs, work, "families").withColumnRenamed("component", "unit"), label)
     mixed = family.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("unit")
-    family = work.save(family.join(mixed, "unit", "left_semi").select("id", "unit"), "mixed", files=files)
+    family = family.join(mixed, "unit", "left_semi").join(equal.select(F.col("a").alias("id")).distinct(), "id", "left_anti")
+    family = work.save(family.select("id", "unit", "label"), "mixed", files=files)
     count = family.count()
     sets = work.save(lambda: chosen(docs, family, count).mapInArrow(_sets(width), "id long, n long, shingles binary"), "mixedsets", files=files)
     blocks = family.join(sets.select("id", "n"), "id").groupBy("unit").agg(F.ceil(F.greatest(F.count("*") / BLOCK_MEMBERS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))

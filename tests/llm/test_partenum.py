@@ -1,3 +1,4 @@
+import os
 import random
 import re
 
@@ -5,6 +6,7 @@ import numpy as np
 import pytest
 
 from plumbline.llm import partenum
+from plumbline.llm.workspace import Workspace
 from tests.llm.cases import docs, edge, empty, words
 
 
@@ -116,3 +118,26 @@ def test_sketches_never_exceed_the_distance():
         x, y = partenum.sketch(s), partenum.sketch(t)
         bits = partenum.folded([x, y], min(len(x), len(y)))
         assert np.bitwise_count(bits[0] ^ bits[1]).sum() <= len(np.setxor1d(s, t))
+
+
+def test_a_family_gives_a_pair_for_each_set_and_its_tables_go(spark, monkeypatch):
+    """Near copies that share many signatures in ever other groups: pairs to check follow the sets, not their square."""
+    rng, texts, base, pairs, roots, save = random.Random(23), {}, words("family", 300), [], set(), Workspace.save
+    for k in range(80):
+        copy = list(base)
+        for place in rng.sample(range(300), 3):
+            copy[place] = f"other{k}x{place}"
+        texts[k] = " ".join(copy)
+
+    def spy(self, df, table, *args, **named):
+        out = save(self, df, table, *args, **named)
+        roots.add(self.root.removeprefix("file://"))
+        if table.endswith("-checked"):
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(Workspace, "save", spy)
+    rows = partenum.jaccard_components(docs(spark, texts).repartition(4), 5, 80).collect()
+    assert {r.component_id for r in rows} == {0}
+    assert sum(pairs) < len(texts)
+    assert [os.listdir(r) for r in roots] == [["components"]]
