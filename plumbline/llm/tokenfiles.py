@@ -12,6 +12,7 @@ columns aren't written. No rows: files without rows.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -24,9 +25,12 @@ from pyspark.sql import functions as F
 from plumbline.llm import textscan as T
 from plumbline.llm import tokens
 from plumbline.llm.substring import text_size
-from plumbline.llm.workspace import local_rows
+from plumbline.llm.workspace import local_rows, shrink_heaps
 
 PART_BYTES = 48 << 20
+#: Chunks that a worker keeps, and bits of the number of places in their table: some 140 MB when full.
+KEPT_CHUNKS, KEPT_BITS = 2_000_000, 22
+_kept: dict[str, tokens.ChunkCoder] = {}
 OPTIONS = {
     "compression": "zstd",
     "parquet.writer.version": "PARQUET_2_0",
@@ -52,14 +56,25 @@ def byte_bpe(model: bytes, workers: int) -> tokens.ChunkCoder:
     def encode(strings: list[str]) -> list[list[int]]:
         return [x.ids for x in tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    return tokens.ChunkCoder(tokens.together(encode, width, T.SPACE, tokens.after_ascii_or_letter), T.SPACE, tokens.after_ascii_or_letter)
+    return tokens.ChunkCoder(tokens.together(encode, width, T.SPACE, tokens.after_ascii_or_letter), T.SPACE, tokens.after_ascii_or_letter, KEPT_CHUNKS, KEPT_BITS)
+
+
+def kept_coder(name: str, model: bytes, workers: int) -> tokens.ChunkCoder:
+    """The coder of this process for one write: later tasks of a worker go on with the chunks of its earlier ones;
+    another write begins anew."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = byte_bpe(model, workers)
+    return _kept[name]
 
 
 def _encode(model: bytes, end_id: int, workers: int):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder, part, row = byte_bpe(model, workers), TaskContext.get().partitionId(), 0
+        coder, part, row = kept_coder(name, model, workers), TaskContext.get().partitionId(), 0
         for batch in batches:
             for i, j, data, offs in T.slices(batch.column("text")):
                 flat, at = coder(data, offs)
@@ -73,7 +88,6 @@ def _encode(model: bytes, end_id: int, workers: int):
                 n = j - i
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, part), pa.int32()), pa.array(np.arange(row, row + n), pa.int64()), batch.column("doc_id").slice(i, n), pa.array(counts, pa.int64()), ids], ["part", "row", "doc_id", "n_tokens", "ids"])
                 row += n
-        del coder
         T.tidy()
 
     return run
@@ -84,6 +98,7 @@ def write(docs: DataFrame, path: str, model_file: str, end_id: int = 0, id_col:
     with open(model_file, "rb") as f:  # the driver's file goes with the tasks
         model = f.read()
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shrink_heaps(docs.sparkSession)
     parts = max(1, -(-text_size(docs) // PART_BYTES))
     ordered = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     coded = ordered.mapInArrow(_encode(model, end_id, workers), "part int, row long, doc_id long, n_tokens long, ids array<int>")

@@ -107,15 +107,14 @@ class ChunkCoder:
     """Ids of texts from the ids of their chunks. A direct-mapped table keeps chunks that were seen; one
     that another has pushed out is encoded again."""
 
-    TABLE_BITS = 20
-
-    def __init__(self, encode: Spans, space: np.ndarray, guard):
-        self.encode, self.space, self.guard = encode, space, guard
+    def __init__(self, encode: Spans, space: np.ndarray, guard, most: int | None = None, bits: int = 20):
+        """most: chunks that it keeps, CACHE_CHUNKS by default; bits: of the number of places in its table."""
+        self.encode, self.space, self.guard, self.most, self.bits = encode, space, guard, most, bits
         self.reset()
 
     def reset(self) -> None:
-        self.key = np.zeros(1 << self.TABLE_BITS, np.uint64)
-        self.value = np.zeros(1 << self.TABLE_BITS, np.int32)
+        self.key = np.zeros(1 << self.bits, np.uint64)
+        self.value = np.zeros(1 << self.bits, np.int32)
         self.start, self.count, self.pool = (np.zeros(1 << 16, t) for t in (np.int64, np.int32, np.int32))
         self.chunks = self.used = 0
 
@@ -136,12 +135,12 @@ class ChunkCoder:
         """Ids of all texts one after the other, and the len+1 offsets of the texts in them."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
-        if self.chunks > CACHE_CHUNKS:
+        if self.chunks > (CACHE_CHUNKS if self.most is None else self.most):
             self.reset()
         start = chunk_cuts(data, offsets, self.space, self.guard)
         end = np.append(start[1:], len(data))
         hashes = T.span_hashes(data, start, end)
-        place = (hashes & np.uint64((1 << self.TABLE_BITS) - 1)).astype(np.int64)
+        place = (hashes & np.uint64((1 << self.bits) - 1)).astype(np.int64)
         slot = self.value[place]
         missing = np.flatnonzero(self.key[place] != hashes)
         if len(missing):

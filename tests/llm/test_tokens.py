@@ -1,7 +1,9 @@
 import random
 import zlib
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.dataset as ds
 import pyarrow.parquet as pq
 import pytest
@@ -122,3 +124,33 @@ def test_pieces_with_inner_markers_are_refused():
     m.pieces.add(piece="a▁b", score=-1, type=1)
     with pytest.raises(ValueError):
         S.Codec(m.SerializeToString(), 1)
+
+
+def test_later_tasks_of_a_worker_go_on_with_its_coder(monkeypatch):
+    import tokenizers
+
+    path, made, make = vocabulary("byte_bpe_50k.json"), [], tokenfiles.byte_bpe
+    with open(path, "rb") as f:
+        model = f.read()
+    monkeypatch.setattr(tokenfiles, "byte_bpe", lambda *a: made.append(1) or make(*a))
+    monkeypatch.setattr("pyspark.TaskContext.get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    texts = fuzz(11, 400) + [" ".join(words(k, 200, 10**6)) for k in range(20)] + [None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])
+    run = tokenfiles._encode(model, 0, 1)
+    out = [pa.Table.from_batches(run(iter([batch]))) for _ in range(2)]
+    judge = tokenizers.Tokenizer.from_file(path)
+    assert out[0].equals(out[1]) and len(made) == 1
+    assert out[0].column("ids").to_pylist() == [[*judge.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+    assert pa.Table.from_batches(tokenfiles._encode(model, 0, 1)(iter([batch]))).equals(out[0]) and len(made) == 2  # another write
+
+
+def test_a_full_table_of_chunks_starts_anew():
+    with open(vocabulary("byte_bpe_50k.json"), "rb") as f:
+        coder = tokenfiles.byte_bpe(f.read(), 1)
+    texts = fuzz(12, 300)
+    want = coder(*buffers(texts))
+    coder.most, coder.bits = 20, 6
+    coder.reset()
+    for _ in range(3):
+        assert all(np.array_equal(x, y) for x, y in zip(coder(*buffers(texts)), want))
+    assert coder.chunks > 20
