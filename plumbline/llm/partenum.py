@@ -439,7 +439,7 @@ def _exact(percent: int):
     return run
 
 
-LINKS = "a long, b long"
+LINKS, SKETCHES = "a long, b long", "id long, n long, sketch binary"
 
 
 def chosen(table: DataFrame, ids: DataFrame, at_most: int) -> DataFrame:
@@ -448,6 +448,14 @@ def chosen(table: DataFrame, ids: DataFrame, at_most: int) -> DataFrame:
     return table.join(F.broadcast(ids) if at_most <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
+def sketched(docs: DataFrame, ids: DataFrame, count: int, width: int) -> DataFrame:
+    """(id, n, sketch) of the documents in ids, of which there are so many. Too many to broadcast, they are joined with the
+    sketches of all documents: no text goes through an exchange, however many there are."""
+    if count <= BROADCAST_IDS:
+        return chosen(docs, ids, count).mapInArrow(_sketches(width), SKETCHES)
+    return chosen(docs.mapInArrow(_sketches(width), SKETCHES), ids, count)
+
+
 def labelled(rows: DataFrame, label: DataFrame) -> DataFrame:
     """rows with their label: the component, or the id where nothing links."""
     return rows.join(label, "id", "left").select(*rows.columns, F.coalesce("component", "id").alias("label"))
@@ -548,7 +556,8 @@ def components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str =
     differ = named.groupBy("unit").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("blocks")).where("lo != hi")
     rows = work.save(lambda: named.join(differ.select("unit", "blocks"), "unit"), "open", files=files)
     if not rows.isEmpty():
-        sketches = work.save(lambda: docs.join(rows.select("id").distinct(), "id", "left_semi").mapInArrow(_sketches(width), "id long, n long, sketch binary"), "sketches", files=files)
+        count = rows.select("id").distinct().count()
+        sketches = work.save(lambda: sketched(docs, rows, count, width), "sketches", files=files)
         found = Sweep(work, "near", sketches, _forests(percent), 16, settle, files).run(rows, links)
         if not found.isEmpty():
             links = links.unionByName(found)

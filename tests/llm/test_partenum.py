@@ -141,3 +141,43 @@ def test_a_family_gives_a_pair_for_each_set_and_its_tables_go(spark, monkeypatch
     assert {r.component_id for r in rows} == {0}
     assert sum(pairs) < len(texts)
     assert [os.listdir(r) for r in roots] == [["components"]]
+
+
+@pytest.mark.parametrize("at_most", [0, 500_000])
+def test_sketches_are_made_without_an_exchange_of_texts(spark, monkeypatch, at_most):
+    """Whether ids are few enough to be broadcast or not, and whatever Spark itself would broadcast."""
+    rng, texts, plans, save = random.Random(29), {}, [], Workspace.save
+    for k, base in enumerate([words("open", 300)] * 40):
+        copy = list(base)
+        for place in rng.sample(range(300), rng.choice([4, 5, 6, 7])):
+            copy[place] = f"other{k}x{place}"
+        texts[k] = " ".join(copy)
+
+    def spy(self, df, table, *args, **named):
+        if table == "sketches":
+            df = df()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            df = (lambda made: lambda: made)(df)
+        return save(self, df, table, *args, **named)
+
+    monkeypatch.setattr(partenum, "BROADCAST_IDS", at_most)
+    monkeypatch.setattr(Workspace, "save", spy)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = partenum.jaccard_components(docs(spark, texts).repartition(4), 5, 80).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute(texts, 5, 80)
+    (plan,) = plans
+    lines = plan.splitlines()
+    joins = [k for k, x in enumerate(lines) if "Join" in x]
+    assert joins, plan
+    # In the tree of the plan the join's first child holds the documents: sketches are made above the join when it is a
+    # broadcast, and below its exchange when it isn't.
+    maps = [k for k, x in enumerate(lines) if "MapInArrow" in x]
+    exchanges = [k for k, x in enumerate(lines) if "Exchange hashpartitioning(id" in x and "ENSURE_REQUIREMENTS" in x]
+    if at_most:
+        assert "BroadcastHashJoin" in lines[joins[0]] and maps[0] < joins[0], plan
+    else:
+        assert joins[0] < exchanges[0] < maps[0], plan
