@@ -7,15 +7,37 @@ references, explicit Unicode classes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import Any
+
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import _parse_datatype_string
+
 TRIM = r"^[\s]+|[\s]+$"
 
 
+def in_batches(measure: Callable[[str], Any], form: str, once: bool) -> Any:
+    """The function of a text as a function of Arrow batches. For once it counts as non-deterministic, so that the optimizer puts it
+    neither into filters nor into several expressions, where it would run again; but then no exchange is used again either."""
+    as_arrow = to_arrow_type(_parse_datatype_string(form))
+
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([measure(t.as_py() or "") for t in texts], as_arrow)
+
+    made = F.arrow_udf(run, form)
+    return made.asNondeterministic() if once else made
+
+
 class Spark:
     name = "spark"
 
-    def __init__(self, seeds: bool = True):
+    def __init__(self, seeds: bool = True, session: SparkSession | None = None):
         #: Whether operators whose name ends in _seeded append their example sentences to the texts.
         self.seeds = seeds
+        self.session = session
 
     def lit(self, s: str) -> str:
         return "'" + s.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
@@ -118,6 +140,14 @@ class Spark:
         body = ", ".join("(" + ", ".join(self.lit(v) if isinstance(v, str) else f"{v}D" if isinstance(v, float) else str(v) for v in r) + ")" for r in rows)
         return f"(SELECT * FROM VALUES {body} AS t({', '.join(names)}))"
 
+    def measured(self, x: str, name: str, measure: Callable[[str], Any], form: str, once: bool = True) -> str:
+        """What the Python function measure finds in each text x, as a value of the type form: evaluated once a row. The function is
+        registered in the session under its name."""
+        session = self.session or SparkSession.getActiveSession()
+        if session is not None:
+            session.udf.register(name, in_batches(measure, form, once))
+        return f"{name}({x})"
+
     def part(self, x: str, i: int) -> str:
         """Part i, from 1, of a text cut at |."""
         return f"split_part({x}, '|', {i})"

@@ -48,7 +48,10 @@ def white_words(q: Spark, x: str) -> str:
 
 def spread(q: Spark, a: str) -> str:
     """Population standard deviation of an integer array, from exact sums."""
-    n, s, ss = q.size(a), q.sum(a), q.sum(q.map(a, "v", "v * v"))
+    return deviation(q.size(a), q.sum(a), q.sum(q.map(a, "v", "v * v")))
+
+
+def deviation(n: str, s: str, ss: str) -> str:
     return f"(CASE WHEN {n} < 1 THEN 0 ELSE sqrt(greatest(cast({n} * {ss} - {s} * {s} AS DOUBLE), 0)) / {n} END)"
 
 

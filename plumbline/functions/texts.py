@@ -6,6 +6,7 @@ from __future__ import annotations
 import re
 import sys
 import unicodedata
+from collections import Counter
 from functools import cache
 
 from plumbline.functions import expressions as E
@@ -25,6 +26,8 @@ HIGH, ASTRAL = re.compile(python(r"[\x{3040}-\x{10ffff}]")), re.compile(python(r
 ODD_SPACE = re.compile(python(r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"))
 SOLID = re.compile(f"[^{SPACE}]+")
 ENDERS = re.compile(E.ENDERS)
+KEPT, BLANK_LINES = re.compile(f"([.!?])[{SPACE}]+"), re.compile(f"\n[{SPACE}]*\n")
+LIST_LINE = re.compile(rf"[{SPACE}]*(?:[-*\u2022]|[0-9]+[.)])[{SPACE}]".replace("\\u2022", chr(0x2022)))
 
 
 @cache
@@ -58,3 +61,49 @@ def tokens(low: str) -> list[str]:
     if not low.isascii() and HIGH.search(low):
         low = CJK.sub(r" \1 ", low)
     return words(low)
+
+
+def trimmed(text: str) -> str:
+    return text.strip(SPACE)
+
+
+def white(text: str) -> int:
+    """How many runs without white space."""
+    return len(SOLID.findall(text)) if ODD_SPACE.search(text) else len(text.split())
+
+
+def sentences(text: str) -> list[str]:
+    return [y for y in map(trimmed, ENDERS.split(text)) if y]
+
+
+def kept_sentences(text: str) -> list[str]:
+    """Sentences with their ends: cut at white space after . ! or ?; one that holds the mark of a cut is cut there too."""
+    return [y for y in KEPT.sub("\\1\x01", trimmed(text)).split("\x01") if y]
+
+
+def paragraphs(text: str) -> list[str]:
+    return [y for y in map(trimmed, BLANK_LINES.split(text)) if y]
+
+
+def most(items: list) -> int:
+    return max(Counter(items).values(), default=0)
+
+
+def spread(counts: list[int]) -> tuple[int, int]:
+    """Sum and sum of squares, of which SQL makes the standard deviation."""
+    return sum(counts), sum(c * c for c in counts)
+
+
+def stands(low: str, term: str) -> bool:
+    """Whether the term is in the text as whole words."""
+    at, is_word = low.find(term), word_pattern(sys.maxunicode).match
+    while at >= 0:
+        end = at + len(term)
+        if not (at and is_word(low[at - 1])) and not (end < len(low) and is_word(low[end])):
+            return True
+        at = low.find(term, at + 1)
+    return False
+
+
+def listed(line: str) -> bool:
+    return LIST_LINE.match(line) is not None

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from plumbline.functions import expressions as E
 from plumbline.functions import lexicon as L
 from plumbline.functions.dialect import Spark
+from plumbline.operators import measures
 from plumbline.operators.matching import full_lexicon, held, of, seeded
 from plumbline.operators.structure import LIST_LINE, base, content, portable, rates
 from plumbline.plans.catalog import operator
@@ -13,36 +16,57 @@ from plumbline.plans.catalog import operator
 PROVENANCE = {"turn_search": E.word("turn[0-9]+search[0-9]+"), "citation_artifact": r":contentReference\[", "placeholder_date": E.word("(?:19|20)[0-9]{2}-XX-XX"), "pua_characters": r"[\x{e000}-\x{f8ff}]"}
 
 
-def terms(q: Spark) -> str:
-    """Columns of the lexicon terms that the words hold, and how many there are of each kind. Of phrases a
+def counting(q: Spark) -> str:
+    """CTE counted: how many terms of each kind there are, of the categories hb, hp, hm, ha of h. Of phrases a
     category counts from its minimum on."""
-    lex = full_lexicon()
     counts = {c: of(q, "hp", c) for c in L.PHRASES}
     least = {c: L.RAISED_MIN_HITS.get(c, L.PHRASE_MIN_HITS) for c in L.PHRASES}
     phrases = " + ".join(f"CASE WHEN {n} >= {least[c]} THEN {n} ELSE 0 END" for c, n in counts.items())
     strong = [c for c, (conf, _) in L.PHRASES.items() if conf >= 0.75]
+    return f"counted AS (SELECT *, {q.size('hb')} AS buzz, {phrases} AS phr, {q.size('hm')} AS multi, {q.size('ha')} AS auth, CASE WHEN {of(q, 'hp', *strong)} > 0 THEN 1 ELSE 0 END AS high_conf FROM h)"
+
+
+def measured(q: Spark, name: str, measure: Callable, form: str) -> str:
+    """CTEs up to counted for Spark: counts of each text, made in Python (see measures)."""
+    f = q.measured("t", f"plumbline_{name}", measure, form)
+    return f"""WITH src AS (SELECT doc_id, {seeded(q)} AS t FROM documents), prep AS (SELECT *, {f} AS f FROM src), h AS (SELECT *, f.* FROM prep), {counting(q)}"""
+
+
+def terms(q: Spark) -> str:
+    """Columns of the lexicon terms that the words hold, and how many there are of each kind."""
+    lex = full_lexicon()
     return f"""h AS (SELECT *, {held(q, lex['buzzword'])} AS hb, {held(q, lex['phrase'])} AS hp, {held(q, lex['multilingual'])} AS hm, {held(q, lex['authority'])} AS ha FROM prep),
-counted AS (SELECT *, {q.size('hb')} AS buzz, {phrases} AS phr, {q.size('hm')} AS multi, {q.size('ha')} AS auth, CASE WHEN {of(q, 'hp', *strong)} > 0 THEN 1 ELSE 0 END AS high_conf FROM h)"""
+{counting(q)}"""
 
 
 def dimensions(q: Spark) -> str:
     """CTEs up to dims: the 14 normalised dimensions and the counts that floors need. One pass over each text."""
-    em, ell, bang = rates(q)
-    prov = " + ".join(q.count("t", p) for p in PROVENANCE.values())
-    p = q.size(q.filter("s", "y", portable(q, "y")))
-    return f"""{base(q, text=seeded(q))},
-{terms(q)},
-e AS (SELECT *, {q.size('w')} AS nw, {q.size('s')} AS ns, {E.lines(q, E.trim(q, 't'))} AS ls, {content(q, f"coalesce({q.at('s', 1)}, '')")} AS a, {content(q, f"coalesce({q.at('s', -1)}, '')")} AS z FROM counted),
-f AS (SELECT *, {em} + {ell} + {bang} AS punct, {em} AS em, {E.spread(q, 'n')} AS burst, {prov} AS prov FROM e),
-dims0 AS (SELECT doc_id, buzz, phr, multi, auth, high_conf, prov, em, burst, ns,
-CASE WHEN nw > 0 THEN greatest(0.0, (0.5 - cast({q.size(q.distinct('w'))} AS DOUBLE) / nw) / 0.5) ELSE 1.0 END AS density,
-CASE WHEN nw > 0 THEN least(1.0, cast({q.most('w')} AS DOUBLE) / nw / 0.3) ELSE 0.0 END AS repetition,
+    if q.name == "spark":
+        made = measured(q, "dimensions", measures.dimensions, measures.DIMENSIONS)
+        em, ell, bang = (f"round(cast({x} AS DOUBLE) / greatest(ns, 1), 3)" for x in ("em", "ell", "bang"))
+        rest = f"f AS (SELECT *, {em} + {ell} + {bang} AS punct, {em} AS em_rate, {E.deviation('ns', 'n_sum', 'n_squares')} AS burst FROM counted)"
+        em, distinct, most, moral, n_lines, n_listed, a, z, common, p = "em_rate AS em", "distinct_", "most_", "moral", "n_lines", "n_listed", "a", "z", "common_", "portable_"
+    else:
+        em, ell, bang = rates(q)
+        prov = " + ".join(q.count("t", p) for p in PROVENANCE.values())
+        made = f"""{base(q, text=seeded(q))},
+{terms(q)}"""
+        rest = f"""e AS (SELECT *, {q.size('w')} AS nw, {q.size('s')} AS ns, {E.lines(q, E.trim(q, 't'))} AS ls, {content(q, f"coalesce({q.at('s', 1)}, '')")} AS a, {content(q, f"coalesce({q.at('s', -1)}, '')")} AS z FROM counted),
+f AS (SELECT *, {em} + {ell} + {bang} AS punct, {em} AS em, {E.spread(q, 'n')} AS burst, {prov} AS prov FROM e)"""
+        em, distinct, most, moral = "em", q.size(q.distinct("w")), q.most("w"), q.has(q.tail(E.trim(q, "lower(t)"), 200), E.word("|".join(L.MORALS)))
+        n_lines, n_listed, a, z, common = q.size("ls"), q.size(q.filter("ls", "x", q.has("x", LIST_LINE))), q.size("a"), q.size("z"), q.size(q.common("a", "z"))
+        p = q.size(q.filter("s", "y", portable(q, "y")))
+    return f"""{made},
+{rest},
+dims0 AS (SELECT doc_id, buzz, phr, multi, auth, high_conf, prov, {em}, burst, ns,
+CASE WHEN nw > 0 THEN greatest(0.0, (0.5 - cast({distinct} AS DOUBLE) / nw) / 0.5) ELSE 1.0 END AS density,
+CASE WHEN nw > 0 THEN least(1.0, cast({most} AS DOUBLE) / nw / 0.3) ELSE 0.0 END AS repetition,
 CASE WHEN ns >= 3 THEN greatest(0.0, (5 - burst) / 5) ELSE 0.0 END AS burstiness,
 least(1.0, cast(buzz AS DOUBLE) / 6) AS buzzwords, least(1.0, cast(phr AS DOUBLE) / 4) AS phrases, least(1.0, punct / 2) AS punctuation,
-CASE WHEN {q.has(q.tail(E.trim(q, 'lower(t)'), 200), E.word('|'.join(L.MORALS)))} THEN 1.0 ELSE 0.0 END AS trailing_moral,
-CASE WHEN {q.size('ls')} > 3 AND {q.size(q.filter('ls', 'x', q.has('x', LIST_LINE)))} > 0.4 * {q.size('ls')} THEN 1.0 ELSE 0.0 END AS list_heavy,
+CASE WHEN {moral} THEN 1.0 ELSE 0.0 END AS trailing_moral,
+CASE WHEN {n_lines} > 3 AND {n_listed} > 0.4 * {n_lines} THEN 1.0 ELSE 0.0 END AS list_heavy,
 least(1.0, cast(auth AS DOUBLE) / 2) AS fake_authority, least(1.0, greatest(0.0, cast(nw AS DOUBLE) / greatest(ns, 1) - 20) / 15) AS verbosity, least(1.0, cast(multi AS DOUBLE) / 3) AS multilingual,
-CASE WHEN ns >= 4 AND {q.size('a')} >= 3 AND {q.size('z')} >= 3 AND {q.size(q.common('a', 'z'))} > 0.6 * least({q.size('a')}, {q.size('z')}) THEN 1.0 ELSE 0.0 END AS mirrored,
+CASE WHEN ns >= 4 AND {a} >= 3 AND {z} >= 3 AND {common} > 0.6 * least({a}, {z}) THEN 1.0 ELSE 0.0 END AS mirrored,
 CASE WHEN ns > 0 AND {p} > 0.5 * ns THEN 1.0 ELSE 0.0 END AS portability FROM f),
 dims AS (SELECT *, least(1.0, cast((CASE WHEN em > 0.5 THEN 1 ELSE 0 END) + (CASE WHEN ns >= 3 AND burst < 3 THEN 1 ELSE 0 END) + mirrored AS DOUBLE) / 3) AS structural FROM dims0)"""
 
@@ -99,9 +123,16 @@ NO_SIGNAL = "none"
 def signals(q: Spark) -> str:
     """CTEs sig, (doc_id, signal_id, confidence, severity, family, sw, w) of the signal classifier, and every, which has a row
     NO_SIGNAL of weight 0 for each document besides. One pass over each text; signals are the elements of an array."""
-    em, ell, bang = (f"cast({q.count('t', p)} AS DOUBLE) / greatest(ns, 1)" for p in (r"[\x{2014}\x{2013}]", r"\.\.\.", "!"))
-    moral = "|".join(L.MORALS[:7])
-    listed = q.size(q.filter("ls", "x", q.has("x", LIST_LINE)))
+    if q.name == "spark":
+        made, source = measured(q, "signals", measures.signals, measures.SIGNALS), "counted"
+        em, ell, bang = (f"cast({x} AS DOUBLE) / greatest(ns, 1)" for x in ("em", "ell", "bang"))
+        spread, moral, n_lines, n_listed = E.deviation("ns", "k_sum", "k_squares"), "moral", "n_lines", "n_listed"
+    else:
+        made, source = f"""{base(q, text=seeded(q))}, {terms(q)},
+d AS (SELECT *, {q.size('s')} AS ns, {q.map('s', 'y', q.size(E.white_words(q, 'y')))} AS k, {E.lines(q, E.trim(q, 't'))} AS ls FROM counted)""", "d"
+        em, ell, bang = (f"cast({q.count('t', p)} AS DOUBLE) / greatest(ns, 1)" for p in (r"[\x{2014}\x{2013}]", r"\.\.\.", "!"))
+        spread, moral = E.spread(q, "k"), q.has(q.tail(E.trim(q, "lower(t)"), 200), "|".join(L.MORALS[:7]))
+        n_lines, n_listed = q.size("ls"), q.size(q.filter("ls", "x", q.has("x", LIST_LINE)))
     rules = [
         ("CriticalBuzzword", "0.9", f"{of(q, 'hb', 'tier1_critical')} > 0"),
         ("BuzzwordOveruse_Severe", "0.85 + least(buzz * 0.01, 0.10)", "buzz >= 5"),
@@ -113,9 +144,9 @@ def signals(q: Spark) -> str:
         ("EmDashExcess", "0.85", f"{em} > 0.5"),
         ("EllipsisExcess", "0.7", f"{ell} > 0.3"),
         ("ExclamationExcess", "0.65", f"{bang} > 0.2"),
-        ("UniformSentenceLength", "0.7", f"ns >= 5 AND {E.spread(q, 'k')} < 3"),
-        ("TrailingMoral", "0.7", q.has(q.tail(E.trim(q, "lower(t)"), 200), moral)),
-        ("ListHeavy", "0.5", f"{q.size('ls')} > 3 AND {listed} > 0.4 * {q.size('ls')}"),
+        ("UniformSentenceLength", "0.7", f"ns >= 5 AND {spread} < 3"),
+        ("TrailingMoral", "0.7", moral),
+        ("ListHeavy", "0.5", f"{n_lines} > 3 AND {n_listed} > 0.4 * {n_lines}"),
         (NO_SIGNAL, "0.0", "true"),
     ]
     fired = q.filter(q.array(*(f"CASE WHEN {c} THEN '{s}' END" for s, _, c in rules)), "x", "x IS NOT NULL")
@@ -124,9 +155,8 @@ def signals(q: Spark) -> str:
     family = "CASE " + " ".join(f"WHEN signal_id = '{s}' THEN '{f}'" for s, f in L.FAMILY.items()) + " WHEN signal_id LIKE 'Multilingual%' THEN 'multilingual' ELSE 'other' END"
     weight = "CASE severity " + " ".join(f"WHEN '{s}' THEN cast({w} AS DOUBLE)" for s, w in L.SEVERITY_WEIGHT.items()) + " END"
     doc = f"doc_id, {q.sha256('t')} AS sha, buzz, ids"
-    return f"""{base(q, text=seeded(q))}, {terms(q)},
-d AS (SELECT *, {q.size('s')} AS ns, {q.map('s', 'y', q.size(E.white_words(q, 'y')))} AS k, {E.lines(q, E.trim(q, 't'))} AS ls FROM counted),
-dx AS (SELECT {doc.replace('ids', fired + ' AS ids')} FROM d), dy AS ({q.explode('doc_id, sha, buzz', 'dx', 'ids', 'pos', 'signal_id')}),
+    return f"""{made},
+dx AS (SELECT {doc.replace('ids', fired + ' AS ids')} FROM {source}), dy AS ({q.explode('doc_id, sha, buzz', 'dx', 'ids', 'pos', 'signal_id')}),
 sig0 AS (SELECT doc_id, sha, signal_id, {conf} AS confidence, {severity} AS severity, {family} AS family FROM dy),
 every AS (SELECT *, {weight} AS sw, {weight} * confidence AS w FROM sig0),
 sig AS (SELECT * FROM every WHERE signal_id <> '{NO_SIGNAL}')"""

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.functions.dialect import DUCK, PLAIN_DUCK, PLAIN_SPARK, SPARK, Spark
+from plumbline.functions.dialect import DUCK, PLAIN_DUCK, Spark
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -39,7 +39,7 @@ class Operator:
         names = {t: f"{t}_{uuid.uuid4().hex[:12]}" for t in self.tables}
         for t, view in names.items():
             tables[t].createOrReplaceTempView(view)
-        sql = self.sql(SPARK if self.seeded else PLAIN_SPARK)
+        sql = self.sql(Spark(self.seeded, spark))
         for t, view in names.items():
             sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {view}", sql)
         try:
