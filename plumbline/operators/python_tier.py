@@ -6,6 +6,7 @@ import ast
 import difflib
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,26 +36,36 @@ def term_pattern(term: str) -> str:
     return (CLAUSE_OPEN if opening else "") + left + made + right
 
 
+def needles(term: str) -> list[str]:
+    """The fixed parts of a term: a text that lacks one of them doesn't hold it."""
+    return [p for p in re.split(r"\[x\]|\[n\]", term.lower().removeprefix("^")) if p]
+
+
 def term_spans(text: str, terms: list[tuple[str, re.Pattern]]) -> list[tuple[str, int, int]]:
     """Spans of all terms, the longest first, then the first, that overlap no span taken before."""
     found = sorted(((m.start(), m.end(), t) for t, p in terms for m in p.finditer(text)), key=lambda s: (s[0] - s[1], s[0]))
-    taken: list[tuple[str, int, int]] = []
+    taken: list[tuple[int, int, str]] = []
     for start, end, term in found:
-        if all(end <= a or b <= start for _, a, b in taken):
-            taken.append((term, start, end))
-    return sorted(taken, key=lambda s: s[1])
+        at = bisect_left(taken, (end,))
+        if at == 0 or taken[at - 1][1] <= start:
+            taken.insert(at, (start, end, term))
+    return [(term, start, end) for start, end, term in taken]
 
 
 def match_terms(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, term, start, end, line) of each match in the lower-cased text; null texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled = [(t.lower(), re.compile(term_pattern(t))) for t in terms]
+        compiled = [((t.lower(), re.compile(term_pattern(t))), needles(t)) for t in terms]
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                low = (text or "").lower()
-                rows += [(key, t, a, b, low.count("\n", 0, a) + 1) for t, a, b in term_spans(low, compiled)]
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                low = (text.as_py() or "").lower()
+                able = [term for term, parts in compiled if all(p in low for p in parts)]
+                line, seen = 1, 0
+                for t, a, b in term_spans(low, able):
+                    line, seen = line + low.count("\n", seen, a), a
+                    rows.append((key, t, a, b, line))
             columns = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32()))], ["doc_id", "term", "start", "end", "line"])
 
