@@ -91,18 +91,27 @@ def score_percentiles(q):
     return f"{labelled(q)} SELECT bad, count(*) AS n, {q.percentile('score', 0.1)} AS p10, {q.percentile('score', 0.5)} AS p50, {q.percentile('score', 0.9)} AS p90 FROM lab GROUP BY bad"
 
 
+def each(keep: str, hits: list[tuple[str, str]], name: str) -> str:
+    """Rows (name, hit) for each row of j in Spark: the branches of a union would each make the scores again."""
+    rows = ", ".join(f"named_struct('name', {n}, 'hit', {h})" for n, h in hits)
+    return f"SELECT {keep}, e.name AS {name}, e.hit AS hit FROM j LATERAL VIEW explode(array({rows})) x AS e"
+
+
 @operator("documents", "labels")
 def signal_hit_rates(q):
     dims = ["density", "repetition", "burstiness", "buzzword", "punctuation", "moral", "list"]
     parts = " UNION ALL ".join(f"SELECT quality, '{d}' AS signal, CASE WHEN {d}_slop >= 0.5 THEN 1 ELSE 0 END AS hit FROM j" for d in dims)
+    if q.name == "spark":
+        parts = each("quality", [(f"'{d}'", f"CASE WHEN {d}_slop >= 0.5 THEN 1 ELSE 0 END") for d in dims], "signal")
     return f"{seven(q)}, j AS (SELECT s.*, l.quality FROM scored s JOIN labels l ON s.doc_id = l.doc_id), u AS ({parts}) SELECT quality, signal, count(*) AS n, sum(hit) AS hits, round(cast(sum(hit) AS DOUBLE) / count(*), 6) AS rate FROM u GROUP BY quality, signal"
 
 
 @operator()
 def baseline_drift_full_join(q):
     """A frozen register against the scores of today: missing, new, moved by more than 0.02, text changed."""
-    h = q.sha256("t")
-    return f"""{seven(q)}, now_ AS (SELECT doc_id, overall AS score, {h} AS hash FROM scored WHERE doc_id % 7 <> 3),
+    # Spark makes the hash before the counts, so that no text is exchanged.
+    h, more = ("hashed", f"{q.sha256(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS hashed") if q.name == "spark" else (q.sha256("t"), "")
+    return f"""{seven(q, more)}, now_ AS (SELECT doc_id, overall AS score, {h} AS hash FROM scored WHERE doc_id % 7 <> 3),
 then_ AS (SELECT doc_id, round(CASE WHEN doc_id % 11 = 0 THEN overall + 0.05 ELSE overall END, 3) AS score, CASE WHEN doc_id % 13 = 0 THEN 'other' ELSE {h} END AS hash FROM scored WHERE doc_id % 5 <> 2)
 SELECT coalesce(n.doc_id, t.doc_id) AS doc_id, CASE WHEN n.doc_id IS NULL THEN 'missing' WHEN t.doc_id IS NULL THEN 'unknown' WHEN n.hash <> t.hash THEN 'text_changed' ELSE 'score_drift' END AS kind, round(n.score - t.score, 3) AS delta
 FROM now_ n FULL OUTER JOIN then_ t ON n.doc_id = t.doc_id WHERE n.doc_id IS NULL OR t.doc_id IS NULL OR n.hash <> t.hash OR abs(n.score - t.score) > 0.02"""
@@ -124,8 +133,11 @@ def weight_gain_report(q):
     dims = [names.get(d, d) + "_slop" for d in WEIGHTS_7]
     fixed = " + ".join(f"{w} * {d}" for d, w in zip(dims, WEIGHTS_7.values()))
     even = "(" + " + ".join(dims) + f") / {len(dims)}.0"
+    both = "SELECT 'calibrated' AS weights, a >= 0.2 AS hit, bad FROM j UNION ALL SELECT 'uniform', b >= 0.2, bad FROM j"
+    if q.name == "spark":
+        both = each("bad", [("'calibrated'", "a >= 0.2"), ("'uniform'", "b >= 0.2")], "weights")
     return f"""{seven(q)}, j AS (SELECT round({fixed}, 6) AS a, round({even}, 6) AS b, l.quality = 0 AS bad FROM scored s JOIN labels l ON s.doc_id = l.doc_id),
-u AS (SELECT 'calibrated' AS weights, a >= 0.2 AS hit, bad FROM j UNION ALL SELECT 'uniform', b >= 0.2, bad FROM j), c AS (SELECT weights, {COUNTS} FROM u GROUP BY weights) SELECT weights, n, tp, fp, tn, fn, {METRICS} FROM c"""
+u AS ({both}), c AS (SELECT weights, {COUNTS} FROM u GROUP BY weights) SELECT weights, n, tp, fp, tn, fn, {METRICS} FROM c"""
 
 
 # --- mining ---------------------------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from plumbline.functions import expressions as E
 from plumbline.functions.dialect import Spark
 from plumbline.functions.lexicon import GUARDS, INTENSIFIERS, SHORT_BUZZWORDS, STOPWORDS, SUBSTITUTE_VERBS, WEIGHTS_7
+from plumbline.operators import measures
 from plumbline.plans.catalog import operator
 
 
@@ -115,9 +116,13 @@ def guards(q: Spark) -> str:
     words = q.size(q.all("lower(t)", E.WORD))
     sents = q.size(q.filter(q.split("t", r"[.!?\n]+"), "y", E.trim(q, "y") + " <> ''"))
     rows = q.size(q.filter(q.split(E.trim(q, "t"), r"\n"), "y", E.trim(q, "y") + " <> ''"))
-    G = GUARDS
     return f"""g0 AS (SELECT *, {words} AS words, {sents} AS sents, {rows} AS rows_ FROM prep),
-g AS (SELECT *, words >= {G['density']} AS on_density, words >= {G['repetition']} AS on_repetition,
+{guarded()}"""
+
+
+def guarded() -> str:
+    G = GUARDS
+    return f"""g AS (SELECT *, words >= {G['density']} AS on_density, words >= {G['repetition']} AS on_repetition,
 (sents >= {G['burst_sentences']} AND words >= {G['burst_words']}) AS on_burstiness, sents >= {G['punctuation']} AS on_punctuation,
 words >= {G['trailing_moral']} AS on_moral, rows_ >= {G['list_heavy']} AS on_list FROM g0)"""
 
@@ -135,26 +140,33 @@ def doc_guard_status(q):
 
 
 def seven(q: Spark, more: str = "") -> str:
-    """CTEs up to scored: the 7-metric score over active metrics."""
+    """CTEs up to scored: the 7-metric score over active metrics. Spark counts in Python (see measures); the formulas are the same."""
     W = WEIGHTS_7
-    buzz = [w for tier in SHORT_BUZZWORDS.values() for w in tier]
-    # Words that a hyphen joins are one term; a term inside another counts once, so distinct terms are enough.
-    hits = " + ".join(f"CASE WHEN contains(lo, {q.lit(w)}) AND {q.has('lo', E.word(w))} THEN 1 ELSE 0 END" for w in buzz)
-    moral = "|".join(["remember that", "in the end", "ultimately", "the lesson is", "what matters most", "at the end of the day", "it's important to remember"])
-    em, ell, bang = (f"cast({q.count('t', p)} AS DOUBLE) / greatest({q.size('s')}, 1)" for p in (r"[\x{2014}\x{2013}]", r"\.\.\.", "!"))
-    lined = E.lines(q, E.trim(q, "t"))
-    listed = q.size(q.filter("ls", "x", q.has("x", LIST_LINE)))
-    words = "wd"
-    return f"""{base(q, more=more)}, {guards(q)},
-m0 AS (SELECT *, lower(t) AS lo, {q.all('lower(t)', E.WORD)} AS wd, {lined} AS ls, {q.map('s', 'y', q.size(E.white_words(q, 'y')))} AS k FROM g),
+    if q.name == "spark":
+        counts = q.measured("t", "plumbline_seven", measures.seven, measures.SEVEN)
+        made = f"""WITH src AS (SELECT doc_id, {more + ', ' if more else ''}coalesce(text, '') AS t FROM documents), prep AS (SELECT *, {counts} AS f FROM src), g0 AS (SELECT *, f.* FROM prep), {guarded()}"""
+        source, distinct, most, nw, ns, spread, hits, moral, n_lines, n_listed = "g", "distinct_", "most_", "words", "ns", E.deviation("ns", "k_sum", "k_squares"), "hits", "moral", "n_lines", "n_listed"
+        em, ell, bang = (f"cast({x} AS DOUBLE) / greatest(ns, 1)" for x in ("em", "ell", "bang"))
+    else:
+        buzz = [w for tier in SHORT_BUZZWORDS.values() for w in tier]
+        # Words that a hyphen joins are one term; a term inside another counts once, so distinct terms are enough.
+        hits = " + ".join(f"CASE WHEN contains(lo, {q.lit(w)}) AND {q.has('lo', E.word(w))} THEN 1 ELSE 0 END" for w in buzz)
+        morals = "|".join(["remember that", "in the end", "ultimately", "the lesson is", "what matters most", "at the end of the day", "it's important to remember"])
+        em, ell, bang = (f"cast({q.count('t', p)} AS DOUBLE) / greatest({q.size('s')}, 1)" for p in (r"[\x{2014}\x{2013}]", r"\.\.\.", "!"))
+        lined = E.lines(q, E.trim(q, "t"))
+        source, distinct, most, nw, ns, spread = "m0", q.size(q.distinct("wd")), q.most("wd"), q.size("wd"), q.size("s"), E.spread(q, "k")
+        moral, n_lines, n_listed = q.has(q.tail(E.trim(q, "lower(t)"), 200), E.word(morals)), q.size("ls"), q.size(q.filter("ls", "x", q.has("x", LIST_LINE)))
+        made = f"""{base(q, more=more)}, {guards(q)},
+m0 AS (SELECT *, lower(t) AS lo, {q.all('lower(t)', E.WORD)} AS wd, {lined} AS ls, {q.map('s', 'y', q.size(E.white_words(q, 'y')))} AS k FROM g)"""
+    return f"""{made},
 m AS (SELECT *,
-CASE WHEN on_density THEN greatest(0.0, (0.5 - coalesce(cast({q.size(q.distinct(words))} AS DOUBLE) / nullif({q.size(words)}, 0), 0)) / 0.5) ELSE 0.0 END AS density_slop,
-CASE WHEN on_repetition THEN least(1.0, coalesce(cast({q.most(words)} AS DOUBLE) / nullif({q.size(words)}, 0), 0) / 0.3) ELSE 0.0 END AS repetition_slop,
-CASE WHEN on_burstiness THEN greatest(0.0, (5 - CASE WHEN {q.size('s')} < 2 THEN 0.0 ELSE {E.spread(q, 'k')} END) / 5) ELSE 0.0 END AS burstiness_slop,
+CASE WHEN on_density THEN greatest(0.0, (0.5 - coalesce(cast({distinct} AS DOUBLE) / nullif({nw}, 0), 0)) / 0.5) ELSE 0.0 END AS density_slop,
+CASE WHEN on_repetition THEN least(1.0, coalesce(cast({most} AS DOUBLE) / nullif({nw}, 0), 0) / 0.3) ELSE 0.0 END AS repetition_slop,
+CASE WHEN on_burstiness THEN greatest(0.0, (5 - CASE WHEN {ns} < 2 THEN 0.0 ELSE {spread} END) / 5) ELSE 0.0 END AS burstiness_slop,
 least(1.0, ({hits}) / 6.0) AS buzzword_slop,
 CASE WHEN on_punctuation THEN least(1.0, ({em} + {ell} + {bang}) / 2) ELSE 0.0 END AS punctuation_slop,
-CASE WHEN on_moral AND {q.has(q.tail(E.trim(q, 'lower(t)'), 200), E.word(moral))} THEN 1.0 ELSE 0.0 END AS moral_slop,
-CASE WHEN on_list AND {q.size('ls')} > 3 AND {listed} > 0.4 * {q.size('ls')} THEN 1.0 ELSE 0.0 END AS list_slop FROM m0),
+CASE WHEN on_moral AND {moral} THEN 1.0 ELSE 0.0 END AS moral_slop,
+CASE WHEN on_list AND {n_lines} > 3 AND {n_listed} > 0.4 * {n_lines} THEN 1.0 ELSE 0.0 END AS list_slop FROM {source}),
 scored AS (SELECT *, round(least(1.0, ({W['density']} * density_slop + {W['repetition']} * repetition_slop + {W['burstiness']} * burstiness_slop + {W['buzzwords']} * buzzword_slop + {W['punctuation']} * punctuation_slop + {W['trailing_moral']} * moral_slop + {W['list_heavy']} * list_slop)
 / (CASE WHEN on_density THEN {W['density']} ELSE 0 END + CASE WHEN on_repetition THEN {W['repetition']} ELSE 0 END + CASE WHEN on_burstiness THEN {W['burstiness']} ELSE 0 END + {W['buzzwords']} + CASE WHEN on_punctuation THEN {W['punctuation']} ELSE 0 END + CASE WHEN on_moral THEN {W['trailing_moral']} ELSE 0 END + CASE WHEN on_list THEN {W['list_heavy']} ELSE 0 END)), 3) AS overall FROM m)"""
 
