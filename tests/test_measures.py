@@ -24,8 +24,8 @@ TEXTS = [
     "So, here is the thing. A pivotal moment. Interesting point. " + "word " * 200 + chr(0x2014) + " " + chr(0x2014) + " " + chr(0x2014) + ".",
 ]
 #: How often a plan counts each text: once, or once for each branch of a join with itself.
-COUNTED: dict[str, int] = {"signals_noisy_or_seeded": 1, "policy_actions": 1, "pipeline_verdict_seeded": 1, "fix_strategies_seeded": 1, "pipeline_verdict": 1}
-CHECKED: list[str] = ["signals_noisy_or_seeded", "policy_actions", "pipeline_verdict_seeded", "fix_strategies_seeded", "pipeline_verdict"]
+COUNTED: dict[str, int] = {"signals_noisy_or_seeded": 1, "policy_actions": 1, "pipeline_verdict_seeded": 1, "fix_strategies_seeded": 1, "pipeline_verdict": 1, "exempted_by_hash_seeded": 2}
+CHECKED: list[str] = ["signals_noisy_or_seeded", "policy_actions", "pipeline_verdict_seeded", "fix_strategies_seeded", "pipeline_verdict", "exempted_by_hash_seeded"]
 
 
 @pytest.fixture(scope="module")
