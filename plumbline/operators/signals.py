@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from plumbline.functions import expressions as E
 from plumbline.functions.dialect import Spark
+from plumbline.operators import measures
 from plumbline.operators.matching import seeded
 from plumbline.plans.catalog import operator
 
@@ -71,7 +72,9 @@ OPENER_FRAMES = ["spannender punkt", "spanender punkt", "interessanter gedanke",
 # Words of which a text must hold one of each list (in lower case) for a pattern to match: looked for first.
 BINARY_WORDS = [["not"], ["not"], ["question", "point", "problem", "issue", "goal"], ["just"], ["longer"], ["replaced"]]
 LISTING_WORDS = [["not"], ["that's", "thats"], ["and"]]
+STRONG_WORDS = ["serve", "act", "function", "stand"]
 SUPERFICIAL_WORDS = ["highlighting", "underscoring", "reflecting", "showcasing", "emphasizing", "emphasising", "demonstrating", "illustrating", "signaling", "signalling", "marking", "cementing", "solidifying", "reinforcing", "underlining", "showing", "proving"]
+NEEDED = [*BINARY_WORDS, *LISTING_WORDS, SUPERFICIAL_WORDS, STRONG_WORDS]
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}]"
 RHETORIC_SEEDS = ["", "It's not a tool. It's a mirror, highlighting the change.", "Not a feature. Not a tool. It serves as a centralized hub.", "The agent reads. The assistant writes. Here's the thing nobody tells you.", "A pivotal moment. Works fast. Ships now. Every time.", "Interesting point. Fast | Strong | Clear\nIn conclusion, it changed.", "The platform grew; the software shrank. No longer slow, now quick.\n\nAnd that's the point."]
 
@@ -82,6 +85,7 @@ def starts_any(q: Spark, x: str, heads: list[str]) -> str:
 
 @operator()
 def rhetorical_findings_seeded(q):
+    spark = q.name == "spark"
     more = f"{E.paragraphs(q, 't')} AS paras, {E.sentences_kept(q, 't')} AS sk"
     cycling = " OR ".join("(" + " + ".join(f"CASE WHEN contains(lo, {q.lit('the ' + w)}) AND {q.has('lo', B + 'the ' + w + NB)} THEN 1 ELSE 0 END" for w in group) + ") >= 2" for group in SYNONYM_GROUPS)
     last_para = f"lower(coalesce({q.at('paras', -1)}, ''))"
@@ -91,22 +95,34 @@ def rhetorical_findings_seeded(q):
     pair = q.size(q.distinct(q.all("t", r"(?:^|[\s])[a-z]+-[a-z]+(?:[\s,.]|$)")))
     frames = " OR ".join(f"{q.starts('lo', f)} OR contains(lo, {q.lit('. ' + f)})" for f in OPENER_FRAMES)
     first = q.map("sk", "y", f"lower(coalesce({q.at(E.white_words(q, 'y'), 1)}, ''))")
+    nw, kept, run, most = "nw", q.size("sk"), q.run("sk", "y", short), q.most(first)
+    recap = f"{starts_any(q, last_para, RECAP_OPENERS)} OR ({starts_any(q, last, KICKER_OPENERS)} AND {q.size(E.white_words(q, last))} <= 14)"
+    throat = starts_any(q, f"lower({E.trim(q, 't')})", THROAT_OPENERS)
+    if spark:
+        nw, kept, run, most, em, pair, recap, throat = (f"f.{c}" for c in ("nw", "n_kept", "short_run", "same_opening", "em", "pairs", "recap", "throat"))
+        cycling, frames = "f.cycling", "f.frames"
+    # Spark looks for a pattern where Python has found what it needs.
+    needs = lambda flag, x: f"(f.{flag} AND {x})" if spark else x
+    held = lambda patterns, words: "(" + " OR ".join(f"(f.needs[{NEEDED.index(w)}] AND {q.has('t', p)})" for p, w in zip(patterns, words, strict=True)) + ")" if spark else gated(q, patterns, words)
     rules = [
-        ("BinaryContrast", 0.7, gated(q, BINARY_CONTRAST, BINARY_WORDS)),
-        ("SuperficialAnalysis", 0.7, gated(q, [SUPERFICIAL], [SUPERFICIAL_WORDS])),
-        ("NegativeListingFragmentation", 0.65, gated(q, NEGATIVE_LISTING, LISTING_WORDS)),
-        ("FakeStrongVerb", 0.6, gated(q, [FAKE_STRONG_VERB], [["serve", "act", "function", "stand"]])),
+        ("BinaryContrast", 0.7, held(BINARY_CONTRAST, BINARY_WORDS)),
+        ("SuperficialAnalysis", 0.7, held([SUPERFICIAL], [SUPERFICIAL_WORDS])),
+        ("NegativeListingFragmentation", 0.65, held(NEGATIVE_LISTING, LISTING_WORDS)),
+        ("FakeStrongVerb", 0.6, held([FAKE_STRONG_VERB], [STRONG_WORDS])),
         ("SynonymCycling", 0.6, f"({cycling})"),
-        ("HollowKickerRecap", 0.6, f"({starts_any(q, last_para, RECAP_OPENERS)} OR ({starts_any(q, last, KICKER_OPENERS)} AND {q.size(E.white_words(q, last))} <= 14))"),
-        ("FormattingSlop", 0.55, f"({q.has('t', r'(?m)^#{1,6}[ ].*' + EMOJI)} OR {q.has('t', r'[a-z0-9,;][\s]+[*][*][^*\n]{1,40}[*][*][\s]+[a-z]')} OR {q.has('t', '[“”]')} OR {pair} >= 2 OR ({em} >= 1 AND nw <= 120 AND {em} <= 0.5 * greatest({q.size('sk')}, 1)) OR ({em} > 2 AND nw > 120 AND {em} <= 0.5 * greatest({q.size('sk')}, 1)))"),
-        ("RoboticRhythm", 0.5, f"{q.run('sk', 'y', short)} >= 3"),
-        ("ThroatClearing", 0.6, starts_any(q, f"lower({E.trim(q, 't')})", THROAT_OPENERS)),
-        ("FauxInsightSetup", 0.65, any_of(q, "lo", INSIGHT_SETUPS)),
-        ("ImportancePuffery", 0.6, any_of(q, "lo", PUFFERY)),
-        ("DecorativeSeparatorTriad", 0.5, q.has("t", r"(?m)^[^|\n-][^|\n]*[\p{L}\p{N}_]{2,18}[\s]*[|•][\s]*[\p{L}\p{N}_]{2,18}[\s]*[|•][\s]*[\p{L}\p{N}_]{2,18}")),
+        ("HollowKickerRecap", 0.6, f"({recap})"),
+        ("FormattingSlop", 0.55, f"({needs('heads', q.has('t', r'(?m)^#{1,6}[ ].*' + EMOJI))} OR {needs('bold', q.has('t', r'[a-z0-9,;][\s]+[*][*][^*\n]{1,40}[*][*][\s]+[a-z]'))} OR {'f.quotes' if spark else q.has('t', '[“”]')} OR {pair} >= 2 OR ({em} >= 1 AND {nw} <= 120 AND {em} <= 0.5 * greatest({kept}, 1)) OR ({em} > 2 AND {nw} > 120 AND {em} <= 0.5 * greatest({kept}, 1)))"),
+        ("RoboticRhythm", 0.5, f"{run} >= 3"),
+        ("ThroatClearing", 0.6, throat),
+        ("FauxInsightSetup", 0.65, "f.insight" if spark else any_of(q, "lo", INSIGHT_SETUPS)),
+        ("ImportancePuffery", 0.6, "f.puffery" if spark else any_of(q, "lo", PUFFERY)),
+        ("DecorativeSeparatorTriad", 0.5, needs("bars", q.has("t", r"(?m)^[^|\n-][^|\n]*[\p{L}\p{N}_]{2,18}[\s]*[|•][\s]*[\p{L}\p{N}_]{2,18}[\s]*[|•][\s]*[\p{L}\p{N}_]{2,18}"))),
         ("OpenerAnnouncement", 0.45, f"({frames})"),
-        ("RepeatedOpenings", 0.5, f"{q.most(first)} >= 3"),
+        ("RepeatedOpenings", 0.5, f"{most} >= 3"),
     ]
+    if spark:
+        f = q.measured("t", "plumbline_rhetoric", measures.rhetoric, measures.RHETORIC)
+        return f"WITH s0 AS (SELECT doc_id, {seeded(q, RHETORIC_SEEDS)} AS t FROM documents), p AS (SELECT *, {f} AS f FROM s0), {fire(q, rules)} SELECT doc_id, signal_id, confidence FROM fired"
     return findings(q, RHETORIC_SEEDS, rules, more)
 
 
