@@ -2,7 +2,7 @@
 
 Two ways. `held` finds which terms of a lexicon a document has, inside the row: terms whose first word
 occurs are looked for longest first, and what one term takes no other takes. `matches` gives places: each
-position at which a term may start becomes a row with a short run of words, which is joined with the lexicon; where
+position at which a term stands becomes a row, which is joined with the lexicon; where
 matches overlap the longest stands (then the first), as an anti-join within the document. Terms are matched by
 words, so punctuation inside a term doesn't count.
 """
@@ -10,9 +10,12 @@ words, so punctuation inside a term doesn't count.
 from __future__ import annotations
 
 import re
+import zlib
+from functools import partial
 
 from plumbline.functions import lexicon as L
 from plumbline.functions.dialect import Spark
+from plumbline.operators import measures
 from plumbline.plans.catalog import operator
 
 #: Terms of a lexicon that may be broadcast.
@@ -69,27 +72,32 @@ def of(q: Spark, names: str, *categories: str) -> str:
 
 def matches(q: Spark, families: dict, source: str = "prep", suppress: bool = True) -> str:
     """CTEs lexicon, found and kept: (doc_id, family, category, confidence, term, pos, n). Overlaps are
-    settled within a family, as each family is matched on its own."""
+    settled within a family, as each family is matched on its own. The source has t and its words w; Spark looks for
+    the terms in t (see measures)."""
     rows = rows_of(families)
+    if q.name == "spark":
+        run = q.measured("t", f"plumbline_runs_{zlib.crc32(repr(rows).encode()):08x}", partial(measures.runs, measures.by_first(r[4] for r in rows)), measures.RUNS, once=False)
+        places = q.explode("doc_id", f"(SELECT doc_id, {run} AS gs FROM {source}) r", "gs", "nth", "v")
+        return f"""lexicon AS {q.values(rows, ["family", "category", "confidence", "term", "words", "first", "n"])}, runs0 AS ({places}), runs AS (SELECT doc_id, v.pos AS pos, v.words AS words FROM runs0),
+found AS (SELECT {"/*+ BROADCAST(l) */ " if len(rows) <= BROADCAST_TERMS else ""}r.doc_id, l.family, l.category, l.confidence, l.term, l.words, r.pos, l.n FROM runs r JOIN lexicon l ON r.words = l.words),
+kept AS ({settled(suppress)})"""
     lex, span = q.values(rows, ["family", "category", "confidence", "term", "words", "first", "n"]), max(r[-1] for r in rows)
     n, firsts = q.size("z.w"), q.array_of(sorted({r[-2] for r in rows}))
-    run = f"slice(z.w, i, {span})" if q.name == "spark" else f"list_slice(z.w, i, i + {span - 1})"
-    steps = f"CASE WHEN {n} > 0 THEN sequence(1, {n}) ELSE cast(array() AS array<int>) END" if q.name == "spark" else f"range(1, {n} + 1)"
-    able = q.filter(steps, "i", q.contains("z.fw", "element_at(z.w, i)" if q.name == "spark" else "list_extract(z.w, i)"))
-    part = "slice(g, 1, l.n)" if q.name == "spark" else "list_slice(g, 1, l.n)"
-    packed = "named_struct('at', i - 1, 'run', {})" if q.name == "spark" else "{{'at': i - 1, 'run': {}}}"
-    both = f"named_struct('w', w, 'fw', {q.common('w', firsts)})" if q.name == "spark" else f"{{'w': w, 'fw': {q.common('w', firsts)}}}"
-    exploded = q.explode("doc_id", f"(SELECT doc_id, {q.let(both, 'z', q.map(able, 'i', packed.format(run)))} AS gs FROM {source}) r", "gs", "nth", "v")
-    hint = "/*+ BROADCAST(l) */ " if q.name == "spark" and len(rows) <= BROADCAST_TERMS else ""
-    kept = "SELECT * FROM found"
-    if suppress:
-        kept = """SELECT a.* FROM found a LEFT JOIN (SELECT DISTINCT a.doc_id, a.family, a.term, a.pos FROM found a JOIN found b
+    able = q.filter(f"range(1, {n} + 1)", "i", q.contains("z.fw", "list_extract(z.w, i)"))
+    both = f"{{'w': w, 'fw': {q.common('w', firsts)}}}"
+    exploded = q.explode("doc_id", f"(SELECT doc_id, {q.let(both, 'z', q.map(able, 'i', f"{{'at': i - 1, 'run': list_slice(z.w, i, i + {span - 1})}}"))} AS gs FROM {source}) r", "gs", "nth", "v")
+    return f"""lexicon AS {lex}, runs0 AS ({exploded}), runs AS (SELECT doc_id, v.at AS pos, v.run AS g FROM runs0),
+found AS (SELECT r.doc_id, l.family, l.category, l.confidence, l.term, l.words, r.pos, l.n FROM runs r JOIN lexicon l ON {q.at('g', 1)} = l.first AND {q.join('list_slice(g, 1, l.n)', ' ')} = l.words),
+kept AS ({settled(suppress)})"""
+
+
+def settled(suppress: bool) -> str:
+    if not suppress:
+        return "SELECT * FROM found"
+    return """SELECT a.* FROM found a LEFT JOIN (SELECT DISTINCT a.doc_id, a.family, a.term, a.pos FROM found a JOIN found b
 ON a.doc_id = b.doc_id AND a.family = b.family AND a.pos < b.pos + b.n AND b.pos < a.pos + a.n
 AND (length(b.words) > length(a.words) OR (length(b.words) = length(a.words) AND b.pos < a.pos))) x
 ON a.doc_id = x.doc_id AND a.family = x.family AND a.term = x.term AND a.pos = x.pos WHERE x.doc_id IS NULL"""
-    return f"""lexicon AS {lex}, runs0 AS ({exploded}), runs AS (SELECT doc_id, v.at AS pos, v.run AS g FROM runs0),
-found AS (SELECT {hint}r.doc_id, l.family, l.category, l.confidence, l.term, l.words, r.pos, l.n FROM runs r JOIN lexicon l ON {q.at('g', 1)} = l.first AND {q.join(part, ' ')} = l.words),
-kept AS ({kept})"""
 
 
 def lean(q: Spark, text: str = "text") -> str:
