@@ -4,7 +4,7 @@ import re
 import time
 
 from plumbline.operators import python_tier as P
-from plumbline.plans.python_queries import TERMS
+from plumbline.plans.python_queries import TERMS, seeded_documents, term_spans_exact_seeded
 
 TEXTS = ["We delve into a rich tapestry of robust ideas.\nIn today we delve deeper; here are 5 ways to leverage the power of x.", "in 3 words we win", "harness harness unleash", "", "İn a robust world: leverage", "at the end of the day,\n\nin the grand scheme of things a paradigm shift"]
 
@@ -25,3 +25,13 @@ def test_many_matches_take_no_square():
     began = time.process_time()
     assert len(P.term_spans(text, terms)) == 30_000
     assert time.process_time() - began < 10
+
+
+def test_seeded_spans(spark, tmp_path):
+    frame = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(TEXTS * 2)], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    compiled = [(t.lower(), re.compile(P.term_pattern(t))) for t in TERMS]
+    texts = {r.doc_id: r.text.lower() for r in seeded_documents(spark, str(tmp_path)).collect()}
+    wanted = {(k, t, a, b, s.count("\n", 0, a) + 1) for k, s in texts.items() for t, a, b in P.term_spans(s, compiled)}
+    assert {tuple(r) for r in term_spans_exact_seeded(spark, str(tmp_path)).collect()} == wanted
+    assert P.needles("[X] of [N]") == [" of "]
